@@ -89,9 +89,10 @@ def column(b: pa.RecordBatch, name: str) -> pa.Array:
 class Words:
     """The lower-case white-space words of a batch of texts: codes into distinct words, with offsets by text."""
 
-    def __init__(self, texts: pa.Array):
-        texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        lists = pc.utf8_split_whitespace(texts)
+    def __init__(self, texts: pa.Array, ascii_only: bool = False):
+        """ascii_only: lower-cases A-Z and splits at the white space of ASCII alone."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if ascii_only else pc.utf8_split_whitespace(pc.utf8_lower(texts))
         flat = lists.flatten()
         full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -1,0 +1,133 @@
+"""URL filters: host and path rules, and logistic regression on hashed character n-grams.
+
+A url is cut into host and path. The longest rule whose host is the url's or a
+parent of it and whose path starts the url's path decides; where none fits, a
+logistic regression over hashed character n-grams (2 to 5) of host and path
+does, trained from a small labelled table of urls that is a parameter.
+
+Defined results: a null url, or one without "://", has an empty host and path
+and no rule, and is judged by the model on empty strings; rows are judged one by
+one. Hosts keep ports and user names, as they stand between "://" and the path.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import column, table
+
+RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+BUCKETS = 1 << 14
+GRAMS = (2, 3, 4, 5)
+
+
+def labelled_urls() -> pd.DataFrame:
+    """The small labelled table (host, path, block): common words of unwanted and of ordinary sites, in a few shapes."""
+    bad = "casino bets poker slots spam viagra pills porn xxx escort loan lottery jackpot warez crack torrent phish malware adult replica click-farm free-money".split()
+    good = "news blog wiki docs library school garden music recipes travel science history weather museum city health sports forum books maps photo review".split()
+    shapes = (("www.{}-online.example.net", "/en/{}"), ("{}.example.com", "/fr/page.html"), ("free-{}.example.net", "/de/{}"), ("{}-farm.example.org", "/es/index"), ("m.{}.example.net", "/{}/top"), ("shop.example.com", "/{}/item"))
+    rows = [(h.format(w), p.format(w), y) for words, y in ((bad, 1), (good, 0)) for w, (h, p) in itertools.product(words, shapes)]
+    syllables = "th ing er on and re tion en an ha or ble st ly in ti".split()
+    plain = [(f"{sub}{a}{b}.example.{tld}", f"/{lang}/{1000 + 37 * i}", 0) for i, ((a, b), (sub, tld, lang)) in enumerate(zip(itertools.product(syllables, syllables), itertools.cycle(itertools.product(("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "fr", "de", "es"))), strict=False))]
+    return pd.DataFrame([*rows, *plain], columns=["host", "path", "block"])
+
+
+def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each hashed n-gram; digits of a path count as one character."""
+    rows, keys = [], []
+    for kind, values in ((1, hosts), (2, paths)):
+        raw = [np.frombuffer(f"^{v}$".encode("utf-8", "surrogatepass"), np.uint8) for v in values]
+        n = np.array([len(r) for r in raw], np.int64)
+        flat = np.concatenate(raw).astype(np.uint64) if raw else np.empty(0, np.uint64)
+        if kind == 2:
+            flat = np.where((flat >= 48) & (flat <= 57), np.uint64(48), flat)
+        doc = np.repeat(np.arange(len(raw)), n)
+        key = np.full(len(flat), np.uint64(kind), np.uint64)
+        for size in range(1, max(GRAMS) + 1):
+            if size > len(flat):
+                break
+            key = key[: len(flat) - size + 1] * np.uint64(0x100000001B3) + flat[size - 1 :] + np.uint64(size)
+            if size in GRAMS:
+                inside = doc[: len(key)] == doc[size - 1 :]
+                rows.append(doc[: len(key)][inside])
+                keys.append((key[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50))
+    return (np.concatenate(rows), np.concatenate(keys).astype(np.int64)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+class Model:
+    def __init__(self, labelled: pd.DataFrame, epochs: int = 300, rate: float = 0.5, penalty: float = 1e-4):
+        rows, keys = features(labelled.host.tolist(), labelled.path.tolist())
+        y = labelled.block.to_numpy(float)
+        n = np.bincount(rows, minlength=len(y)).astype(float)
+        value = 1 / np.sqrt(n[rows])
+        share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        self.w, self.b = np.zeros(BUCKETS), 0.0
+        speed, speed_b = np.full(BUCKETS, 1e-8), 1e-8
+        for _ in range(epochs):  # full-batch AdaGrad: the table is small
+            g = (self.of(rows, value, keys, len(y)) - y) * share
+            grad = np.bincount(keys, g[rows] * value, minlength=BUCKETS) + penalty * self.w
+            speed += grad**2
+            speed_b += g.sum() ** 2
+            self.w -= rate * grad / np.sqrt(speed)
+            self.b -= rate * g.sum() / np.sqrt(speed_b)
+
+    def of(self, rows: np.ndarray, value: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+        x = np.bincount(rows, self.w[keys] * value, minlength=n) + self.b
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def block(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        """The probability that a url is unwanted."""
+        rows, keys = features(hosts, paths)
+        n = np.bincount(rows, minlength=len(hosts)).astype(float)
+        return self.of(rows, 1 / np.sqrt(n[rows]), keys, len(hosts))
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
+
+
+def rule_for(host: Column, path: Column, rules=RULES) -> Column:
+    """The longest rule that fits, or null."""
+    out = None
+    for rule, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        name, _, rest = rule.partition("/")
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith("/" + rest)
+        out = F.when(fits, rule) if out is None else out.when(fits, rule)
+    return out.otherwise(F.lit(None).cast("string")) if out is not None else F.lit(None).cast("string")
+
+
+def judge(pages: DataFrame, rules=RULES, labelled: pd.DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict, p_block (the model's probability)."""
+    model = Model(labelled_urls() if labelled is None else labelled)
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+    host, path = host_and_path(F.col("url"))
+    cut = pages.select("page_id", host.alias("host"), path.alias("path"))
+
+    def run(batches):
+        for b in batches:
+            p = shared.value.block(column(b, "host").to_pylist(), column(b, "path").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("page_id", "host", "path")), pa.array(p)], ["page_id", "host", "path", "p_block"])
+
+    judged = cut.mapInArrow(run, f"page_id {cut.schema['page_id'].dataType.simpleString()}, host string, path string, p_block double")
+    judged = judged.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+    said = None
+    for rule, verdict in rules:
+        said = F.when(F.col("rule") == rule, verdict) if said is None else said.when(F.col("rule") == rule, verdict)
+    model_says = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", "rule", (said.otherwise(model_says) if said is not None else model_says).alias("verdict"), "p_block")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url with its rule and verdict."""
+    return judge(table(spark, sf_dir, "pages"))
