@@ -85,8 +85,8 @@ class Index:
     def verify(self, pairs: np.ndarray, ids: np.ndarray, offsets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         docs, items = pairs >> 32, pairs & 0xFFFFFFFF
         share = np.zeros(len(pairs))
-        cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(pairs) else []
-        for a, b in zip(cuts, [*cuts[1:], len(pairs)], strict=True):
+        cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(pairs) else np.empty(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts, len(pairs))[1:], strict=True):
             own = np.unique(ids[offsets[docs[a]] : offsets[docs[a] + 1]])
             for j in range(a, b):
                 wanted = self.ids[self.offsets[items[j]] : self.offsets[items[j] + 1]]
