@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, steps, table, tokenizer_path
+from .common import Pool, column, steps, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 16_384, 256
 CACHE = 400_000
+#: Rows of one step of decoding.
+ROWS = 500
 
 
 @functools.cache
@@ -76,7 +78,7 @@ def split(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int,
 
 
 class Codec:
-    """Encodes pieces by the ranks of a vocabulary; keeps what it has met."""
+    """Encodes pieces by the ranks of a vocabulary, each distinct piece once; decodes ids to bytes."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -84,29 +86,48 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = _pattern()
-        self.tokens = {i: t for t, i in self.ranks.items()}
-        self.by_piece: dict[str, tuple[int, ...]] = {}
         self.encoding = tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})
-
-    def pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        known = self.by_piece
-        if len(known) > CACHE:
-            known.clear()
-        for p in set(pieces).difference(known):
+        self.known = Pool()
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, i in self.ranks.items():
+            tokens[i] = token
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many each has."""
+        if len(self.known.place) > CACHE:
+            self.known = Pool()
+        new = list(set(pieces).difference(self.known.place))
+        if new:
             # a piece is one match of the pattern, so it is encoded on its own
-            known[p] = tuple(self.encoding.encode_ordinary(p))
-        return list(map(known.__getitem__, pieces))
-
-    def encode(self, text: str, ends: np.ndarray | None = None) -> list[int]:
-        if ends is None:
-            pieces = self.pattern.findall(text)
-        else:
-            cut = [0, *ends.tolist()]
-            pieces = [text[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        return [i for ids in self.pieces(pieces) for i in ids]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+            ids = [self.encoding.encode_ordinary(p) for p in new]
+            self.known.add(new, np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.array(list(map(len, ids)), np.int64))
+        return self.known.take(self.known.numbers(pieces))
+
+    def encode(self, texts: list[str], ends: list[np.ndarray] | None = None) -> pa.ListArray:
+        """Ids of each text; ends: the boundaries of its pieces, where they are known."""
+        cut: list[str] = []
+        count = [0]
+        for k, text in enumerate(texts):
+            if ends is None:
+                cut += self.pattern.findall(text)
+            else:
+                at = [0, *ends[k].tolist()]
+                cut += [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+            count.append(len(cut))
+        ids, n = self.pieces(cut)
+        offsets = np.concatenate([[0], np.cumsum(n)])[count]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        out = []
+        for first in range(0, len(ids), 100_000):
+            some = ids[first : first + 100_000]
+            n = self.size[some]
+            out.append(self.bytes[np.repeat(self.begin[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -129,8 +150,8 @@ def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHU
     def whole(batches):
         c = codec(path)
         for b in steps(batches):
-            ids = [c.encode(t) for t in pc.fill_null(column(b, "text"), "").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+            ids = c.encode(pc.fill_null(column(b, "text"), "").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), ids], [*names, "ids"])
 
     # rows of long texts are told apart by a number, as ids may repeat; the first chunk carries the row
     long = kept.where(F.length("text") > chunk)
@@ -158,16 +179,15 @@ def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHU
     def join(batches):
         c = codec(path)
         for b in batches:
-            rows = column(b, "row")
-            texts = rows.field(names.index("text")).to_pylist()
-            ids = []
-            for text, chunks in zip(texts, column(b, "chunks").to_pylist(), strict=True):
+            for k in range(b.num_rows):
+                row = column(b, "row").slice(k, 1)
+                text = row.field(names.index("text"))[0].as_py()
                 found = []
-                for x in chunks:
+                for x in column(b, "chunks")[k].as_py():
                     start = x["i"] * chunk
                     found.append((start, min(len(text), start + chunk + overlap), start + np.frombuffer(x["ends"], np.int32).astype(np.int64)))
-                ids.append(c.encode(text, stitch(found, text)))
-            yield pa.RecordBatch.from_arrays([*(rows.field(k) for k in range(len(names))), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+                ids = c.encode([text], [stitch(found, text)])
+                yield pa.RecordBatch.from_arrays([*(row.field(i) for i in range(len(names))), ids], [*names, "ids"])
 
     return short.mapInArrow(whole, _added(kept)).unionByName(gathered.select("row", "chunks").mapInArrow(join, _added(kept)))
 
@@ -180,8 +200,12 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(i) for i in column(b, "ids").to_pylist()], pa.binary())], [*names, "decoded"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                b = whole.slice(first, ROWS)
+                ids = column(b, "ids")
+                at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(flat[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*names, "decoded"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
@@ -193,10 +217,6 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
     return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -92,6 +92,7 @@ class Words:
     def __init__(self, texts: pa.Array, ascii_only: bool = False):
         """ascii_only: lower-cases A-Z and splits at the white space of ASCII alone."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower misreads slices
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if ascii_only else pc.utf8_split_whitespace(pc.utf8_lower(texts))
         flat = lists.flatten()
         full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
@@ -158,6 +159,28 @@ def distinct_by_doc(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(counts)])
 
 
+class Pool:
+    """Ids of strings met so far, in one array: number of a string -> its ids."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(strings, range(len(self.place), len(self.place) + len(strings)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def numbers(self, strings) -> np.ndarray:
+        return np.array(list(map(self.place.__getitem__, strings)), np.int64)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these strings in a row, and how many each has."""
+        start, n = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        total = np.cumsum(n)
+        return self.flat[np.repeat(start - (total - n), n) + np.arange(int(n.sum()))], n
+
+
 def tokenizer_path(name: str, path: str | None = None) -> str:
     """Where a vocabulary file lies; `path` overrides the public package's own place."""
     if path:
