@@ -1,3 +1,734 @@
 """Queries over the driver's tables, with their SQL: name -> (callable, SQL or None)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import audio, boxes, frames, series, shots, similarity, timejoin, windows
+from ..operators.infer import infer
+from ..sources import ingest
+from . import registry
+from .views import ctes, view
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(name: str, needs: str, sql: str | None):
+    """Register f(views...) under a name; needs: the views it takes, in order; sql: the query after their WITH clauses."""
+    names = needs.split()
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(view(spark, sf_dir, n) for n in names))
+
+        run.__name__ = name
+        head = ctes(*names)
+        body = sql.strip() if sql else None
+        if body and head and body.upper().startswith("WITH "):
+            body = head + ", " + body[5:]
+        elif body:
+            body = f"{head} {body}"
+        QUERIES[name] = (run, body)
+        return f
+
+    return add
+
+
+def _r(*cols: str, n: int = 6):
+    return [F.round(F.col(c), n).alias(c) for c in cols]
+
+
+# -- series ---------------------------------------------------------------------------------------------------------
+
+
+@_query("shot_scalar_annotator", "shots series", "SELECT s.media_id, shot_idx, round(avg(y), 6) AS mean FROM shots s JOIN series p ON s.media_id = p.media_id AND p.time >= start_s AND p.time <= end_s GROUP BY s.media_id, shot_idx")
+def _(shots_, series_):
+    return shots.shot_scalar_annotator(shots_, series_).select("media_id", "shot_idx", *_r("mean"))
+
+
+@_query("shot_scalar_annotator_bucketed", "shots series", "SELECT s.media_id, shot_idx, round(avg(y), 6) AS mean FROM shots s JOIN series p ON s.media_id = p.media_id AND p.time >= start_s AND p.time <= end_s GROUP BY s.media_id, shot_idx")
+def _(shots_, series_):
+    return shots.shot_scalar_annotator(shots_, series_, width=86_400.0).select("media_id", "shot_idx", *_r("mean"))
+
+
+@_query("scalar_threshold", "series", "SELECT media_id, label, round(time, 6) AS time, round(CASE WHEN y >= 0.7 THEN 0.7 WHEN y < 0.2 THEN 0.2 ELSE y END, 6) AS y FROM series")
+def _(s):
+    return series.scalar_threshold(s, 0.2, 0.7).select("media_id", "label", *_r("time", "y"))
+
+
+@_query("invert_scalar", "series", """
+WITH t AS (SELECT media_id, label, time, y * 3 - 1 AS y FROM series), b AS (SELECT media_id, label, min(y) AS lo, max(y) AS hi FROM t GROUP BY ALL)
+SELECT media_id, label, round(time, 6) AS time, round(1 - CASE WHEN hi > 1 OR lo < 0 THEN (y - lo) / nullif(hi - lo, 0) ELSE y END, 6) AS y FROM t JOIN b USING (media_id, label)""")
+def _(s):
+    return series.invert_scalar(s.withColumn("y", F.col("y") * 3 - 1)).select("media_id", "label", *_r("time", "y"))
+
+
+@_query("min_max_norm", "series", """
+WITH b AS (SELECT media_id, label, min(y) AS lo, max(y) AS hi FROM series GROUP BY ALL)
+SELECT media_id, label, round(time, 6) AS time, round(CASE WHEN hi - lo >= 0.01 THEN (y - lo) / (hi - lo) ELSE y END, 6) AS y FROM series JOIN b USING (media_id, label)""")
+def _(s):
+    return series.min_max_norm(s).select("media_id", "label", *_r("time", "y"))
+
+
+@_query("rescale", "series", """
+WITH b AS (SELECT media_id, label, min(y) AS lo, max(y) AS hi FROM series GROUP BY ALL)
+SELECT media_id, label, round(time, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM series JOIN b USING (media_id, label)""")
+def _(s):
+    return series.rescale(s).select("media_id", "label", *_r("time", "y"))
+
+
+@_query("rescale_fixed", "series", "SELECT media_id, label, round(time, 6) AS time, round((y - 0.25) / 0.5, 6) AS y FROM series")
+def _(s):
+    return series.rescale(s, 0.25, 0.75).select("media_id", "label", *_r("time", "y"))
+
+
+@_query("longest_series", "series", """
+WITH c AS (SELECT media_id, label, count(*) AS points, min(label_idx) AS o FROM series GROUP BY ALL)
+SELECT media_id, label, points FROM c QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY points DESC, o) = 1""")
+def _(s):
+    return series.longest_series(s, order="label_idx")
+
+
+_INTERPOLATED = """
+k AS (SELECT media_id, label, time, avg(y) AS y FROM series GROUP BY ALL),
+m AS (SELECT g.media_id, g.label, g.time, a.time AS ta, a.y AS ya FROM g ASOF LEFT JOIN k a ON g.media_id = a.media_id AND g.label = a.label AND g.time >= a.time),
+n AS (SELECT m.*, b.time AS tb, b.y AS yb FROM m ASOF LEFT JOIN k b ON m.media_id = b.media_id AND m.label = b.label AND m.time <= b.time),
+v AS (SELECT media_id, label, time, CASE WHEN ta IS NULL THEN yb WHEN tb IS NULL OR tb = ta THEN ya ELSE ya + (yb - ya) * (time - ta) / (tb - ta) END AS y FROM n)
+"""
+
+
+@_query("interpolate", "series", f"""
+WITH g AS (SELECT DISTINCT s.media_id, s.label, o.time FROM (SELECT DISTINCT media_id, label FROM series) s JOIN series o ON s.media_id = o.media_id AND o.label = 'click'), {_INTERPOLATED}
+SELECT media_id, label, round(time, 6) AS time, round(y, 6) AS y FROM v""")
+def _(s):
+    grid = s.select("media_id", "label").distinct().join(s.where("label = 'click'").select("media_id", "time"), "media_id")
+    return series.interpolate(s, grid).select("media_id", "label", *_r("time", "y"))
+
+
+def _aggregate(how: str, value: str):
+    @_query(f"aggregate_scalar_{how}", "series", f"""
+WITH c AS (SELECT media_id, label, count(*) AS n FROM series GROUP BY ALL),
+l AS (SELECT media_id, label AS longest FROM c QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY n DESC, label) = 1),
+g AS (SELECT DISTINCT c.media_id, c.label, s.time FROM c JOIN l USING (media_id) JOIN series s ON s.media_id = c.media_id AND s.label = l.longest), {_INTERPOLATED}
+SELECT media_id, round(time, 6) AS time, round({value}, 6) AS y FROM v GROUP BY media_id, v.time""")
+    def _(s):
+        return series.aggregate_scalar(s, how).select("media_id", *_r("time", "y"))
+
+    @_query(f"aggregate_per_time_{how}", "series", f"WITH v AS (SELECT media_id, label, floor(time / 86400) AS time, y FROM series) SELECT media_id, label, time, round({value}, 6) AS y FROM v GROUP BY media_id, label, time")
+    def _(s):
+        return series.aggregate_per_time(s.withColumn("time", F.floor(F.col("time") / 86400).cast("double")), how).select("media_id", "label", "time", *_r("y"))
+
+
+for _how, _value in (("mean", "avg(y)"), ("prod", "product(y)"), ("and", "product(y)"), ("or", "1 - product(1 - y)")):
+    _aggregate(_how, _value)
+
+
+@_query("append_series", "series", """
+WITH n AS (SELECT media_id, count(DISTINCT label) AS n FROM series GROUP BY media_id)
+SELECT media_id, label, round(time, 6) AS time, round(y, 6) AS y FROM series UNION ALL
+SELECT s.media_id, CAST(n.n AS VARCHAR), round(s.time, 6), round(1 - s.y, 6) FROM series s JOIN n USING (media_id) WHERE label = 'click'""")
+def _(s):
+    child = s.where("label = 'click'").select("media_id", "time", (1 - F.col("y")).alias("y"))
+    return series.append_series(s.select("media_id", "label", "time", "y"), child).select("media_id", "label", *_r("time", "y"))
+
+
+@_query("series_index", "series", "SELECT media_id, label, count(*) AS points, CAST(row_number() OVER (PARTITION BY media_id ORDER BY min(label_idx), label) - 1 AS INT) AS idx FROM series GROUP BY media_id, label")
+def _(s):
+    return series.series_index(s, "label_idx")
+
+
+# -- joins on time --------------------------------------------------------------------------------------------------
+
+for _bounds, _name, _a, _b in (("()", "open", ">", "<"), ("[]", "closed", ">=", "<="), ("[)", "half_open", ">=", "<")):
+
+    @_query(f"range_join_{_name}", "shots series", f"SELECT s.media_id, s.shot_idx, p.label, round(p.time, 6) AS time FROM shots s JOIN series p ON s.media_id = p.media_id AND p.time {_a} s.start_s AND p.time {_b} s.end_s")
+    def _(s, p, bounds=_bounds):
+        return timejoin.range_join(s, p, bounds).select("media_id", "shot_idx", "label", *_r("time"))
+
+
+@_query("timeline_sampler", "shots frames", """
+WITH m AS (SELECT s.media_id, s.shot_idx, s.start_s, s.end_s, f.time, f.frame_idx FROM shots s JOIN frames f ON s.media_id = f.media_id AND f.time >= start_s AND f.time <= end_s),
+p AS (SELECT *, 'start' AS pick, abs(time - start_s) AS d FROM m UNION ALL SELECT *, 'middle', abs(time - (start_s + end_s) / 2) FROM m UNION ALL SELECT *, 'end', abs(time - end_s) FROM m)
+SELECT media_id, shot_idx, pick, round(time, 6) AS time, frame_idx FROM p QUALIFY row_number() OVER (PARTITION BY media_id, shot_idx, pick ORDER BY d, time, frame_idx) = 1""")
+def _(s, f):
+    return timejoin.timeline_sampler(s, f, True, True, True).select("media_id", "shot_idx", "pick", *_r("time"), "frame_idx")
+
+
+@_query("timeline_sampler_scan", "shots frames", None)
+def _(s, f):
+    return timejoin.timeline_sampler(s, f, True, True, True, mode="scan")
+
+
+@_query("zip_rows", "shots segments", """
+WITH a AS (SELECT media_id, start_s, row_number() OVER (PARTITION BY media_id ORDER BY shot_idx) AS i FROM shots), b AS (SELECT media_id, text, row_number() OVER (PARTITION BY media_id ORDER BY turn) AS i FROM segments)
+SELECT media_id, round(start_s, 6) AS start_s, text, CAST(i - 1 AS INT) AS idx FROM a JOIN b USING (media_id, i)""")
+def _(s, t):
+    return timejoin.zip_rows(s.select("media_id", "start_s", "shot_idx"), t.select("media_id", "text", "turn"), ["shot_idx"], ["turn"]).select("media_id", *_r("start_s"), "text", "idx")
+
+
+@_query("frames_at", "frames boxes", "SELECT b.media_id, b.frame_idx, b.id, round(f.time, 6) AS time FROM boxes b JOIN frames f ON b.media_id = f.media_id AND b.frame_idx = f.frame_idx")
+def _(f, b):
+    return timejoin.frames_at(f, b).select("media_id", "frame_idx", "id", *_r("time"))
+
+
+@_query("face_crops", "images faces boxes", "SELECT f.id AS face_id, i.id AS image_id, [max(b.x)] AS x, [max(b.y)] AS y FROM faces f JOIN images i ON f.ref_id = i.id JOIN boxes b ON b.id = f.id GROUP BY f.id, i.id")
+def _(i, f, b):
+    kps = b.select(F.col("id").alias("ref_id"), F.array("x").alias("x"), F.array("y").alias("y"), F.lit(0).alias("seq"))
+    return timejoin.face_crops(i, f, kps)
+
+
+@_query("resolve_refs", "images boxes", "SELECT b.id, b.ref_id AS image_id, i.media_id AS ref_id FROM boxes b LEFT JOIN images i ON b.ref_id = i.id")
+def _(i, b):
+    return timejoin.resolve_refs(b.select("id", F.col("ref_id").alias("image_id")), i.select("id", F.col("media_id").alias("ref_id"))).select("id", "image_id", "ref_id")
+
+
+# -- shots ----------------------------------------------------------------------------------------------------------
+
+
+@_query("shots_from_scores", "scores", """
+WITH f AS (SELECT media_id, i, CASE WHEN y > 0.5 THEN 1 ELSE 0 END AS cut FROM scores),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY media_id ORDER BY i) AS run, lead(i) OVER (PARTITION BY media_id ORDER BY i) AS nx FROM f),
+s AS (SELECT media_id, min(i) AS a, max(coalesce(nx, i)) AS b FROM r WHERE cut = 0 GROUP BY media_id, run UNION ALL SELECT media_id, min(i), max(i) FROM f GROUP BY media_id HAVING min(cut) = 1)
+SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY a) - 1 AS INT) AS shot_idx, round(a / 25.0, 6) AS start_s, round(b / 25.0, 6) AS end_s FROM s""")
+def _(s):
+    return shots.shots_from_scores(s, 0.5, 25).select("media_id", "shot_idx", *_r("start_s", "end_s"))
+
+
+@_query("shot_annotator", "shots series", """
+WITH m AS (SELECT s.media_id, shot_idx, label, label_idx, avg(y) AS mean FROM shots s JOIN series p ON s.media_id = p.media_id AND p.time > start_s AND p.time < end_s GROUP BY ALL HAVING avg(y) > 0.1)
+SELECT media_id, shot_idx, label, round(mean, 6) AS mean FROM m QUALIFY row_number() OVER (PARTITION BY media_id, shot_idx ORDER BY mean DESC, label_idx) = 1""")
+def _(s, p):
+    return shots.shot_annotator(s, p, 0.1).select("media_id", "shot_idx", "label", *_r("mean"))
+
+
+@_query("shot_texts", "shots series", "SELECT s.media_id, s.shot_idx, coalesce(string_agg(p.label, ',' ORDER BY p.time, p.label), '') AS texts FROM shots s LEFT JOIN series p ON s.media_id = p.media_id AND p.time >= start_s AND p.time <= end_s GROUP BY ALL")
+def _(s, p):
+    return shots.shot_texts(s, p.withColumn("text", F.col("label"))).select("media_id", "shot_idx", F.array_join("texts", ",").alias("texts"))
+
+
+@_query("facesize", "boxes", "SELECT media_id, frame_idx AS time, max(w * h) AS y FROM boxes GROUP BY ALL")
+def _(b):
+    return shots.facesize(b.withColumn("time", F.col("frame_idx")))
+
+
+@_query("face_shot_labels", "shots series", """
+WITH l AS (SELECT media_id, shot_idx, 'shot ' || shot_idx AS label FROM shots WHERE shot_idx % 3 <> 0),
+f AS (SELECT DISTINCT s.media_id, s.shot_idx FROM shots s JOIN series p ON s.media_id = p.media_id AND p.label = 'signup' AND p.time >= start_s AND p.time < end_s)
+SELECT s.media_id, s.shot_idx, CASE WHEN f.shot_idx IS NULL THEN 'None' ELSE coalesce(l.label, 'None') END AS label FROM shots s LEFT JOIN l USING (media_id, shot_idx) LEFT JOIN f USING (media_id, shot_idx)""")
+def _(s, p):
+    labels = s.where("shot_idx % 3 <> 0").select("media_id", "shot_idx", F.concat(F.lit("shot "), F.col("shot_idx")).alias("label"))
+    return shots.face_shot_labels(s, labels, p.where("label = 'signup'")).select("media_id", "shot_idx", "label")
+
+
+_DENSITY = """
+WITH e AS (SELECT media_id, start_s / 20000 AS start_s, end_s / 20000 AS end_s FROM shots), l AS (SELECT media_id, max(end_s) AS z, CAST(ceil(max(end_s) * 2) AS BIGINT) AS n FROM e GROUP BY media_id),
+g AS (SELECT media_id, i * z / n AS time FROM l, unnest(range(0, n + 1)) AS u(i)), k AS (SELECT g.media_id, g.time, sum({kernel}) AS y FROM g JOIN e USING (media_id) GROUP BY g.media_id, g.time),
+b AS (SELECT media_id, min(y) AS lo, max(y) AS hi FROM k GROUP BY media_id) SELECT media_id, round(time, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM k JOIN b USING (media_id)"""
+for _kernel, _formula in (("gaussian", "exp(-0.5 * pow((g.time - e.start_s) / 30, 2))"), ("epanechnikov", "CASE WHEN abs(g.time - e.start_s) < 30 THEN 1 - pow((g.time - e.start_s) / 30, 2) ELSE 0 END")):
+
+    @_query(f"shot_density_{_kernel}", "shots", _DENSITY.format(kernel=_formula))
+    def _(s, kernel=_kernel):
+        scaled = s.withColumns({"start_s": F.col("start_s") / 20000, "end_s": F.col("end_s") / 20000})
+        return shots.shot_density(scaled, kernel, 30, 2).select("media_id", *_r("time", "y"))
+
+
+# -- windows --------------------------------------------------------------------------------------------------------
+
+
+@_query("sliding_windows", "frames", """
+WITH n AS (SELECT media_id, count(*) AS n FROM frames GROUP BY media_id), k AS (SELECT media_id, n, k FROM n, unnest(range(0, CAST(ceil(n / 10.0) AS BIGINT))) AS u(k))
+SELECT media_id, CAST(k AS INT) AS k, CAST(j AS INT) AS j, greatest(0, least(n - 1, k * 10 - 5 + j)) AS frame_idx FROM k, unnest(range(0, 20)) AS v(j)""")
+def _(f):
+    return windows.sliding_windows(f, 20, 10, 5)
+
+
+@_query("merge_windows", "frames", "SELECT media_id, frame_idx, CAST(frame_idx * 2 AS DOUBLE) AS y FROM frames")
+def _(f):
+    predictions = windows.sliding_windows(f, 20, 10, 5).withColumn("y", F.col("frame_idx") * 2.0)
+    return windows.merge_windows(predictions, f, 10, 5)
+
+
+@_query("frame_batches", "frames", "SELECT media_id, CAST(floor(frame_idx / 8.0) AS BIGINT) AS batch, round(avg(time), 3) AS time FROM frames GROUP BY 1, 2 HAVING count(*) = 8")
+def _(f):
+    return windows.frame_batches(f, 8).select("media_id", "batch", *_r("time", n=3))
+
+
+@_query("resample_frames", "frames", "SELECT media_id, frame_idx, round(time, 6) AS time FROM frames QUALIFY row_number() OVER (PARTITION BY media_id, ceil(time * 0.00002) ORDER BY time, frame_idx) = 1")
+def _(f):
+    return windows.resample_frames(f, 0.00002).select("media_id", "frame_idx", *_r("time"))
+
+
+@_query("batch_rows", "frames", "SELECT media_id, frame_idx, CAST(floor((row_number() OVER (PARTITION BY media_id ORDER BY time) - 1) / 7.0) AS BIGINT) AS batch FROM frames")
+def _(f):
+    return windows.batch_rows(f, 7, ["media_id"], ["time"]).select("media_id", "frame_idx", "batch")
+
+
+@_query("even_sample", "frames", """
+WITH p AS (SELECT media_id, frame_idx, row_number() OVER (PARTITION BY media_id ORDER BY frame_idx) - 1 AS p, count(*) OVER (PARTITION BY media_id) AS n FROM frames),
+s AS (SELECT DISTINCT media_id, CAST(round_even(CASE WHEN least(n, 30) > 1 THEN j * (n - 1) / CAST(least(n, 30) - 1 AS DOUBLE) ELSE 0 END, 0) AS BIGINT) AS p FROM (SELECT DISTINCT media_id, n FROM p) q, unnest(range(0, least(n, 30))) AS u(j))
+SELECT p.media_id, p.frame_idx, s.p IS NOT NULL AS is_sample FROM p LEFT JOIN s ON p.media_id = s.media_id AND p.p = s.p""")
+def _(f):
+    return windows.even_sample(f, ["media_id"], ["frame_idx"], 30).select("media_id", "frame_idx", "is_sample")
+
+
+@_query("frame_grid", "part", "SELECT p_partkey AS media_id, CAST(i AS INT) AS frame_idx, round(i / 3.0, 6) AS time FROM part, unnest(range(0, CAST(floor(p_size * 0.7 * 3) AS BIGINT))) AS u(i)")
+def _(p):
+    return windows.frame_grid(p.select(F.col("p_partkey").alias("media_id"), (F.col("p_size") * F.lit(0.7)).cast("double").alias("duration")), 3).select("media_id", "frame_idx", *_r("time"))
+
+
+# -- embeddings -----------------------------------------------------------------------------------------------------
+
+_COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda p: CAST(p AS DOUBLE) * p))) * sqrt(list_sum(list_transform(b.embedding, lambda p: CAST(p AS DOUBLE) * p))))"
+_UNIT = "list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda p: CAST(p AS DOUBLE) * p))))"
+
+
+@_query("cosine_similarity", "vectors", f"SELECT a.media_id, a.time, round(max((1 + {_COS}) / 2), 6) AS y FROM vectors a JOIN vectors b ON b.id % 50 = 0 GROUP BY a.media_id, a.time")
+def _(v):
+    return similarity.cosine_similarity(v.where("id % 50 = 0"), v).select("media_id", "time", *_r("y"))
+
+
+@_query("mean_embedding", "vectors", f"""
+WITH n AS (SELECT media_id, {_UNIT} AS e FROM vectors), d AS (SELECT media_id, i, avg(e[i]) AS x FROM n, unnest(range(1, len(e) + 1)) AS u(i) GROUP BY media_id, i),
+s AS (SELECT media_id, sqrt(sum(x * x)) AS l FROM d GROUP BY media_id) SELECT media_id, CAST(i - 1 AS INT) AS i, round(x / l, 6) AS x FROM d JOIN s USING (media_id)""")
+def _(v):
+    return similarity.mean_embedding(v, "media_id").select("media_id", F.posexplode("embedding").alias("i", "x")).select("media_id", "i", *_r("x"))
+
+
+_DOTS = f"n AS (SELECT media_id, id, {_UNIT} AS e FROM vectors), d AS (SELECT a.media_id, a.id, b.id AS concept, 100 * list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS z FROM n a JOIN n b ON b.id % 100 = 0)"
+
+
+@_query("ontology_probs", "vectors", f"WITH {_DOTS}, x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY media_id, id)) AS e FROM d) SELECT media_id, id, concept, round(e / sum(e) OVER (PARTITION BY media_id, id), 6) AS y FROM x")
+def _(v):
+    return similarity.ontology_probs(v, v.where("id % 100 = 0").select(F.col("id").alias("concept"), "embedding")).select("media_id", "id", "concept", *_r("y"))
+
+
+@_query("text_image_probs", "vectors", f"WITH n AS (SELECT media_id, id, {_UNIT} AS e FROM vectors), d AS (SELECT a.media_id, a.id, list_sum(list_transform(list_zip(a.e, p.e), lambda p: p[1] * p[2])) AS dp, list_sum(list_transform(list_zip(a.e, q.e), lambda p: p[1] * p[2])) AS dn FROM n a JOIN n p ON p.id = 1 JOIN n q ON q.id = 2) SELECT media_id, id, round(1 / (1 + exp(100 * (dn - dp))), 6) AS y FROM d")
+def _(v):
+    return similarity.text_image_probs(v, v.where("id = 1"), v.where("id = 2"), softmax=True).select("media_id", "id", *_r("y"))
+
+
+@_query("similar_pairs", "vectors", f"SELECT a.id AS a, b.id AS b, round(1 - {_COS}, 6) AS distance FROM vectors a JOIN vectors b ON a.media_id = b.media_id AND a.id < b.id WHERE 1 - {_COS} <= 0.75")
+def _(v):
+    return similarity.similar_pairs(v, 0.75).select("a", "b", *_r("distance"))
+
+
+_CLUSTERS = f"""
+WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.media_id = b.media_id AND a.id <> b.id WHERE 1 - {_COS} <= 0.6),
+c AS (SELECT id, id AS root FROM vectors UNION SELECT e.b, c.root FROM c JOIN e ON c.id = e.a),
+l AS (SELECT id, min(root) AS cluster_id FROM c GROUP BY id)"""
+
+
+def _recursive(needs: str, sql: str) -> str:
+    return "WITH RECURSIVE " + ctes(*needs.split())[5:] + ", " + sql.strip().removeprefix("WITH RECURSIVE ")
+
+
+@_query("cluster_labels", "vectors", None)
+def _(v):
+    return similarity.cluster_labels(v, 0.6).select("id", "cluster_id")
+
+
+QUERIES["cluster_labels"] = (QUERIES["cluster_labels"][0], _recursive("vectors", _CLUSTERS + " SELECT id, cluster_id FROM l"))
+
+
+@_query("top_clusters", "vectors", None)
+def _(v):
+    built = similarity.build_clusters(similarity.cluster_labels(v, 0.6), v, 5)
+    return similarity.top_clusters(built, 3).select("media_id", "cluster_id", "member_id", "member_ref_id", "is_sample", "size", "rank")
+
+
+QUERIES["top_clusters"] = (QUERIES["top_clusters"][0], _recursive("vectors", _CLUSTERS + """
+, m AS (SELECT v.media_id, l.cluster_id, v.id AS member_id, v.ref_id AS member_ref_id, count(*) OVER (PARTITION BY v.media_id, l.cluster_id) AS size, row_number() OVER (PARTITION BY v.media_id, l.cluster_id ORDER BY v.id) - 1 AS p FROM l JOIN vectors v USING (id)),
+k AS (SELECT media_id, cluster_id, size, CAST(row_number() OVER (PARTITION BY media_id ORDER BY size DESC, cluster_id) AS INT) AS rank FROM (SELECT DISTINCT media_id, cluster_id, size FROM m)),
+s AS (SELECT DISTINCT media_id, cluster_id, CAST(round_even(CASE WHEN least(size, 5) > 1 THEN j * (size - 1) / CAST(least(size, 5) - 1 AS DOUBLE) ELSE 0 END, 0) AS BIGINT) AS p FROM k, unnest(range(0, least(size, 5))) AS u(j))
+SELECT m.media_id, m.cluster_id, member_id, member_ref_id, s.p IS NOT NULL AS is_sample, m.size, k.rank FROM m JOIN k USING (media_id, cluster_id) LEFT JOIN s ON s.media_id = m.media_id AND s.cluster_id = m.cluster_id AND s.p = m.p WHERE rank <= 3"""))
+
+
+@_query("place_clusters", "vectors", None)
+def _(v):
+    places = v.select("id", F.lit("1").alias("level"), (F.col("id") % 7).cast("string").alias("class"), F.lit(0.5).alias("prob"))
+    return similarity.place_clusters(v, places, 0.6).select("member_id", "cluster_id", "size", "class")
+
+
+QUERIES["place_clusters"] = (QUERIES["place_clusters"][0], _recursive("vectors", _CLUSTERS + " SELECT id AS member_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size, CAST(id % 7 AS VARCHAR) AS class FROM l"))
+
+
+_PROBS = "p AS (SELECT media_id, id, CAST(i - 1 AS INT) AS class, exp(embedding[i]) / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))) AS prob FROM (SELECT media_id, id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM vectors), unnest(range(1, 65)) AS u(i))"
+
+
+@_query("places_rollup", "vectors", f"""
+WITH {_PROBS}, q AS (SELECT media_id, id, '0' AS level, class, prob FROM p UNION ALL SELECT media_id, id, '1', class % 16, sum(prob) FROM p GROUP BY media_id, id, class % 16 UNION ALL SELECT media_id, id, '2', class % 4, sum(prob) FROM p GROUP BY media_id, id, class % 4)
+SELECT media_id, id, level, class, round(prob, 6) AS prob, row_number() OVER (PARTITION BY media_id, id, level ORDER BY round(prob, 12) DESC, class) = 1 AS is_best FROM q""")
+def _(v):
+    wide = v.select("media_id", "id", F.posexplode(V.softmax_array(F.col("embedding"))).alias("class", "prob"))
+    classes = v.sparkSession.range(64).select(F.col("id").cast("int").alias("class"))
+    hierarchy = classes.select("class", F.lit("1").alias("level"), (F.col("class") % 16).alias("parent"), F.lit(1.0).alias("weight")).unionByName(classes.select("class", F.lit("2").alias("level"), (F.col("class") % 4).alias("parent"), F.lit(1.0).alias("weight")))
+    return similarity.places_rollup(wide, hierarchy).select("media_id", "id", "level", "class", *_r("prob"), "is_best")
+
+
+@_query("softmax_temperature", "vectors", "SELECT media_id, id, CAST(i - 1 AS INT) AS i, round(exp(e[i] / 0.1) / list_sum(list_transform(e, lambda x: exp(x / 0.1))), 6) AS p FROM (SELECT media_id, id, list_transform(embedding[1:2], lambda x: CAST(x AS DOUBLE)) AS e FROM vectors), unnest([1, 2]) AS u(i)")
+def _(v):
+    long = v.select("media_id", "id", F.posexplode(F.slice("embedding", 1, 2)).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    return V.softmax(long, ["media_id", "id"], "x", 0.1).select("media_id", "id", "i", *_r("p"))
+
+
+@_query("l2_normalise", "vectors", f"SELECT id, CAST(i - 1 AS INT) AS i, round(e[i], 6) AS x FROM (SELECT id, {_UNIT} AS e FROM vectors), unnest(range(1, 65)) AS u(i)")
+def _(v):
+    return v.select("id", F.posexplode(V.l2_normalise(F.col("embedding"))).alias("i", "x")).select("id", "i", *_r("x"))
+
+
+_SIZES = ["p_ECU", "p_CU", "p_MS", "p_FS", "p_LS"]
+
+
+@_query("wide_to_long", "vectors", f"SELECT media_id, id, CAST(i - 1 AS INT) AS label_idx, {_SIZES!r}[i] AS label, round(CAST(embedding[i] AS DOUBLE), 6) AS y FROM vectors, unnest(range(1, 6)) AS u(i)")
+def _(v):
+    return V.wide_to_long(v.select("media_id", "id", "embedding"), "embedding", _SIZES).select("media_id", "id", "label_idx", "label", F.round(F.col("y").cast("double"), 6).alias("y"))
+
+
+@_query("stack_rows_mean", "vectors", "SELECT media_id, CAST(i - 1 AS INT) AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM vectors, unnest(range(1, 65)) AS u(i) GROUP BY media_id, i")
+def _(v):
+    return V.stack_rows(v, ["media_id"]).select("media_id", F.posexplode("embedding").alias("i", "x")).select("media_id", "i", *_r("x"))
+
+
+@_query("infer", "vectors", "SELECT id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM vectors")
+def _(v):
+    def load():
+        return lambda f: pd.DataFrame({"total": [round(float(np.asarray(e, np.float64).sum()), 4) for e in f.embedding]})
+
+    return infer(v, load, ["embedding"], "total double", keep=["id"])
+
+
+# -- boxes ----------------------------------------------------------------------------------------------------------
+
+
+@_query("filter_detections", "boxes", "SELECT id, round(det_score, 6) AS det_score FROM boxes WHERE det_score >= 0.5")
+def _(b):
+    return boxes.filter_detections(b).select("id", *_r("det_score"))
+
+
+@_query("decode_boxes", "boxes", """
+WITH s AS (SELECT id, CASE id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS s, x, y, w, h FROM boxes), a AS (SELECT *, (id * 7) % ((320 // s) * (160 // s) * 2) AS i FROM s)
+SELECT id, ((i // 2) % (320 // s)) * s - x / 10 * s AS x1, ((i // 2) // (320 // s)) * s - y / 10 * s AS y1, ((i // 2) % (320 // s)) * s + w / 10 * s AS x2, ((i // 2) // (320 // s)) * s + h / 10 * s AS y2 FROM a""")
+def _(b):
+    s = F.when(F.col("id") % 3 == 0, 8).when(F.col("id") % 3 == 1, 16).otherwise(32)
+    raw = b.withColumns({"width": F.lit(320), "height": F.lit(160), "stride": s})
+    n = F.floor(F.lit(320) / F.col("stride")) * F.floor(F.lit(160) / F.col("stride")) * 2
+    raw = raw.select("id", "width", "height", "stride", ((F.col("id") * 7) % n).alias("anchor_idx"), F.array(*(F.col(c) / 10 for c in "xywh")).alias("distances"))
+    return boxes.decode_boxes(raw).select("id", "x1", "y1", "x2", "y2")
+
+
+@_query("rescale_boxes", "boxes", "SELECT id, round(round_even(greatest(0, (x - 20) / 1.5), 0) / 640, 9) AS x, round(round_even(greatest(0, y / 1.5), 0) / 480, 9) AS y, round(round_even(w / 1.5, 0) / 640, 9) AS w, round(round_even(h / 1.5, 0) / 480, 9) AS h FROM boxes")
+def _(b):
+    sized = b.withColumns({"x": F.col("x") - 20, "scale": F.lit(1.5), "width": F.lit(640.0), "height": F.lit(480.0)})
+    return boxes.rescale_boxes(sized).select("id", *_r("x", "y", "w", "h", n=9))
+
+
+@_query("letterbox_geometry", "sizes", """
+WITH r AS (SELECT *, least(640.0 / h, 640.0 / w) AS r FROM sizes), n AS (SELECT *, CAST(round_even(w * r, 0) AS INT) AS nw, CAST(round_even(h * r, 0) AS INT) AS nh FROM r)
+SELECT media_id, round(r, 6) AS ratio, nw AS new_w, nh AS new_h, (640 - nw) % 32 / 2.0 AS dw, (640 - nh) % 32 / 2.0 AS dh FROM n""")
+def _(s):
+    return boxes.letterbox_geometry(s, 640, 640).select("media_id", *_r("ratio"), "new_w", "new_h", "dw", "dh")
+
+
+@_query("unletterbox", "boxes", "SELECT id, round_even((x - 3) / 0.75, 0) AS x, round_even((y - 2) / 0.75, 0) AS y, round_even((w - 20) / 0.75, 0) AS w, round_even((h - 22) / 0.75, 0) AS h FROM boxes WHERE round_even((w - 20) / 0.75, 0) <> 0 AND round_even((h - 22) / 0.75, 0) <> 0")
+def _(b):
+    return boxes.unletterbox(b.withColumns({"w": F.col("w") - 20, "h": F.col("h") - 22, "ratio": F.lit(0.75), "dw": F.lit(3.0), "dh": F.lit(2.0)})).select("id", "x", "y", "w", "h")
+
+
+@_query("fit_geometry", "sizes", "WITH s AS (SELECT *, least(320.0 / w, 240.0 / h) AS s FROM sizes), f AS (SELECT *, CAST(floor(w * s + 1e-9) AS INT) AS fw, CAST(floor(h * s + 1e-9) AS INT) AS fh FROM s) SELECT media_id, round(s, 6) AS scale, (320 - fw) // 2 >= 0 AS ok FROM f")
+def _(s):
+    return boxes.fit_geometry(s, 320, 240).select("media_id", *_r("scale"), (F.col("off_x") >= 0).alias("ok"))
+
+
+@_query("to_annotations", "series", "SELECT media_id, round(time, 6) AS start_s, round(time + 0.2, 6) AS end_s, label FROM series")
+def _(s):
+    return boxes.to_annotations(s, fps=5).select("media_id", *_r("start_s", "end_s"), F.col("labels")[0].alias("label"))
+
+
+@_query("box_polygon", "boxes", "SELECT id, x, y, w, h FROM boxes")
+def _(b):
+    return b.select("id", boxes.polygon_box(boxes.box_polygon(*(F.col(c) for c in "xywh"))).alias("p")).select("id", "p.*")
+
+
+@_query("crop_geometry", "boxes", "SELECT id, (x + w) / 2 AS cx, (y + h) / 2 AS cy, round(96 / (1.5 * greatest(w, h)), 6) AS crop_scale FROM boxes")
+def _(b):
+    return boxes.crop_geometry(b, compat=True).select("id", "cx", "cy", *_r("crop_scale"))
+
+
+@_query("denormalise_keypoints", "boxes", "SELECT id, round(x / 300 * 640, 6) AS px, round(y / 200 * 480, 6) AS py FROM boxes")
+def _(b):
+    kps = b.select("id", F.array(F.col("x") / 300).alias("x"), F.array(F.col("y") / 200).alias("y"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return boxes.denormalise_keypoints(kps).select("id", F.round(F.col("x")[0], 6).alias("px"), F.round(F.col("y")[0], 6).alias("py"))
+
+
+@_query("face_size_filter", "boxes faces images", """
+WITH f AS (SELECT id AS k FROM boxes WHERE h >= 60)
+SELECT 'boxes' AS part, id FROM boxes WHERE id IN (SELECT k FROM f) UNION ALL SELECT 'faces', id FROM faces WHERE id IN (SELECT k FROM f) UNION ALL SELECT 'images', id FROM images WHERE id * 10 + 1 IN (SELECT k FROM f)""")
+def _(b, f, i):
+    kept = boxes.face_size_filter(b.withColumn("ref_id", F.col("id")), f, i.withColumn("ref_id", F.col("id") * 10 + 1), min_height=60)
+    out = [df.select(F.lit(name).alias("part"), "id") for name, df in kept.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@_query("nms", "boxes", None)
+def _(b):
+    return boxes.nms(boxes.filter_detections(b)).select("media_id", "frame_idx", "id")
+
+
+QUERIES["nms"] = (QUERIES["nms"][0], _recursive("boxes", """
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame_idx ORDER BY det_score DESC, id) AS r FROM boxes WHERE det_score >= 0.5),
+i AS (SELECT media_id, frame_idx, a, b FROM (SELECT a.media_id, a.frame_idx, a.r AS a, b.r AS b, (a.w + 1) * (a.h + 1) AS aa, (b.w + 1) * (b.h + 1) AS ab, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) + 1) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) + 1) AS n
+  FROM o a JOIN o b ON a.media_id = b.media_id AND a.frame_idx = b.frame_idx AND a.r < b.r) WHERE n / (aa + ab - n) > 0.4),
+l AS (SELECT media_id, frame_idx, b, list(a) AS over FROM i GROUP BY ALL),
+g AS (SELECT media_id, frame_idx, 1 AS r, [1::BIGINT] AS kept FROM o WHERE r = 1
+  UNION ALL SELECT g.media_id, g.frame_idx, g.r + 1, CASE WHEN l.over IS NULL OR NOT list_has_any(g.kept, l.over) THEN list_append(g.kept, o.r) ELSE g.kept END FROM g JOIN o ON o.media_id = g.media_id AND o.frame_idx = g.frame_idx AND o.r = g.r + 1 LEFT JOIN l ON l.media_id = o.media_id AND l.frame_idx = o.frame_idx AND l.b = o.r),
+e AS (SELECT media_id, frame_idx, max_by(kept, r) AS kept FROM g GROUP BY ALL)
+SELECT o.media_id, o.frame_idx, o.id FROM o JOIN e ON o.media_id = e.media_id AND o.frame_idx = e.frame_idx AND list_contains(e.kept, o.r)"""))
+
+
+@_query("merge_lines", "boxes", None)
+def _(b):
+    return boxes.merge_lines(b.withColumn("text", F.col("id").cast("string")))
+
+
+# -- frames and audio -----------------------------------------------------------------------------------------------
+
+
+@_query("scaled_size", "sizes", "SELECT media_id, CAST(round_even(w * least(480.0 / greatest(w, h), 1.0), 0) AS INT) AS out_w, CAST(round_even(h * least(480.0 / greatest(w, h), 1.0), 0) AS INT) AS out_h FROM sizes")
+def _(s):
+    return frames.scaled_size(s, 480).select("media_id", "out_w", "out_h")
+
+
+@_query("frame_geometry_crop", "sizes", "SELECT media_id, greatest(0, (w - 224) // 2 - CASE WHEN w < 224 AND (w - 224) % 2 <> 0 THEN 1 ELSE 0 END) AS x0, greatest(0, (h - 224) // 2 - CASE WHEN h < 224 AND (h - 224) % 2 <> 0 THEN 1 ELSE 0 END) AS y0, greatest(0, (h - w) // 2) AS pad_x, greatest(0, (w - h) // 2) AS pad_y FROM sizes")
+def _(s):
+    return frames.frame_geometry(frames.frame_geometry(s, "crop", 224), "pad").select("media_id", "x0", "y0", "pad_x", "pad_y")
+
+
+@_query("brightness", "pixels", """
+WITH y AS (SELECT media_id, frame_idx, avg(greatest(r, g, b)) / 255 AS y FROM pixels GROUP BY ALL), b AS (SELECT media_id, min(y) AS lo, max(y) AS hi FROM y GROUP BY media_id)
+SELECT media_id, round(frame_idx / 5.0, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM y JOIN b USING (media_id)""")
+def _(p):
+    return frames.brightness(p).select("media_id", *_r("time", "y"))
+
+
+@_query("dominant_colors", "pixels", "SELECT media_id, 0 AS rank, round(frame_idx / 5.0, 6) AS time, round(avg(r) / 255, 6) AS r, round(avg(g) / 255, 6) AS g, round(avg(b) / 255, 6) AS b FROM pixels GROUP BY media_id, frame_idx")
+def _(p):
+    return frames.dominant_colors(p).select("media_id", "rank", *_r("time", "r", "g", "b"))
+
+
+@_query("dominant_colors_3", "pixels", None)
+def _(p):
+    return frames.dominant_colors(p, k=3)
+
+
+@_query("audio_rms", "samples", """
+WITH k AS (SELECT s.media_id, s.y, k FROM samples s JOIN (SELECT media_id, count(*) AS n FROM samples GROUP BY media_id) n USING (media_id), unnest(range(greatest(0, CAST(floor((i - 4) / 2.0) AS BIGINT) + 1), least((i + 4) // 2, n // 2) + 1)) AS u(k) WHERE i >= 2 * k - 4 AND i < 2 * k + 4),
+r AS (SELECT media_id, k, sqrt(sum(y * y) / 8) AS y FROM k GROUP BY media_id, k), b AS (SELECT media_id, min(y) AS lo, max(y) AS hi FROM r GROUP BY media_id)
+SELECT media_id, k, round(k * 2 / 10.0, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM r JOIN b USING (media_id)""")
+def _(s):
+    return audio.audio_rms(s, sr=10, hop=2, frame=8).select("media_id", "k", *_r("time", "y"))
+
+
+@_query("audio_amp", "samples", """
+WITH n AS (SELECT media_id, count(*) AS n, least(count(*), 20) AS m FROM samples GROUP BY media_id), g AS (SELECT media_id, n, m, k, k * (n - 1) / CAST(m - 1 AS DOUBLE) AS t FROM n, unnest(range(0, m)) AS u(k)),
+v AS (SELECT g.media_id, g.k * g.n / CAST(g.m AS DOUBLE) / 10 AS time, a.y + (coalesce(b.y, a.y) - a.y) * (g.t - floor(g.t)) AS y FROM g JOIN samples a ON a.media_id = g.media_id AND a.i = floor(g.t) LEFT JOIN samples b ON b.media_id = g.media_id AND b.i = floor(g.t) + 1),
+b AS (SELECT media_id, min(y) AS lo, max(y) AS hi FROM v GROUP BY media_id) SELECT media_id, round(time, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM v JOIN b USING (media_id)""")
+def _(s):
+    return audio.audio_amp(s, sr=10, max_samples=20).select("media_id", *_r("time", "y"))
+
+
+@_query("audio_freq", "samples", None)
+def _(s):
+    return audio.audio_freq(s, sr=10, n_fft=16)
+
+
+# -- ingest ---------------------------------------------------------------------------------------------------------
+
+
+@_query("dump_chunks", "documents", "SELECT doc_id AS id, CAST(i AS INT) AS seq, substr(text, i * 64 + 1, 64) AS data FROM documents, unnest(range(0, CAST(ceil(length(text) / 64.0) AS BIGINT))) AS u(i)")
+def _(d):
+    return ingest.dump_chunks(d.select(F.col("doc_id").alias("id"), F.col("text").alias("data")), size=64)
+
+
+@_query("reassemble", "documents", "SELECT doc_id AS id, text AS data FROM documents WHERE length(text) > 0")
+def _(d):
+    return ingest.reassemble(ingest.dump_chunks(d.select(F.col("doc_id").alias("id"), F.col("text").alias("data")), size=64))
+
+
+@_query("reassemble_lists", "conversations", "SELECT conv_id AS list_id, turn AS i, text AS data FROM conversations WHERE length(text) > 0")
+def _(c):
+    rows = c.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("list_id"), F.col("turn").alias("i"), F.col("text").alias("data"))
+    chunks = ingest.dump_chunks(rows.select("id", "data"), size=32).join(rows.select("id", "list_id", "i"), "id")
+    return ingest.reassemble(chunks, ["list_id", "i"])
+
+
+@_query("content_hash", "documents", "SELECT doc_id, sha1(text) AS sha1 FROM documents")
+def _(d):
+    return ingest.with_sha1(d, "text").select("doc_id", "sha1")
+
+
+@_query("dedup_ingest", "documents", """
+WITH e AS (SELECT sha1(text) AS h, min(doc_id) AS s FROM documents WHERE doc_id % 5 = 0 GROUP BY 1), n AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 5 <> 0), f AS (SELECT h, min(doc_id) AS f FROM n GROUP BY h)
+SELECT n.doc_id AS new_id, coalesce(e.s, f.f) AS canonical_id FROM n JOIN f USING (h) LEFT JOIN e USING (h)""")
+def _(d):
+    rows = ingest.with_sha1(d.select(F.col("doc_id").alias("media_id"), F.col("doc_id").alias("ingest_seq"), "text"), "text")
+    return ingest.dedup_ingest(rows.where("media_id % 5 <> 0"), rows.where("media_id % 5 = 0"))[1]
+
+
+@_query("dedup_ingest_kept", "documents", """
+WITH n AS (SELECT doc_id, sha1(text) AS h FROM documents WHERE doc_id % 5 <> 0) SELECT min(doc_id) AS media_id FROM n WHERE h NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 5 = 0) GROUP BY h""")
+def _(d):
+    rows = ingest.with_sha1(d.select(F.col("doc_id").alias("media_id"), F.col("doc_id").alias("ingest_seq"), "text"), "text")
+    return ingest.dedup_ingest(rows.where("media_id % 5 <> 0"), rows.where("media_id % 5 = 0"))[0].select("media_id")
+
+
+@_query("insert_if_absent", "orders", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'new' END AS side FROM orders")
+def _(o):
+    rows = o.select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    old = rows.where("o_orderstatus = 'F'").select("id", F.lit("old").alias("side"))
+    return ingest.insert_if_absent(rows.select("id", F.lit("new").alias("side")), old)[0]
+
+
+@_query("insert_conflicts", "orders", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'")
+def _(o):
+    rows = o.select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    return ingest.insert_if_absent(rows.select("id"), rows.where("o_orderstatus = 'F'").select("id"), "reject")[1]
+
+
+@_query("sharded_layout", "documents", "SELECT md5(CAST(doc_id AS VARCHAR)) AS id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS shard1, substr(md5(CAST(doc_id AS VARCHAR)), 3, 2) AS shard2 FROM documents")
+def _(d):
+    return ingest.sharded(d.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("id")))
+
+
+@_query("delete_by_id", "orders", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'")
+def _(o):
+    rows = o.select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    return ingest.delete(rows, rows.where("o_orderstatus = 'P'")).select("id")
+
+
+@_query("exists_by_id", "orders", "SELECT o_custkey AS id, o_custkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS found FROM orders")
+def _(o):
+    return ingest.exists(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), o.select(F.col("o_custkey").alias("id")))
+
+
+@_query("export_json", "series", "SELECT media_id, label, count(*) AS n FROM series GROUP BY ALL")
+def _(s):
+    out = ingest.export_json(s.select("media_id", "label", "time", "y"), ["media_id", "label"], "time")
+    return out.select("media_id", "label", F.json_array_length(F.get_json_object("json", "$.data")).cast("bigint").alias("n"))
+
+
+@_query("fill_segments", "segments", "SELECT media_id, turn, coalesce(start_s, 0.0) AS start_s, coalesce(end_s, (max(turn) OVER (PARTITION BY media_id) + 1) * 10.0) AS end_s FROM segments")
+def _(s):
+    media = s.groupBy("media_id").agg(((F.max("turn") + 1) * 10.0).alias("duration"))
+    return ingest.fill_segments(s, media).select("media_id", "turn", "start_s", "end_s")
+
+
+@_query("media_kind", "pages", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.html$') THEN 'other' ELSE 'video' END AS kind FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) WHERE NOT regexp_matches(url, '\\.[^./]+$') OR regexp_matches(url, '\\.html$')")
+def _(p):
+    named = p.select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("filename"))
+    return ingest.with_media_kind(named).where("ext in ('html', 'mp4')").select("page_id", "kind")
+
+
+# -- functions ------------------------------------------------------------------------------------------------------
+
+
+@_query("snake_case", "part", "SELECT p_partkey, lower(regexp_replace(regexp_replace(n, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS name FROM (SELECT p_partkey, 'HTTPServer' || p_type || replace(p_brand, '#', 'No') AS n FROM part)")
+def _(p):
+    return p.select("p_partkey", X.snake_case(F.concat(F.lit("HTTPServer"), "p_type", F.replace(F.col("p_brand"), F.lit("#"), F.lit("No")))).alias("name"))
+
+
+@_query("clean_text", "pages", "SELECT page_id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS text FROM (SELECT page_id, " + "replace(" * 14 + "html" + "".join(f", '{e}', '{c}')" for _ in range(2) for e, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&"))) + " AS t FROM pages)")
+def _(p):
+    return p.select("page_id", X.clean_text(F.col("html")).alias("text"))
+
+
+@_query("prompt_expansion", "part", "SELECT p_partkey, CAST(i - 1 AS INT) AS prompt_idx, replace(['a photo of {}.', 'a clip of the {}.'][i], '{}', p_name) AS prompt FROM part, unnest([1, 2]) AS u(i)")
+def _(p):
+    return X.prompts(p.select("p_partkey", "p_name"), "p_name", ("a photo of {}.", "a clip of the {}.")).select("p_partkey", "prompt_idx", "prompt")
+
+
+@_query("join_words", "part", "SELECT p_partkey, p_brand || ' ' || p_type AS text FROM part")
+def _(p):
+    return p.select("p_partkey", X.join_words(F.array("p_brand", "p_type")).alias("text"))
+
+
+@_query("valid_id", "documents", "SELECT doc_id, regexp_full_match(md5(text) || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END, '[a-f0-9]{32}') AS ok FROM documents")
+def _(d):
+    return d.select("doc_id", X.valid_id(F.concat(F.md5(F.col("text").cast("binary")), F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""))).alias("ok"))
+
+
+@_query("cast_parameter", "part", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS s, CASE WHEN p_partkey % 4 = 1 THEN p_size END AS i, CASE WHEN p_partkey % 4 = 2 THEN p_size / 2.0 END AS f, CASE WHEN p_partkey % 4 = 3 THEN p_partkey % 8 <> 3 END AS b FROM part")
+def _(p):
+    m = F.col("p_partkey") % 4
+    kind = F.when(m == 0, "STRING").when(m == 1, "INT").when(m == 2, "FLOAT").otherwise("BOOL")
+    value = F.when(m == 0, F.col("p_name")).when(m == 1, F.col("p_size").cast("string")).when(m == 2, (F.col("p_size") / 2).cast("string")).otherwise(F.when(F.col("p_partkey") % 8 == 3, "False").otherwise("false"))
+    return p.select("p_partkey", X.cast_parameter(kind, value).alias("c")).select("p_partkey", "c.*")
+
+
+@_query("flatten_columns", "part", 'SELECT p_partkey, p_name AS "a.name", p_size AS "a.b.size" FROM part')
+def _(p):
+    return X.flatten_columns(p.select("p_partkey", F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").alias("size")).alias("b")).alias("a")))
+
+
+@_query("path_lookup", "events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def _(e):
+    return e.select("event_id", X.look_up(F.col("props"), "k").alias("k"))
+
+
+@_query("result_key", "requests", "SELECT count(DISTINCT operator || '|' || input_id) AS keys FROM requests")
+def _(r):
+    return registry.with_result_keys(r.withColumn("version", F.lit("1.0"))).agg(F.count_distinct("result_key").alias("keys"))
+
+
+@_query("fit_context", "conversations", "SELECT conv_id, turn, len(string_split(text, ' ')) > 20 AS cut FROM conversations WHERE text IS NOT NULL")
+def _(c):
+    words = F.split("text", " ", -1)
+    tokens = F.transform(words, lambda w: F.length(w))
+    fitted = X.fit_context(tokens, 20, -1)
+    return c.where("text is not null").select("conv_id", "turn", ((F.size(tokens) > F.size(fitted)) & (F.element_at(fitted, -1) == F.element_at(tokens, -1))).alias("cut"))
+
+
+@_query("run_incremental", "requests", "WITH d AS (SELECT DISTINCT operator, input_id FROM requests WHERE st = 'F') SELECT DISTINCT operator, input_id FROM requests EXCEPT SELECT operator, input_id FROM d")
+def _(r):
+    keyed = registry.with_result_keys(r.withColumns({"version": F.lit("1.0"), "request_id": F.concat_ws("|", "operator", "input_id")}))
+    todo, _done = registry.run_incremental(keyed, keyed.where("st = 'F'").select("result_key"))
+    return todo.select("operator", "input_id").distinct()
+
+
+@registry.operator("min_max_norm", {"series": "series"}, {"series": "series"}, {"eps": 0.01})
+def _min_max_norm(series, eps):  # noqa: A002
+    from ..operators.series import min_max_norm
+
+    return min_max_norm(series, eps)
+
+
+@registry.operator("scalar_threshold", {"series": "series"}, {"series": "series"}, {"min": None, "max": None})
+def _scalar_threshold(series, min, max):  # noqa: A002
+    from ..operators.series import scalar_threshold
+
+    return scalar_threshold(series, min, max)
+
+
+@registry.operator("shot_scalar_annotator", {"shots": "shots", "series": "series"}, {"annotations": "annotations"})
+def _shot_scalar_annotator(shots, series):  # noqa: A002
+    from ..operators.shots import shot_scalar_annotator
+
+    return shot_scalar_annotator(shots, series)
+
+
+@_query("pipeline_of_steps", "shots series", """
+WITH b AS (SELECT media_id, label, min(y) AS lo, max(y) AS hi FROM series GROUP BY ALL), n AS (SELECT s.media_id, s.time, greatest(0.1, CASE WHEN hi - lo >= 0.01 THEN (y - lo) / (hi - lo) ELSE y END) AS y FROM series s JOIN b USING (media_id, label))
+SELECT s.media_id, shot_idx, round(avg(y), 6) AS mean FROM shots s JOIN n p ON s.media_id = p.media_id AND p.time >= start_s AND p.time <= end_s GROUP BY s.media_id, shot_idx""")
+def _(s, p):
+    chain = registry.Pipeline([
+        registry.Step("min_max_norm", {"series": "raw"}, {"series": "norm"}),
+        registry.Step("scalar_threshold", {"series": "norm"}, {"series": "clamped"}, {"min": 0.1}),
+        registry.Step("shot_scalar_annotator", {"shots": "shots", "series": "clamped"}, {"annotations": "out"}),
+    ])
+    return chain.run({"raw": p, "shots": s})["out"].select("media_id", "shot_idx", *_r("mean"))
