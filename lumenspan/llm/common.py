@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts of one step inside a task, in characters (a longer text is a step of its own).
+#: Texts of one step inside a task, in bytes (a longer text is a step of its own).
 STEP_CHARS = 4_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,14 +70,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that the texts of each have at most STEP_CHARS bytes, or are one row."""
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the texts of each have at most so many bytes, or are one row."""
     for b in batches:
         n = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
         total, start = np.cumsum(n), 0
         while start < len(n):
             base = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, base + STEP_CHARS, "right")))
+            stop = max(start + 1, int(np.searchsorted(total, base + most, "right")))
             yield b.slice(start, stop - start)
             start = stop
 
