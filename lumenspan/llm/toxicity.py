@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, column, hash_unit, held_out, mix, steps, table
+from .common import Words, column, hash_unit, held_out, materialise, mix, steps, table
 
 #: Labelled rows of each class that are learned from, at most (in expectation; taken by a hash of the id).
 SAMPLE_PER_CLASS = 6_000
@@ -90,37 +90,36 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, train: F.Column, pe
 class Model:
     """Sorted hashes with a log-ratio for each, looked up by binary search."""
 
-    def __init__(self, counts: np.ndarray):
-        """counts: rows (h, w, k0, k1) of distinct left contexts by class."""
-        h, w = counts["h"].view(np.uint64), counts["w"].view(np.uint64)
-        k = np.stack([counts["k0"], counts["k1"]]).astype(float)
-        self.words, wi = np.unique(w, return_inverse=True)
-        distinct = np.stack([np.bincount(wi, k[c] > 0, minlength=len(self.words)) for c in (0, 1)])
-        pooled = (distinct > 0).sum(0)
-        base = (pooled + 1) / (pooled.sum() + len(pooled) + 1)
-        uni, unseen = [], []
-        for c in (0, 1):
-            total = max(1.0, distinct[c].sum())
-            left = DISCOUNT * max(1.0, (distinct[c] > 0).sum()) / total
-            uni.append(np.maximum(distinct[c] - DISCOUNT, 0) / total + left * base)
-            unseen.append(left)
-        self.unseen = float(np.log(unseen[1] / unseen[0]))
-        self.uni = np.log(uni[1] / uni[0]).astype(np.float32)
-        self.contexts, hi = np.unique(h, return_inverse=True)
-        back, pairs = [], []
-        for c in (0, 1):
-            total = np.bincount(hi, k[c], minlength=len(self.contexts))
-            types = np.bincount(hi, k[c] > 0, minlength=len(self.contexts))
-            b = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
-            back.append(b)
-            pairs.append(np.maximum(k[c] - DISCOUNT, 0) / np.maximum(total, 1)[hi] + b[hi] * uni[c][wi])
-        self.back = np.log(back[1] / back[0]).astype(np.float32)
-        kept = k.max(0) >= PAIR_CONTEXTS  # rarer pairs say no more than their words
-        keys = _pair(h[kept], w[kept])
-        order = np.argsort(keys)
-        self.pairs, self.pair = keys[order], np.log(pairs[1] / pairs[0])[kept][order].astype(np.float32)
+    def __init__(self, sums: dict[str, float], words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
+        """sums: over all words, d0 and d1 (distinct left contexts by class), t0 and t1 (words of the class) and v;
+        words: w, d0, d1; contexts: h, k0, k1 (contexts of its pairs), n0, n1 (its pairs);
+        pairs: h, w, p0, p1 and the columns of their words and contexts."""
+        self.sums = sums
+        self.unseen = float(np.log(self._left(1) / self._left(0)))
+        key = words["w"].view(np.uint64)
+        order = np.argsort(key)
+        self.words, self.uni = key[order], np.log(self._word(words, 1) / self._word(words, 0)).astype(np.float32)[order]
+        key = contexts["h"].view(np.uint64)
+        order = np.argsort(key)
+        self.contexts, self.back = key[order], np.log(self._back(contexts, 1) / self._back(contexts, 0)).astype(np.float32)[order]
+        key = _pair(pairs["h"].view(np.uint64), pairs["w"].view(np.uint64))
+        order = np.argsort(key)
+        p = [np.maximum(pairs[f"p{c}"] - DISCOUNT, 0) / np.maximum(pairs[f"k{c}"], 1) + self._back(pairs, c) * self._word(pairs, c) for c in (0, 1)]
+        self.pairs, self.pair = key[order], np.log(p[1] / p[0]).astype(np.float32)[order]
         self.weights = np.zeros(3)
 
+    def _left(self, c: int) -> float:
+        """What the discounts of a class leave for the shared level."""
+        return DISCOUNT * max(1.0, self.sums[f"t{c}"]) / max(1.0, self.sums[f"d{c}"])
+
+    def _word(self, x: dict[str, np.ndarray], c: int) -> np.ndarray:
+        shared = ((x["d0"] > 0).astype(float) + (x["d1"] > 0) + 1) / (self.sums["t0"] + self.sums["t1"] + self.sums["v"] + 1)
+        return np.maximum(x[f"d{c}"] - DISCOUNT, 0) / max(1.0, self.sums[f"d{c}"]) + self._left(c) * shared
+
+    @staticmethod
+    def _back(x: dict[str, np.ndarray], c: int) -> np.ndarray:
+        return np.where(x[f"k{c}"] > 0, DISCOUNT * x[f"n{c}"] / np.maximum(x[f"k{c}"], 1), 1.0)
+
     @staticmethod
     def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
@@ -184,14 +183,17 @@ def fit(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int
     """The model of the labelled rows for which `train` holds (a condition on doc_id), a bounded sample of each class."""
     rows = labelled_sample(documents, labels, train, per_class)
     grams = rows.where(~F.col("calibration")).select("text", "toxic").mapInArrow(_trigrams, "cls int, h long, w long, u long").distinct()
-    counts = grams.groupBy("h", "w").agg(F.sum(1 - F.col("cls")).cast("int").alias("k0"), F.sum("cls").cast("int").alias("k1"))
-    got = counts.toArrow()
-    if not got.num_rows:
-        return None
-    data = np.rec.fromarrays([got[c].to_numpy() for c in ("h", "w", "k0", "k1")], names="h,w,k0,k1")
-    if not data["k0"].any() or not data["k1"].any():
+    counts = materialise(grams.groupBy("h", "w").agg(F.sum(1 - F.col("cls")).cast("int").alias("p0"), F.sum("cls").cast("int").alias("p1")), "toxicity-pairs")
+    some = lambda c: F.sum((F.col(c) > 0).cast("int")).cast("int")
+    words = counts.groupBy("w").agg(some("p0").alias("d0"), some("p1").alias("d1"))
+    contexts = counts.groupBy("h").agg(F.sum("p0").cast("int").alias("k0"), F.sum("p1").cast("int").alias("k1"), some("p0").alias("n0"), some("p1").alias("n1"))
+    sums = words.agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), some("d0").alias("t0"), some("d1").alias("t1"), F.count("*").alias("v")).first().asDict()
+    if not sums["d0"] or not sums["d1"]:
         return None
-    model = Model(data)
+    # what was met in one context only says no more than an unknown word, and is not sent
+    often = counts.where(F.greatest("p0", "p1") >= PAIR_CONTEXTS).join(words, "w").join(contexts, "h")
+    arrays = lambda df: {c: v.to_numpy() for c, v in zip(df.columns, df.toArrow().columns, strict=True)}
+    model = Model(sums, arrays(words.where("d0 + d1 > 1")), arrays(contexts.where("k0 + k1 > 1")), arrays(often))
     shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def measure(batches):
