@@ -21,9 +21,10 @@ there are CELLS at most, have to be sent to the tasks.
 
 Defined results: null texts and texts without words are alike to nothing (their
 own classes); texts of one to four words have one shingle, all of their words;
-rows with the same words, in any case and spacing, are copies; of repeated ids
-all rows get one class; class_id is the smallest doc_id of the class; a null
-doc_id is its own class with a null class_id. An empty table gives no rows.
+rows with the same words, in any case and spacing, are copies; rows of one id
+with different texts are documents of their own; class_id is the smallest doc_id
+of the class; a row without doc_id is its own class, with a null class_id, and
+always stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, binary_lists, column, distinct_by_doc, materialise, mix, shared_dir, shingles, steps, table
+from ..operators.graph import components
+from .common import Words, binary_lists, column, distinct_by_doc, materialise, mix, shingles, steps, table
 
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
@@ -230,30 +232,21 @@ def links(items: DataFrame, bands: DataFrame, idf: np.ndarray, threshold: float
     return found.unionByName(large)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component, by rounds of hooking and pointer jumping."""
-    spark = edges.sparkSession
-    shared_dir(spark)
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    label = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    label = label.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-    while True:
-        ends = edges.join(label.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").where("lu <> lv").select(F.greatest("lu", "lv").alias("node"), F.least("lu", "lv").alias("to"))
-        hooks = ends.groupBy("node").agg(F.min("to").alias("to")).checkpoint()
-        if hooks.isEmpty():
-            return label
-        # a root hooks to a smaller root; chains of hooks are shortened until each points to its end
-        while True:
-            jump = hooks.alias("x").join(hooks.alias("y"), F.col("x.to") == F.col("y.node"), "left").select(F.col("x.node"), F.coalesce("y.to", "x.to").alias("to"), F.col("y.to").isNotNull().alias("moved")).checkpoint()
-            hooks = jump.select("node", "to")
-            if jump.where("moved").isEmpty():
-                break
-        label = label.join(hooks.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")).checkpoint()
+def _row_key() -> list[F.Column]:
+    """What tells the rows of one doc_id apart: 128 bits of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, copies): a row for each row of documents; copies: rows with the same words."""
-    documents = documents.select("doc_id", "text")
+_ROW = ["doc_id", "t1", "t2"]
+
+
+def members(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, t1, t2, class_id, copies, rows, stays) for each different row with an id and words.
+
+    t1 and t2: hashes of the text; rows: how many rows are equal; stays: whether it is its class's first.
+    """
+    documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text", *_row_key())
     idf = Idf(documents).idf
     shared = documents.sparkSession.sparkContext.broadcast(idf)
 
@@ -269,32 +262,50 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             place = np.arange(len(h), dtype=np.uint64) - np.repeat(words.offsets[:-1], np.diff(words.offsets)).astype(np.uint64)
             starts = words.offsets[:-1][full]
             same = mix(np.add.reduceat(mix(h + mix(place)), starts)), mix(np.add.reduceat(mix(h ^ mix(place + np.uint64(1 << 40))), starts))
-            keys = signer.bands_of(ids, tf, offsets)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(pa.array(full)), *(pa.array(x.view(np.int64)) for x in same), pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(keys).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))], ["doc_id", "same1", "same2", "bands"])
-
-    signed = materialise(documents.where("doc_id is not null").mapInArrow(sign, "doc_id long, same1 long, same2 long, bands array<long>"), "neardup-signed")
-    reps = materialise(signed.groupBy("same1", "same2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "neardup-reps")
+            keys = np.ascontiguousarray(signer.bands_of(ids, tf, offsets)).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            rows = [column(b, c).take(pa.array(full)) for c in _ROW]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x.view(np.int64)) for x in same), bands], [*_ROW, "rep", "same", "bands"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    signed = materialise(documents.mapInArrow(sign, f"doc_id {id_type}, t1 long, t2 long, rep long, same long, bands array<long>"), "neardup-signed")
+    reps = materialise(signed.groupBy("rep", "same").agg(F.min(F.struct(*_ROW)).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "neardup-reps")
     bands = materialise(reps.select("rep", F.explode("bands").alias("key")), "neardup-bands")
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = bands.join(crowded, "key").select("rep").distinct()
+    near = reps.join(bands.join(crowded, "key").select("rep").distinct(), "rep").select("rep", "first.*")
 
     def pack(batches):
         for b in steps(batches):
             ids, offsets = _features(*distinct_by_doc(*shingles(Words(column(b, "text")))))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), binary_lists(ids, offsets)], ["rep", "ids"])
+            yield pa.RecordBatch.from_arrays([column(b, "rep"), binary_lists(ids, offsets)], ["rep", "ids"])
 
-    # repeated ids may have several texts: the one that was signed first by its words stands for the id
-    items = materialise(documents.join(near.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(pack, "rep long, ids binary").groupBy("rep").agg(F.max("ids").alias("ids")), "neardup-items")
+    # equal rows give equal items
+    items = materialise(documents.join(near, _ROW).select("rep", "text").mapInArrow(pack, "rep long, ids binary").groupBy("rep").agg(F.max("ids").alias("ids")), "neardup-items")
     label = components(links(items, bands, idf, threshold))
-    rep_class = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("same1", "same2", F.coalesce("label", "rep").alias("class_id"), "copies")
-    known = signed.select("doc_id", "same1", "same2").join(rep_class, ["same1", "same2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"))
-    return documents.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    rows = signed.groupBy(*_ROW).agg(F.count("*").alias("rows"), F.first("rep").alias("rep"), F.first("same").alias("same"))
+    # rows of a class that has links meet under its label; the others under their own text
+    labelled = reps.select("rep", "same", "first", "copies").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    heads = labelled.where("label is not null").groupBy("label").agg(F.min("first").alias("head"))
+    whole = labelled.join(heads, "label", "left").select("rep", "same", F.coalesce("head", "first").alias("head"), "copies")
+    return rows.join(whole, ["rep", "same"]).select(*_ROW, F.col("head.doc_id").alias("class_id"), "copies", "rows", (F.struct(*_ROW) == F.col("head")).alias("stays"))
+
+
+def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, copies): a row for each row of documents; copies: rows with the same words."""
+    found = members(documents, threshold).select(*_ROW, "class_id", "copies")
+    rows = documents.select("doc_id", *_row_key(), F.col("text").isNotNull().alias("_text"))
+    return rows.join(found, _ROW, "left").select("doc_id", F.coalesce(F.when(F.col("_text"), F.col("class_id")), "doc_id").alias("class_id"), F.coalesce(F.when(F.col("_text"), F.col("copies")), F.lit(1)).alias("copies"))
 
 
 def keep_first(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the smallest id stays (of repeated ids all rows)."""
-    gone = classes(documents, threshold).where("class_id <> doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """The documents without near-duplicates: of each class the first row by id (and hash of the text) stays, once."""
+    names = documents.columns
+    found = materialise(members(documents, threshold).where("not stays or rows > 1").select(*_ROW, "stays", "rows"), "neardup-gone")
+    # the rows are carried as one value, so that no column of theirs clashes
+    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_whole"), "doc_id", *_row_key(), F.col("text").isNotNull().alias("_text"))
+    clear = keyed.join(found.select(*_ROW, F.lit(True).alias("_text")), [*_ROW, "_text"], "left_anti").select("_whole.*")
+    once = keyed.where("_text").join(found.where("stays"), _ROW).dropDuplicates(_ROW).select("_whole.*")
+    return clear.unionByName(once)
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
