@@ -134,7 +134,7 @@ def _count(batches):
             total[lang] += np.bincount(key, used[word], minlength=BUCKETS)
     for lang, n in total.items():
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], ["lang", "bucket", "n"])
 
 
 def fit(documents: DataFrame, train: F.Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
@@ -147,7 +147,9 @@ def fit(documents: DataFrame, train: F.Column, per_language: int = SAMPLE_PER_LA
     for lang, count in n.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / count))).otherwise(share)
     counted = rows.where(hash_unit(F.col("doc_id"), 21) < share).select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(n)
+    languages = sorted(set(counted.lang))  # those of texts that hold a word
+    if not languages:
+        return None
     counts = np.zeros((len(languages), BUCKETS))
     counts[[languages.index(x) for x in counted.lang], counted.bucket] = counted.n
     return Model(languages, counts)

@@ -35,7 +35,7 @@ def labelled_urls() -> pd.DataFrame:
     rows = [(h.format(w), p.format(w), y) for words, y in ((bad, 1), (good, 0)) for w, (h, p) in itertools.product(words, shapes)]
     syllables = "th ing er on and re tion en an ha or ble st ly in ti".split()
     plain = [(f"{sub}{a}{b}.example.{tld}", f"/{lang}/{1000 + 37 * i}", 0) for i, ((a, b), (sub, tld, lang)) in enumerate(zip(itertools.product(syllables, syllables), itertools.cycle(itertools.product(("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "fr", "de", "es"))), strict=False))]
-    return pd.DataFrame([*rows, *plain], columns=["host", "path", "block"])
+    return pd.DataFrame([*rows, *plain, ("", "", 0)], columns=["host", "path", "block"])
 
 
 def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
