@@ -25,17 +25,25 @@ from .common import column, table
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4, 5)
+#: The share of unwanted urls that is expected, whatever their share of the labelled table.
+UNWANTED = 0.2
 
 
 def labelled_urls() -> pd.DataFrame:
-    """The small labelled table (host, path, block): common words of unwanted and of ordinary sites, in a few shapes."""
-    bad = "casino bets poker slots spam viagra pills porn xxx escort loan lottery jackpot warez crack torrent phish malware adult replica click-farm free-money".split()
-    good = "news blog wiki docs library school garden music recipes travel science history weather museum city health sports forum books maps photo review".split()
-    shapes = (("www.{}-online.example.net", "/en/{}"), ("{}.example.com", "/fr/page.html"), ("free-{}.example.net", "/de/{}"), ("{}-farm.example.org", "/es/index"), ("m.{}.example.net", "/{}/top"), ("shop.example.com", "/{}/item"))
-    rows = [(h.format(w), p.format(w), y) for words, y in ((bad, 1), (good, 0)) for w, (h, p) in itertools.product(words, shapes)]
-    syllables = "th ing er on and re tion en an ha or ble st ly in ti".split()
-    plain = [(f"{sub}{a}{b}.example.{tld}", f"/{lang}/{1000 + 37 * i}", 0) for i, ((a, b), (sub, tld, lang)) in enumerate(zip(itertools.product(syllables, syllables), itertools.cycle(itertools.product(("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "fr", "de", "es"))), strict=False))]
-    return pd.DataFrame([*rows, *plain, ("", "", 0)], columns=["host", "path", "block"])
+    """The small labelled table (host, path, block): words of unwanted and of ordinary sites, and plain names, in the same shapes."""
+    bad = "casino bets poker slots spam viagra pills porn xxx escort loan lottery jackpot warez crack torrent phish malware adult replica".split()
+    good = "news wiki docs library school garden music recipes travel science history weather museum city health sports forum books maps review".split()
+    syllables = "th ing er on and re tion en an ha or ble st ly in ti ou wh nd ed".split()
+    plain = [a + b for a, b in itertools.product(syllables, syllables)][::4]
+    affixes = ("{}", "{}-online", "best-{}", "{}-farm", "{}-club", "my{}", "free-{}", "cheap-{}", "{}-win", "{}24")
+    places = itertools.cycle(itertools.product(("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "fr", "de", "es")))
+    ends = itertools.cycle(("", "/", ".html"))
+    rows = []
+    for words, shapes, y in ((bad, affixes, 1), (good, affixes, 0), (plain, ("{}", "{}"), 0)):
+        for (w, shape), (sub, tld, lang), end in zip(itertools.product(words, shapes), places, ends, strict=False):
+            rows.append((f"{sub}{shape.format(w)}.example.{tld}", f"/{lang}/{1000 + 37 * len(rows)}{end}", y))
+    pages = [("shop.example.com", f"/{w}/item", y) for words, y in ((bad, 1), (good, 0)) for w in words]
+    return pd.DataFrame([*rows, *pages, ("", "", 0)], columns=["host", "path", "block"])
 
 
 def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ class Model:
         y = labelled.block.to_numpy(float)
         n = np.bincount(rows, minlength=len(y)).astype(float)
         value = 1 / np.sqrt(n[rows])
-        share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        share = np.where(y == 1, UNWANTED / max(1, y.sum()), (1 - UNWANTED) / max(1, (1 - y).sum()))
         self.w, self.b = np.zeros(BUCKETS), 0.0
         speed, speed_b = np.full(BUCKETS, 1e-8), 1e-8
         for _ in range(epochs):  # full-batch AdaGrad: the table is small
