@@ -27,6 +27,8 @@ BUCKETS = 1 << 14
 GRAMS = (2, 3, 4, 5)
 #: The share of unwanted urls that is expected, whatever their share of the labelled table.
 UNWANTED = 0.2
+#: A url is blocked from this probability.
+THRESHOLD = 0.65
 
 
 def labelled_urls() -> pd.DataFrame:
@@ -115,7 +117,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if out is not None else F.lit(None).cast("string")
 
 
-def judge(pages: DataFrame, rules=RULES, labelled: pd.DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, labelled: pd.DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block (the model's probability)."""
     model = Model(labelled_urls() if labelled is None else labelled)
     shared = pages.sparkSession.sparkContext.broadcast(model)
