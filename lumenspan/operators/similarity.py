@@ -88,7 +88,7 @@ def similar_pairs(emb: DataFrame, t: float, metric: str = "cosine", block: int =
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": dist[keep]})
 
     kind = dict(emb.dtypes)["id"]
-    return meet.groupBy("media_id", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}, distance double").distinct()
+    return meet.groupBy("media_id", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
 
 
 def cluster_labels(emb: DataFrame, t: float = 0.5, metric: str = "cosine") -> DataFrame:

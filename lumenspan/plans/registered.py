@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..operators import audio, boxes, frames, series, shots, similarity, timejoin, windows
 from ..operators.infer import infer
 from ..sources import ingest
-from . import registry
+from . import catalogue, registry  # noqa: F401  the catalogue registers the operators
 from .views import ctes, view
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -701,27 +701,6 @@ def _(r):
     return todo.select("operator", "input_id").distinct()
 
 
-@registry.operator("min_max_norm", {"series": "series"}, {"series": "series"}, {"eps": 0.01})
-def _min_max_norm(series, eps):  # noqa: A002
-    from ..operators.series import min_max_norm
-
-    return min_max_norm(series, eps)
-
-
-@registry.operator("scalar_threshold", {"series": "series"}, {"series": "series"}, {"min": None, "max": None})
-def _scalar_threshold(series, min, max):  # noqa: A002
-    from ..operators.series import scalar_threshold
-
-    return scalar_threshold(series, min, max)
-
-
-@registry.operator("shot_scalar_annotator", {"shots": "shots", "series": "series"}, {"annotations": "annotations"})
-def _shot_scalar_annotator(shots, series):  # noqa: A002
-    from ..operators.shots import shot_scalar_annotator
-
-    return shot_scalar_annotator(shots, series)
-
-
 @_query("pipeline_of_steps", "shots series", """
 WITH b AS (SELECT media_id, label, min(y) AS lo, max(y) AS hi FROM series GROUP BY ALL), n AS (SELECT s.media_id, s.time, greatest(0.1, CASE WHEN hi - lo >= 0.01 THEN (y - lo) / (hi - lo) ELSE y END) AS y FROM series s JOIN b USING (media_id, label))
 SELECT s.media_id, shot_idx, round(avg(y), 6) AS mean FROM shots s JOIN n p ON s.media_id = p.media_id AND p.time >= start_s AND p.time <= end_s GROUP BY s.media_id, shot_idx""")

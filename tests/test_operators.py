@@ -256,7 +256,17 @@ def test_registry(spark):
     import lumenspan.plans.registered  # noqa: F401
 
     df = spark.createDataFrame([("a", "x", 0.0, 1.0), ("a", "x", 1.0, 3.0)], S)
-    assert "min_max_norm" in [o.name for o in registry.list_operators()]
+    names = [o.name for o in registry.list_operators()]
+    assert names == sorted(names) and len(names) >= 35 and "min_max_norm" in names
+    emb = spark.createDataFrame([("a", i, i, [1.0, float(i % 2)]) for i in range(4)], "media_id string, id long, ref_id long, embedding array<double>")
+    assert registry.run("clustering", {"embeddings": emb}, {"t": 0.1})["clusters"].select("cluster_id").distinct().count() == 2
+    faces = spark.createDataFrame([("f",)], "id string")
+    b = spark.createDataFrame([("a", 1, "f", 0.0, 0.0, 0.2, 0.2)], "media_id string, id int, ref_id string, x double, y double, w double, h double")
+    assert set(registry.run("face_size_filter", {"boxes": b, "faces": faces.withColumns({"media_id": F.lit("a"), "ref_id": F.lit("i")})})) == {"boxes", "faces"}
+    words = spark.createDataFrame([("a", 0, 1, "x", 0.0, 0.0, 5.0, 5.0, 0.9)], "media_id string, frame_idx int, id int, text string, x double, y double, w double, h double, det_score double")
+    assert registry.run("ocr_video_detector_onnx", {"words": words})["lines"].first().text == "x"
+    with pytest.raises(KeyError):
+        registry.run("nothing", {})
     assert values(registry.run("min_max_norm", {"series": df}, {"eps": 5})["series"], "y") == [(1.0,), (3.0,)]
     assert values(registry.run("min_max_norm", {"series": df})["series"], "y") == [(0.0,), (1.0,)]  # parameters don't leak
     with pytest.raises(SchemaMismatch):
