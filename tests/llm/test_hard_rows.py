@@ -97,7 +97,8 @@ def test_token_shards(spark, hard, empty, tmp_path):
     repair.write(hard, str(tmp_path / "t"), shard=20_000)
     got = [tuple(r) for r in repair.read(spark, str(tmp_path / "t")).orderBy("start").collect()]
     start, want = 0, []
-    for doc, text, *_ in sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    order = {r.text: r.h for r in hard.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()}
+    for doc, text, *_ in sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0, order[r[1] or ""])):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((doc, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
