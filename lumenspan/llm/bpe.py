@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Pool, column, steps, table, tokenizer_path
+from .common import Pool, column, release, steps, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 16_384, 256
-CACHE = 400_000
+CACHE = 200_000
 #: Rows of one step of decoding.
 ROWS = 500
 
@@ -206,6 +206,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ids = column(b, "ids")
                 at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(flat[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*names, "decoded"])
+        release()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

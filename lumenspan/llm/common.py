@@ -7,6 +7,7 @@ hashed once, and shingles are rolled over the codes of the whole batch.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one step inside a task, in bytes (a longer text is a step of its own).
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,6 +81,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             stop = max(start + 1, int(np.searchsorted(total, base + most, "right")))
             yield b.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on for tasks that need other amounts."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def column(b: pa.RecordBatch, name: str) -> pa.Array:
