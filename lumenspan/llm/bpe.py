@@ -30,6 +30,8 @@ from .common import Pool, column, release, steps, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 16_384, 256
+#: A boundary is sure if so many characters of its chunk follow.
+LOOK = 4
 CACHE = 200_000
 #: Rows of one step of decoding.
 ROWS = 500
@@ -58,7 +60,8 @@ def stitch(chunks: list[tuple[int, int, np.ndarray]], text: str, pattern=None) -
     done = [out]
     for start, next_end, right in chunks[1:]:
         left = done[-1]
-        sure = left[:-1] if len(left) and left[-1] == end and end < len(text) else left  # the last match touched the end
+        # near a cut the pattern may lack what it looks for next (a contraction, more white space)
+        sure = left[left <= end - LOOK] if end < len(text) else left
         both = np.intersect1d(sure, right, assume_unique=True)
         if len(both):
             p = both[0]
