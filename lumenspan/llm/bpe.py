@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Pool, column, release, steps, table, tokenizer_path
+from .common import Pool, bounded_batches, column, release, steps, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 16_384, 256
@@ -145,6 +145,7 @@ def _added(df: DataFrame) -> T.StructType:
 
 def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """All columns of documents, with ids. Texts of one chunk are encoded where they lie; the chunks of longer ones are dealt out."""
+    bounded_batches(documents.sparkSession)
     path = tokenizer_path(VOCABULARY, vocabulary)
     kept = documents.drop("ids")
     names = kept.columns
@@ -197,6 +198,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHU
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """All columns of encoded, with `decoded`: the bytes of its ids."""
+    bounded_batches(encoded.sparkSession)
     path = tokenizer_path(VOCABULARY, vocabulary)
     kept = encoded.drop("decoded")
     names = kept.columns

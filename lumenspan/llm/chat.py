@@ -24,6 +24,7 @@ A conversation is one example and is held by one task, whatever its length.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialise, table, tokenizer_path
+from .common import bounded_batches, column, materialise, release, table, tokenizer_path
 
 CONTROL = re.compile(r"\\|</?s>|\[/?(?:SYS|INST|ROLE)")
 MARKS = {"system": ("[SYS]\n", "\n[/SYS]\n"), "user": ("[INST]\n", "\n[/INST]\n"), "assistant": ("<s>\n", "\n</s>\n")}
@@ -89,19 +90,21 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.nda
 
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """conv_id, formatted, ids, starts, ends, mask: text, token ids, their spans (code points) and the loss mask."""
+    bounded_batches(conversations.sparkSession)
     path = tokenizer_path(VOCABULARY, vocabulary)
     own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.monotonically_increasing_id())).otherwise(0)
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.select("conv_id", own.alias("own"), turn.alias("t")).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", "turns")
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         for b in batches:
-            for first in range(0, b.num_rows, 64):
-                part = b.slice(first, 64)
+            for first in range(0, b.num_rows, 16):
+                part = b.slice(first, 16)
                 rendered = [render([(t["role"], t["text"]) for t in turns]) for turns in column(part, "turns").to_pylist()]
                 encoded = tok.encode_batch([r[0] for r in rendered], add_special_tokens=False)
                 ids, starts, ends, masks = [], [], [], []
@@ -113,6 +116,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
                     masks.append(loss_mask(at[:, 0], at[:, 1], np.array(spans, np.int64).reshape(-1, 2)))
                 ints = [pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, ends)]
                 yield pa.RecordBatch.from_arrays([column(part, "conv_id"), pa.array([r[0] for r in rendered], pa.string()), *ints, pa.array(masks, pa.list_(pa.bool_()))], ["conv_id", "formatted", "ids", "starts", "ends", "mask"])
+        release()
 
     return whole.mapInArrow(run, FORMATTED)
 
@@ -145,6 +149,7 @@ def digests(output: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([column(b, "conv_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["conv_id", *names])
+        release()
 
     return output.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -165,6 +170,6 @@ e AS (SELECT *, length(regexp_replace(text, '(\\|</?s>|\[/?(SYS|INST|ROLE))', '\
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       CAST(sum(n + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 17 WHEN 'assistant' THEN 10 ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
+       CAST(sum(n + CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
 FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id
 """

@@ -21,10 +21,23 @@ from pyspark.sql import functions as F
 
 #: Texts of one step inside a task, in bytes (a longer text is a step of its own).
 STEP_CHARS = 2_000_000
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 16 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most in this session, so that a task holds as much of long rows as of short ones.
+
+    A bound that the session has stays.
+    """
+    key, unset = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 2)
+    if spark.conf.get(key, unset) == unset:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +58,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends, and a lost executor costs nothing."""
+    bounded_batches(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, distinct_by_doc, mix, shingles, steps, table
+from .common import Words, bounded_batches, column, distinct_by_doc, mix, shingles, steps, table
 
 CONTAINMENT = 0.8
 HASHES = 32
@@ -99,6 +99,7 @@ class Index:
 def matches(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, containment) of the pairs whose containment is at least `least`."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     blocks = max(1, math.ceil(benchmark.count() / items))
     out = None

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, column, hash_unit, held_out, steps, table
+from .common import Words, bounded_batches, column, hash_unit, held_out, steps, table
 
 #: Texts of each language that are learned from, at most (in expectation; taken by a hash of the id).
 SAMPLE_PER_LANGUAGE = 2_000
@@ -139,6 +139,7 @@ def _count(batches):
 
 def fit(documents: DataFrame, train: F.Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """The model of texts and their lang where `train` holds (a condition on doc_id), a bounded sample of each language."""
+    bounded_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train)
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
@@ -160,6 +161,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     kept = documents.drop("lang_pred", "score")
     if model is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = kept.columns
 

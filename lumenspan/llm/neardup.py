@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Words, binary_lists, column, distinct_by_doc, materialise, mix, shingles, steps, table
+from .common import Words, binary_lists, bounded_batches, column, distinct_by_doc, materialise, mix, shingles, steps, table
 
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
@@ -247,6 +247,7 @@ def members(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     t1 and t2: hashes of the text; rows: how many rows are equal; stays: whether it is its class's first.
     """
     documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text", *_row_key())
+    bounded_batches(documents.sparkSession)
     idf = Idf(documents).idf
     shared = documents.sparkSession.sparkContext.broadcast(idf)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, column, hash_unit, held_out, materialise, mix, steps, table
+from .common import Words, bounded_batches, column, hash_unit, held_out, materialise, mix, steps, table
 
 #: Labelled rows of each class that are learned from, at most (in expectation; taken by a hash of the id).
 SAMPLE_PER_CLASS = 6_000
@@ -181,6 +181,7 @@ class Model:
 
 def fit(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
     """The model of the labelled rows for which `train` holds (a condition on doc_id), a bounded sample of each class."""
+    bounded_batches(documents.sparkSession)
     rows = labelled_sample(documents, labels, train, per_class)
     grams = rows.where(~F.col("calibration")).select("text", "toxic").mapInArrow(_trigrams, "cls int, h long, w long, u long").distinct()
     counts = materialise(grams.groupBy("h", "w").agg(F.sum(1 - F.col("cls")).cast("int").alias("p0"), F.sum("cls").cast("int").alias("p1")), "toxicity-pairs")
@@ -216,6 +217,7 @@ def score(documents: DataFrame, model: Model | None, threshold: float = 0.3) ->
     kept = documents.drop("score", "predicted")
     if model is None:
         return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = kept.columns
 
