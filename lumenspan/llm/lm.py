@@ -5,16 +5,21 @@ Counts of all training tokens (words and one end a text) give the model:
     p(w)     = (c(w) - D) / N,  D V / N for all unknown words together
     p(w | h) = (c(h w) - D) / c(h) + back(h) p(w)    for kept pairs h w, else back(h) p(w)
 
-Contexts h are words with at least CONTEXT of all tokens (and the text's begin);
-pairs are kept from PAIR of them. In the automaton each context is a state, kept
+All words seen twice are contexts h, and so is a text's begin; all pairs seen
+twice are kept, whatever the size of the input (KNOWN, CONTEXT and PAIR, shares
+of all tokens, can raise that). In the automaton each context is a state, kept
 pairs are its arcs, and its failure arc, of weight back(h), leads to the root; a
-word leads to its own state, or to the root if it has none. One pass from left
-to right carries the state and adds up logarithms; it runs over the words of a
-whole batch of texts at once, since a word alone decides the next state.
+word leads to its own state, or to the root if it has none. So a text's logarithm
+is a sum over its words, of log p(w) + log back(w), and over its pairs, of what an
+arc gains over failing:
 
-Common words (at least KNOWN of all tokens, so 1 / KNOWN of them at most) are sent
-to the tasks with the automaton. The other words of each text are joined with
-the table of all counts: their weights are added to the text's sum by text.
+    log p(w | h) - log back(h) - log p(w)    for kept pairs, else 0
+
+Both are rows of one Spark table (by a 64-bit hash of the word or the pair), which
+grows with the input. The most frequent words and arcs (WORDS and ARCS of them)
+are sent to the tasks as a cache; the other words and pairs of each text are joined
+with the table and added to the text's sum by text. A filter of FILTER_BITS tells
+most pairs that have no arc before the join; it never hides one that has.
 
 As for base_score, all unknown words are one event. Defined results: null texts
 are empty, that is an end alone; repeated rows are counted and returned one by
@@ -23,131 +28,172 @@ one; with nothing to learn from, N is 0 and all scores are 0 (no model).
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, column, held_out, materialise, steps, table
+from .common import Words, bounded_batches, column, held_out, materialise, mix, steps, table
 
 DISCOUNT = 0.6
-KNOWN, CONTEXT, PAIR = 2e-6, 1 / 3_000, 2e-6
+#: Least shares of all tokens of a word in pairs, of a context, and of a pair; each also occurs twice at least.
+KNOWN, CONTEXT, PAIR = 0.0, 0.0, 0.0
+#: Words and arcs that are sent to the tasks, at most; the others are joined.
+WORDS, ARCS = 400_000, 500_000
+FILTER_BITS = 27
 _END = "\n"  # no word holds white space
+_END_HASH, _BEGIN_HASH = pd.util.hash_array(np.array([_END, "\n\n"], object), categorize=False)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(h * _ODD + w)
 
 
 def _count_words(batches):
     for b in steps(batches):
         words = Words(column(b, "text"), ascii_only=True)
         n = np.bincount(words.codes, minlength=len(words.distinct)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.distinct.cast(pa.string()), pa.array([_END])]), pa.array(np.append(n, b.num_rows))], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([_signed(np.append(words.hashes(), _END_HASH)), pa.array(np.append(n, b.num_rows))], ["w", "n"])
+
+
+class Tokens:
+    """The words of some texts with each text's end: hashes, the hash before each, and where texts begin."""
+
+    def __init__(self, b: pa.RecordBatch):
+        self.words = words = Words(column(b, "text"), ascii_only=True)
+        self.distinct = np.append(words.hashes(), _END_HASH)
+        n = np.diff(words.offsets)
+        self.starts = words.offsets[:-1] + np.arange(len(n))
+        self.size = n + 1
+        self.codes = np.full(len(words.codes) + len(n), len(self.distinct) - 1, np.int64)
+        self.codes[np.arange(len(words.codes)) + words.docs] = words.codes
+        self.w = self.distinct[self.codes]
+        self.h = np.empty_like(self.w)
+        self.h[1:] = self.w[:-1]
+        self.h[self.starts] = _BEGIN_HASH
+
+
+class Filter:
+    """One bit for each 64-bit key of a table, in 2^FILTER_BITS cells."""
+
+    def __init__(self, keys: DataFrame):
+        """keys: (key), of which a bounded table of bits comes to the driver."""
+        self.mask = np.uint64((1 << FILTER_BITS) - 1)
+        cell = F.col("key").bitwiseAND(F.lit(int(self.mask)))
+        bits = keys.select(F.shiftright(cell, 5).alias("at"), F.expr("shiftleft(1L, cast(key & 31 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+        self.bits[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        cell = keys & self.mask
+        return (self.bits[cell >> np.uint64(5)] >> (cell & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
 class Automaton:
-    """Weights of common words, states and arcs. ids: rank of a common word; the end is one of them."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, total: int, vocabulary: int):
-        self.words, self.c = words, counts.astype(float)
-        self.total, self.vocabulary = total, vocabulary
-        self.root = self.weight(self.c)
-        context = np.flatnonzero(self.c >= max(2.0, CONTEXT * total))
-        # a text's begin is a context, its end is none
-        end = words.index(_END)
-        context = context[context != end]
-        self.state = np.full(len(words) + 2, 0, np.int32)  # by word id; len(words): any other word; len(words) + 1: begin
-        self.state[context] = np.arange(1, len(context) + 1)
-        self.state[len(words) + 1] = len(context) + 1
-        self.states = len(context) + 2
-        self.seen = np.concatenate([[0], self.c[context], [self.c[end]]])
-        self.arc_keys = np.empty(0, np.int64)
-        self.arcs = np.empty(0)
-        self.back = np.zeros(self.states)
-
-    def weight(self, c: np.ndarray) -> np.ndarray:
-        """log10 p of words by their counts; those of count 0 are one event."""
-        return np.log10(np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9), DISCOUNT * self.vocabulary) / max(1, self.total))
-
-    def learn(self, state: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
-        """state, word and count of each pair that occurs often enough."""
-        p = np.maximum(n - DISCOUNT, 0) / self.seen[state]
-        back = np.clip(1 - np.bincount(state, p, minlength=self.states), 1e-6, 1)
-        self.back = np.log10(back)
-        self.back[0] = 0
-        keys = state.astype(np.int64) * len(self.words) + word
-        order = np.argsort(keys)
-        self.arc_keys = keys[order]
-        self.arcs = np.log10(p + back[state] * 10 ** self.root[word])[order]
-
-    def lookup(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
-    def walk(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state before each token and the weight of its step; ids: len(words) for words that are joined
-        later, which pay the failure arc here; first: which tokens begin a text."""
-        other = len(self.words)
-        before = np.empty(len(ids), np.int64)
-        before[1:] = self.state[ids[:-1]]
-        before[first] = self.state[other + 1]
-        step = self.back[before] + np.append(self.root, 0.0)[np.minimum(ids, other)]
-        if len(self.arc_keys):
-            maybe = np.flatnonzero((ids < other) & (before > 0))
-            key = before[maybe] * other + ids[maybe]
-            at = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
-            hit = self.arc_keys[at] == key
-            step[maybe[hit]] = self.arcs[at[hit]]
-        return before, step
-
-
-def _tokens(b: pa.RecordBatch, known: dict[str, int], end: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, ids with each text's end, which tokens begin a text, and where texts begin."""
-    words = Words(column(b, "text"), ascii_only=True)
-    rank = np.fromiter((known.get(w, len(known)) for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
-    n = np.diff(words.offsets)
-    starts = words.offsets[:-1] + np.arange(len(n))
-    ids = np.full(len(words.codes) + len(n), end, np.int64)
-    ids[np.arange(len(words.codes)) + words.docs] = rank[words.codes]
-    return words, ids, starts, rank
-
-
-def train(documents: DataFrame, learn: F.Column) -> tuple[Automaton | None, DataFrame, int, int]:
-    """The automaton, the table of all counts (word, c), N and V, of the documents for which `learn` holds."""
+    """The cache: weights of the most frequent words and arcs, the begin's failure arc, and the filter of all arcs."""
+
+    def __init__(self, words: dict[str, np.ndarray], arcs: dict[str, np.ndarray], begin: float, some: Filter):
+        order = np.argsort(words["key"].view(np.uint64))
+        self.words, self.c, self.step = words["key"].view(np.uint64)[order], words["c"][order].astype(float), words["step"][order]
+        order = np.argsort(arcs["key"].view(np.uint64))
+        self.arcs, self.gain = arcs["key"].view(np.uint64)[order], arcs["step"][order]
+        self.begin, self.filter = begin, some
+
+    @staticmethod
+    def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return at, keys[at] == x
+
+
+def _freed(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver's references to them do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _least(counts: DataFrame, n: str, most: int) -> int:
+    """The smallest count so that at most `most` rows have it or more."""
+    hist = counts.groupBy(n).count().toPandas().sort_values(n, ascending=False)
+    fit = hist[hist["count"].cumsum() <= most]
+    return int(fit[n].min()) if len(fit) else int(hist[n].max() + 1) if len(hist) else 1
+
+
+def train(documents: DataFrame, learn: F.Column) -> tuple[Automaton | None, DataFrame | None, int, int]:
+    """The cache, the table of all other weights (key, c of words, step), N and V, of the documents for which `learn` holds."""
     spark = documents.sparkSession
     bounded_batches(spark)
     texts = documents.where(learn).select("text")
-    counts = materialise(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = materialise(texts.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
+    end, begin = int(_END_HASH.view(np.int64)), int(_BEGIN_HASH.view(np.int64))
+    total, vocabulary, n_texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.max(F.when(F.col("w") == end, F.col("c")))).first()
     if not total:
-        return None, counts, 0, 0
-    common = counts.where((F.col("c") >= KNOWN * total) | (F.col("word") == _END)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    model = Automaton(common.word.tolist(), common.c.to_numpy(), total, vocabulary)
-    shared = spark.sparkContext.broadcast(model)
+        return None, None, 0, 0
+    # a pair that occurs twice has words that do
+    often = spark.sparkContext.broadcast(Filter(counts.where("c > 1").select(F.col("w").alias("key"))))
 
     def pairs(batches):
-        m = shared.value
-        known = m.lookup()
-        end = known[_END]
-        width = len(m.words)
-        kept_keys, kept_n = np.empty(0, np.int64), np.empty(0, np.int64)
+        some = often.value
+        held: list[np.ndarray] = []
+
+        def summed():
+            x = np.concatenate(held)
+            order = np.argsort(_pair(x[0::2], x[1::2]))
+            h, w = x[0::2][order], x[1::2][order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+            return pa.RecordBatch.from_arrays([_signed(h[new]), _signed(w[new]), pa.array(np.diff(np.append(new, len(h))))], ["h", "w", "n"])
+
+        size = 0
         for b in steps(batches):
-            _, ids, starts, _ = _tokens(b, known, end)
-            before = np.empty(len(ids), np.int64)
-            before[1:] = m.state[ids[:-1]]
-            before[starts] = m.state[width + 1]
-            use = (before > 0) & (ids < width)
-            keys, n = np.unique(before[use] * width + ids[use], return_counts=True)
-            kept_keys, place = np.unique(np.concatenate([kept_keys, keys]), return_inverse=True)
-            kept_n = np.bincount(place, np.concatenate([kept_n, n]), minlength=len(kept_keys)).astype(np.int64)
-            if len(kept_keys) > 2_000_000:  # hand over what has been summed
-                yield pa.RecordBatch.from_arrays([pa.array(kept_keys), pa.array(kept_n)], ["key", "n"])
-                kept_keys, kept_n = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kept_keys), pa.array(kept_n)], ["key", "n"])
-
-    often = texts.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, PAIR * total)).toArrow()
-    key, n = often["key"].to_numpy(), often["n"].to_numpy()
-    model.learn(key // len(model.words), key % len(model.words), n.astype(float))
-    return model, counts, total, vocabulary
-
-
-def score(documents: DataFrame, model: Automaton | None, counts: DataFrame, total: int, vocabulary: int) -> DataFrame:
+            t = Tokens(b)
+            can = some.may_have(t.distinct)
+            ok = can[t.codes]
+            ok[1:] &= can[t.codes[:-1]] | (t.h[1:] == _BEGIN_HASH)
+            held.append(np.stack([t.h[ok], t.w[ok]], 1).ravel())
+            size += len(held[-1]) // 2
+            if size > 4_000_000:  # hand over what has been summed
+                yield summed()
+                held, size = [], 0
+        if size:
+            yield summed()
+
+    kept = materialise(texts.mapInArrow(pairs, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, PAIR * total)), "lm-pairs")
+    _freed(spark)
+    known = (F.col("c") >= KNOWN * total) | (F.col("w") == end)
+    context = (F.col("w") != end) & (F.col("c") >= max(2.0, CONTEXT * total, KNOWN * total))
+    states = counts.where(context).select(F.col("w").alias("h"), F.col("c").alias("seen")).unionByName(spark.range(1).select(F.lit(begin).alias("h"), F.lit(n_texts).cast("long").alias("seen")))
+    arcs = kept.join(counts.where(known), "w").select("h", "w", "n", "c")
+    mass = arcs.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    states = materialise(states.join(mass, "h", "left").withColumn("back", F.least(F.lit(1.0), F.greatest(F.lit(1e-6), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("seen")))).select("h", "seen", "back"), "lm-states")
+    p = (F.col("c") - DISCOUNT) / float(total)
+    gain = F.log10((F.col("n") - DISCOUNT) / F.col("seen") + F.col("back") * p) - F.log10("back") - F.log10(p)
+
+    def keyed(batches):
+        for b in batches:
+            h, w = (column(b, x).to_numpy().view(np.uint64) for x in ("h", "w"))
+            yield pa.RecordBatch.from_arrays([_signed(_pair(h, w)), column(b, "n"), column(b, "step")], ["key", "n", "step"])
+
+    arcs = materialise(arcs.join(states, "h").select("h", "w", "n", gain.alias("step")).mapInArrow(keyed, "key long, n long, step double"), "lm-arcs")
+    words = materialise(counts.join(states.withColumnRenamed("h", "w"), "w", "left").select(F.col("w").alias("key"), "c", (F.log10(p) + F.log10(F.coalesce("back", F.lit(1.0)))).alias("step")), "lm-words")
+    _freed(spark)
+    common, frequent = F.col("c") >= _least(words, "c", WORDS), F.col("n") >= _least(arcs, "n", ARCS)
+    arrays = lambda df: {c: v.to_numpy() for c, v in zip(df.columns, df.toArrow().columns, strict=True)}
+    start = float(np.log10(states.where(F.col("h") == begin).first()["back"]))
+    model = Automaton(arrays(words.where(common | (F.col("key") == end))), arrays(arcs.where(frequent).select("key", "step")), start, Filter(arcs.select("key")))
+    rest = words.where(~common & (F.col("key") != end)).unionByName(arcs.where(~frequent).select("key", F.lit(None).cast("long").alias("c"), "step"))
+    return model, rest, total, vocabulary
+
+
+def score(documents: DataFrame, model: Automaton | None, rest: DataFrame | None, total: int, vocabulary: int) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of documents."""
     rows = documents.select("doc_id", "text")
     if model is None:
@@ -157,41 +203,49 @@ def score(documents: DataFrame, model: Automaton | None, counts: DataFrame, tota
 
     def walk(batches):
         m = shared.value
-        known = m.lookup()
-        end, other = known[_END], len(m.words)
-        base = np.log10(np.append(m.c, 0) + 1)
-        for b in steps(batches):
-            words, ids, starts, rank = _tokens(b, known, end)
-            _, step = m.walk(ids, starts)
-            docs = b.num_rows
-            sums = [np.add.reduceat(x, starts) for x in (step, base[ids], (ids < other).astype(float))]
-            size = np.diff(np.append(starts, len(ids)))
+        for turn, b in enumerate(steps(batches)):
+            t = Tokens(b)
+            docs, other = b.num_rows, len(t.distinct)
+            at, found = m.find(m.words, t.distinct)
+            sums = [np.add.reduceat(np.where(found, x[at], 0.0)[t.codes], t.starts) for x in (m.step, np.log10(m.c + 1), np.ones(len(m.c)))]
+            doc_of = np.repeat(np.arange(docs), t.size)
             # the rest of the words, once for each text
-            rare = np.flatnonzero(rank[words.codes] == other)
-            key, n = np.unique(words.docs[rare] * len(words.distinct) + words.codes[rare], return_counts=True)
-            doc, code = (key // len(words.distinct), key % len(words.distinct)) if len(key) else (key, key)
-            ids_of, text_of = column(b, "doc_id"), column(b, "h")
-            # a text's own row has a word that no table holds
-            own = pa.array([f"\n{i}\n{h}" for i, h in zip(ids_of.to_pylist(), text_of.to_pylist(), strict=True)], pa.string())
-            at = np.concatenate([np.arange(docs), doc])
-            many = np.concatenate([size, n])
-            none = np.zeros(len(n))
-            cols = [ids_of.take(pa.array(at)), text_of.take(pa.array(at)), pa.concat_arrays([own, words.distinct.cast(pa.string()).take(pa.array(code))]), pa.array(many), *(pa.array(np.concatenate([s, none])) for s in sums)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([np.ones(docs, bool), np.zeros(len(n), bool)]))], ["doc_id", "h", "word", "n", "step", "base", "known", "own"])
+            rare = np.flatnonzero(~found[t.codes])
+            key, n = np.unique(doc_of[rare] * other + t.codes[rare], return_counts=True)
+            doc, word = key // other, t.distinct[key % other]
+            # arcs of the cache, and pairs that may have another
+            pair = _pair(t.h, t.w)
+            maybe = np.flatnonzero(m.filter.may_have(pair))
+            at, hit = m.find(m.arcs, pair[maybe])
+            sums[0] += m.begin + np.bincount(doc_of[maybe[hit]], m.gain[at[hit]] if hit.any() else None, minlength=docs)
+            maybe = maybe[~hit]
+            p_doc, pair = doc_of[maybe], pair[maybe]
+            order = np.lexsort((pair, p_doc))
+            p_doc, pair = p_doc[order], pair[order]
+            new = np.flatnonzero(np.concatenate([[True], (p_doc[1:] != p_doc[:-1]) | (pair[1:] != pair[:-1])])) if len(pair) else np.empty(0, np.int64)
+            many = np.diff(np.append(new, len(pair)))
+            # a text's own row is joined by a number that spreads such rows
+            ids, text = column(b, "doc_id"), column(b, "h")
+            own = mix(text.to_numpy().view(np.uint64) + np.arange(docs).astype(np.uint64) * _ODD + np.uint64(turn))
+            place = pa.array(np.concatenate([np.arange(docs), doc, p_doc[new]]))
+            kind = np.repeat(np.array([0, 1, 2], np.int8), [docs, len(doc), len(new)])
+            none = np.zeros(len(doc) + len(new))
+            cols = [ids.take(place), text.take(place), _signed(np.concatenate([own, word, pair[new]])), pa.array(kind), pa.array(np.concatenate([t.size, n, many]))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.concatenate([s, none])) for s in sums)], ["doc_id", "h", "key", "kind", "n", "step", "base", "known"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     hashed = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = hashed.mapInArrow(walk, f"doc_id {id_type}, h long, word string, n long, step double, base double, known double, own boolean").join(counts, "word", "left")
+    found = hashed.mapInArrow(walk, f"doc_id {id_type}, h long, key long, kind byte, n long, step double, base double, known double").join(rest.withColumnRenamed("step", "more"), "key", "left")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
     unseen = float(np.log10(DISCOUNT * vocabulary / total))
-    rare_step = F.when(c > 0, F.log10((c - DISCOUNT) / float(total))).otherwise(unseen) * F.col("n")
-    own = F.col("own")
+    own, word = F.col("kind") == 0, F.col("kind") == 1
+    more = F.coalesce("more", F.when(word, F.lit(unseen)).otherwise(0.0)) * F.col("n")
     summed = found.groupBy("doc_id", "h").agg(
         F.sum(own.cast("int")).alias("rows"),
         F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(own, F.col("known")).when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.log10(c + 1) * F.col("n"))).alias("base"),
-        F.sum(F.when(own, F.col("step")).otherwise(rare_step)).alias("step"),
+        F.sum(F.when(own, F.col("known")).when(word & (c > 0), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(own, F.col("base")).when(word, F.log10(c + 1) * F.col("n")).otherwise(0.0)).alias("base"),
+        F.sum(F.when(own, F.col("step")).otherwise(more)).alias("step"),
     )
     # equal rows were summed together
     each = summed.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))

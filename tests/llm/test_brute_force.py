@@ -176,6 +176,28 @@ def test_lm_against_a_dictionary(spark, monkeypatch):
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
 
 
+def test_lm_keeps_pairs_that_occur_twice_whatever_the_size(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 15)  # so that most words and arcs are joined
+    monkeypatch.setattr(lm, "ARCS", 15)
+    rng = np.random.default_rng(6)
+    phrase = "seldom met words"  # twice in 900,000 tokens: below every share that was asked of words, contexts and pairs
+    texts = [" ".join(made(rng, 3_000)) for _ in range(300)] + [phrase, phrase, phrase, "met seldom words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learn = ~F.col("doc_id").isin(302, 303)
+    got = {r.doc_id: r.score for r in lm.score(df, *lm.train(df, learn)).where("doc_id >= 300").collect()}
+    n, v, seen, d = 900_000 + 2 * 3 + 302, 20 + 3 + 1, 302, lm.DISCOUNT
+    one = (2 - d) / 2
+    first = collections.Counter(t.split()[0] for t in texts[:302])
+    back = {"^": 1 - sum(k - d for k in first.values() if k > 1) / seen, "seldom": 1 - one, "met": 1 - one, "words": 1 - one}
+    p = {"seldom": (2 - d) / n, "met": (2 - d) / n, "words": (2 - d) / n, "\n": (302 - d) / n}
+    path = ["^", "seldom", "met", "words", "\n"]
+    want = sum(math.log10(((2 - d) / (seen if h == "^" else 2)) + back[h] * p[w]) for h, w in zip(path, path[1:], strict=False))
+    assert abs(got[300] - want) < 1e-6 and got[302] == pytest.approx(want, abs=1e-6)
+    other = ["^", "met", "seldom", "words", "\n"]
+    want = sum(math.log10((one if (h, w) == ("words", "\n") else 0) + back[h] * p[w]) for h, w in zip(other, other[1:], strict=False))
+    assert abs(got[303] - want) < 1e-6
+
+
 # -- contamination --------------------------------------------------------------------------------------------------
 
 
