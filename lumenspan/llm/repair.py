@@ -1,8 +1,9 @@
 """Token ids in binary shards, compressed by Re-Pair grammars.
 
 Documents are dealt by ranges of doc_id, sorted, encoded with the tokenizers
-library and cut into shards of about SHARD ids. In each shard frequent pairs of
-neighbouring ids are replaced by nonterminals again and again; pairs never reach
+library and cut into shards of about SHARD ids. In each shard pairs of
+neighbouring ids are replaced by nonterminals, the frequent ones first, until no
+pair occurs LEAST times; pairs never reach
 across documents, so a document (or a part of one) is decoded by itself: walk its
 symbols with their expansion lengths, expand what is needed.
 
@@ -40,7 +41,8 @@ VOCABULARY = "byte_bpe_50k.json"
 FIRST_RULE = 50_257
 SHARD = 1_000_000
 END = 0
-ROUNDS, RULES_A_ROUND, LEAST = 3, 4_000, 12
+#: Pairs are replaced until none occurs LEAST times; the first round makes about RULES_A_ROUND rules, each later one up to twice as many.
+RULES_A_ROUND, LEAST = 4_000, 2
 CELL_BITS = 19
 #: Bytes of text that are encoded at a time.
 STEP = 8_000_000
@@ -151,52 +153,82 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: symbols, starts of the documents in them, rules (pairs) and expansion lengths.
 
-    A round counts pairs in hashed cells and replaces one pair of each of the fullest cells, at least
-    `least` times; where such pairs overlap in a run, every other one is replaced, from the left.
+    Rounds (of any number, unless `rounds` is given) go on until no pair occurs `least` times. A round replaces
+    the most frequent pairs, more of them each time; where occurrences overlap, that of the more frequent pair is
+    replaced, and in a run of one symbol every other pair from the left. Only places whose pair may still be
+    replaced are looked at: an old pair's count never grows, so one below `least` is left for good, and new
+    pairs begin at or before a replaced one.
     """
-    seq = ids.astype(np.int32)
-    begins = np.zeros(len(seq), bool)
+    n = len(ids)
+    seq = ids.astype(np.int64)
+    begins = np.zeros(n + 1, bool)
     begins[starts] = True
+    begins[n] = True
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    alive = np.ones(n, bool)
+    active = np.flatnonzero(~begins[1:])
     rules, lengths = np.empty((0, 2), np.int64), np.empty(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    most, turn = RULES_A_ROUND, 0
+    while len(active) and (rounds is None or turn < rounds):
+        turn += 1
+        # cells that few places share hold no pair of `least`; the other pairs are counted exactly
+        cell = ((seq[active].astype(np.uint32) * np.uint32(0x9E3779B1) + seq[after[active]].astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).view(np.int32)
+        active = active[np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= least]
+        a, b = seq[active], seq[after[active]]
+        same = a == b
+        place = np.arange(len(active))
+        new = np.concatenate([[True], ~(same[1:] & same[:-1] & (after[active[:-1]] == active[1:]))])[: len(active)]
+        odd = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 1 if len(active) else same
+        pairs, pair = np.unique(a << 32 | b, return_inverse=True)
+        count = np.bincount(pair[~odd], minlength=len(pairs))
+        live = count[pair] >= least
+        if not live.any():
             break
-        u = seq.view(np.uint32)
-        cell = ((u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).view(np.int32)
-        cell[begins[1:]] = 0  # not across documents; cell 0 is left out
-        n = np.bincount(cell, minlength=1 << CELL_BITS)
-        n[0] = 0
-        full = n >= max(least, int(np.partition(n, -RULES_A_ROUND)[-RULES_A_ROUND]))
-        at = np.flatnonzero(full[cell])
-        cell = cell[at]
-        key = (seq[at].astype(np.int64) << 24) | seq[at + 1]
-        one = np.zeros(1 << CELL_BITS, np.int64)
-        one[cell] = key
-        hit = one[cell] == key
-        at, cell = at[hit], cell[hit]
-        new = np.concatenate([[True], np.diff(at) > 1])
-        place = np.arange(len(at))
-        take = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0
-        at, cell = at[take], cell[take]
-        used = np.bincount(cell, minlength=1 << CELL_BITS) >= least
+        active, pair, odd = active[live], pair[live], odd[live]
+        bar = max(least, int(np.partition(count, -most)[-most])) if len(count) > most else least
+        most *= 2
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.lexsort((-count, pairs >> 32 != pairs & 0xFFFFFFFF))] = np.arange(len(pairs))
+        use = ~odd & (count[pair] >= bar)
+        at, pair = active[use], pair[use]
+        # of overlapping places the first by rank is taken, and its neighbours are lost
+        order = np.concatenate([[len(pairs)], rank[pair], [len(pairs)]])
+        joined = np.concatenate([[False], after[at[:-1]] == at[1:], [False]])
+        taken = np.zeros(len(at), bool)
+        open_ = np.arange(len(at))
+        while len(open_):
+            mine = order[open_ + 1]
+            win = open_[((mine < order[open_]) | ~joined[open_]) & ((mine < order[open_ + 2]) | ~joined[open_ + 1])]
+            taken[win] = True
+            order[win + 1] = len(pairs)
+            order[win[joined[win]]] = len(pairs)
+            order[win[joined[win + 1]] + 2] = len(pairs)
+            open_ = open_[order[open_ + 1] < len(pairs)]
+        at, pair = at[taken], pair[taken]
+        used = np.bincount(pair, minlength=len(pairs)) >= least
         chosen = np.flatnonzero(used)
-        if not len(chosen):
-            break
-        take = used[cell]
-        at, cell = at[take], cell[take]
-        number = np.zeros(1 << CELL_BITS, np.int32)
+        at, pair = at[used[pair]], pair[used[pair]]
+        number = np.zeros(len(pairs), np.int64)
         number[chosen] = np.arange(len(chosen))
-        pair = np.stack([one[chosen] >> 24, one[chosen] & 0xFFFFFF], 1)
-        both = np.where(pair < FIRST_RULE, 1, lengths[np.maximum(pair - FIRST_RULE, 0)] if len(lengths) else 1)
-        seq[at] = FIRST_RULE + len(rules) + number[cell]
-        rules, lengths = np.concatenate([rules, pair]), np.concatenate([lengths, both.sum(1)])
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False  # never the first symbol of a document
-        seq, begins = seq[keep], begins[keep]
-    return seq, np.concatenate([np.flatnonzero(begins), [len(seq)]]), rules, lengths
+        both = np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], 1)
+        size = np.where(both < FIRST_RULE, 1, lengths[np.maximum(both - FIRST_RULE, 0)] if len(lengths) else 1)
+        seq[at] = FIRST_RULE + len(rules) + number[pair]
+        rules, lengths = np.concatenate([rules, both]), np.concatenate([lengths, size.sum(1)])
+        second = after[at]  # never the first symbol of a document
+        alive[second] = False
+        after[at] = after[second]
+        before[after[at]] = at
+        look = np.zeros(n, bool)
+        look[active] = True
+        look[at] = True
+        look[before[at[~begins[at]]]] = True
+        look &= alive
+        active = np.flatnonzero(look)
+        active = active[~begins[after[active]]]
+    return seq[alive].astype(np.int32), np.concatenate([np.flatnonzero(begins[:n][alive]), [int(alive.sum())]]), rules, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:

@@ -286,6 +286,25 @@ def test_grammars(docs, rounds):
     assert len(symbols) <= len(flat)
 
 
+def test_grammars_go_on_until_no_pair_is_repeated():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(1, 50_000, 50)
+    docs = [np.concatenate([rng.integers(1, 300, 200), passage, rng.integers(1, 300, 200), [0]]) for _ in range(6)]
+    docs += [np.full(1_001, 7), np.concatenate([passage, [0]]), np.concatenate([passage, [0]])]
+    n = np.array([len(d) for d in docs])
+    flat = np.concatenate(docs)
+    symbols, starts, rules, lengths = repair.compress(flat, np.cumsum(n) - n)
+    assert repair.expand(symbols, rules).tolist() == flat.tolist()
+    seen = collections.Counter()
+    for first, last in zip(starts, starts[1:], strict=False):
+        own, k = symbols[first:last].tolist(), 0
+        while k + 1 < len(own):
+            seen[own[k], own[k + 1]] += 1
+            k += 2 if own[k : k + 3] == own[k : k + 1] * 3 else 1  # a run of three holds its pair once
+    assert max(seen.values(), default=0) < repair.LEAST
+    assert starts[-1] - starts[-2] == 1 and lengths.max() > 50 and len(symbols) < 0.8 * len(flat)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list(" \n\t\u00a0ab'.1é漢")), max_size=25), max_size=6))
 def test_parts_are_encoded_as_whole_texts(texts):
