@@ -15,8 +15,8 @@ up to 2^24 are exact in float32; beyond that float64 is used.
 Defined results: vectors that are null, empty, of null id, or hold null or
 non-finite components take no part; vectors of other lengths aren't compared;
 a row is its query's own if ids are equal, and repeated rows count one by one;
-ties go to the smaller vec_id; of rows with one
-id that is asked for, one asks (the first by block order).
+ties go to the smaller vec_id; rows with one id
+that is asked for all ask, and the best of all their scores are ranked together.
 """
 
 from __future__ import annotations
@@ -110,6 +110,11 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     return best
 
 
+def dealt(vectors: DataFrame, name: str, cells: int) -> DataFrame:
+    """Rows with their cell, by id, vector and a number of the row, so that rows of one id are spread."""
+    return vectors.withColumn(name, F.pmod(F.xxhash64("vec_id", "e", F.monotonically_increasing_id()), F.lit(cells)).cast("int"))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score; queries and vectors: (vec_id, e) with integer components.
 
@@ -119,16 +124,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     blocks = max(1, math.ceil(vectors.count() / BLOCK))
     q_blocks = max(1, math.ceil(queries.count() / QUERIES))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = vectors.withColumns({"dim": F.size("e"), "b": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")}).withColumn("a", numbers(q_blocks))
-    asked = queries.withColumns({"dim": F.size("e"), "a": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int")}).withColumn("b", numbers(blocks))
+    held = dealt(vectors, "b", blocks).withColumn("dim", F.size("e")).withColumn("a", numbers(q_blocks))
+    asked = dealt(queries, "a", q_blocks).withColumn("dim", F.size("e")).withColumn("b", numbers(blocks))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        left = left.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
         ids = left.vec_id.to_numpy()
         best = search(ids, np.stack(left.e.to_numpy()), right.vec_id.to_numpy(), np.stack(right.e.to_numpy()), k)
-        return pd.DataFrame({"query_id": ids[best.q.to_numpy()], "vec_id": best.vec_id, "score": best.score})
+        found = pd.DataFrame({"query_id": ids[best.q.to_numpy()], "vec_id": best.vec_id, "score": best.score})
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return found[found.groupby("query_id").cumcount() < k]
 
     met = asked.groupBy("a", "b", "dim").cogroup(held.groupBy("a", "b", "dim")).applyInPandas(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -115,6 +115,22 @@ def test_topk_beyond_float32():
     assert got.vec_id.tolist() == [2, 1]
 
 
+def test_topk_spreads_rows_of_one_id_and_asks_with_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-50, 51, 4).tolist()) for i in [*range(1, 200), *[50] * 100, *[0] * 3, *[7] * 300]]
+    v = spark.createDataFrame(rows, "vec_id long, e array<long>").repartition(3).cache()
+    got = sorted(tuple(r) for r in topk.top_k(v.where("vec_id % 50 = 0"), v).collect())
+    want = []
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        best = sorted((-int(np.dot(x, y)), j) for i, x in rows if i == q for j, y in rows if j != q)[:5]
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == want
+    cells = topk.dealt(v.where("vec_id = 7"), "b", 10).groupBy("b").count().collect()
+    assert len(cells) == 10 and max(r["count"] for r in cells) < 60
+
+
 # -- chat -----------------------------------------------------------------------------------------------------------
 
 
