@@ -150,7 +150,7 @@ def shingles(words: Words, size: int = 5, bits: int = 48) -> tuple[np.ndarray, n
     n = np.diff(words.offsets)
     total = len(h)
     acc = np.zeros(total, np.uint64)
-    for j in range(size):
+    for j in range(min(size, total)):
         acc[: total - j] = acc[: total - j] * _MULT + (h[j:] if j else h)
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)

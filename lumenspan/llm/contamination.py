@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, column, distinct_by_doc, mix, shingles, steps, table
+from .common import Words, bounded_batches, column, distinct_by_doc, materialise, mix, shingles, steps, table
 
 CONTAINMENT = 0.8
 HASHES = 32
@@ -96,16 +96,21 @@ class Index:
         return docs[keep], items[keep], share[keep]
 
 
+def _indexes(benchmark: DataFrame, items: int):
+    """Broadcast indexes of the blocks of (item_id, text); one at a time is made."""
+    spark = benchmark.sparkSession
+    blocks = max(1, math.ceil(benchmark.count() / items))
+    for block in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        yield spark.sparkContext.broadcast(Index(part["item_id"].to_numpy().astype(np.int64), part["text"].combine_chunks()) if part.num_rows else None)
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, containment) of the pairs whose containment is at least `least`."""
-    spark = documents.sparkSession
-    bounded_batches(spark)
+    bounded_batches(documents.sparkSession)
     benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    blocks = max(1, math.ceil(benchmark.count() / items))
     out = None
-    for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast(Index(part["item_id"].to_numpy().astype(np.int64), part["text"].combine_chunks()) if part.num_rows else None)
+    for shared in _indexes(benchmark, items):
 
         def run(batches, shared=shared):
             index = shared.value
@@ -121,8 +126,29 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINME
     return out.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
+def drop_rows(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, items: int = ITEMS) -> DataFrame:
+    """The rows whose own text holds no benchmark text, whatever the ids on either side, null or repeated."""
+    bounded_batches(documents.sparkSession)
+    texts = benchmark.where("text is not null").select("text").distinct().select(F.xxhash64("text").alias("item_id"), "text")
+    out = documents
+    for block, shared in enumerate(_indexes(texts, items)):
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for b in steps(batches):
+                keep = np.ones(b.num_rows, bool)
+                if index is not None:
+                    ids, offsets = shingles(Words(column(b, "text")))
+                    keep[index.verify(index.candidates(ids, offsets), ids, offsets, least)[0]] = False
+                yield b.filter(pa.array(keep))
+
+        # a pass for each block
+        out = (materialise(out, "decontamination") if block else out).mapInArrow(run, documents.schema)
+    return out
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents whose id has no row that holds a benchmark item; documents and items of null id are not searched."""
     gone = matches(documents, benchmark, least).select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 

@@ -79,6 +79,19 @@ def test_contamination(spark, hard, empty):
     assert contamination.matches(empty, items).count() == 0 and contamination.matches(hard, items.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_row(spark, hard, empty):
+    passage = "three four five six seven eight"
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    items = spark.createDataFrame([(1, passage), (None, "word word word word word word"), (3, None), (4, "tiny")], "item_id long, text string")
+    for block in (20_000, 1):
+        kept = contamination.drop_rows(hard, items, items=block)
+        assert kept.columns == hard.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert got == sorted(((d, t) for d, t, *_ in HARD if passage not in " ".join((t or "").lower().split()) and not (t or "").startswith(("word", "tiny"))), key=str)
+    assert contamination.drop_rows(empty, items).count() == 0 and contamination.drop_rows(hard, items.limit(0)).count() == len(HARD)
+    assert "drop_rows" in stage.__code__.co_names
+
+
 def test_langid(hard, empty):
     model = langid.fit(hard, F.lit(True))
     out = langid.predict(hard, model).collect()
