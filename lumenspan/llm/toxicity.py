@@ -1,22 +1,35 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, of toxic and of ordinary texts, share their lowest backoff
-level: counts pooled over both classes. Every level counts distinct left
-contexts, as Kneser-Ney does, so that a passage that copies repeat counts once:
-
-    P_c(w)     = max(k_c(w) - D, 0) / K_c + D T_c / K_c * P(w)         k: distinct words before w
-    P_c(w | h) = max(k_c(h w) - D, 0) / k_c(h .) + back_c(h) * P_c(w)  k: distinct words before h w
-    P(w)       = (k(w) + 1) / (K + V + 1)                              k: classes that have w
-
-The shared level thus holds rare expressions of either class alike, however often
-one class repeats them. A text is compared by length-normalised log-likelihood
-ratios: that of the whole text, and the highest that WINDOW words in a row reach
-(each given the word before it), since a few expressions make a long text toxic. A logistic calibration, fitted on labelled
-texts that the counts did not see, turns both into a score.
-
-Defined results: null and empty texts have no words, so both ratios are 0 and
-their score is the calibration's there; rows are scored one by one, so ties and
-repeated rows don't matter; with no labelled row of one class, all scores are 0.
+Two word models, of toxic and of ordinary texts, share their lowest backoff level:
+
+    P_c(w | h) = (n_c(h w) - D(n)) / n_c(h .) + back_c(h) * P_c(w)  n: distinct surroundings of h w
+    P_c(w)     = (k_c(w) - D(k)) / K_c + back_c * P(w)              k: distinct words before w
+    P(w)       = (k(w) + 1) / (K + V + 1)                           k: classes that have w
+
+with DISCOUNTS for counts of 1, 2 and more, and back_c what the discounts of a class leave.
+
+The highest level counts the different surroundings (the words before and after) that
+a pair has, so that a passage that copies or near copies repeat counts once; the next
+one counts left contexts, as Kneser-Ney does; the shared one holds rare expressions of
+either class alike, however often one class repeats them. Pairs of fewer than
+PAIR_PLACES surroundings in either class are left to the lower levels, and back_c(h)
+takes all mass that the kept pairs leave, so each model sums to 1 over all words and
+the unknown word.
+
+A text is compared by two length-normalised log-likelihood ratios: that of the whole
+text, and that of its strongest passage of PASSAGE words in a row (the whole of a
+shorter text; a word that it repeats counts once), as a few expressions make a long
+text toxic. A logistic calibration,
+fitted on labelled texts that the counts did not see, turns both into a score; the
+share of toxic texts that it assumes is that of the training labels.
+
+Defined results: null and empty texts have no words, so both ratios are 0 and their
+score is the calibration's there; very long texts are read whole, as one step; rows
+are scored one by one, so ties and repeated rows don't matter, and equal rows are
+learned from once; labels of a null id, or neither 0 nor 1, are ignored, and an id
+with both labels counts as toxic; with no labelled row of one class (empty tables
+too), all scores are 0; other columns are kept, but for earlier ones named score or
+predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,14 +45,15 @@ from pyspark.sql import types as T
 
 from .common import Words, bounded_batches, column, hash_unit, held_out, materialise, mix, steps, table
 
-#: Labelled rows of each class that are learned from, at most (in expectation; taken by a hash of the id).
-SAMPLE_PER_CLASS = 6_000
-WINDOW = 1
-DISCOUNT = 0.75
-#: A pair of words counts as an expression from so many distinct left contexts in one class.
-PAIR_CONTEXTS = 8
+#: Labelled rows and characters of each class that are learned from, at most (in expectation; taken by a hash of id and text).
+SAMPLE_PER_CLASS, SAMPLE_CHARACTERS = 6_000, 20_000_000
+PASSAGE = 4
+#: What is taken off a count of 1, of 2 and of more, for the level below.
+DISCOUNTS = (1.0, 1.5, 2.0)
+#: A pair of words counts as an expression from so many different surroundings in one class.
+PAIR_PLACES = 8
 PUNCTUATION = " .,;:!?\"'()[]{}<>|*_-"
-_BOS = np.uint64(0x5EED)
+_BOS, _EOS = np.uint64(0x5EED), np.uint64(0xE05)
 
 
 def word_hashes(words: Words) -> np.ndarray:
@@ -58,25 +72,27 @@ def _previous(w: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trigrams(batches):
-    """(cls, h, w, u): the pair h w in a text of the class, and the hash of the word before it."""
+def _pairs(batches):
+    """(cls, h, w, e): the pair h w in a text of the class, and a hash of the words before and after it."""
     for b in steps(batches):
         words = Words(column(b, "text"))
         w = word_hashes(words)
         if not len(w):
             continue
         h = _previous(w, words.offsets)
-        u = _previous(h, words.offsets)
+        after = np.append(w[1:], _EOS)
+        after[words.offsets[1:][np.diff(words.offsets) > 0] - 1] = _EOS
+        e = _pair(_previous(h, words.offsets), after)
         cls = column(b, "toxic").to_numpy(zero_copy_only=False).astype(np.int32)[words.docs]
-        key = _pair(_pair(u, h), w) + cls.astype(np.uint64)
-        _, first = np.unique(key, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cls[first]), *(pa.array(x[first].view(np.int64)) for x in (h, w, u))], ["cls", "h", "w", "u"])
+        _, first = np.unique(_pair(_pair(h, w), e) + cls.astype(np.uint64), return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cls[first]), *(pa.array(x[first].view(np.int64)) for x in (h, w, e))], ["cls", "h", "w", "e"])
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int) -> DataFrame:
-    """cls rows of both classes, about per_class of each at most, chosen by a hash of the id; with a part for calibration.
+def labelled_sample(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int, characters: int) -> tuple[DataFrame, float]:
+    """(doc_id, t1, t2, text, toxic, calibration) of a bounded sample of each class, and the share of toxic ids.
 
-    The chosen ids are few whatever the corpus' size, so they are broadcast.
+    The ids that may be taken are bounded by a hash of the id and broadcast; of their different rows (one id may
+    have any number) a hash of id and text takes about per_class, of about so many characters in all.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(train)
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -84,41 +100,30 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, train: F.Column, pe
     for cls, n in counts.items():
         share = F.when(F.col("toxic") == cls, F.lit(min(1.0, per_class / n))).otherwise(share)
     chosen = known.where(hash_unit(F.col("doc_id"), 11) < share).select("doc_id", "toxic")
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("calibration", hash_unit(F.col("doc_id"), 12) < 0.25)
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", "text", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).join(F.broadcast(chosen), "doc_id")
+    sizes = rows.groupBy("doc_id", "t1", "t2", "toxic").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("size")).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    share = F.lit(0.0)
+    for r in sizes:
+        share = F.when(F.col("toxic") == r["toxic"], F.lit(min(1.0, per_class / r["n"], characters / max(1, r["size"])))).otherwise(share)
+    row = F.xxhash64("doc_id", "t1")
+    taken = rows.where(hash_unit(row, 13) < share).dropDuplicates(["doc_id", "t1", "t2"])
+    return taken.withColumn("calibration", hash_unit(row, 12) < 0.25), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 class Model:
-    """Sorted hashes with a log-ratio for each, looked up by binary search."""
-
-    def __init__(self, sums: dict[str, float], words: dict[str, np.ndarray], contexts: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
-        """sums: over all words, d0 and d1 (distinct left contexts by class), t0 and t1 (words of the class) and v;
-        words: w, d0, d1; contexts: h, k0, k1 (contexts of its pairs), n0, n1 (its pairs);
-        pairs: h, w, p0, p1 and the columns of their words and contexts."""
-        self.sums = sums
-        self.unseen = float(np.log(self._left(1) / self._left(0)))
-        key = words["w"].view(np.uint64)
-        order = np.argsort(key)
-        self.words, self.uni = key[order], np.log(self._word(words, 1) / self._word(words, 0)).astype(np.float32)[order]
-        key = contexts["h"].view(np.uint64)
-        order = np.argsort(key)
-        self.contexts, self.back = key[order], np.log(self._back(contexts, 1) / self._back(contexts, 0)).astype(np.float32)[order]
-        key = _pair(pairs["h"].view(np.uint64), pairs["w"].view(np.uint64))
-        order = np.argsort(key)
-        p = [np.maximum(pairs[f"p{c}"] - DISCOUNT, 0) / np.maximum(pairs[f"k{c}"], 1) + self._back(pairs, c) * self._word(pairs, c) for c in (0, 1)]
-        self.pairs, self.pair = key[order], np.log(p[1] / p[0]).astype(np.float32)[order]
-        self.weights = np.zeros(3)
+    """Sorted hashes with a log-ratio (toxic to ordinary) for each, looked up by binary search."""
 
-    def _left(self, c: int) -> float:
-        """What the discounts of a class leave for the shared level."""
-        return DISCOUNT * max(1.0, self.sums[f"t{c}"]) / max(1.0, self.sums[f"d{c}"])
-
-    def _word(self, x: dict[str, np.ndarray], c: int) -> np.ndarray:
-        shared = ((x["d0"] > 0).astype(float) + (x["d1"] > 0) + 1) / (self.sums["t0"] + self.sums["t1"] + self.sums["v"] + 1)
-        return np.maximum(x[f"d{c}"] - DISCOUNT, 0) / max(1.0, self.sums[f"d{c}"]) + self._left(c) * shared
+    def __init__(self, unseen: float, words: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
+        """words: P(w); contexts: back(h), of contexts that have a kept pair; pairs: P(w | h) by the hash of the pair."""
+        self.unseen = unseen
+        (self.words, self.uni), (self.contexts, self.back), (self.pairs, self.pair) = (self._sorted(*x) for x in (words, contexts, pairs))
+        self.weights = np.zeros(3)
 
     @staticmethod
-    def _back(x: dict[str, np.ndarray], c: int) -> np.ndarray:
-        return np.where(x[f"k{c}"] > 0, DISCOUNT * x[f"n{c}"] / np.maximum(x[f"k{c}"], 1), 1.0)
+    def _sorted(keys: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], ratio[order]
 
     @staticmethod
     def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,36 +132,46 @@ class Model:
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         return at, keys[at] == x
 
-    def ratios(self, words: Words) -> np.ndarray:
-        """For each text: log-likelihood ratio a word, and the highest a word of a window."""
-        docs = len(words.offsets) - 1
-        out = np.zeros((docs, 2))
-        if not len(words.codes):
-            return out
+    def _of(self, keys: np.ndarray, ratio: np.ndarray, x: np.ndarray, other: float) -> np.ndarray:
+        at, found = self._find(keys, x)
+        return np.where(found, ratio[at], other) if len(keys) else np.full(len(x), other)
+
+    def word_ratios(self, words: Words) -> np.ndarray:
+        """The log-likelihood ratio of each word of a batch, given the word before it."""
         distinct = words.hashes(pc.utf8_trim(words.distinct, PUNCTUATION))
-        at, found = self._find(self.words, distinct)
-        uni = np.where(found, self.uni[at] if len(self.uni) else 0, self.unseen).astype(np.float32)
-        at, known = self._find(self.contexts, distinct)
-        back = np.where(known, self.back[at] if len(self.back) else 0, 0).astype(np.float32)
+        uni = self._of(self.words, self.uni, distinct, self.unseen)
+        back = self._of(self.contexts, self.back, distinct, 0.0)
         w = distinct[words.codes]
-        first = words.offsets[:-1][np.diff(words.offsets) > 0]
         r = uni[words.codes]
         r[1:] += back[words.codes[:-1]]
-        at, known_bos = self._find(self.contexts, np.array([_BOS]))
-        r[first] = uni[words.codes[first]] + (self.back[at[0]] if known_bos[0] else 0)
-        # only pairs of two known words can be in the table
-        maybe = np.flatnonzero(found[words.codes])
-        h = _previous(w, words.offsets)
-        at, hit = self._find(self.pairs, _pair(h[maybe], w[maybe]))
+        first = words.offsets[:-1][np.diff(words.offsets) > 0]
+        r[first] = uni[words.codes[first]] + self._of(self.contexts, self.back, np.array([_BOS]), 0.0)[0]
+        at, hit = self._find(self.pairs, _pair(_previous(w, words.offsets), w))
         if hit.any():
-            r[maybe[hit]] = self.pair[at[hit]]
-        total = np.concatenate([[0], np.cumsum(r, dtype=float)])
+            r[hit] = self.pair[at[hit]]
+        return r
+
+    def ratios(self, words: Words) -> np.ndarray:
+        """For each text: log-likelihood ratio a word of the whole, and of its strongest passage."""
+        docs = len(words.offsets) - 1
+        out = np.zeros((docs, 2))
+        if not len(words.codes):
+            return out
+        r = self.word_ratios(words)
+        total = np.concatenate([[0], np.cumsum(r)])
         n = np.diff(words.offsets)
         some = np.flatnonzero(n > 0)
         out[some, 0] = (total[words.offsets[1:]] - total[words.offsets[:-1]])[some] / n[some]
-        end = np.arange(1, len(r) + 1)
-        start = np.maximum(end - WINDOW, np.repeat(words.offsets[:-1], n))
-        out[some, 1] = np.maximum.reduceat((total[end] - total[start]) / WINDOW, words.offsets[:-1][some])
+        w = word_hashes(words)
+        for back in range(1, PASSAGE):
+            again = w[back:] == w[:-back]
+            r[back:][again & (words.docs[back:] == words.docs[:-back])] = 0
+        total = np.concatenate([[0], np.cumsum(r)])
+        # the passage that ends at each word; one that would begin before its text ends further on
+        begin = np.repeat(words.offsets[:-1], n)
+        length = np.minimum(PASSAGE, np.repeat(n, n))
+        end = np.maximum(np.arange(1, len(begin) + 1), begin + length)
+        out[some, 1] = np.maximum.reduceat((total[end] - total[end - length]) / length, words.offsets[:-1][some])
         return out
 
     def scores(self, ratios: np.ndarray) -> np.ndarray:
@@ -179,22 +194,52 @@ class Model:
         self.weights = b
 
 
-def fit(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
+def _discount(n: str) -> F.Column:
+    one, two, more = DISCOUNTS
+    return F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, one).when(F.col(n) == 2, two).otherwise(more)
+
+
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
+def count(rows: DataFrame) -> Model | None:
+    """The log-ratios of all words, contexts and kept pairs of (toxic, t1, t2, text); the driver gets no counts."""
+    texts = rows.dropDuplicates(["toxic", "t1", "t2"]).select("text", "toxic")
+    n = lambda c: F.sum((F.col("cls") == c).cast("int")).alias(f"n{c}")
+    pairs = materialise(texts.mapInArrow(_pairs, "cls int, h long, w long, e long").distinct().groupBy("h", "w").agg(n(0), n(1)), "toxicity-pairs")
+    some = lambda c: F.sum((F.col(f"n{c}") > 0).cast("int")).alias(f"k{c}")
+    words = pairs.groupBy("w").agg(some(0), some(1))
+    by_class = [F.sum(x(f"k{c}")).alias(f"{name}{c}") for c in (0, 1) for name, x in (("k", F.col), ("off", _discount), ("t", lambda k: (F.col(k) > 0).cast("int")))]
+    sums = words.agg(*by_class, F.count("*").alias("v")).first().asDict()
+    if not sums["k0"] or not sums["k1"]:
+        return None
+    left = [sums[f"off{c}"] / sums[f"k{c}"] for c in (0, 1)]
+    every = float(sums["t0"] + sums["t1"] + sums["v"] + 1)
+    shared = ((F.col("k0") > 0).cast("int") + (F.col("k1") > 0).cast("int") + 1) / every
+    p = [((F.col(f"k{c}") - _discount(f"k{c}")) / float(sums[f"k{c}"]) + left[c] * shared).alias(f"p{c}") for c in (0, 1)]
+    words = words.select("w", *p)
+    kept = F.greatest("n0", "n1") >= PAIR_PLACES
+    over = [F.col(f"n{c}") - _discount(f"n{c}") for c in (0, 1)]
+    back = [F.when(F.sum(f"n{c}") > 0, 1 - F.sum(F.when(kept, over[c]).otherwise(0.0)) / F.sum(f"n{c}")).otherwise(1.0).alias(f"b{c}") for c in (0, 1)]
+    contexts = materialise(pairs.groupBy("h").agg(*back, F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.max(kept).alias("kept")).where("kept"), "toxicity-contexts")
+    often = pairs.where(kept).join(words, "w").join(contexts, "h")
+    full = [over[c] / F.greatest(F.col(f"all{c}"), F.lit(1)) + F.col(f"b{c}") * F.col(f"p{c}") for c in (0, 1)]
+    key, ratio = _arrays(words.select("w", F.ln(F.col("p1") / F.col("p0"))))
+    h, turned = _arrays(contexts.select("h", F.ln(F.col("b1") / F.col("b0"))))
+    first, second, pair = _arrays(often.select("h", "w", F.ln(full[1] / full[0])))
+    as_keys = lambda x: x.view(np.uint64)
+    return Model(float(np.log(left[1] / left[0])), (as_keys(key), ratio), (as_keys(h), turned), (_pair(as_keys(first), as_keys(second)), pair))
+
+
+def fit(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int = SAMPLE_PER_CLASS, characters: int = SAMPLE_CHARACTERS) -> Model | None:
     """The model of the labelled rows for which `train` holds (a condition on doc_id), a bounded sample of each class."""
     bounded_batches(documents.sparkSession)
-    rows = labelled_sample(documents, labels, train, per_class)
-    grams = rows.where(~F.col("calibration")).select("text", "toxic").mapInArrow(_trigrams, "cls int, h long, w long, u long").distinct()
-    counts = materialise(grams.groupBy("h", "w").agg(F.sum(1 - F.col("cls")).cast("int").alias("p0"), F.sum("cls").cast("int").alias("p1")), "toxicity-pairs")
-    some = lambda c: F.sum((F.col(c) > 0).cast("int")).cast("int")
-    words = counts.groupBy("w").agg(some("p0").alias("d0"), some("p1").alias("d1"))
-    contexts = counts.groupBy("h").agg(F.sum("p0").cast("int").alias("k0"), F.sum("p1").cast("int").alias("k1"), some("p0").alias("n0"), some("p1").alias("n1"))
-    sums = words.agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), some("d0").alias("t0"), some("d1").alias("t1"), F.count("*").alias("v")).first().asDict()
-    if not sums["d0"] or not sums["d1"]:
+    taken, toxic = labelled_sample(documents, labels, train, per_class, characters)
+    rows = materialise(taken, "toxicity-sample")
+    model = count(rows.where(~F.col("calibration")))
+    if model is None:
         return None
-    # what was met in one context only says no more than an unknown word, and is not sent
-    often = counts.where(F.greatest("p0", "p1") >= PAIR_CONTEXTS).join(words, "w").join(contexts, "h")
-    arrays = lambda df: {c: v.to_numpy() for c, v in zip(df.columns, df.toArrow().columns, strict=True)}
-    model = Model(sums, arrays(words.where("d0 + d1 > 1")), arrays(contexts.where("k0 + k1 > 1")), arrays(often))
     shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def measure(batches):
@@ -204,9 +249,8 @@ def fit(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int
             yield pa.RecordBatch.from_arrays([column(b, "toxic"), pa.array(r[:, 0]), pa.array(r[:, 1])], ["toxic", "a", "b"])
 
     seen = rows.where("calibration").select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double").toPandas()
-    n = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     if seen.toxic.nunique() == 2:
-        model.calibrate(seen[["a", "b"]].to_numpy(), seen.toxic.to_numpy(), n.get(1, 0) / sum(n.values()))
+        model.calibrate(seen[["a", "b"]].to_numpy(), seen.toxic.to_numpy(), toxic)
     else:
         model.weights = np.array([0.0, 2.0, -3.0])
     return model
