@@ -141,24 +141,31 @@ def nms(boxes: DataFrame, threshold: float = 0.4, by: Sequence[str] = ("media_id
     return framed.select(*by, F.explode(kept).alias("k")).select(*by, *(f"k.{f}" for f in fields))
 
 
+def _same_line(a: dict, b: dict, overlap: float) -> bool:
+    """Whether two boxes meet in height, in at least the share `overlap` of the lower one's height."""
+    common = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+    return common >= 0 and common >= overlap * min(a["y1"] - a["y0"], b["y1"] - b["y0"])
+
+
 def _chain(rows: list[dict], gap: float, overlap: float) -> list[dict]:
-    """Rows (x0, y0, x1, y1, text) from left to right: each joins the chain that is rightmost among those it overlaps enough in height and is near to."""
-    if len(rows) < 2:
-        return rows
-    chains: list[dict] = []
-    for r in sorted(rows, key=lambda r: (r["x0"], r["y0"], r["text"])):
-        best = None
-        for c in chains:
-            last = c["last"]
-            common = min(last["y1"], r["y1"]) - max(last["y0"], r["y0"])
-            if common / max(1e-9, min(last["y1"] - last["y0"], r["y1"] - r["y0"])) >= overlap and r["x0"] - last["x1"] <= gap and (best is None or last["x1"] > best["last"]["x1"]):
-                best = c
-        if best is None:
-            chains.append({**r, "last": r, "texts": [r["text"]]})
-        else:
-            best.update(x0=min(best["x0"], r["x0"]), y0=min(best["y0"], r["y0"]), x1=max(best["x1"], r["x1"]), y1=max(best["y1"], r["y1"]), last=r)
-            best["texts"].append(r["text"])
-    return [{k: c[k] for k in ("x0", "y0", "x1", "y1")} | {"text": " ".join(c["texts"])} for c in chains]
+    """Rows (x0, y0, x1, y1, text) as lines, each begun by the leftmost free row.
+
+    A line takes every free row, from left to right, that is on the same line as the row it took last; then it is
+    cut where the next row begins more than `gap` after the end of the one before. Equal x0 keep their order.
+    """
+    free, out = sorted(rows, key=lambda r: r["x0"]), []
+    while free:
+        line, rest = [free[0]], []
+        for r in free[1:]:
+            (line if _same_line(line[-1], r, overlap) else rest).append(r)
+        first = 0
+        for k in range(1, len(line) + 1):
+            if k == len(line) or line[k]["x0"] - line[k - 1]["x1"] > gap:
+                part = line[first:k]
+                out.append({c: f(r[c] for r in part) for c, f in (("x0", min), ("y0", min), ("x1", max), ("y1", max))} | {"text": " ".join(r["text"] for r in part)})
+                first = k
+        free = rest
+    return out
 
 
 def _flip(rows: list[dict]) -> list[dict]:
@@ -168,7 +175,7 @@ def _flip(rows: list[dict]) -> list[dict]:
 def merge_lines(words: DataFrame, x_gap: float = 100, y_overlap: float = 0.5, y_gap: float = 10, x_overlap: float = 0.5) -> DataFrame:
     """(media_id, frame_idx, x, y, w, h, text): words of a frame stitched into lines, then lines above each other into blocks.
 
-    The order matters, so the words of a frame, which are few, are one value.
+    The order matters, so the words of a frame, which are few, are one value; equal left edges go by id.
     """
 
     def run(batches):
