@@ -1,4 +1,8 @@
-"""Shots: segmentation, annotation from series, density, text and face labels."""
+"""Shots: segmentation, annotation from series, density, text and face labels.
+
+Where times are joined, `width` cuts time into buckets (see timejoin.range_join), so
+that one long media is dealt over many tasks.
+"""
 
 from __future__ import annotations
 
@@ -26,13 +30,13 @@ def shots_from_scores(series: DataFrame, threshold: float = 0.5, fps: float | No
     return every.select("media_id", (F.row_number().over(Window.partitionBy("media_id").orderBy("first")) - 1).alias("shot_idx"), (F.col("first") * scale).alias("start_s"), (F.col("last") * scale).alias("end_s"))
 
 
-def shot_annotator(shots: DataFrame, probs: DataFrame, threshold: float = 0.0) -> DataFrame:
+def shot_annotator(shots: DataFrame, probs: DataFrame, threshold: float = 0.0, width: float | None = None) -> DataFrame:
     """The label with the highest mean in each shot, (start_s, end_s) open.
 
     Means that are null, 0 or not above the threshold don't count; the smallest
     label_idx wins ties; shots without a label are left out.
     """
-    met = range_join(shots, probs.select("media_id", "label", "label_idx", "time", "y"), "()")
+    met = range_join(shots, probs.select("media_id", "label", "label_idx", "time", "y"), "()", width=width)
     means = met.groupBy("media_id", "shot_idx", "start_s", "end_s", "label", "label_idx").agg(F.avg("y").alias("mean")).where((F.col("mean") > threshold) & (F.col("mean") != 0))
     best = means.groupBy("media_id", "shot_idx", "start_s", "end_s").agg(F.max_by(F.struct("label", "mean"), F.struct("mean", -F.col("label_idx"))).alias("b"))
     return best.select("media_id", "shot_idx", "start_s", "end_s", "b.label", "b.mean")
@@ -44,9 +48,9 @@ def shot_scalar_annotator(shots: DataFrame, series: DataFrame, width: float | No
     return met.groupBy("media_id", "shot_idx", "start_s", "end_s").agg(F.avg("y").alias("mean")).withColumn("label", F.col("mean").cast("string"))
 
 
-def shot_texts(shots: DataFrame, texts: DataFrame) -> DataFrame:
+def shot_texts(shots: DataFrame, texts: DataFrame, width: float | None = None) -> DataFrame:
     """The texts of each shot in time order, [start_s, end_s]; shots without texts have an empty list."""
-    met = range_join(shots, texts.select("media_id", "time", "text"), "[]", "left")
+    met = range_join(shots, texts.select("media_id", "time", "text"), "[]", "left", width)
     item = F.when(F.col("time").isNotNull(), F.struct("time", "text"))
     return met.groupBy("media_id", "shot_idx", "start_s", "end_s").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["text"]).alias("texts"))
 
@@ -57,9 +61,9 @@ def facesize(boxes: DataFrame, reduction: str = "max") -> DataFrame:
     return boxes.groupBy("media_id", "time").agg((F.max(area) if reduction == "max" else F.avg(area)).alias("y"))
 
 
-def face_shot_labels(shots: DataFrame, labels: DataFrame, boxes: DataFrame) -> DataFrame:
+def face_shot_labels(shots: DataFrame, labels: DataFrame, boxes: DataFrame, width: float | None = None) -> DataFrame:
     """Each shot with its label if a face's time lies in [start_s, end_s), else "None". labels: (media_id, shot_idx, label)."""
-    seen = range_join(shots, boxes.select("media_id", "time").distinct(), "[)").select("media_id", "shot_idx").distinct().withColumn("_seen", F.lit(True))
+    seen = range_join(shots, boxes.select("media_id", "time").distinct(), "[)", width=width).select("media_id", "shot_idx").distinct().withColumn("_seen", F.lit(True))
     joined = shots.join(labels.select("media_id", "shot_idx", "label"), ["media_id", "shot_idx"], "left").join(seen, ["media_id", "shot_idx"], "left")
     return joined.withColumn("label", F.coalesce(F.when(F.col("_seen"), F.col("label")), F.lit("None"))).drop("_seen")
 
@@ -75,10 +79,19 @@ KERNELS = {
 }
 
 
+#: Those that don't end: each point takes all starts of its media.
+ENDLESS = ("gaussian", "exponential")
+
+
 def shot_density(shots: DataFrame, kernel: str = "gaussian", bandwidth: float = 30.0, fps: float = 10.0) -> DataFrame:
     """(media_id, time, y): kernel density of shot starts on ceil(last end * fps) + 1 even points, rescaled to 0..1."""
     last = shots.groupBy("media_id").agg(F.max("end_s").alias("_end")).withColumn("_n", F.ceil(F.col("_end") * fps))
     grid = last.select("media_id", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_i"), "_end", "_n").select("media_id", "_i", F.coalesce(F.try_divide(F.col("_i") * F.col("_end"), F.col("_n")), F.lit(0.0)).alias("time"))
     u = F.abs(F.col("time") - F.col("start_s")) / float(bandwidth)
-    met = grid.join(shots.select("media_id", "start_s"), "media_id").groupBy("media_id", "time").agg(F.sum(KERNELS[kernel](u)).alias("y"))
+    if kernel in ENDLESS:
+        met = grid.join(shots.select("media_id", "start_s"), "media_id").groupBy("media_id", "time").agg(F.sum(KERNELS[kernel](u)).alias("y"))
+        return rescale(met, keys=("media_id",))
+    reach = shots.where("start_s is not null").select("media_id", "start_s", (F.col("start_s") - bandwidth).alias("_from"), (F.col("start_s") + bandwidth).alias("_to"))
+    near = range_join(reach, grid.select("media_id", "time"), "()", width=float(bandwidth), start="_from", end="_to").groupBy("media_id", "time").agg(F.sum(KERNELS[kernel](u)).alias("_y"))
+    met = grid.select("media_id", "time").join(near, ["media_id", "time"], "left").select("media_id", "time", F.coalesce("_y", F.lit(0.0)).alias("y"))
     return rescale(met, keys=("media_id",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,10 @@ def range_join(spans: DataFrame, points: DataFrame, bounds: str = "[)", how: str
     buckets: a point has one, a span has all that it touches, and the bucket
     joins the key, so a hot media is dealt over many tasks and a span meets only
     points that are near. Choose a width of the order of the spans' length.
+    how: inner, or left, which keeps spans without points (any column may be null).
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
     p = points.withColumnRenamed("media_id", "_m")
     on = F.col("media_id") == F.col("_m")
     if width:
@@ -36,23 +40,25 @@ def range_join(spans: DataFrame, points: DataFrame, bounds: str = "[)", how: str
         met = cut.join(p, on & (F.col("_sb") == F.col("_b")) & within(F.col(time), F.col(start), F.col(end), bounds)).drop("_m", "_b", "_sb")
         if how == "inner":
             return met
-        alone = spans.join(met.select(*own).distinct(), [F.col(f"{c}") for c in []] or own, "left_anti")
+        names = {c: f"_o{i}" for i, c in enumerate(own)}
+        some = met.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).distinct()
+        alone = spans.join(some, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()], "left_anti")
         return met.unionByName(alone, allowMissingColumns=True)
     return spans.join(p, on & within(F.col(time), F.col(start), F.col(end), bounds), how).drop("_m")
 
 
-def timeline_sampler(shots: DataFrame, frames: DataFrame, middle: bool = True, start: bool = False, end: bool = False, mode: str = "nearest") -> DataFrame:
+def timeline_sampler(shots: DataFrame, frames: DataFrame, middle: bool = True, start: bool = False, end: bool = False, mode: str = "nearest", width: float | None = None) -> DataFrame:
     """(media_id, shot_idx, pick, time, frame_idx): for each shot the frame nearest to its start, middle and end.
 
     Candidates lie in [start_s, end_s]; the earlier frame wins ties; a shot
     without candidates has no rows. mode "scan" takes each frame for one shot
     only: shots are met in order, and the first frame at or after a shot's end
-    closes it and is not used again.
+    closes it and is not used again. width: buckets of the range join, as there.
     """
     picks = [p for p, on in (("start", start), ("middle", middle), ("end", end)) if on]
     if mode == "scan":
         return _scan(shots, frames, picks)
-    met = range_join(shots, frames.select("media_id", "time", "frame_idx"), "[]")
+    met = range_join(shots, frames.select("media_id", "time", "frame_idx"), "[]", width=width)
     goal = {"start": F.col("start_s"), "middle": (F.col("start_s") + F.col("end_s")) / 2, "end": F.col("end_s")}
     best = met.groupBy("media_id", "shot_idx").agg(*(F.min_by(F.struct("time", "frame_idx"), F.struct(F.abs(F.col("time") - goal[p]), F.col("time"), F.col("frame_idx"))).alias(p) for p in picks))
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("pick_idx"), F.lit(p).alias("pick"), F.col(p).alias("f")) for i, p in enumerate(picks))))
@@ -61,24 +67,20 @@ def timeline_sampler(shots: DataFrame, frames: DataFrame, middle: bool = True, s
 
 def _scan(shots: DataFrame, frames: DataFrame, picks: list[str]) -> DataFrame:
     def one(key, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values(["start_s", "shot_idx"])
-        f = f.sort_values(["time", "frame_idx"]).reset_index(drop=True)
-        at, out = 0, []
-        for shot in s.itertuples():
-            best: dict = {}
-            goal = {"start": shot.start_s, "middle": (shot.start_s + shot.end_s) / 2, "end": shot.end_s}
-            while at < len(f) and f.time[at] < shot.start_s:
-                at += 1
-            while at < len(f):
-                t = f.time[at]
-                if t <= shot.end_s:
-                    for p in picks:
-                        if p not in best or abs(t - goal[p]) < best[p][0]:
-                            best[p] = (abs(t - goal[p]), t, f.frame_idx[at])
-                at += 1
-                if t >= shot.end_s:
-                    break
-            out += [(key[0], shot.shot_idx, p, best[p][1], best[p][2]) for p in picks if p in best]
+        s = s.dropna(subset=["start_s", "end_s"]).sort_values(["start_s", "shot_idx"])
+        f = f.dropna(subset=["time"]).sort_values(["time", "frame_idx"])
+        t, numbers = f.time.to_numpy(float), f.frame_idx.to_numpy()
+        opens, closes = np.searchsorted(t, s.start_s.to_numpy(float), "left"), np.searchsorted(t, s.end_s.to_numpy(float), "left")
+        free, out = 0, []
+        for shot, start, end, first, last in zip(s.shot_idx, s.start_s, s.end_s, opens.tolist(), closes.tolist(), strict=True):
+            first = max(first, free)
+            last = max(first, last)  # the frame that closes the shot
+            free = last + 1
+            near = t[first : last + 1]
+            near = near[near <= end]
+            if len(near):
+                goal = {"start": start, "middle": (start + end) / 2, "end": end}
+                out += [(key[0], shot, p, near[at], numbers[first + at]) for p in picks for at in [int(np.abs(near - goal[p]).argmin())]]
         return pd.DataFrame(out, columns=["media_id", "shot_idx", "pick", "time", "frame_idx"])
 
     kind = dict(shots.dtypes)
