@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for each row, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def l2_normalise(a: Column) -> Column:
     """A zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))
+    unit = lambda v, n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))
+    return _let(a, lambda v: _let(norm(v), lambda n: unit(v, n)))
 
 
 def mean_vector(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
@@ -39,8 +46,9 @@ def softmax(df: DataFrame, by: list[str], x: str, temperature: float = 1.0, out:
 
 
 def softmax_array(a: Column, temperature: float = 1.0) -> Column:
-    e = F.transform(a, lambda x: F.exp((x.cast("double") - F.array_max(a).cast("double")) / temperature))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = lambda v, top: F.transform(v, lambda x: F.exp((x.cast("double") - top) / temperature))
+    shares = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+    return _let(a, lambda v: _let(F.array_max(v).cast("double"), lambda top: _let(powers(v, top), shares)))
 
 
 def wide_to_long(df: DataFrame, vector: str, labels: list[str], value: str = "y") -> DataFrame:

@@ -71,25 +71,33 @@ def longest_series(df: DataFrame, by: str = "media_id", label: str = "label", or
     return counts.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(by, label, "points")
 
 
-def interpolate(series: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def interpolate(series: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS, width: float | None = None) -> DataFrame:
     """Values of each series at the times of `grid` (keys, time): linear inside, the end values outside.
 
-    Knots and grid are merged and sorted once by series; no range join. Knots of
-    equal time count as their mean; a series without knots gives nulls.
+    Knots and grid are merged and sorted once by series in each direction; no range join. With `width` time is cut
+    into buckets, so that one long series is dealt over many tasks: the knots next to a bucket come from a small
+    table of each bucket's first and last knot. Knots of equal time count as their mean; a series without knots
+    gives nulls.
     """
     _bounded(series, "interpolate")
     knots = series.where("y is not null and time is not null").groupBy(*keys, "time").agg(F.avg("y").alias("y")).withColumn("_grid", F.lit(False))
     asked = grid.select(*keys, "time").where("time is not null").distinct().withColumns({"y": F.lit(None).cast("double"), "_grid": F.lit(True)})
-    w = Window.partitionBy(*keys).orderBy("time")
+    both = knots.unionByName(asked).withColumn("_b", F.floor(F.col("time") / width) if width else F.lit(0))
     knot = F.when(~F.col("_grid"), F.struct("time", "y"))
-    both = knots.unionByName(asked).withColumns({
-        "_a": F.last(knot, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_b": F.first(knot, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
-    a, b = F.col("_a"), F.col("_b")
+    so_far = lambda order: Window.partitionBy(*keys, "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumns({"_before": F.last(knot, ignorenulls=True).over(so_far(F.col("time"))), "_after": F.last(knot, ignorenulls=True).over(so_far(F.col("time").desc()))}).where("_grid")
+    a, b = F.col("_before"), F.col("_after")
+    if width:
+        ends = both.groupBy(*keys, "_b").agg(F.max_by(knot, F.when(~F.col("_grid"), F.col("time"))).alias("_last"), F.min_by(knot, F.when(~F.col("_grid"), F.col("time"))).alias("_first"))
+        others = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumns({"_low": F.last("_last", ignorenulls=True).over(others(F.col("_b"))), "_high": F.last("_first", ignorenulls=True).over(others(F.col("_b").desc()))})
+        names = [*keys, "_b"]
+        ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)), "_low", "_high")
+        met = met.join(ends, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)])
+        met = met.withColumns({"_before": F.coalesce("_before", "_low"), "_after": F.coalesce("_after", "_high")})
     inside = a["y"] + F.coalesce(F.try_divide((b["y"] - a["y"]) * (F.col("time") - a["time"]), b["time"] - a["time"]), F.lit(0.0))
     y = F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(inside)
-    return both.where("_grid").select(*keys, "time", y.alias("y"))
+    return met.select(*keys, "time", y.alias("y"))
 
 
 def combine(how: str, y: Column) -> Column:
@@ -101,12 +109,12 @@ def combine(how: str, y: Column) -> Column:
     return F.avg(y)
 
 
-def aggregate_scalar(df: DataFrame, how: str = "prod") -> DataFrame:
-    """All series of a media on the times of its longest one, combined by time: (media_id, time, y)."""
+def aggregate_scalar(df: DataFrame, how: str = "prod", width: float | None = None) -> DataFrame:
+    """All series of a media on the times of its longest one, combined by time: (media_id, time, y). width: as for interpolate."""
     longest = longest_series(df).select("media_id", F.col("label").alias("_longest"))
     times = df.join(longest, "media_id").where("label = _longest").select("media_id", "time").distinct()
     labels = df.select("media_id", "label").distinct()
-    on_grid = interpolate(df, labels.join(times, "media_id"))
+    on_grid = interpolate(df, labels.join(times, "media_id"), width=width)
     return on_grid.groupBy("media_id", "time").agg(combine(how, F.col("y")).alias("y"))
 
 
