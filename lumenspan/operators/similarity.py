@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, l2_normalise, mean_vector
-from .graph import components
+from ..functions.vectors import cosine, dot, l2_normalise, mean_vector, norm
+from .graph import components, spanning_forest
 from .series import rescale
 from .windows import even_sample
 
@@ -43,7 +41,9 @@ def mean_embedding(emb: DataFrame, by: str) -> DataFrame:
 
 def text_image_probs(images: DataFrame, positive: DataFrame, negative: DataFrame, softmax: bool = False, scale: float = 100.0) -> DataFrame:
     """(media_id, id, time, y): each image against one positive and one negative text vector (tables of one row)."""
-    pair = positive.select(F.col("embedding").alias("_p")).crossJoin(negative.select(F.col("embedding").alias("_n")).limit(1)).limit(1)
+    if positive.limit(2).count() > 1 or negative.limit(2).count() > 1:
+        raise ValueError("positive and negative have one row each")
+    pair = positive.select(F.col("embedding").alias("_p")).crossJoin(F.broadcast(negative.select(F.col("embedding").alias("_n"))))
     v = l2_normalise(F.col("embedding"))
     met = images.crossJoin(F.broadcast(pair)).withColumns({"_dp": dot(v, l2_normalise(F.col("_p"))), "_dn": dot(v, l2_normalise(F.col("_n")))})
     y = 1 / (1 + F.exp(scale * (F.col("_dn") - F.col("_dp")))) if softmax else F.col("_dp")
@@ -62,12 +62,18 @@ def ontology_probs(emb: DataFrame, concepts: DataFrame, scale: float = 100.0) ->
 def similar_pairs(emb: DataFrame, t: float, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(a, b, distance) of all pairs a < b of one media with distance <= t; emb: (media_id, id, embedding).
 
-    Vectors are dealt into blocks, each pair of blocks meets once in a task as a
-    product of matrices, and only pairs within t leave it.
+    The vectors of a media are dealt into blocks, as many as it needs, each pair of
+    blocks meets once in a task as a product of matrices, and only pairs within t leave it.
     """
-    n = max(1, math.ceil(emb.count() / block))
-    dealt = emb.where("embedding is not null").select("media_id", "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    kind = dict(emb.dtypes)["id"]
+    return _meetings(emb, t, metric, block, False, f"a {kind}, b {kind}, distance double")
+
+
+def _meetings(emb: DataFrame, t: float, metric: str, block: int, forest: bool, schema: str) -> DataFrame:
+    """The pairs within t of each two blocks of a media; forest: only enough of them to connect what they connect."""
+    sizes = emb.where("embedding is not null").groupBy("media_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = emb.where("embedding is not null").select("media_id", "id", "embedding").join(sizes, "media_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["own", "id"])
@@ -83,17 +89,30 @@ def similar_pairs(emb: DataFrame, t: float, metric: str = "cosine", block: int =
             sq = (x**2).sum(1)
             d = np.sqrt(np.maximum(sq[left, None] + sq[None, right] - 2 * x[left] @ x[right].T, 0))
         i, j = np.nonzero(d <= t)
+        if forest:
+            moved, to = spanning_forest(left[i], right[j], len(ids))
+            a, b = ids[moved], ids[to]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": np.zeros(len(a))})
         a, b, dist = ids[left[i]], ids[right[j]], d[i, j]
         keep = a < b if same else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": dist[keep]})
 
-    kind = dict(emb.dtypes)["id"]
-    return meet.groupBy("media_id", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}, distance double")
+    return meet.groupBy("media_id", "lo", "hi").applyInPandas(pairs, schema)
 
 
 def cluster_labels(emb: DataFrame, t: float = 0.5, metric: str = "cosine") -> DataFrame:
-    """(media_id, id, cluster_id): single linkage cut at t, which is the components of pairs within t; cluster_id is the smallest member."""
-    found = components(similar_pairs(emb, t, metric).select("a", "b"))
+    """(media_id, id, cluster_id): single linkage cut at t, which is the components of pairs within t; cluster_id is the smallest member.
+
+    Equal vectors of a media are one from the start (but for zero vectors and cosine, as they are near to nothing),
+    and each meeting of two blocks gives a spanning forest of its pairs, so a large group of copies or of near
+    vectors never becomes all of its pairs.
+    """
+    kind = dict(emb.dtypes)["id"]
+    zero = F.lit(metric == "cosine") & (norm(F.col("embedding")) == 0)
+    some = emb.where("embedding is not null").select("media_id", "id", "embedding", F.when(zero, F.col("id")).alias("_own"))
+    first = some.groupBy("media_id", "embedding", "_own").agg(F.min("id").alias("id"))
+    same = some.where("_own is null").join(first.where("_own is null").select("media_id", "embedding", F.col("id").alias("_first")), ["media_id", "embedding"]).where("id <> _first")
+    found = components(_meetings(first.select("media_id", "id", "embedding"), t, metric, BLOCK, True, f"a {kind}, b {kind}, distance double").select("a", "b").unionByName(same.select(F.col("_first").alias("a"), F.col("id").alias("b"))))
     return emb.join(found, emb["id"] == found["node"], "left").select("media_id", "id", F.coalesce("label", "id").alias("cluster_id"))
 
 
