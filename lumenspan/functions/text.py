@@ -28,12 +28,8 @@ def clean_text(text: Column, lower: bool = True) -> Column:
     return F.lower(flat) if lower else flat
 
 
-#: Sentence frames round a term; a table of the caller's own can take their place.
-PROMPTS = tuple(f"{a} {b} {{}}." for a in ("a photo of", "a picture of", "an image of", "a video frame of", "a drawing of") for b in ("a", "the", "one", "some", "my", "a small", "a large", "a bright", "a dark", "a blurry", "a clean", "a dirty", "a close", "a distant", "a cropped", "a strange"))
-
-
-def prompts(df: DataFrame, term: str, templates: Sequence[str] = PROMPTS, negative: bool = False) -> DataFrame:
-    """One row for each template, with prompt_idx and prompt; negative prompts are of "Not " + term."""
+def prompts(df: DataFrame, term: str, templates: Sequence[str], negative: bool = False) -> DataFrame:
+    """One row for each of the caller's templates, {} standing for the term, with prompt_idx and prompt; negative prompts are of "Not " + term."""
     word = F.concat(F.lit("Not "), F.col(term)) if negative else F.col(term)
     return df.select("*", F.posexplode(F.array(*map(F.lit, templates))).alias("prompt_idx", "_t")).withColumn("prompt", F.replace(F.col("_t"), F.lit("{}"), word)).drop("_t")
 

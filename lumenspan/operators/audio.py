@@ -48,15 +48,15 @@ def audio_freq(samples: DataFrame, sr: int = 8000, n_fft: int = 256, hop: int |
     """
     hop = hop or n_fft // 4
     framed = _framed(samples, n_fft, hop)
-    gathered = framed.groupBy("media_id", "k").agg(F.collect_list(F.struct((F.col("i") - F.col("k") * hop + n_fft // 2).cast("int").alias("p"), F.col("y").cast("double").alias("y"))).alias("s"))
+    gathered = framed.groupBy("media_id", "k").agg(F.collect_list(F.struct((F.col("i") - F.col("k") * hop + n_fft // 2).cast("int").alias("p"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"))).alias("s")).select("media_id", "k", "s.p", "s.y")
     window = np.hanning(n_fft + 1)[:-1]
 
     def transform(frames):
         for f in frames:
             x = np.zeros((len(f), n_fft))
-            for row, s in enumerate(f.s):
-                for e in s:
-                    x[row, e["p"]] = e["y"]
+            row = np.repeat(np.arange(len(f)), f.p.map(len).to_numpy())
+            if len(row):
+                x[row, np.concatenate(f.p.to_numpy())] = np.concatenate(f.y.to_numpy())
             mag = np.abs(np.fft.rfft(x * window, axis=1))
             yield pd.DataFrame({"media_id": f.media_id, "k": f.k, "m": list(mag)})
 

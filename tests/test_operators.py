@@ -71,6 +71,51 @@ def test_left_range_join_keeps_empty_spans(spark):
         assert [r[0] for r in values(timejoin.range_join(spans, points, "[]", "left", width=width), "shot_idx")] == [0, 1]
 
 
+def test_left_range_join_with_null_columns_and_bounds(spark):
+    spans = spark.createDataFrame([("a", 0, 1.0, 3.0, None), ("a", 1, None, 9.0, "x"), (None, 2, 0.0, 1.0, None)], "media_id string, shot_idx int, start_s double, end_s double, note string")
+    points = spark.createDataFrame([("a", 2.0), ("a", None)], "media_id string, time double")
+    for width in (None, 1.0):
+        assert sorted(map(tuple, timejoin.range_join(spans, points, "[]", "left", width).select("shot_idx", "time").collect())) == [(0, 2.0), (1, None), (2, None)]
+    with pytest.raises(ValueError):
+        timejoin.range_join(spans, points, how="right", width=1.0)
+
+
+def test_width_changes_nothing(spark):
+    rng = np.random.default_rng(1)
+    s = spark.createDataFrame([("m", i, float(a), float(a + b)) for i, (a, b) in enumerate(zip(rng.integers(0, 90, 25), rng.integers(1, 30, 25), strict=True))], "media_id string, shot_idx int, start_s double, end_s double")
+    p = spark.createDataFrame([("m", "ab"[i % 2], i % 2, float(t), float(y)) for i, (t, y) in enumerate(zip(rng.integers(0, 120, 60), rng.random(60), strict=True))], "media_id string, label string, label_idx int, time double, y double")
+    texts = p.select("media_id", "time", F.col("label").alias("text"))
+    labels = s.select("media_id", "shot_idx", F.lit("l").alias("label"))
+    both = [
+        lambda w: shots.shot_annotator(s, p, width=w), lambda w: shots.shot_texts(s, texts, width=w).withColumn("texts", F.array_join("texts", ",")),
+        lambda w: shots.face_shot_labels(s, labels, p.where("time > 60"), width=w), lambda w: timejoin.timeline_sampler(s, p.withColumn("frame_idx", F.col("label_idx")), True, True, True, width=w),
+        lambda w: series.interpolate(p, s.select("media_id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("none"))).alias("label"), (F.col("start_s") * 3 - 40).alias("time")), width=w),
+    ]
+    rounded = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    for f in both:
+        want = rounded(f(None))
+        assert want and rounded(f(7.0)) == want
+
+
+def test_density_kernels(spark):
+    s = spark.createDataFrame([("m", float(a), 60.0) for a in (0, 3, 10, 59)] + [("n", 5.0, 5.0)], "media_id string, start_s double, end_s double")
+    for kernel in shots.KERNELS:
+        got = {r.time: r.y for r in shots.shot_density(s, kernel, 4.0, 2.0).where("media_id = 'm'").collect()}
+        shape = {"gaussian": lambda u: np.exp(-u * u / 2), "exponential": lambda u: np.exp(-u), "tophat": lambda u: (u < 1) * 1.0, "epanechnikov": lambda u: (u < 1) * (1 - u * u), "linear": lambda u: (u < 1) * (1 - u), "cosine": lambda u: (u < 1) * np.cos(u * np.pi / 2)}[kernel]
+        t = np.arange(121) / 2
+        y = shape(np.abs(t[:, None] - np.array([0, 3, 10, 59])) / 4).sum(1)
+        assert np.allclose([got[x] for x in t], (y - y.min()) / (y.max() - y.min()), atol=1e-9)
+
+
+def test_clusters_of_many_copies(spark):
+    v = [[1.0, 0.0]] * 40 + [[0.99, 0.1]] * 3 + [[0.0, 1.0]] * 5 + [[0.0, 0.0]] * 4 + [None]
+    e = spark.createDataFrame([("m", i, x) for i, x in enumerate(v)] + [("n", 100, [1.0, 0.0])], "media_id string, id long, embedding array<double>")
+    got = dict(similarity.cluster_labels(e, 0.1).select("id", "cluster_id").collect())
+    assert got == {**dict.fromkeys(range(43), 0), **dict.fromkeys(range(43, 48), 43), **{i: i for i in range(48, 53)}, 100: 100}
+    by_distance = dict(similarity.cluster_labels(e, 0.2, "euclidean").select("id", "cluster_id").collect())
+    assert by_distance == {**got, **dict.fromkeys(range(48, 52), 48)}
+
+
 def test_sampler_ties_and_scan(spark):
     s = spark.createDataFrame([("a", 0, 0.0, 4.0), ("a", 1, 4.0, 8.0), ("a", 2, 20.0, 21.0)], "media_id string, shot_idx int, start_s double, end_s double")
     f = spark.createDataFrame([("a", i, t) for i, t in enumerate([1.0, 3.0, 4.0, 6.0])], "media_id string, frame_idx int, time double")
@@ -176,6 +221,13 @@ def test_lines(spark):
     assert values(boxes.merge_lines(w.limit(1)), "text", "w") == [("one", 50.0)]
 
 
+def test_a_line_takes_the_next_free_word(spark):
+    w = spark.createDataFrame([("m", 0, 1, "A", 0.0, 0.0, 10.0, 10.0), ("m", 0, 2, "B", 1.0, 8.0, 19.0, 10.0), ("m", 0, 3, "C", 25.0, 4.0, 15.0, 10.0)], "media_id string, frame_idx int, id int, text string, x double, y double, w double, h double")
+    assert values(boxes.merge_lines(w, y_gap=-7), "text") == [("A C",), ("B",)]
+    far = w.withColumn("x", F.when(F.col("text") == "C", 200.0).otherwise(F.col("x")))
+    assert values(boxes.merge_lines(far, y_gap=-7), "text") == [("A",), ("B",), ("C",)]
+
+
 def test_face_size_filter_keeps_whole_faces(spark):
     b = spark.createDataFrame([(1, "f", 0.2), (2, "f", 0.01), (3, "g", 0.05)], "id int, ref_id string, h double")
     faces = spark.createDataFrame([("f",), ("g",)], "id string")
@@ -249,7 +301,6 @@ def test_text_functions(spark):
     assert tuple(j.select(X.look_up(F.col("j"), "a.0.b"), X.look_up(F.col("j"), "a.5.b")).first()) == ("7", None)
     t = spark.createDataFrame([([1, 2, 3, 4],), ([1],)], "t array<int>")
     assert [r[0] for r in t.select(X.fit_context(F.col("t"), 3)).collect()] == [[1, 2, 4], [1, 0, 0]]
-    assert len(X.PROMPTS) == 80
 
 
 def test_registry(spark):
