@@ -58,6 +58,11 @@ def wide_to_long(df: DataFrame, vector: str, labels: list[str], value: str = "y"
     return long.where(F.col("label_idx") < len(labels)).withColumn("label", F.element_at(names, F.col("label_idx") + 1))
 
 
+def flatten_batch(vectors: Column) -> Column:
+    """The vectors of a batch (an array of arrays) as one vector, in order; those of deeper nesting level by level."""
+    return F.flatten(vectors)
+
+
 def stack_rows(df: DataFrame, by: list[str], how: str = "mean", vector: str = "embedding") -> DataFrame:
     """Mean or product over the vectors of a group, by component (vectors of one length)."""
     agg = F.product("_x") if how == "prod" else F.avg("_x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import audio, boxes, frames, series, shots, similarity, timejoin, windows
+from ..operators.graph import shared_dir
 from ..operators.infer import infer
 from ..sources import ingest
 from . import catalogue, registry  # noqa: F401  the catalogue registers the operators
@@ -163,7 +165,23 @@ def _(s, f):
 
 @_query("timeline_sampler_scan", "shots frames", None)
 def _(s, f):
-    return timejoin.timeline_sampler(s, f, True, True, True, mode="scan")
+    return timejoin.timeline_sampler(s, f, True, True, True, mode="scan").select("media_id", "shot_idx", "pick", *_r("time"), "frame_idx")
+
+
+def _recursive(needs: str, sql: str) -> str:
+    return "WITH RECURSIVE " + ctes(*needs.split())[5:] + ", " + sql.strip().removeprefix("WITH RECURSIVE ")
+
+
+#: Shots in order; a shot reads from its first free frame at or after its start to the frame that closes it.
+QUERIES["timeline_sampler_scan"] = (QUERIES["timeline_sampler_scan"][0], _recursive("shots frames", """
+WITH RECURSIVE p AS (SELECT media_id, time, frame_idx, row_number() OVER (PARTITION BY media_id ORDER BY time, frame_idx) - 1 AS place FROM frames),
+o AS (SELECT s.media_id, s.shot_idx, s.start_s, s.end_s, row_number() OVER (PARTITION BY s.media_id ORDER BY s.start_s, s.shot_idx) AS k,
+  (SELECT count(*) FROM p WHERE p.media_id = s.media_id AND p.time < s.start_s) AS opens, (SELECT count(*) FROM p WHERE p.media_id = s.media_id AND p.time < s.end_s) AS closes FROM shots s),
+w AS (SELECT media_id, k, opens AS a, greatest(opens, closes) AS b FROM o WHERE k = 1
+  UNION ALL SELECT o.media_id, o.k, greatest(o.opens, w.b + 1), greatest(o.opens, w.b + 1, o.closes) FROM w JOIN o ON o.media_id = w.media_id AND o.k = w.k + 1),
+m AS (SELECT o.*, p.time, p.frame_idx, p.place FROM w JOIN o USING (media_id, k) JOIN p ON p.media_id = o.media_id AND p.place BETWEEN w.a AND w.b AND p.time <= o.end_s),
+d AS (SELECT *, 'start' AS pick, abs(time - start_s) AS d FROM m UNION ALL SELECT *, 'middle', abs(time - (start_s + end_s) / 2) FROM m UNION ALL SELECT *, 'end', abs(time - end_s) FROM m)
+SELECT media_id, shot_idx, pick, round(time, 6) AS time, frame_idx FROM d QUALIFY row_number() OVER (PARTITION BY media_id, shot_idx, pick ORDER BY d, place) = 1"""))
 
 
 @_query("zip_rows", "shots segments", """
@@ -178,15 +196,22 @@ def _(f, b):
     return timejoin.frames_at(f, b).select("media_id", "frame_idx", "id", *_r("time"))
 
 
-@_query("face_crops", "images faces boxes", "SELECT f.id AS face_id, i.id AS image_id, [max(b.x)] AS x, [max(b.y)] AS y FROM faces f JOIN images i ON f.ref_id = i.id JOIN boxes b ON b.id = f.id GROUP BY f.id, i.id")
+@_query("face_crops", "images faces boxes", "SELECT f.id AS face_id, i.id AS image_id, [b.x + 7 * (b.id % 3)] AS x, [b.y - b.id % 3] AS y FROM faces f JOIN images i ON f.ref_id = i.id JOIN boxes b ON b.id = f.id")
 def _(i, f, b):
-    kps = b.select(F.col("id").alias("ref_id"), F.array("x").alias("x"), F.array("y").alias("y"), F.lit(0).alias("seq"))
+    several = b.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("id") % 3)))
+    kps = several.select(F.col("id").alias("ref_id"), F.array(F.col("x") + 7 * F.col("seq")).alias("x"), F.array(F.col("y") - F.col("seq")).alias("y"), "seq")
     return timejoin.face_crops(i, f, kps)
 
 
-@_query("resolve_refs", "images boxes", "SELECT b.id, b.ref_id AS image_id, i.media_id AS ref_id FROM boxes b LEFT JOIN images i ON b.ref_id = i.id")
+@_query("resolve_refs", "images boxes", "SELECT b.id, b.ref_id AS image_id, i.media_id AS ref_id, b.media_id AS item_ref_id FROM boxes b LEFT JOIN images i ON b.ref_id = i.id")
 def _(i, b):
-    return timejoin.resolve_refs(b.select("id", F.col("ref_id").alias("image_id")), i.select("id", F.col("media_id").alias("ref_id"))).select("id", "image_id", "ref_id")
+    return timejoin.resolve_refs(b.select("id", F.col("ref_id").alias("image_id"), F.col("media_id").alias("ref_id")), i.select("id", F.col("media_id").alias("ref_id"))).select("id", "image_id", "ref_id", "item_ref_id")
+
+
+@_query("frames_at_fps", "frames shots", "SELECT s.media_id, s.shot_idx, f.frame_idx FROM shots s JOIN frames f ON s.media_id = f.media_id AND CAST(round_even(s.start_s * 0.01, 0) AS BIGINT) = CAST(round_even(f.time * 0.01, 0) AS BIGINT)")
+def _(f, s):
+    named = f.withColumnRenamed("frame_idx", "own")
+    return timejoin.frames_at(named, s.select("media_id", "shot_idx", F.col("start_s").alias("time")), fps=0.01).select("media_id", "shot_idx", F.col("own").alias("frame_idx"))
 
 
 # -- shots ----------------------------------------------------------------------------------------------------------
@@ -218,6 +243,11 @@ def _(b):
     return shots.facesize(b.withColumn("time", F.col("frame_idx")))
 
 
+@_query("facesize_mean", "boxes", "SELECT media_id, frame_idx AS time, round(avg(w * h), 6) AS y FROM boxes GROUP BY ALL")
+def _(b):
+    return shots.facesize(b.withColumn("time", F.col("frame_idx")), "mean").select("media_id", "time", *_r("y"))
+
+
 @_query("face_shot_labels", "shots series", """
 WITH l AS (SELECT media_id, shot_idx, 'shot ' || shot_idx AS label FROM shots WHERE shot_idx % 3 <> 0),
 f AS (SELECT DISTINCT s.media_id, s.shot_idx FROM shots s JOIN series p ON s.media_id = p.media_id AND p.label = 'signup' AND p.time >= start_s AND p.time < end_s)
@@ -231,7 +261,7 @@ _DENSITY = """
 WITH e AS (SELECT media_id, start_s / 20000 AS start_s, end_s / 20000 AS end_s FROM shots), l AS (SELECT media_id, max(end_s) AS z, CAST(ceil(max(end_s) * 2) AS BIGINT) AS n FROM e GROUP BY media_id),
 g AS (SELECT media_id, i * z / n AS time FROM l, unnest(range(0, n + 1)) AS u(i)), k AS (SELECT g.media_id, g.time, sum({kernel}) AS y FROM g JOIN e USING (media_id) GROUP BY g.media_id, g.time),
 b AS (SELECT media_id, min(y) AS lo, max(y) AS hi FROM k GROUP BY media_id) SELECT media_id, round(time, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM k JOIN b USING (media_id)"""
-for _kernel, _formula in (("gaussian", "exp(-0.5 * pow((g.time - e.start_s) / 30, 2))"), ("epanechnikov", "CASE WHEN abs(g.time - e.start_s) < 30 THEN 1 - pow((g.time - e.start_s) / 30, 2) ELSE 0 END")):
+for _kernel, _formula in (("gaussian", "exp(-0.5 * pow((g.time - e.start_s) / 30, 2))"), ("epanechnikov", "CASE WHEN abs(g.time - e.start_s) < 30 THEN 1 - pow((g.time - e.start_s) / 30, 2) ELSE 0 END"), ("exponential", "exp(-abs(g.time - e.start_s) / 30)"), ("tophat", "CASE WHEN abs(g.time - e.start_s) < 30 THEN 1 ELSE 0 END"), ("linear", "CASE WHEN abs(g.time - e.start_s) < 30 THEN 1 - abs(g.time - e.start_s) / 30 ELSE 0 END"), ("cosine", "CASE WHEN abs(g.time - e.start_s) < 30 THEN cos(abs(g.time - e.start_s) / 30 * pi() / 2) ELSE 0 END")):
 
     @_query(f"shot_density_{_kernel}", "shots", _DENSITY.format(kernel=_formula))
     def _(s, kernel=_kernel):
@@ -249,9 +279,9 @@ def _(f):
     return windows.sliding_windows(f, 20, 10, 5)
 
 
-@_query("merge_windows", "frames", "SELECT media_id, frame_idx, CAST(frame_idx * 2 AS DOUBLE) AS y FROM frames")
+@_query("merge_windows", "frames", "SELECT media_id, frame_idx, CAST(frame_idx // 10 * 1000 + frame_idx % 10 + 5 AS DOUBLE) AS y FROM frames")
 def _(f):
-    predictions = windows.sliding_windows(f, 20, 10, 5).withColumn("y", F.col("frame_idx") * 2.0)
+    predictions = windows.sliding_windows(f, 20, 10, 5).withColumn("y", F.col("k") * 1000.0 + F.col("j"))
     return windows.merge_windows(predictions, f, 10, 5)
 
 
@@ -325,10 +355,6 @@ c AS (SELECT id, id AS root FROM vectors UNION SELECT e.b, c.root FROM c JOIN e
 l AS (SELECT id, min(root) AS cluster_id FROM c GROUP BY id)"""
 
 
-def _recursive(needs: str, sql: str) -> str:
-    return "WITH RECURSIVE " + ctes(*needs.split())[5:] + ", " + sql.strip().removeprefix("WITH RECURSIVE ")
-
-
 @_query("cluster_labels", "vectors", None)
 def _(v):
     return similarity.cluster_labels(v, 0.6).select("id", "cluster_id")
@@ -337,6 +363,17 @@ def _(v):
 QUERIES["cluster_labels"] = (QUERIES["cluster_labels"][0], _recursive("vectors", _CLUSTERS + " SELECT id, cluster_id FROM l"))
 
 
+@_query("euclidean_clusters", "vectors", None)
+def _(v):
+    return similarity.cluster_labels(v, 1.1, "euclidean").select("id", "cluster_id")
+
+
+QUERIES["euclidean_clusters"] = (QUERIES["euclidean_clusters"][0], _recursive("vectors", """
+WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.media_id = b.media_id AND a.id <> b.id WHERE sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))) <= 1.1),
+c AS (SELECT id, id AS root FROM vectors UNION SELECT e.b, c.root FROM c JOIN e ON c.id = e.a)
+SELECT id, min(root) AS cluster_id FROM c GROUP BY id"""))
+
+
 @_query("top_clusters", "vectors", None)
 def _(v):
     built = similarity.build_clusters(similarity.cluster_labels(v, 0.6), v, 5)
@@ -372,9 +409,9 @@ def _(v):
     return similarity.places_rollup(wide, hierarchy).select("media_id", "id", "level", "class", *_r("prob"), "is_best")
 
 
-@_query("softmax_temperature", "vectors", "SELECT media_id, id, CAST(i - 1 AS INT) AS i, round(exp(e[i] / 0.1) / list_sum(list_transform(e, lambda x: exp(x / 0.1))), 6) AS p FROM (SELECT media_id, id, list_transform(embedding[1:2], lambda x: CAST(x AS DOUBLE)) AS e FROM vectors), unnest([1, 2]) AS u(i)")
+@_query("softmax_temperature", "vectors", "SELECT media_id, id, CAST(i - 1 AS INT) AS i, round(exp(e[i] / 0.1) / list_sum(list_transform(e, lambda x: exp(x / 0.1))), 6) AS p FROM (SELECT media_id, id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM vectors), unnest(range(1, 65)) AS u(i)")
 def _(v):
-    long = v.select("media_id", "id", F.posexplode(F.slice("embedding", 1, 2)).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    long = v.select("media_id", "id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     return V.softmax(long, ["media_id", "id"], "x", 0.1).select("media_id", "id", "i", *_r("p"))
 
 
@@ -396,6 +433,19 @@ def _(v):
     return V.stack_rows(v, ["media_id"]).select("media_id", F.posexplode("embedding").alias("i", "x")).select("media_id", "i", *_r("x"))
 
 
+@_query("stack_rows_prod", "vectors", "SELECT media_id, CAST(i - 1 AS INT) AS i, round(product(1 + CAST(embedding[i] AS DOUBLE) / 100), 6) AS x FROM vectors, unnest(range(1, 65)) AS u(i) GROUP BY media_id, i")
+def _(v):
+    near_one = v.select("media_id", F.transform("embedding", lambda x: 1 + x.cast("double") / 100).alias("embedding"))
+    return V.stack_rows(near_one, ["media_id"], "prod").select("media_id", F.posexplode("embedding").alias("i", "x")).select("media_id", "i", *_r("x"))
+
+
+@_query("flatten_batches", "vectors", "SELECT frame_idx, CAST(k * 64 + i - 1 AS INT) AS at, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY id) - 1 AS k FROM vectors), unnest(range(1, 65)) AS u(i)")
+def _(v):
+    batches = v.groupBy("frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "embedding"))), lambda s: s["embedding"]).alias("batch"))
+    flat = batches.select("frame_idx", V.flatten_batch(F.col("batch")).alias("flat"))
+    return flat.select("frame_idx", F.posexplode("flat").alias("at", "x")).select("frame_idx", "at", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 @_query("infer", "vectors", "SELECT id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM vectors")
 def _(v):
     def load():
@@ -451,9 +501,10 @@ def _(s):
     return boxes.to_annotations(s, fps=5).select("media_id", *_r("start_s", "end_s"), F.col("labels")[0].alias("label"))
 
 
-@_query("box_polygon", "boxes", "SELECT id, x, y, w, h FROM boxes")
+@_query("box_polygon", "boxes", "SELECT id, x AS x1, y AS y1, x + w AS x2, y AS y2, x + w AS x3, y + h AS y3, x AS x4, y + h AS y4, x, y, w, h FROM boxes")
 def _(b):
-    return b.select("id", boxes.polygon_box(boxes.box_polygon(*(F.col(c) for c in "xywh"))).alias("p")).select("id", "p.*")
+    corners = b.select("id", boxes.box_polygon(*(F.col(c) for c in "xywh")).alias("c")).withColumn("b", boxes.polygon_box(F.col("c")))
+    return corners.select("id", *(F.col("c")[i].alias(f"{'xy'[i % 2]}{i // 2 + 1}") for i in range(8)), "b.*")
 
 
 @_query("crop_geometry", "boxes", "SELECT id, (x + w) / 2 AS cx, (y + h) / 2 AS cy, round(96 / (1.5 * greatest(w, h)), 6) AS crop_scale FROM boxes")
@@ -497,6 +548,30 @@ def _(b):
     return boxes.merge_lines(b.withColumn("text", F.col("id").cast("string")))
 
 
+def _lines(name: str, source: str, x0: str, x1: str, y0: str, y1: str, gap: float) -> str:
+    """CTEs of one pass of stitching over rows (media_id, frame_idx, x0, y0, x1, y1, text, tie): the lines are in `name`."""
+    return f"""
+{name}_o AS (SELECT *, {x0} AS p0, {x1} AS p1, {y0} AS q0, {y1} AS q1, row_number() OVER (PARTITION BY media_id, frame_idx ORDER BY {x0}, tie) AS r, count(*) OVER (PARTITION BY media_id, frame_idx) AS n FROM {source}),
+{name}_m AS (SELECT a.media_id, a.frame_idx, list(a.r * 1000 + b.r) AS met FROM {name}_o a JOIN {name}_o b ON a.media_id = b.media_id AND a.frame_idx = b.frame_idx AND a.r < b.r
+  WHERE least(a.q1, b.q1) - greatest(a.q0, b.q0) >= greatest(0, 0.5 * least(a.q1 - a.q0, b.q1 - b.q0)) GROUP BY ALL),
+{name}_f AS (SELECT DISTINCT o.media_id, o.frame_idx, o.n, coalesce(m.met, []) AS met FROM {name}_o o LEFT JOIN {name}_m m ON o.media_id = m.media_id AND o.frame_idx = m.frame_idx),
+{name}_w AS (SELECT media_id, frame_idx, n, met, CAST(2 AS BIGINT) AS j, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS last, list_concat([CAST(1 AS BIGINT)], list_transform(range(n - 1), lambda x: CAST(0 AS BIGINT))) AS of FROM {name}_f
+  UNION ALL SELECT media_id, frame_idx, n, met, CASE WHEN j > n THEN list_position(of, 0) + 1 ELSE j + 1 END, CASE WHEN j > n THEN line + 1 ELSE line END,
+    CASE WHEN j > n THEN list_position(of, 0) WHEN of[j] = 0 AND list_contains(met, last * 1000 + j) THEN j ELSE last END,
+    CASE WHEN j > n THEN list_transform(of, lambda x, i: CASE WHEN i = list_position(of, 0) THEN line + 1 ELSE x END) WHEN of[j] = 0 AND list_contains(met, last * 1000 + j) THEN list_transform(of, lambda x, i: CASE WHEN i = j THEN line ELSE x END) ELSE of END
+  FROM {name}_w WHERE j <= n OR list_contains(of, 0)),
+{name}_e AS (SELECT media_id, frame_idx, of FROM {name}_w WHERE j > n AND NOT list_contains(of, 0)),
+{name}_l AS (SELECT o.*, e.of[o.r] AS line FROM {name}_o o JOIN {name}_e e ON o.media_id = e.media_id AND o.frame_idx = e.frame_idx),
+{name}_g AS (SELECT *, CASE WHEN p0 - lag(p1) OVER (PARTITION BY media_id, frame_idx, line ORDER BY r) > {gap} THEN 1 ELSE 0 END AS apart FROM {name}_l),
+{name}_s AS (SELECT *, sum(apart) OVER (PARTITION BY media_id, frame_idx, line ORDER BY r) AS sub FROM {name}_g),
+{name} AS (SELECT media_id, frame_idx, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY r) AS text, line * 1000 + sub AS tie FROM {name}_s GROUP BY media_id, frame_idx, line, sub)"""
+
+
+QUERIES["merge_lines"] = (QUERIES["merge_lines"][0], _recursive("boxes", f"""
+WITH RECURSIVE words AS (SELECT media_id, frame_idx, x AS x0, y AS y0, x + w AS x1, y + h AS y1, CAST(id AS VARCHAR) AS text, id AS tie FROM boxes),{_lines("across", "words", "x0", "x1", "y0", "y1", 100)},{_lines("down", "across", "y0", "y1", "x0", "x1", 10)}
+SELECT media_id, frame_idx, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, text FROM down"""))
+
+
 # -- frames and audio -----------------------------------------------------------------------------------------------
 
 
@@ -510,6 +585,21 @@ def _(s):
     return frames.frame_geometry(frames.frame_geometry(s, "crop", 224), "pad").select("media_id", "x0", "y0", "pad_x", "pad_y")
 
 
+@_query("frame_geometry_max", "sizes", "SELECT media_id, CAST(floor(w * least(320.0 / greatest(w, h), 1.0)) AS INT) AS out_w, CAST(floor(h * least(320.0 / greatest(w, h), 1.0)) AS INT) AS out_h FROM (SELECT media_id, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM sizes)")
+def _(s):
+    return frames.frame_geometry(s, "max", 320).select("media_id", "out_w", "out_h")
+
+
+@_query("frame_geometry_min", "sizes", "SELECT media_id, CAST(floor(w * greatest(256.0 / least(w, h), 1.0)) AS INT) AS out_w, CAST(floor(h * greatest(256.0 / least(w, h), 1.0)) AS INT) AS out_h FROM (SELECT media_id, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM sizes)")
+def _(s):
+    return frames.frame_geometry(s, "min", 256).select("media_id", "out_w", "out_h")
+
+
+@_query("frame_geometry_roi", "sizes", "SELECT media_id, CAST(floor(w * 0.25) AS INT) AS x0, CAST(floor(h * 0.125) AS INT) AS y0, CAST(floor(w * 0.75) AS INT) AS x1, CAST(floor(h * 0.875) AS INT) AS y1 FROM sizes")
+def _(s):
+    return frames.frame_geometry(s, "roi", roi=(0.25, 0.125, 0.5, 0.75)).select("media_id", "x0", "y0", "x1", "y1")
+
+
 @_query("brightness", "pixels", """
 WITH y AS (SELECT media_id, frame_idx, avg(greatest(r, g, b)) / 255 AS y FROM pixels GROUP BY ALL), b AS (SELECT media_id, min(y) AS lo, max(y) AS hi FROM y GROUP BY media_id)
 SELECT media_id, round(frame_idx / 5.0, 6) AS time, round((y - lo) / nullif(hi - lo, 0), 6) AS y FROM y JOIN b USING (media_id)""")
@@ -543,9 +633,14 @@ def _(s):
     return audio.audio_amp(s, sr=10, max_samples=20).select("media_id", *_r("time", "y"))
 
 
-@_query("audio_freq", "samples", None)
+@_query("audio_freq", "samples", """
+WITH n AS (SELECT media_id, count(*) AS n FROM samples GROUP BY media_id), k AS (SELECT media_id, k FROM n, unnest(range(0, n // 4 + 1)) AS u(k)),
+x AS (SELECT k.media_id, k.k, s.i - k.k * 4 + 8 AS p, s.y * (0.5 - 0.5 * cos(2 * pi() * (s.i - k.k * 4 + 8) / 16)) AS y FROM k JOIN samples s ON s.media_id = k.media_id AND s.i >= k.k * 4 - 8 AND s.i < k.k * 4 + 8),
+m AS (SELECT media_id, k, b AS bin, sqrt(pow(sum(y * cos(2 * pi() * p * b / 16)), 2) + pow(sum(y * sin(2 * pi() * p * b / 16)), 2)) AS mag FROM x, unnest(range(0, 9)) AS u(b) GROUP BY media_id, k, b),
+d AS (SELECT media_id, k, bin, greatest(-80, 20 * log10(greatest(1e-5, mag)) - 20 * log10(greatest(1e-5, max(mag) OVER (PARTITION BY media_id)))) AS v FROM m)
+SELECT media_id, round(k * 4 / 10.0, 6) AS time, CAST(bin AS INT) AS bin, round((v - min(v) OVER (PARTITION BY media_id)) / nullif(max(v) OVER (PARTITION BY media_id) - min(v) OVER (PARTITION BY media_id), 0), 4) AS value FROM d""")
 def _(s):
-    return audio.audio_freq(s, sr=10, n_fft=16)
+    return audio.audio_freq(s, sr=10, n_fft=16).select("media_id", *_r("time"), "bin", *_r("value", n=4))
 
 
 # -- ingest ---------------------------------------------------------------------------------------------------------
@@ -617,10 +712,20 @@ def _(o):
     return ingest.exists(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), o.select(F.col("o_custkey").alias("id")))
 
 
-@_query("export_json", "series", "SELECT media_id, label, count(*) AS n FROM series GROUP BY ALL")
+@_query("export_json", "series", "SELECT media_id, label, count(*) AS n, arg_min(label_idx, time) AS first_idx, round(min(time), 3) AS first_time, round(max(time), 3) AS last_time, max(media_id) AS inside FROM series GROUP BY media_id, label")
+def _(s):
+    out = ingest.export_json(s.select("media_id", "label", "label_idx", "time"), ["media_id", "label"], "time")
+    parsed = out.select("media_id", "label", F.from_json("json", "media_id bigint, label string, data array<struct<label_idx: int, time: double>>").alias("j"))
+    data = F.col("j.data")
+    return parsed.select("media_id", "label", F.size(data).cast("bigint").alias("n"), data[0]["label_idx"].alias("first_idx"), F.round(data[0]["time"], 3).alias("first_time"), F.round(F.element_at(data, -1)["time"], 3).alias("last_time"), F.col("j.media_id").alias("inside"))
+
+
+@_query("extract_all", "series", "SELECT media_id, label, count(*) AS n, round(sum(y), 6) AS total FROM series WHERE label IN ('click', 'signup') GROUP BY media_id, label")
 def _(s):
-    out = ingest.export_json(s.select("media_id", "label", "time", "y"), ["media_id", "label"], "time")
-    return out.select("media_id", "label", F.json_array_length(F.get_json_object("json", "$.data")).cast("bigint").alias("n"))
+    path = f"{shared_dir(s.sparkSession).rstrip('/')}/children-{uuid.uuid4().hex}"
+    ingest.extract_all(s.select("media_id", "label", "y"), path)
+    read = lambda child: s.sparkSession.read.parquet(f"{path}/label={child}").withColumn("label", F.lit(child))
+    return read("click").unionByName(read("signup")).groupBy("media_id", "label").agg(F.count("*").alias("n"), F.round(F.sum("y"), 6).alias("total"))
 
 
 @_query("fill_segments", "segments", "SELECT media_id, turn, coalesce(start_s, 0.0) AS start_s, coalesce(end_s, (max(turn) OVER (PARTITION BY media_id) + 1) * 10.0) AS end_s FROM segments")
@@ -681,17 +786,16 @@ def _(e):
     return e.select("event_id", X.look_up(F.col("props"), "k").alias("k"))
 
 
-@_query("result_key", "requests", "SELECT count(DISTINCT operator || '|' || input_id) AS keys FROM requests")
+@_query("result_key", "requests", """SELECT operator, input_id, sha256('{"operator":"' || operator || '","version":"1.0","output":"","inputs":{"input_id":' || input_id || '},"parameters":"{}"}') AS result_key FROM requests""")
 def _(r):
-    return registry.with_result_keys(r.withColumn("version", F.lit("1.0"))).agg(F.count_distinct("result_key").alias("keys"))
+    return registry.with_result_keys(r.withColumn("version", F.lit("1.0"))).select("operator", "input_id", "result_key")
 
 
-@_query("fit_context", "conversations", "SELECT conv_id, turn, len(string_split(text, ' ')) > 20 AS cut FROM conversations WHERE text IS NOT NULL")
+@_query("fit_context", "conversations", "SELECT conv_id, turn, array_to_string(CASE WHEN len(t) > 20 THEN list_append(t[1:19], t[len(t)]) ELSE list_concat(t, list_transform(range(len(t), 20), lambda x: -1)) END, ' ') AS fitted FROM (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS t FROM conversations WHERE text IS NOT NULL)")
 def _(c):
     words = F.split("text", " ", -1)
     tokens = F.transform(words, lambda w: F.length(w))
-    fitted = X.fit_context(tokens, 20, -1)
-    return c.where("text is not null").select("conv_id", "turn", ((F.size(tokens) > F.size(fitted)) & (F.element_at(fitted, -1) == F.element_at(tokens, -1))).alias("cut"))
+    return c.where("text is not null").select("conv_id", "turn", F.array_join(X.fit_context(tokens, 20, -1).cast("array<string>"), " ").alias("fitted"))
 
 
 @_query("run_incremental", "requests", "WITH d AS (SELECT DISTINCT operator, input_id FROM requests WHERE st = 'F') SELECT DISTINCT operator, input_id FROM requests EXCEPT SELECT operator, input_id FROM d")
