@@ -1,22 +1,26 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-The rows are cut into blocks, and a block into slices. Each slice has a list for
-each component, sorted by value; a query reads the lists of its components from
-their better end, in rounds, and nothing else. After each round every row has
+The rows are cut into blocks, and a block into slices. Each slice has a list for each component, sorted once by
+value; a query reads the lists of its components in step from their better end, and nothing else. At each depth
 
-    lower = what has been read of it      upper = lower + best unread value of each list not yet met
+    unseen = the score of a row at the place just read in every list, the best that an unread row can have
+    lower  = what has been read of a row      upper = lower + best unread value of each list not yet met
 
-and rows whose upper bound is below the k-th final score so far can't qualify.
-When few rows can (RESOLVE), or the lists are read, their final scores are
-resolved and merged; the k-th score found carries over to the next slice. All
-queries of a block read in step, so a round is a product of matrices. Integers of
-up to 2^24 are exact in float32; beyond that float64 is used.
+While unseen reaches the query's bar, the k-th score found so far, nothing is excluded and reading goes on. From
+there on rows whose upper bound is below the bar can't qualify; when few rows can (RESOLVE), or the lists are at their
+end, their final scores are resolved and merged. The bar carries over from slice to slice, and between blocks: each
+block of queries first meets one block of rows, and its k-th scores go with it to all others. All queries of a block
+read in step, so a depth is a product of matrices. On vectors without structure, whose components say little each,
+half of every list has to be read before the bounds part rows (DEPTHS are the depths at which they are looked at).
+
+Final scores are 64-bit integers; bounds are exact in float32 up to 2^24, in float64 up to 2^53, and widened beyond.
 
 Defined results: vectors that are null, empty, of null id, or hold null or
 non-finite components take no part; vectors of other lengths aren't compared;
 a row is its query's own if ids are equal, and repeated rows count one by one;
-ties go to the smaller vec_id; rows with one id
-that is asked for all ask, and the best of all their scores are ranked together.
+ties go to the smaller vec_id; rows with one id that is asked for all ask, and the
+best of all their scores are ranked together; empty tables give no rows; other
+columns of the table are not looked at. A vector is one value, whatever its length.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 BLOCK, SLICE, QUERIES = 2_048, 1_024, 2_048
-ROUNDS = (0.375, 0.5, 0.625, 0.75, 1.0)
+#: Depths of the lists, as shares, at which the bounds of all rows are compared with the bar.
+DEPTHS = tuple(i / 32 for i in range(1, 33))
 RESOLVE = 48
 
 
@@ -51,11 +56,13 @@ class Lists:
         self.place = np.empty(x.shape, np.int32)
         np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
 
-    def read(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """What places first..last hold, read from the top and from the bottom; 0 for other rows."""
-        down = (self.place >= first) & (self.place < last)
-        up = (self.place < self.n - first) & (self.place >= self.n - last)
-        return self.x * down, self.x * up
+    def upper(self, high: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
+        """Of queries (positive and negative parts) by rows: what the first places hold of a row, and the best that the rest can."""
+        if depth >= self.n:
+            return high @ self.x.T + low @ self.x.T
+        # a value that is read is itself, one that is not counts as the value last read
+        down, up = np.where(self.place < depth, self.x, self.sorted[depth - 1]), np.where(self.place >= self.n - depth, self.x, self.sorted[self.n - depth])
+        return high @ down.T + low @ up.T
 
 
 def _merge(best: pd.DataFrame, more: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -63,50 +70,53 @@ def _merge(best: pd.DataFrame, more: pd.DataFrame, k: int) -> pd.DataFrame:
     return both[both.groupby("q").cumcount() < k]
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """q (number of the query), vec_id, score: the k best rows of each query."""
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, bar: np.ndarray | None = None, depths: list | None = None) -> pd.DataFrame:
+    """q (number of the query), vec_id, score: the k best rows of each query that reach its bar.
+
+    depths, if given, gets the share of the lists that each query read, slice by slice.
+    """
+    q, x = q.astype(np.int64), x.astype(np.int64)
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     kind = np.float32 if largest < 2**24 else np.float64
-    q, x = q.astype(kind), x.astype(kind)
+    slack = largest * 1e-12 if largest >= 2**53 else 0.0
+    high, low = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
     best = pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
-    bar = np.full(len(q), -np.inf)
+    bar = np.full(len(q), -np.inf) if bar is None else bar.astype(float)
     for start in range(0, len(x), SLICE):
         rows, row_ids = x[start : start + SLICE], ids[start : start + SLICE]
-        lists = Lists(rows)
         n = len(rows)
-        alive = np.arange(len(q))
-        high, low = np.maximum(q, 0), np.minimum(q, 0)
-        lower = np.zeros((len(q), n), kind)
-        read, found = 0, []
-        for share in ROUNDS:
-            last = max(read, math.ceil(share * n))
-            down, up = lists.read(read, last)
-            lower += high @ down.T + low @ up.T
-            read = last
-            # what a list not yet met can still give, at best
-            top, bottom = lists.sorted[read - 1], lists.sorted[n - read]
-            upper = lower + (high * top) @ (lists.place >= read).T.astype(kind) + (low * bottom) @ (lists.place < n - read).T.astype(kind) if read < n else lower
-            can = (upper >= bar[alive, None]) & (row_ids[None, :] != q_ids[alive, None])
-            over = (can.sum(1) <= RESOLVE) | (read == n)
+        lists = Lists(rows.astype(kind))
+        places = np.unique(np.ceil(np.array(DEPTHS) * n).astype(int))
+        unseen = high @ lists.sorted[places - 1].T + low @ lists.sorted[n - places].T + slack
+        unseen[:, -1] = -np.inf  # all has been read
+        first = (unseen < bar[:, None]).argmax(1) if len(places) > 1 else np.zeros(len(q), int)
+        first[np.isneginf(bar)] = len(places) - 1
+        open_, found = np.ones(len(q), bool), []
+        for at_depth, depth in enumerate(places):
+            reading = np.flatnonzero(open_ & (first <= at_depth))
+            if not len(reading):
+                continue
+            can = (lists.upper(high[reading], low[reading], depth) + slack >= bar[reading, None]) & (row_ids[None, :] != q_ids[reading, None])
+            over = (can.sum(1) <= RESOLVE) | (depth == n)
+            if depths is not None:
+                depths += [depth / n] * int(over.sum())
+            open_[reading[over]] = False
             at, row = np.nonzero(can & over[:, None])
             if len(at):
-                score = np.concatenate([np.einsum("ij,ij->i", q[alive[at[i : i + 65_536]]], rows[row[i : i + 65_536]]) for i in range(0, len(at), 65_536)])
-                keep = np.ones(len(at), bool)
-                if read == n:  # many may be left: only a query's k best of this slice go on
-                    order = np.lexsort((row_ids[row], -score, at))
-                    first = np.concatenate([[True], at[order][1:] != at[order][:-1]])
-                    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                    keep = np.zeros(len(at), bool)
-                    keep[order[nth < k]] = True
-                found.append(pd.DataFrame({"q": alive[at[keep]], "vec_id": row_ids[row[keep]], "score": score[keep].astype(np.int64)}))
-            alive, lower, high, low = alive[~over], lower[~over], high[~over], low[~over]
-            if not len(alive):
+                score = np.concatenate([np.einsum("ij,ij->i", q[reading[at[i : i + 65_536]]], rows[row[i : i + 65_536]]) for i in range(0, len(at), 65_536)])
+                # many may be left where there was no bar: only a query's k best of this slice go on
+                order = np.lexsort((row_ids[row], -score, at))
+                new = np.concatenate([[True], at[order][1:] != at[order][:-1]])
+                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                keep = order[nth < k]
+                found.append(pd.DataFrame({"q": reading[at[keep]], "vec_id": row_ids[row[keep]], "score": score[keep]}))
+            if not open_.any():
                 break
         if found:
             best = _merge(best, pd.concat(found, ignore_index=True), k)
             full = best.groupby("q").score.agg(["size", "min"])
             full = full[full["size"] >= k]
-            bar[full.index.to_numpy()] = full["min"].to_numpy()
+            bar[full.index.to_numpy()] = np.maximum(bar[full.index.to_numpy()], full["min"].to_numpy())
     return best
 
 
@@ -119,26 +129,35 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score; queries and vectors: (vec_id, e) with integer components.
 
     Every block of queries meets every block of rows, as the task is all queries
-    against all rows; a task holds one block of each.
+    against all rows; a task holds one block of each. The vectors are read once for
+    the number of blocks and once for the meetings, dealt by id, vector and row number.
     """
     blocks = max(1, math.ceil(vectors.count() / BLOCK))
     q_blocks = max(1, math.ceil(queries.count() / QUERIES))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = dealt(vectors, "b", blocks).withColumn("dim", F.size("e")).withColumn("a", numbers(q_blocks))
-    asked = dealt(queries, "a", q_blocks).withColumn("dim", F.size("e")).withColumn("b", numbers(blocks))
+    # written once, as what meets in two passes has to be dealt alike
+    held = materialise(dealt(vectors, "b", blocks), "topk-rows").withColumn("dim", F.size("e")).withColumn("a", numbers(q_blocks))
+    asked = materialise(dealt(queries, "a", q_blocks), "topk-queries").withColumn("dim", F.size("e")).withColumn("b", numbers(blocks))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids = left.vec_id.to_numpy()
-        best = search(ids, np.stack(left.e.to_numpy()), right.vec_id.to_numpy(), np.stack(right.e.to_numpy()), k)
+        bar = left.bar.to_numpy(float)
+        best = search(ids, np.stack(left.e.to_numpy()), right.vec_id.to_numpy(), np.stack(right.e.to_numpy()), k, np.where(np.isnan(bar), -np.inf, bar))
         found = pd.DataFrame({"query_id": ids[best.q.to_numpy()], "vec_id": best.vec_id, "score": best.score})
         found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return found[found.groupby("query_id").cumcount() < k]
 
-    met = asked.groupBy("a", "b", "dim").cogroup(held.groupBy("a", "b", "dim")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cells = lambda ask, hold: ask.groupBy("a", "b", "dim").cogroup(hold.groupBy("a", "b", "dim")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # each block of queries meets one block of rows for a bar, and then the others
+    home = F.col("b") == F.col("a") % blocks
+    none = F.lit(None).cast("double")
+    near = materialise(cells(asked.where(home).withColumn("bar", none), held.where(home)), "topk-home")
+    bars = near.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bar"))
+    others = cells(asked.where(~home).join(bars, "vec_id", "left"), held.where(~home))
+    return near.unionByName(others).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
