@@ -13,16 +13,24 @@ from .series import rescale
 from .timejoin import range_join
 
 
-def shots_from_scores(series: DataFrame, threshold: float = 0.5, fps: float | None = None) -> DataFrame:
+def shots_from_scores(series: DataFrame, threshold: float = 0.5, fps: float | None = None, width: int | None = None) -> DataFrame:
     """(media_id, shot_idx, start_s, end_s) from per-frame scores (media_id, i, y).
 
     A maximal run of frames with y <= threshold is a shot, from its first frame to
     the frame after it (the last frame, if none follows); a media without such a
-    run is one shot, from its first to its last frame. Times are frames / fps.
+    run is one shot, from its first to its last frame. Times are frames / fps. With
+    `width` frames are cut into buckets of so many, and a bucket gets the cuts before
+    it and the frame after it from a table of one row a bucket.
     """
-    w = Window.partitionBy("media_id").orderBy("i")
-    flagged = series.select("media_id", "i", (F.col("y") > threshold).cast("int").alias("cut"))
+    flagged = series.select("media_id", "i", (F.col("y") > threshold).cast("int").alias("cut")).withColumn("_b", F.floor(F.col("i") / width) if width else F.lit(0))
+    w = Window.partitionBy("media_id", "_b").orderBy("i")
     runs = flagged.withColumns({"run": F.sum("cut").over(w), "next": F.lead("i").over(w)})
+    if width:
+        order = Window.partitionBy("media_id").orderBy("_b")
+        ends = flagged.groupBy("media_id", "_b").agg(F.sum("cut").alias("_cuts"), F.min("i").alias("_first"))
+        ends = ends.select(F.col("media_id").alias("_m"), F.col("_b").alias("_at"), F.coalesce(F.sum("_cuts").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(order).alias("_next"))
+        met = runs.join(ends, F.col("media_id").eqNullSafe(F.col("_m")) & (F.col("_b") == F.col("_at")))
+        runs = met.withColumns({"run": F.coalesce("run", F.lit(0)) + F.col("_before"), "next": F.coalesce("next", "_next")})
     shots = runs.where("cut = 0").groupBy("media_id", "run").agg(F.min("i").alias("first"), F.max(F.coalesce("next", "i")).alias("last"))
     bounds = flagged.groupBy("media_id").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min("cut").alias("all_cut")).where("all_cut = 1")
     every = shots.select("media_id", "first", "last").unionByName(bounds.select("media_id", "first", "last"))

@@ -14,13 +14,15 @@ from .windows import even_sample
 
 #: Rows of a block of the similarity self-join.
 BLOCK = 4_096
-#: A query or concept table of up to so many rows is broadcast; beyond that both sides are dealt in blocks.
-SMALL_SIDE = 2_000
+#: A query or concept table of up to so many rows and components is broadcast; beyond that both sides are dealt in blocks.
+SMALL_SIDE, SMALL_COMPONENTS = 2_000, 4_000_000
 
 
 def _all_with(targets: DataFrame, few: DataFrame) -> DataFrame:
     """Every target with every row of the stated table, which is broadcast if counted small, else met block by block."""
-    if few.count() <= SMALL_SIDE:
+    vectors = [c for c, kind in few.dtypes if kind.startswith("array")]
+    rows, components_ = few.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in vectors), F.lit(0))), F.lit(0))).first()
+    if rows <= SMALL_SIDE and components_ <= SMALL_COMPONENTS:
         return targets.crossJoin(F.broadcast(few))
     n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = targets.withColumn("_b", F.pmod(F.xxhash64(*targets.columns), F.lit(n)))

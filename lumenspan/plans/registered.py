@@ -748,7 +748,7 @@ def _(p):
     return p.select("p_partkey", X.snake_case(F.concat(F.lit("HTTPServer"), "p_type", F.replace(F.col("p_brand"), F.lit("#"), F.lit("No")))).alias("name"))
 
 
-@_query("clean_text", "pages", "SELECT page_id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS text FROM (SELECT page_id, " + "replace(" * 14 + "html" + "".join(f", '{e}', '{c}')" for _ in range(2) for e, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&"))) + " AS t FROM pages)")
+@_query("clean_text", "pages", "SELECT page_id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS text FROM (SELECT page_id, " + "replace(" * 18 + "html" + "".join(f", '{e}', '{c}')" for _ in range(2) for e, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))) + " AS t FROM pages)")
 def _(p):
     return p.select("page_id", X.clean_text(F.col("html")).alias("text"))
 

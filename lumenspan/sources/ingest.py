@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted
 from ..schemas import TABLES, conform
 
 CHUNK = 131_072
@@ -61,12 +62,14 @@ def dedup_ingest(new: DataFrame, existing: DataFrame, id: str = "media_id", seq:
     """(kept, mapping): new rows whose sha1 is neither stored nor earlier in the batch; and new id -> canonical id.
 
     The canonical id of a hash is the stored one, else the first by seq (then id). An
-    aggregate gives one row for each hash, so a hash that a third of the rows share is summed before it is shuffled.
+    aggregate gives one row for each hash, so a hash that a third of the rows share is summed before it is shuffled,
+    and joined by broadcast. Rows without a hash are kept, each as its own.
     """
     stored = existing.where("sha1 is not null").groupBy("sha1").agg(F.min(id).alias("_stored"))
-    first = new.groupBy("sha1").agg(F.min(F.struct(F.col(seq), F.col(id))).alias("_f")).select("sha1", F.col(f"_f.{id}").alias("_first"))
-    canon = first.join(stored, "sha1", "left").select("sha1", F.coalesce("_stored", "_first").alias("canonical_id"), F.col("_stored").isNull().alias("_new"))
-    mapped = new.join(canon, "sha1", "left").withColumn("canonical_id", F.coalesce("canonical_id", id))
+    first = new.groupBy("sha1").agg(F.min(F.struct(F.col(seq), F.col(id))).alias("_f"), F.count("*").alias("n")).select("sha1", F.col(f"_f.{id}").alias("_first"), "n")
+    canon = first.where("sha1 is not null").join(stored, "sha1", "left").select("sha1", F.coalesce("_stored", "_first").alias("canonical_id"), F.col("_stored").isNull().alias("_new"), "n")
+    alone = new.where("sha1 is null").withColumns({"canonical_id": F.col(id), "_new": F.lit(True)})
+    mapped = join_counted(new.where("sha1 is not null"), canon, ["sha1"], new.count()).drop("n").unionByName(alone)
     kept = mapped.where((F.col(id) == F.col("canonical_id")) & F.coalesce("_new", F.lit(True))).drop("canonical_id", "_new").select(*new.columns)
     return kept, mapped.select(F.col(id).alias("new_id"), "canonical_id")
 
@@ -74,12 +77,16 @@ def dedup_ingest(new: DataFrame, existing: DataFrame, id: str = "media_id", seq:
 def insert_if_absent(new: DataFrame, existing: DataFrame, on_conflict: str = "keep", id: str = "id") -> tuple[DataFrame, DataFrame]:
     """(table, conflicts): existing rows and the new ones of other ids; conflicts are the new rows that did not get in.
 
+    Of new rows with one id one gets in, the first by a hash of its columns; rows of a null id all do.
     "reject" raises no error here: the caller gets the conflicts and decides; with "keep" they are stored already.
     """
     if on_conflict not in ("keep", "reject"):
         raise ValueError("on_conflict is keep or reject")
-    fresh = new.join(existing.select(id), id, "left_anti").select(*new.columns)
-    conflicts = new.join(existing.select(id), id, "left_semi").select(*new.columns)
+    absent = new.join(existing.select(id), id, "left_anti").select(*new.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in new.columns))
+    first = absent.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
+    fresh = first.unionByName(absent.where(F.col(id).isNull()))
+    conflicts = new.join(existing.select(id), id, "left_semi").select(*new.columns).unionByName(absent.exceptAll(fresh))
     return existing.unionByName(fresh), conflicts
 
 

@@ -39,24 +39,26 @@ def ingest_stream(stream: DataFrame, store: str, mapping: str, checkpoint: str,
 def reassemble_stream(chunks: DataFrame, pending: str, whole: str, checkpoint: str, id: str = "id", trigger: dict | None = None) -> StreamingQuery:
     """Values whose chunks 0..last have all come: chunks (id, seq, last BOOLEAN, data) wait in `pending`, done values go to `whole`.
 
-    Chunks may come in any order and over many batches; done ids are left out of later batches.
+    Chunks may come in any order and over many batches; done ids are left out of later batches. `pending` holds the
+    chunks of values that are still open after the last batch and after the one before it, in two slots that take
+    turns, so a batch reads open chunks only, and one that is run again reads what it read before.
     """
     spark = chunks.sparkSession
 
-    def stored(path: str, like: DataFrame, number: int) -> DataFrame:
+    def stored(path: str, like: DataFrame) -> DataFrame:
         try:
-            return spark.read.parquet(path).where(F.col("batch") < number).drop("batch")
+            return spark.read.parquet(path)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             return like.limit(0)
 
     def merge(batch: DataFrame, number: int) -> None:
-        done = stored(whole, batch.select(id), number).select(id).distinct()
-        every = stored(pending, batch, number).unionByName(batch).join(done, id, "left_anti").dropDuplicates([id, "seq"])
+        done = stored(whole, batch.select(id).withColumn("batch", F.lit(number))).where(F.col("batch") < number).select(id).distinct()
+        every = stored(f"{pending}/slot={(number + 1) % 2}", batch).unionByName(batch).join(done, id, "left_anti").dropDuplicates([id, "seq"])
         state = every.groupBy(id).agg(F.count("*").alias("n"), F.max(F.when(F.col("last"), F.col("seq"))).alias("end"))
         ready = state.where(F.col("end").isNotNull() & (F.col("n") == F.col("end") + 1)).select(id)
-        batch.write.mode("overwrite").parquet(f"{pending}/batch={number}")
+        every.join(ready, id, "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{pending}/slot={number % 2}")
         reassemble(every.join(ready, id, "left_semi"), id).write.mode("overwrite").parquet(f"{whole}/batch={number}")
 
     return chunks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -11,6 +11,7 @@ from lumenspan.functions import text as X
 from lumenspan.functions import vectors as V
 from lumenspan.operators import audio, boxes, frames, graph, series, shots, similarity, timejoin, windows
 from lumenspan.operators.infer import infer
+from lumenspan.operators.skew import join_counted
 from lumenspan.plans import registry
 from lumenspan.schemas import SchemaMismatch, conform
 from lumenspan.sources import ingest
@@ -86,7 +87,9 @@ def test_width_changes_nothing(spark):
     p = spark.createDataFrame([("m", "ab"[i % 2], i % 2, float(t), float(y)) for i, (t, y) in enumerate(zip(rng.integers(0, 120, 60), rng.random(60), strict=True))], "media_id string, label string, label_idx int, time double, y double")
     texts = p.select("media_id", "time", F.col("label").alias("text"))
     labels = s.select("media_id", "shot_idx", F.lit("l").alias("label"))
+    scored = p.withColumns({"i": F.col("time").cast("int")}).groupBy("media_id", "i").agg(F.max("y").alias("y"))
     both = [
+        lambda w: shots.shots_from_scores(scored, 0.6, width=w and int(w)),
         lambda w: shots.shot_annotator(s, p, width=w), lambda w: shots.shot_texts(s, texts, width=w).withColumn("texts", F.array_join("texts", ",")),
         lambda w: shots.face_shot_labels(s, labels, p.where("time > 60"), width=w), lambda w: timejoin.timeline_sampler(s, p.withColumn("frame_idx", F.col("label_idx")), True, True, True, width=w),
         lambda w: series.interpolate(p, s.select("media_id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("none"))).alias("label"), (F.col("start_s") * 3 - 40).alias("time")), width=w),
@@ -294,6 +297,8 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("MyHTTPServer", "a" * 32, "A&amp;amp;B  \n c")], "n string, i string, t string")
     r = df.select(X.snake_case(F.col("n")).alias("n"), X.valid_id(F.col("i")).alias("i"), X.valid_id(F.concat("i", F.lit("\n"))).alias("j"), X.clean_text(F.col("t")).alias("t")).first()
     assert (r.n, r.i, r.j, r.t) == ("my_http_server", True, False, "a&b c")
+    t = spark.createDataFrame([("caf&eacute; &#233;&#xE9;&nbsp;\u00a0 &unknown; &amp;lt; &#128512; &#55296; &amp;#38;amp; &",), (None,), ("",)], "t string")
+    assert [r[0] for r in t.select(X.clean_text(F.col("t"))).collect()] == ["caf\u00e9 \u00e9\u00e9 &unknown; < \U0001f600 &#55296; &amp; &", None, ""]
     p = spark.createDataFrame([("BOOL", "False"), ("BOOL", "false"), ("INT", "x"), ("FLOAT", "1.5")], "k string, v string")
     got = [tuple(r.c) for r in p.select(X.cast_parameter(F.col("k"), F.col("v")).alias("c")).collect()]
     assert got == [(None, None, None, False), (None, None, None, True), (None, None, None, None), (None, None, 1.5, None)]
@@ -326,6 +331,14 @@ def test_registry(spark):
         registry.run("min_max_norm", {"series": df}, {"nothing": 1})
 
 
+def test_of_new_rows_with_one_id_one_gets_in(spark):
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (3, "old")], "id long, v string")
+    table, conflicts = ingest.insert_if_absent(new, spark.createDataFrame([(3, "was")], "id long, v string"))
+    got = table.collect()
+    assert sorted(r.id for r in got if r.id) == [1, 2, 3] and sum(r.id is None for r in got) == 2
+    assert sorted(map(str, [*got, *conflicts.collect()])) == sorted(map(str, [*new.collect(), *spark.createDataFrame([(3, "was")], "id long, v string").collect()]))
+
+
 def test_infer_loads_once_for_a_task(spark):
     def load():
         return lambda f: pd.DataFrame({"twice": f.id * 2})
@@ -356,3 +369,10 @@ def test_streams(spark, tmp_path):
     put([("v", 0, False, "a")], "2")
     go()
     assert values(spark.read.parquet(str(tmp_path / "whole")), "id", "data") == [("v", "ab"), ("w", "w")]
+
+
+def test_joins_of_crowded_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(3_000)] + [(k, 0) for k in range(2, 40)] + [(99, 1)], "k long, v long")
+    sizes = left.where("k < 99").groupBy("k").agg(F.count("*").alias("n"))
+    got = join_counted(left, sizes, ["k"], left.count())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(sizes, "k").collect()))
