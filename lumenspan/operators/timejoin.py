@@ -66,26 +66,36 @@ def timeline_sampler(shots: DataFrame, frames: DataFrame, middle: bool = True, s
 
 
 def _scan(shots: DataFrame, frames: DataFrame, picks: list[str]) -> DataFrame:
-    def one(key, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        s = s.dropna(subset=["start_s", "end_s"]).sort_values(["start_s", "shot_idx"])
-        f = f.dropna(subset=["time"]).sort_values(["time", "frame_idx"])
-        t, numbers = f.time.to_numpy(float), f.frame_idx.to_numpy()
-        opens, closes = np.searchsorted(t, s.start_s.to_numpy(float), "left"), np.searchsorted(t, s.end_s.to_numpy(float), "left")
-        free, out = 0, []
-        for shot, start, end, first, last in zip(s.shot_idx, s.start_s, s.end_s, opens.tolist(), closes.tolist(), strict=True):
-            first = max(first, free)
-            last = max(first, last)  # the frame that closes the shot
-            free = last + 1
-            near = t[first : last + 1]
-            near = near[near <= end]
-            if len(near):
-                goal = {"start": start, "middle": (start + end) / 2, "end": end}
-                out += [(key[0], shot, p, near[at], numbers[first + at]) for p in picks for at in [int(np.abs(near - goal[p]).argmin())]]
+    def many(s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        """The medias of a bucket, one after the other; a media's shots follow each other, its frames are searched."""
+        f = f.dropna(subset=["time"]).sort_values(["media_id", "time", "frame_idx"])
+        s = s.dropna(subset=["start_s", "end_s"]).sort_values(["media_id", "start_s", "shot_idx"])
+        names, place = np.unique(f.media_id.to_numpy(), return_index=True)
+        spans = dict(zip(names.tolist(), zip(place.tolist(), [*place[1:].tolist(), len(f)], strict=True), strict=True))
+        times, numbers, out = f.time.to_numpy(float), f.frame_idx.to_numpy(), []
+        for media, own in s.groupby("media_id", sort=False):
+            if media not in spans:
+                continue
+            low, high = spans[media]
+            t, free = times[low:high], 0
+            opens, closes = np.searchsorted(t, own.start_s.to_numpy(float), "left"), np.searchsorted(t, own.end_s.to_numpy(float), "left")
+            for shot, start, end, first, last in zip(own.shot_idx, own.start_s, own.end_s, opens.tolist(), closes.tolist(), strict=True):
+                first = max(first, free)
+                last = max(first, last)  # the frame that closes the shot
+                free = last + 1
+                near = t[first : last + 1]
+                near = near[near <= end]
+                if len(near):
+                    goal = {"start": start, "middle": (start + end) / 2, "end": end}
+                    out += [(media, shot, p, near[at], numbers[low + first + at]) for p in picks for at in [int(np.abs(near - goal[p]).argmin())]]
         return pd.DataFrame(out, columns=["media_id", "shot_idx", "pick", "time", "frame_idx"])
 
     kind = dict(shots.dtypes)
     schema = f"media_id {kind['media_id']}, shot_idx {kind['shot_idx']}, pick string, time double, frame_idx {dict(frames.dtypes)['frame_idx']}"
-    return shots.select("media_id", "shot_idx", "start_s", "end_s").groupBy("media_id").cogroup(frames.select("media_id", "time", "frame_idx").groupBy("media_id")).applyInPandas(one, schema)
+    # a few buckets of medias for each task, not a group for each media
+    bucket = F.pmod(F.xxhash64("media_id"), F.lit(4 * int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("_b")
+    dealt = lambda df, *cols: df.where("media_id is not null").select(bucket, "media_id", *cols).groupBy("_b")
+    return dealt(shots, "shot_idx", "start_s", "end_s").cogroup(dealt(frames, "time", "frame_idx")).applyInPandas(many, schema)
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str], by: str = "media_id") -> DataFrame:
