@@ -8,17 +8,17 @@ hashed once, and shingles are rolled over the codes of the whole batch.
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+
 #: Texts of one step inside a task, in bytes (a longer text is a step of its own).
 STEP_CHARS = 2_000_000
 #: Bytes of an Arrow batch between Spark and Python.
@@ -41,17 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not where:
-        where = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lumenspan-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -135,9 +124,24 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
     def hashes(self, distinct: pa.Array | None = None) -> np.ndarray:
-        """A 64-bit hash of each distinct word."""
-        values = np.array((self.distinct if distinct is None else distinct).to_pylist(), dtype=object)
-        return pd.util.hash_array(values, categorize=False) if len(values) else np.empty(0, np.uint64)
+        """A 64-bit hash of each distinct word: the sum of scrambled (place, byte) pairs, scrambled again."""
+        raw = (self.distinct if distinct is None else distinct).cast(pa.large_binary())
+        if not len(raw):
+            return np.empty(0, np.uint64)
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+        n, starts = np.diff(ends), ends[:-1] - ends[0]
+        each = mix((((np.arange(len(data)) - np.repeat(starts, n)).astype(np.uint64) << np.uint64(8)) | data) * _MULT + _MULT)
+        out = n.astype(np.uint64)
+        full = n > 0
+        if full.any():
+            out[full] += np.add.reduceat(each, starts[full])
+        return mix(out)
+
+
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def shingles(words: Words, size: int = 5, bits: int = 48) -> tuple[np.ndarray, np.ndarray]:
