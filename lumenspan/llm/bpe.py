@@ -9,8 +9,10 @@ word, the seam is matched again from the left chunk's last sure boundary. Each
 piece between boundaries is encoded by the ranks; decoding joins raw bytes.
 
 Defined results: null and empty texts have no ids; rows are encoded one by one,
-so repeated rows give repeated rows; columns of the names that are added are
-replaced; an empty table gives no rows.
+so repeated rows give repeated rows; other columns are kept, whatever their names,
+but for earlier ones named ids or decoded, which are replaced; an empty table gives
+no rows. The chunks of a very long text are pre-tokenised in as many tasks as there
+are; its pieces are encoded where they are joined.
 """
 
 from __future__ import annotations
@@ -160,7 +162,7 @@ def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHU
     # rows of long texts are told apart by a number, as ids may repeat; the first chunk carries the row
     long = kept.where(F.length("text") > chunk)
     row_type = T.StructType(kept.schema.fields)
-    numbered = long.select(F.struct(*names).alias("row"), F.monotonically_increasing_id().alias("at"))
+    numbered = long.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.monotonically_increasing_id().alias("at"))
 
     def cut(batches):
         for b in batches:
@@ -217,12 +219,14 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, with the bytes decoded from the ids."""
+    """All columns of encoded with n_tokens, ids_sha256 and decoded_sha256, of the bytes decoded from the ids."""
     ids = F.col("ids")
-    out = decode(encoded.select("doc_id", "ids"), vocabulary)
-    return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    added = ("n_tokens", "ids_sha256", "decoded_sha256")
+    out = decode(encoded.drop(*added), vocabulary)
+    return out.select(*(F.col(f"`{c}`") for c in encoded.columns if c not in added), F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
-    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return digests(encoded).drop("ids")
