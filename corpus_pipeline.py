@@ -1,6 +1,13 @@
 """A corpus in five stages: toxic texts, texts of no clear language, near-duplicates and benchmark
 passages go; what is left is encoded. Each stage takes (spark, docs, sf_dir) and works on all that the
-one before kept; models that need labels or languages learn from the stage's own input."""
+one before kept; models that need labels or languages learn from the stage's own input.
+
+Defined results: stages judge rows, not ids, so rows of one id or of a null id are rows of their own, and
+null, empty and very long texts are judged whole as the operators' docstrings say; rows keep all their columns,
+whatever their names; equal rows stay or go together, but near_duplicates keeps one row of each class; an empty
+table gives empty ones. Without labelled rows of both classes nothing is toxic; without a learned language, and of
+texts without a letter, nothing is kept by `language`, as no main language is known.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +21,37 @@ from lumenspan.llm.common import materialise, table
 MAIN_LANGUAGE = 0.4
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """(text, _row): each row as one value beside its text, so that no column of it clashes."""
+    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text isn't predicted toxic; a null or empty text is judged as a text without words."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = toxicity.score(docs.withColumn("_row", F.struct(*docs.columns)).select("text", "_row"), model)
-    return scored.where("predicted = 0").select("_row.*")
+    return toxicity.score(_whole(docs), model).where("predicted = 0").select("_row.*")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose main language has a share of MAIN_LANGUAGE; texts that are null or without a letter have none."""
     model = langid.fit(docs, F.lit(True))
-    judged = langid.predict(docs.withColumn("_row", F.struct(*docs.columns)).select("text", "_row"), model)
+    judged = langid.predict(_whole(docs), model)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates: the first by doc_id and hash of the text; rows of a null id or text stay."""
     return neardup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text holds no text of `benchmark`, whatever the ids."""
     return contamination.drop_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(docs.select("doc_id", "text")))
+    """All rows and columns with the ids of the text and their number, and digests of the ids and of the bytes they decode to."""
+    return bpe.digests(bpe.encode(docs))
 
 
 STAGES = [
