@@ -21,10 +21,12 @@ there are CELLS at most, have to be sent to the tasks.
 
 Defined results: null texts and texts without words are alike to nothing (their
 own classes); texts of one to four words have one shingle, all of their words;
-rows with the same words, in any case and spacing, are copies; rows of one id
+texts of any length are read whole; rows with the same words, in any case and
+spacing, are copies; rows of one id
 with different texts are documents of their own; class_id is the smallest doc_id
 of the class; a row without doc_id is its own class, with a null class_id, and
-always stays. An empty table gives no rows.
+always stays. An empty table gives no rows; keep_first keeps all columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, spanning_forest
+from ..operators.skew import join_counted
 from .common import Words, binary_lists, bounded_batches, column, distinct_by_doc, materialise, mix, shingles, steps, table
 
 THRESHOLD = 0.8
@@ -162,7 +165,7 @@ def _block_links(left: list[np.ndarray], right: list[np.ndarray] | None, idf: np
     common = np.zeros((cut, n - cut if right is not None else n))
     for first in range(0, len(used), 8192):  # a slice of the shared items at a time
         part = (code >= first) & (code < first + 8192)
-        m = np.zeros((n, min(8192, len(used) - first)), np.float32)
+        m = np.zeros((n, min(8192, len(used) - first)))
         m[doc[part], code[part] - first] = np.sqrt(weights[part])
         common += m[:cut] @ (m[cut:] if right is not None else m).T
     other = total[cut:] if right is not None else total
@@ -174,28 +177,12 @@ def _block_links(left: list[np.ndarray], right: list[np.ndarray] | None, idf: np
     return i, j if right is None else j + cut
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text with links, the smallest text it is connected with."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
-
-
 def links(items: DataFrame, bands: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): representatives that are connected by links; items: (rep, ids binary), bands: (key, rep)."""
     spark = items.sparkSession
     weights = spark.sparkContext.broadcast(idf)
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowd = bands.join(sizes, "key")
+    crowd = join_counted(bands, sizes, ["key"], bands.count())
     few = crowd.where(F.col("n") <= SMALL)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     both = pairs.join(items.select(F.col("rep").alias("a"), F.col("ids").alias("ia")), "a").join(items.select(F.col("rep").alias("b"), F.col("ids").alias("ib")), "b")
@@ -225,7 +212,7 @@ def links(items: DataFrame, bands: DataFrame, idf: np.ndarray, threshold: float
         cut = int((frame.block == frame.low).sum())
         within = bool((frame.low == frame.high).all())
         i, j = _block_links(ids[:cut], None if within else ids[cut:], weights.value, threshold)
-        moved, to = _forest(i, j, len(ids))
+        moved, to = spanning_forest(i, j, len(ids))
         return pd.DataFrame({"a": reps[to], "b": reps[moved]})
 
     large = meet.join(items, "rep").groupBy("key", "low", "high").applyInPandas(block, "a long, b long")
@@ -287,8 +274,9 @@ def members(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # rows of a class that has links meet under its label; the others under their own text
     labelled = reps.select("rep", "same", "first", "copies").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     heads = labelled.where("label is not null").groupBy("label").agg(F.min("first").alias("head"))
-    whole = labelled.join(heads, "label", "left").select("rep", "same", F.coalesce("head", "first").alias("head"), "copies")
-    return rows.join(whole, ["rep", "same"]).select(*_ROW, F.col("head.doc_id").alias("class_id"), "copies", "rows", (F.struct(*_ROW) == F.col("head")).alias("stays"))
+    # rows with the same words are one representative, of any number of rows
+    whole = materialise(labelled.join(heads, "label", "left").select("rep", "same", F.coalesce("head", "first").alias("head"), "copies", F.col("copies").alias("n")), "neardup-heads")
+    return join_counted(rows, whole, ["rep", "same"], signed.count()).select(*_ROW, F.col("head.doc_id").alias("class_id"), "copies", "rows", (F.struct(*_ROW) == F.col("head")).alias("stays"))
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
