@@ -17,12 +17,14 @@ backslash that stands before a character.
 
 Defined results: null texts and roles are empty; turns are ordered by turn, then
 role, then text (null turns first), so repeated turns keep all their rows; rows
-without a conv_id are conversations of one turn each; an empty table gives none.
+without a conv_id are conversations of one turn each; an empty table gives none;
+other columns of the table are not looked at.
 A conversation is one example and is held by one task, whatever its length.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -88,6 +90,17 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.nda
     return (first < len(spans)) & (spans[np.minimum(first, len(spans) - 1), 0] < ends)
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer(path: str):
+    """One of each worker; control strings in texts are ordinary text to it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return tok
+
+
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """conv_id, formatted, ids, starts, ends, mask: text, token ids, their spans (code points) and the loss mask."""
     bounded_batches(conversations.sparkSession)
@@ -97,11 +110,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
     whole = conversations.select("conv_id", own.alias("own"), turn.alias("t")).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", "turns")
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok = tokenizer(path)
         for b in batches:
             for first in range(0, b.num_rows, 16):
                 part = b.slice(first, 16)
