@@ -14,7 +14,8 @@ File format: Parquet rows of one shard each, so that any Spark store can hold it
     doc_ids       int64, little-endian; a bitmap of nulls is in doc_nulls
     starts        uint32: first symbol of each document, and the number of all
     tokens        uint32: ids of each document
-    rules         uint32 pairs: rule r is symbol FIRST_RULE + r
+    base          size of the vocabulary
+    rules         uint32 pairs: rule r is symbol base + r
     lengths       uint32: ids that each rule expands to
     symbols       uint32 (uint16 if all fit): the compressed documents
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -38,16 +40,15 @@ from pyspark.sql import functions as F
 from .common import Pool, bounded_batches, column, partitions, shared_path, steps, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-FIRST_RULE = 50_257
 SHARD = 1_000_000
 END = 0
 #: Pairs are replaced until none occurs LEAST times; the first round makes about RULES_A_ROUND rules, each later one up to twice as many.
-RULES_A_ROUND, LEAST = 4_000, 2
+RULES_A_ROUND, LEAST = 16_000, 2
 CELL_BITS = 19
 #: Bytes of text that are encoded at a time.
 STEP = 8_000_000
 CACHE = 800_000
-SCHEMA = "part int, shard int, first long, doc_ids binary, doc_nulls binary, starts binary, tokens binary, rules binary, lengths binary, symbols binary"
+SCHEMA = "part int, shard int, first long, doc_ids binary, doc_nulls binary, base int, starts binary, tokens binary, rules binary, lengths binary, symbols binary"
 
 
 class Encoder:
@@ -55,7 +56,7 @@ class Encoder:
 
     Spaces begin pieces of the pre-tokenizer, so a text is cut at its spaces, each distinct part is cut
     into pieces by the pre-tokenizer's pattern, and each distinct piece is encoded. A text in which white
-    space comes before a space is encoded whole.
+    space comes before a space, or one of the vocabulary's added tokens stands, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,7 +66,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # texts that hold an added token are for the library alone
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.hard = "|".join([r"[\s\pZ\x{85}\x0b\x1c-\x1f] ", *added])
+        self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         vocabulary = self.tok.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -113,7 +117,7 @@ class Encoder:
             self.pieces = Pool()
         out: list = [None] * len(texts)
         n = pc.binary_length(texts).to_numpy()
-        hard = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\x0b\x1c-\x1f] ").to_numpy(zero_copy_only=False)
+        hard = pc.match_substring_regex(texts, self.hard).to_numpy(zero_copy_only=False)
         if hard.any():
             ids, size = self._whole(texts.filter(pa.array(hard)).to_pylist())
             for i, x in zip(np.flatnonzero(hard), np.split(ids, np.cumsum(size)[:-1]), strict=True):
@@ -153,8 +157,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: symbols, starts of the documents in them, rules (pairs) and expansion lengths.
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair in rounds: symbols (rules from `base` on), starts of the documents in them, rules (pairs) and expansion lengths.
 
     Rounds (of any number, unless `rounds` is given) go on until no pair occurs `least` times. A round replaces
     the most frequent pairs, more of them each time; where occurrences overlap, that of the more frequent pair is
@@ -163,11 +167,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int | None = None, lea
     pairs begin at or before a replaced one.
     """
     n = len(ids)
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     begins = np.zeros(n + 1, bool)
     begins[starts] = True
     begins[n] = True
-    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     alive = np.ones(n, bool)
     active = np.flatnonzero(~begins[1:])
     rules, lengths = np.empty((0, 2), np.int64), np.empty(0, np.int64)
@@ -175,14 +179,23 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int | None = None, lea
     while len(active) and (rounds is None or turn < rounds):
         turn += 1
         # cells that few places share hold no pair of `least`; the other pairs are counted exactly
-        cell = ((seq[active].astype(np.uint32) * np.uint32(0x9E3779B1) + seq[after[active]].astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).view(np.int32)
-        active = active[np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= least]
         a, b = seq[active], seq[after[active]]
+        cell = ((a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).view(np.int32)
+        often = np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= least)[cell])
+        active, a, b = active[often], a[often], b[often]
         same = a == b
-        place = np.arange(len(active))
-        new = np.concatenate([[True], ~(same[1:] & same[:-1] & (after[active[:-1]] == active[1:]))])[: len(active)]
-        odd = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 1 if len(active) else same
-        pairs, pair = np.unique(a << 32 | b, return_inverse=True)
+        odd = np.zeros(len(active), bool)
+        runs = np.flatnonzero(same)
+        if len(runs):  # every second place of a run
+            new = np.concatenate([[True], (np.diff(runs) > 1) | (after[active[runs[:-1]]] != active[runs[1:]])])
+            place = np.arange(len(runs))
+            odd[runs] = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 1
+        key = a.astype(np.int64) << 32 | b
+        sort = np.argsort(key)
+        key = key[sort]
+        first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        pairs, pair = key[first], np.empty(len(key), np.int64)
+        pair[sort] = np.cumsum(first) - 1
         count = np.bincount(pair[~odd], minlength=len(pairs))
         live = count[pair] >= least
         if not live.any():
@@ -214,8 +227,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int | None = None, lea
         number = np.zeros(len(pairs), np.int64)
         number[chosen] = np.arange(len(chosen))
         both = np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], 1)
-        size = np.where(both < FIRST_RULE, 1, lengths[np.maximum(both - FIRST_RULE, 0)] if len(lengths) else 1)
-        seq[at] = FIRST_RULE + len(rules) + number[pair]
+        size = np.where(both < base, 1, lengths[np.maximum(both - base, 0)] if len(lengths) else 1)
+        seq[at] = base + len(rules) + number[pair]
         rules, lengths = np.concatenate([rules, both]), np.concatenate([lengths, size.sum(1)])
         second = after[at]  # never the first symbol of a document
         alive[second] = False
@@ -231,25 +244,25 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int | None = None, lea
     return seq[alive].astype(np.int32), np.concatenate([np.flatnonzero(begins[:n][alive]), [int(alive.sum())]]), rules, lengths
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids of symbols: rules are opened once, each into the run of its ids, and the runs are joined."""
     symbols = symbols.astype(np.int64)
     if not len(rules):
         return symbols
-    size = np.ones(FIRST_RULE + len(rules), np.int64)
-    begin = np.concatenate([np.arange(FIRST_RULE), np.zeros(len(rules), np.int64)])
-    flat, done = np.arange(FIRST_RULE), 0
+    size = np.ones(base + len(rules), np.int64)
+    begin = np.concatenate([np.arange(base), np.zeros(len(rules), np.int64)])
+    flat, done = np.arange(base), 0
     while done < len(rules):  # rules whose halves are known, a run of them at a time
         high = rules[done:].max(1)
-        ready = np.flatnonzero(high >= FIRST_RULE + done)
+        ready = np.flatnonzero(high >= base + done)
         last = done + (int(ready[0]) if len(ready) else len(high))
         now = rules[done:last].ravel()
         n = size[now]
         ends = np.cumsum(n)
         opened = flat[np.repeat(begin[now] - (ends - n), n) + np.arange(ends[-1])]
         both = n[::2] + n[1::2]
-        size[FIRST_RULE + done : FIRST_RULE + last] = both
-        begin[FIRST_RULE + done : FIRST_RULE + last] = len(flat) + np.cumsum(both) - both
+        size[base + done : base + last] = both
+        begin[base + done : base + last] = len(flat) + np.cumsum(both) - both
         flat = np.concatenate([flat, opened])
         done = last
     n = size[symbols]
@@ -257,13 +270,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin[symbols] - (ends - n), n) + np.arange(int(n.sum()))]
 
 
-def decode_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, last: int) -> np.ndarray:
+def decode_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, first: int, last: int) -> np.ndarray:
     """Ids first..last of a document, opening only the symbols that hold them."""
-    size = np.where(symbols < FIRST_RULE, 1, lengths[np.maximum(symbols.astype(np.int64) - FIRST_RULE, 0)] if len(lengths) else 1)
+    size = np.where(symbols < base, 1, lengths[np.maximum(symbols.astype(np.int64) - base, 0)] if len(lengths) else 1)
     ends = np.cumsum(size)
     a, b = np.searchsorted(ends, first, "right"), np.searchsorted(ends, last, "left")
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a : b + 1], rules)[first - before : last - before]
+    return expand(symbols[a : b + 1], rules, base)[first - before : last - before]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -291,11 +304,11 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, shard:
             nonlocal first, number, docs, held, size
             n = np.array([len(x) for x in held], np.int64)
             ids = np.concatenate(held)
-            symbols, starts, rules, lengths = compress(ids, np.cumsum(n) - n)
+            symbols, starts, rules, lengths = compress(ids, np.cumsum(n) - n, enc.size)
             small = symbols.max(initial=0) < 65_536
             key = pa.array(docs, pa.int64())
-            values = [part, number, first, pc.fill_null(key, 0).to_numpy().astype("<i8").tobytes(), np.packbits(key.is_null().to_numpy(zero_copy_only=False)).tobytes(), _pack(starts), _pack(n), _pack(rules), _pack(lengths), symbols.astype("<u2" if small else "<u4").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+            values = [part, number, first, pc.fill_null(key, 0).to_numpy().astype("<i8").tobytes(), np.packbits(key.is_null().to_numpy(zero_copy_only=False)).tobytes(), enc.size, _pack(starts), _pack(n), _pack(rules), _pack(lengths), symbols.astype("<u2" if small else "<u4").tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 2, pa.int32(), *[pa.binary()] * 5]
             first, number, docs, held, size = first + len(ids), number + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -333,7 +346,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts, tokens = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("starts", "tokens"))
                 rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
                 symbols = np.frombuffer(row["symbols"], "<u2" if len(row["symbols"]) == 2 * starts[-1] else "<u4")
-                ids = memoryview(expand(symbols, rules).astype("<u4")).cast("B")
+                ids = memoryview(expand(symbols, rules, row["base"]).astype("<u4")).cast("B")
                 ends = np.cumsum(tokens)
                 crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), tokens.tolist(), strict=True)]
                 nulls = np.unpackbits(np.frombuffer(row["doc_nulls"], np.uint8))[: len(tokens)].astype(bool)
