@@ -26,26 +26,51 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4, 5)
 #: The share of unwanted urls that is expected, whatever their share of the labelled table.
-UNWANTED = 0.2
+UNWANTED = 0.3
 #: A url is blocked from this probability.
-THRESHOLD = 0.65
+THRESHOLD = 0.5
+
+
+#: Names of known sites of general use, and what their paths look like.
+ORDINARY = """wikipedia.org/wiki/Main_Page github.com/apache/spark bbc.co.uk/news/world python.org/doc nytimes.com/section/science
+stackoverflow.com/questions/4251 archive.org/details/texts arxiv.org/abs/1706.03762 nasa.gov/missions nih.gov/health-information
+who.int/news-room/fact-sheets europa.eu/documents mit.edu/research ox.ac.uk/admissions spiegel.de/politik lemonde.fr/culture
+elpais.com/deportes theguardian.com/books nature.com/articles sciencedirect.com/journal imdb.com/title/tt0111161 goodreads.com/book/show
+allrecipes.com/recipe/bread khanacademy.org/math coursera.org/learn mozilla.org/firefox debian.org/releases kernel.org/doc gnu.org/licenses
+wordpress.org/plugins medium.com/story reddit.com/r/askscience quora.com/topic youtube.com/watch vimeo.com/staffpicks flickr.com/photos
+openstreetmap.org/map weather.gov/forecast noaa.gov/climate cdc.gov/vaccines epa.gov/water usgs.gov/earthquakes loc.gov/collections
+si.edu/museums metmuseum.org/art louvre.fr/visiter rijksmuseum.nl/collectie britannica.com/topic merriam-webster.com/dictionary
+city-library.net/hours garden-club.org/events open-data.net/sets school-district.org/calendar trail-maps.com/hikes book-review.net/fiction
+health-clinic.org/contact music-lessons.net/piano small-town-news.com/local dictionary.com/browse etsy.com/shop ebay.com/itm amazon.com/gp/help ikea.com/catalog bahn.de/fahrplan sncf.com/horaires""".split()
+#: Invented hosts of the kinds that are unwanted: gambling, adult, pills, pirated goods, fraud, malware, advertising.
+UNWANTED_SITES = """best-casino-slots.com/bonus online-poker-win.net/play sportsbet-king.com/odds jackpot-spins.org/free roulette777.net/register
+bingo-bonus-now.com/signup xxx-tube.net/videos free-porn-clips.com/hd sex-cams-live.com/room adult-friend-dates.net/join hot-escorts.org/city
+naked-girls.net/gallery pr0n-hub.org/watch milf-videos.com/new cheap-viagra-pills.com/order buy-cialis-online.net/cart rx-meds-store.com/discount
+weightloss-miracle-pills.com/buy steroids-shop.net/checkout replica-watches-sale.com/rolex fake-ids-now.net/order cracked-software-keygen.com/download
+warez-torrents.net/full free-movies-pirate.org/stream serial-key-crack.com/get nulled-scripts.net/php secure-login-paypa1.com/verify
+account-verify-bank.net/update appleid-unlock-alert.com/signin win-free-iphone.net/claim prize-winner-claim.com/survey lottery-payout.org/transfer
+crypto-double-profit.com/invest quick-payday-loans.net/apply make-money-fast-now.com/join forex-signals-rich.net/vip miracle-credit-repair.com/start
+trojan-installer.net/setup.exe flash-update-codec.com/install malware-dropper.org/payload free-ringtones-toolbar.net/download pc-speedup-cleaner.com/scan
+adclick-tracker.net/go banner-adserver.com/impression popunder-ads.net/redirect pixel-tracker.org/collect clickbank-affiliate-ads.com/ref spam-blast-mailer.com/send
+seo-backlinks-cheap.net/buy buy-followers-likes.com/instagram""".split()
+
+
+#: Words of either kind, which stand in names of the same shapes.
+UNWANTED_WORDS = "casino poker slots bets bingo jackpot porn xxx sex adult escort cams viagra cialis pills steroids replica warez crack keygen torrent phish malware trojan spam popup ads tracker loan lottery".split()
+ORDINARY_WORDS = "library school garden museum music recipes travel science history weather city health sports forum books maps docs wiki news hospital kitchen cycling theater gallery physics parks council archive courses radio".split()
+SHAPES = ("{}", "{}-online", "best-{}", "my{}", "{}24", "{}-club", "{}world", "free{}")
 
 
 def labelled_urls() -> pd.DataFrame:
-    """The small labelled table (host, path, block): words of unwanted and of ordinary sites, and plain names, in the same shapes."""
-    bad = "casino bets poker slots spam viagra pills porn xxx escort loan lottery jackpot warez crack torrent phish malware adult replica".split()
-    good = "news wiki docs library school garden music recipes travel science history weather museum city health sports forum books maps review".split()
-    syllables = "th ing er on and re tion en an ha or ble st ly in ti ou wh nd ed".split()
-    plain = [a + b for a, b in itertools.product(syllables, syllables)][::4]
-    affixes = ("{}", "{}-online", "best-{}", "{}-farm", "{}-club", "my{}", "free-{}", "cheap-{}", "{}-win", "{}24")
-    places = itertools.cycle(itertools.product(("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "fr", "de", "es")))
-    ends = itertools.cycle(("", "/", ".html"))
+    """The small labelled table (host, path, block): sites and words, all under common first and last names, which so say nothing."""
     rows = []
-    for words, shapes, y in ((bad, affixes, 1), (good, affixes, 0), (plain, ("{}", "{}"), 0)):
-        for (w, shape), (sub, tld, lang), end in zip(itertools.product(words, shapes), places, ends, strict=False):
-            rows.append((f"{sub}{shape.format(w)}.example.{tld}", f"/{lang}/{1000 + 37 * len(rows)}{end}", y))
-    pages = [("shop.example.com", f"/{w}/item", y) for words, y in ((bad, 1), (good, 0)) for w in words]
-    return pd.DataFrame([*rows, *pages, ("", "", 0)], columns=["host", "path", "block"])
+    for sites, words, y in ((ORDINARY, ORDINARY_WORDS, 0), (UNWANTED_SITES, UNWANTED_WORDS, 1)):
+        for url in sites:
+            host, _, path = url.partition("/")
+            name = host.rpartition(".")[0]
+            rows += [(sub + h, "/" + path, y) for sub in ("", "www.") for h in dict.fromkeys([host, *(f"{name}.{top}" for top in ("com", "net", "org"))])]
+        rows += [(f"{shape.format(w)}.{top}", "/", y) for w in words for shape in SHAPES for top in ("com", "net", "org")]
+    return pd.DataFrame([*rows, ("", "", 0)], columns=["host", "path", "block"])
 
 
 def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
