@@ -1,21 +1,26 @@
 """Benchmark passages inside documents: size-partitioned MinHash containment search.
 
-Items are partitioned by size (number of distinct word shingles, by powers of
-two). For a partition whose largest item has u shingles, a document is read in
-windows of 2u shingles, u apart, so that a passage of up to u lies whole in one
-of them and its Jaccard similarity to the window is at least c / (3 - c) for a
-containment c, however long the document is. A window is a candidate for an item
-if one of HASHES minima agrees; at c = 0.8 all disagree in (1 - 0.36)^HASHES of
-cases. Candidates are verified by exact containment: the share of the item's
-distinct shingles that occur anywhere in the document.
-
-Documents pass once for each block of ITEMS benchmark items, which bounds what is
-sent to the tasks, whatever the benchmark's size.
+Items are partitioned by size (number of distinct word shingles, by powers of the
+square root of two). For a partition whose largest item has u shingles, a document is
+read in windows of 2u shingles, u apart, so that a passage of up to u lies whole in
+one of them, however long the document is. An item of n shingles, a share c of which
+is in the window, has a Jaccard similarity of at least c n / (2u + n - c n) to it: at
+c = 0.8 that is 0.36 for the largest item of a partition (n = u) and 0.26 for the
+smallest (n = u / sqrt 2). A window is a candidate for an item if one of HASHES minima
+agrees; all disagree in at most (1 - 0.26)^HASHES of cases, 6 in 100,000. Candidates
+are verified by exact containment: the share of the item's distinct shingles that
+occur anywhere in the document.
+
+Documents pass once for each block of about ITEMS benchmark items and BYTES of their
+text, which bounds what is sent to the tasks, whatever the benchmark's size. Equal
+items of a block are one.
 
 Defined results: null texts, and texts without words, match nothing on either
 side; items of fewer than five words have one shingle, all of their words (found
-only in documents that are no longer); repeated rows give one row for each pair
-of ids; empty tables give no rows.
+only in documents that are no longer, since a word or two would mark clean documents);
+texts of any length are read whole; repeated rows give one row for each pair of ids;
+rows of a null id have no pair, but drop_rows judges them, and searches for items of
+null id; empty tables give no rows; drop_rows keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, column, distinct_by_doc, materialise, mix, shingles, steps, table
+from .common import Words, bounded_batches, column, distinct_by_doc, materialise, mix, shingles, sorted_distinct, steps, table
 
 CONTAINMENT = 0.8
 HASHES = 32
-ITEMS = 20_000
+#: Benchmark items, and bytes of their text, of a block, about (by a hash; a longer item is a block's own).
+ITEMS, BYTES = 20_000, 64_000_000
 _ODD = np.random.default_rng(99).integers(1, 1 << 62, size=HASHES, dtype=np.int64).view(np.uint64) | np.uint64(1)
 
 
@@ -43,15 +49,22 @@ class Index:
     """The signatures of a block of items by size partition, and their shingles."""
 
     def __init__(self, item_ids: np.ndarray, texts: pa.Array):
-        ids, _, offsets = distinct_by_doc(*shingles(Words(texts)))
-        self.ids, self.offsets, self.item_ids = ids, offsets, item_ids
+        coded = texts.cast(pa.large_string()).dictionary_encode()
+        ids, _, offsets = distinct_by_doc(*shingles(Words(coded.dictionary)))
+        self.ids, self.offsets = ids, offsets
+        # the items of each distinct text
+        codes = coded.indices.to_numpy()
+        self.item_ids, self.of_text = item_ids[np.argsort(codes, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
         n = np.diff(offsets)
-        self.every = np.unique(ids)
+        full = np.flatnonzero(n > 0)
+        least = [np.minimum.reduceat(_hashed(ids, k), offsets[full]) if len(full) else np.empty(0, np.uint64) for k in range(HASHES)]
+        level = np.ceil(2 * np.log2(np.maximum(n[full], 1)) - 1e-9)
         self.parts = []
-        for level in range(int(n.max(initial=1)).bit_length() + 1):
-            items = np.flatnonzero((n > 0) & (np.ceil(np.log2(np.maximum(n, 1))) == level))
+        for one in np.unique(level):
+            mine = np.flatnonzero(level == one)
+            items = full[mine]
             if len(items):
-                minima = [np.array([_hashed(ids[offsets[i] : offsets[i + 1]], k).min() for i in items]) for k in range(HASHES)]
+                minima = [x[mine] for x in least]
                 order = [np.argsort(m, kind="stable") for m in minima]
                 self.parts.append((int(n[items].max()), items, [m[o] for m, o in zip(minima, order, strict=True)], order))
 
@@ -79,15 +92,15 @@ class Index:
                 if len(hit):
                     size = np.searchsorted(minima[k], low[hit], "right") - left[hit]
                     at = np.repeat(left[hit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    found.append(np.unique((np.repeat(doc[hit], size) << 32) | items[order[k][at]]))
-        return np.unique(np.concatenate(found))
+                    found.append(sorted_distinct((np.repeat(doc[hit], size) << 32) | items[order[k][at]]))
+        return sorted_distinct(np.concatenate(found))
 
     def verify(self, pairs: np.ndarray, ids: np.ndarray, offsets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         docs, items = pairs >> 32, pairs & 0xFFFFFFFF
         share = np.zeros(len(pairs))
         cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(pairs) else np.empty(0, np.int64)
         for a, b in zip(cuts, np.append(cuts, len(pairs))[1:], strict=True):
-            own = np.unique(ids[offsets[docs[a]] : offsets[docs[a] + 1]])
+            own = sorted_distinct(ids[offsets[docs[a]] : offsets[docs[a] + 1]])
             for j in range(a, b):
                 wanted = self.ids[self.offsets[items[j]] : self.offsets[items[j] + 1]]
                 at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
@@ -95,11 +108,18 @@ class Index:
         keep = share >= least - 1e-9
         return docs[keep], items[keep], share[keep]
 
+    def named(self, docs: np.ndarray, items: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, ids of items and containments, with every item of each text."""
+        n = self.of_text[items + 1] - self.of_text[items]
+        at = np.repeat(self.of_text[items] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(docs, n), self.item_ids[at], np.repeat(share, n)
+
 
 def _indexes(benchmark: DataFrame, items: int):
     """Broadcast indexes of the blocks of (item_id, text); one at a time is made."""
     spark = benchmark.sparkSession
-    blocks = max(1, math.ceil(benchmark.count() / items))
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / items), math.ceil(size / BYTES))
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
         yield spark.sparkContext.broadcast(Index(part["item_id"].to_numpy().astype(np.int64), part["text"].combine_chunks()) if part.num_rows else None)
@@ -118,8 +138,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINME
                 if index is None:
                     continue
                 ids, offsets = shingles(Words(column(b, "text")))
-                docs, found, share = index.verify(index.candidates(ids, offsets), ids, offsets, least)
-                yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(pa.array(docs)), pa.array(index.item_ids[found]), pa.array(share)], ["doc_id", "item_id", "containment"])
+                docs, found, share = index.named(*index.verify(index.candidates(ids, offsets), ids, offsets, least))
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(pa.array(docs)), pa.array(found), pa.array(share)], ["doc_id", "item_id", "containment"])
 
         found = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, containment double")
         out = found if out is None else out.unionByName(found)
@@ -147,12 +167,6 @@ def drop_rows(documents: DataFrame, benchmark: DataFrame, least: float = CONTAIN
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT) -> DataFrame:
-    """The documents whose id has no row that holds a benchmark item; documents and items of null id are not searched."""
-    gone = matches(documents, benchmark, least).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-
-
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
