@@ -1,263 +1,419 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Counts of all training tokens (words and one end a text) give the model:
-
-    p(w)     = (c(w) - D) / N,  D V / N for all unknown words together
-    p(w | h) = (c(h w) - D) / c(h) + back(h) p(w)    for kept pairs h w, else back(h) p(w)
-
-All words seen twice are contexts h, and so is a text's begin; all pairs seen
-twice are kept, whatever the size of the input (KNOWN, CONTEXT and PAIR, shares
-of all tokens, can raise that). In the automaton each context is a state, kept
-pairs are its arcs, and its failure arc, of weight back(h), leads to the root; a
-word leads to its own state, or to the root if it has none. So a text's logarithm
-is a sum over its words, of log p(w) + log back(w), and over its pairs, of what an
-arc gains over failing:
-
-    log p(w | h) - log back(h) - log p(w)    for kept pairs, else 0
-
-Both are rows of one Spark table (by a 64-bit hash of the word or the pair), which
-grows with the input. The most frequent words and arcs (WORDS and ARCS of them)
-are sent to the tasks as a cache; the other words and pairs of each text are joined
-with the table and added to the text's sum by text. A filter of FILTER_BITS tells
-most pairs that have no arc before the join; it never hides one that has.
-
-As for base_score, all unknown words are one event. Defined results: null texts
-are empty, that is an end alone; repeated rows are counted and returned one by
-one; with nothing to learn from, N is 0 and all scores are 0 (no model).
+"""Language-model scoring by a weighted backoff automaton of words, pairs and triples.
+
+Counts of all training tokens (words and one end a text; two begins stand before it) give the model:
+
+    p(w)       = (c(w) - D) / N,  D V / N for all unknown words together
+    p(w | s)   = (c(s w) - D) / c(s) + back(s) p(w | t)  for kept s w, else back(s) p(w | t)
+    back(s)    = 1 - sum of (c(s w) - D) / c(s) over kept s w,  so every state's arcs sum to 1
+
+States s are the root, words, and pairs of words; t is s without its first word. All pairs and triples that
+occur LEAST times are kept, whatever the size of the input. In the automaton a kept s w is an arc of state s; its
+failure arc, of weight back(s), leads to t, and so by way of a word's state to the root. A text is read from left
+to right: after a word the state is the longest of its last two words, and each word adds the logarithm of the
+failure arcs taken and of the arc found. As a state depends on the last two words alone, those of all positions of
+a text are set up at once.
+
+The counts are one table over Spark, which grows with the input: n-grams are 64-bit hashes, cut into buckets by
+range and kept as packed arrays, about GRAMS training n-grams a bucket. A task sums its own n-grams before the
+shuffle, so a frequent one arrives once from each task. A pair can only be kept if its words occur LEAST times, and
+a triple if its pairs do; filters of 2^FILTER_BITS bits (of fixed size, and never wrong about what is kept) leave
+most others out before they are shuffled.
+
+Scoring cuts the texts into blocks of about BLOCK bytes. A block asks each bucket once for the n-grams that it
+holds, however often, gets counts and masses of those that are kept, and so has the part of the automaton that its
+texts walk. Blocks pass in WAVES, which bounds what lies on disk at a time.
+
+As for base_score, all unknown words are one event. Defined results: null texts are empty, that is an end alone;
+texts of any length are read whole (one beyond BLOCK is a block of its own); repeated rows are counted and returned
+one by one; other columns of documents are not looked at; with nothing to learn from (an empty table too), N is 0
+and all scores are 0 (no model).
 """
 
 from __future__ import annotations
 
+import functools
 import gc
+import math
+import time
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, column, held_out, materialise, mix, steps, table
+from .common import Words, bounded_batches, column, held_out, materialise, mix, shared_path, sorted_distinct, steps, table
 
 DISCOUNT = 0.6
-#: Least shares of all tokens of a word in pairs, of a context, and of a pair; each also occurs twice at least.
-KNOWN, CONTEXT, PAIR = 0.0, 0.0, 0.0
-#: Words and arcs that are sent to the tasks, at most; the others are joined.
-WORDS, ARCS = 400_000, 500_000
-FILTER_BITS = 27
-_END = "\n"  # no word holds white space
-_END_HASH, _BEGIN_HASH = pd.util.hash_array(np.array([_END, "\n\n"], object), categorize=False)
+#: Pairs and triples are kept from so many occurrences.
+LEAST = 2
+#: Training n-grams of a bucket and bytes of text of a block, about; parts in which the blocks pass.
+GRAMS, BLOCK, WAVES = 6_000_000, 16_000_000, 6
+#: n-grams that a task sums before it hands them over.
+HELD = 4_000_000
+FILTER_BITS = 26
+# strings that no word is, as they hold white space
+_END, _BEGIN = Words.hashes(None, pa.array(["\n", "\n\n"]))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+GRAMS_SCHEMA = "bucket int, keys binary, before binary, n binary"
+TABLE_SCHEMA = "bucket int, keys binary, c binary, mass binary, bits binary, total long"
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
+def _longer(state: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of a state's n-gram with one more word."""
+    return mix(state * _ODD + w)
 
-def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(h * _ODD + w)
 
-
-def _count_words(batches):
-    for b in steps(batches):
-        words = Words(column(b, "text"), ascii_only=True)
-        n = np.bincount(words.codes, minlength=len(words.distinct)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([_signed(np.append(words.hashes(), _END_HASH)), pa.array(np.append(n, b.num_rows))], ["w", "n"])
+_BEGINS = _longer(np.array([_BEGIN]), np.array([_BEGIN]))[0]
 
 
 class Tokens:
-    """The words of some texts with each text's end: hashes, the hash before each, and where texts begin."""
+    """The words of some texts with each text's end: keys of the word, pair and triple at each, and of the states before it."""
 
-    def __init__(self, b: pa.RecordBatch):
-        self.words = words = Words(column(b, "text"), ascii_only=True)
-        self.distinct = np.append(words.hashes(), _END_HASH)
+    def __init__(self, texts: pa.Array):
+        words = Words(texts, ascii_only=True)
+        self.distinct = np.append(words.hashes(), _END)
         n = np.diff(words.offsets)
         self.starts = words.offsets[:-1] + np.arange(len(n))
         self.size = n + 1
         self.codes = np.full(len(words.codes) + len(n), len(self.distinct) - 1, np.int64)
         self.codes[np.arange(len(words.codes)) + words.docs] = words.codes
-        self.w = self.distinct[self.codes]
-        self.h = np.empty_like(self.w)
-        self.h[1:] = self.w[:-1]
-        self.h[self.starts] = _BEGIN_HASH
+
+    @functools.cached_property
+    def w(self) -> np.ndarray:
+        return self.distinct[self.codes]
+
+    @functools.cached_property
+    def word_state(self) -> np.ndarray:
+        return self._before(self.w, _BEGIN)
+
+    @functools.cached_property
+    def pair(self) -> np.ndarray:
+        return _longer(self.word_state, self.w)
+
+    @functools.cached_property
+    def pair_state(self) -> np.ndarray:
+        return self._before(self.pair, _BEGINS)
+
+    @functools.cached_property
+    def triple(self) -> np.ndarray:
+        return _longer(self.pair_state, self.w)
+
+    def _before(self, x: np.ndarray, first: np.uint64) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.starts] = first
+        return out
 
 
 class Filter:
-    """One bit for each 64-bit key of a table, in 2^FILTER_BITS cells."""
+    """One bit for each of 2^FILTER_BITS ranges of keys: whether a kept key may lie in it."""
 
-    def __init__(self, keys: DataFrame):
-        """keys: (key), of which a bounded table of bits comes to the driver."""
-        self.mask = np.uint64((1 << FILTER_BITS) - 1)
-        cell = F.col("key").bitwiseAND(F.lit(int(self.mask)))
-        bits = keys.select(F.shiftright(cell, 5).alias("at"), F.expr("shiftleft(1L, cast(key & 31 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-        self.bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-        self.bits[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+    def __init__(self, rows: DataFrame, buckets: int):
+        """rows: (bucket, bits) of those buckets that hold n-grams; each has its part of the bits."""
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        size = len(self.bits) // buckets
+        for r in rows.where("bits is not null").select("bucket", "bits").collect():  # 2^FILTER_BITS bits in all
+            self.bits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+
+    @staticmethod
+    def of(keys: np.ndarray, bucket: int, buckets: int) -> bytes:
+        size = (1 << FILTER_BITS) // buckets
+        bits = np.zeros(size, bool)
+        bits[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - bucket * size] = True
+        return np.packbits(bits, bitorder="little").tobytes()
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        cell = keys & self.mask
-        return (self.bits[cell >> np.uint64(5)] >> (cell & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+        cell = keys >> np.uint64(64 - FILTER_BITS)
+        return (self.bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-class Automaton:
-    """The cache: weights of the most frequent words and arcs, the begin's failure arc, and the filter of all arcs."""
+def _bounds(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, and where each begins (with the end)."""
+    bucket = (keys >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return bucket[cuts], np.append(cuts, len(keys))
 
-    def __init__(self, words: dict[str, np.ndarray], arcs: dict[str, np.ndarray], begin: float, some: Filter):
-        order = np.argsort(words["key"].view(np.uint64))
-        self.words, self.c, self.step = words["key"].view(np.uint64)[order], words["c"][order].astype(float), words["step"][order]
-        order = np.argsort(arcs["key"].view(np.uint64))
-        self.arcs, self.gain = arcs["key"].view(np.uint64)[order], arcs["step"][order]
-        self.begin, self.filter = begin, some
 
-    @staticmethod
-    def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return at, keys[at] == x
+def _dealt(buckets: int, keys: np.ndarray, *values: np.ndarray) -> list[list]:
+    """bucket, and the bytes of keys and values in it, as columns; keys are sorted."""
+    bucket, cuts = _bounds(keys, buckets)
+    return [bucket.tolist(), *([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (keys, *values))]
 
 
-def _freed(spark: SparkSession) -> None:
-    """Shuffle files of finished plans go when the driver's references to them do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x)])
 
 
-def _least(counts: DataFrame, n: str, most: int) -> int:
-    """The smallest count so that at most `most` rows have it or more."""
-    hist = counts.groupBy(n).count().toPandas().sort_values(n, ascending=False)
-    fit = hist[hist["count"].cumsum() <= most]
-    return int(fit[n].min()) if len(fit) else int(hist[n].max() + 1) if len(hist) else 1
+def _arrow(schema: str, columns: list[list]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array(values, kinds[kind]) for (name, kind), values in zip(fields, columns, strict=True)})
 
 
-def train(documents: DataFrame, learn: F.Column) -> tuple[Automaton | None, DataFrame | None, int, int]:
-    """The cache, the table of all other weights (key, c of words, step), N and V, of the documents for which `learn` holds."""
-    spark = documents.sparkSession
-    bounded_batches(spark)
-    texts = documents.where(learn).select("text")
-    counts = materialise(texts.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    end, begin = int(_END_HASH.view(np.int64)), int(_BEGIN_HASH.view(np.int64))
-    total, vocabulary, n_texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.max(F.when(F.col("w") == end, F.col("c")))).first()
-    if not total:
-        return None, None, 0, 0
-    # a pair that occurs twice has words that do
-    often = spark.sparkContext.broadcast(Filter(counts.where("c > 1").select(F.col("w").alias("key"))))
-
-    def pairs(batches):
-        some = often.value
-        held: list[np.ndarray] = []
+def _counts(texts: DataFrame, order: int, buckets: int, words=None, pairs=None) -> DataFrame:
+    """The n-grams of an order, summed by task: GRAMS_SCHEMA, with the state before each (none for words)."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def summed():
-            x = np.concatenate(held)
-            order = np.argsort(_pair(x[0::2], x[1::2]))
-            h, w = x[0::2][order], x[1::2][order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-            return pa.RecordBatch.from_arrays([_signed(h[new]), _signed(w[new]), pa.array(np.diff(np.append(new, len(h))))], ["h", "w", "n"])
+            keys, before, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            sort = np.argsort(keys)
+            keys = keys[sort]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.add.reduceat(n[sort], new).astype(np.uint32)
+            before = before[sort[new]] if order > 1 else np.empty(0, np.uint64)
+            held.clear()
+            rows = _dealt(buckets, keys[new], n, *([before] if order > 1 else []))
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[3] if order > 1 else [None] * len(rows[0]), pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "keys", "before", "n"])
 
-        size = 0
         for b in steps(batches):
-            t = Tokens(b)
-            can = some.may_have(t.distinct)
-            ok = can[t.codes]
-            ok[1:] &= can[t.codes[:-1]] | (t.h[1:] == _BEGIN_HASH)
-            held.append(np.stack([t.h[ok], t.w[ok]], 1).ravel())
-            size += len(held[-1]) // 2
-            if size > 4_000_000:  # hand over what has been summed
+            t = Tokens(column(b, "text"))
+            if order == 1:
+                n = np.bincount(t.codes, minlength=len(t.distinct))
+                held.append((t.distinct[n > 0], np.empty(0, np.uint64), n[n > 0].astype(np.uint32)))
+            else:
+                if order == 2:
+                    known = words.value.may_have(t.distinct)[t.codes]
+                    ok = known.copy()
+                    ok[1:] &= known[:-1]
+                    ok[t.starts] = known[t.starts]
+                    key, before = t.pair, t.word_state
+                else:
+                    known = pairs.value.may_have(t.pair)
+                    ok = known.copy()
+                    ok[1:] &= known[:-1]
+                    ok[t.starts] = known[t.starts]
+                    key, before = t.triple, t.pair_state
+                held.append((key[ok], before[ok], np.ones(int(ok.sum()), np.uint32)))
+            size += len(held[-1][0])
+            if size > HELD:
                 yield summed()
-                held, size = [], 0
+                size = 0
         if size:
             yield summed()
 
-    kept = materialise(texts.mapInArrow(pairs, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, PAIR * total)), "lm-pairs")
+    return texts.mapInArrow(run, GRAMS_SCHEMA)
+
+
+def _table(texts: DataFrame, order: int, buckets: int, words=None, pairs=None) -> DataFrame:
+    """The kept n-grams of an order by bucket, with their counts, and the masses that their states give them."""
+    least = LEAST if order > 1 else 1
+
+    def total(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
+        keys, n = _joined(rows["keys"], np.uint64), _joined(rows["n"], np.uint32)
+        sort = np.argsort(keys)
+        keys = keys[sort]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.add.reduceat(n[sort].astype(np.int64), new)
+        kept = n >= least
+        c, often = n[kept], n[kept] >= LEAST
+        columns = [[bucket], [keys[new][kept].tobytes()], [c.astype(float).tobytes()], [None], [Filter.of(keys[new][kept][often], bucket, buckets)], [int(n.sum())]]
+        if order > 1:
+            before = _joined(rows["before"], np.uint64)[sort[new[kept]]]
+            state, where = np.unique(before, return_inverse=True)
+            to, states, masses = _dealt(buckets, state, np.bincount(where, c - DISCOUNT, minlength=len(state)))
+            none = [None] * len(to)
+            columns = [a + b for a, b in zip(columns, [to, states, none, masses, none, none], strict=True)]
+        return _arrow(TABLE_SCHEMA, columns)
+
+    return materialise(_counts(texts, order, buckets, words, pairs).groupBy("bucket").applyInArrow(total, TABLE_SCHEMA), f"lm-{order}-grams")
+
+
+def _freed(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver's references to them do; the cleaner gets a moment for it."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
+class Model:
+    """The table of all n-grams (rows of TABLE_SCHEMA), its sums, and the filters of what is kept (broadcast)."""
+
+    def __init__(self, grams: DataFrame, buckets: int, tokens: int, vocabulary: int, texts: int, pairs, triples):
+        self.grams, self.buckets, self.tokens, self.vocabulary, self.texts, self.pairs, self.triples = grams, buckets, tokens, vocabulary, texts, pairs, triples
+
+
+def train(documents: DataFrame, learn: F.Column) -> Model | None:
+    """The model of the documents for which `learn` holds; None if there are none."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    texts = documents.where(learn).select("text")
+    n_texts, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if not n_texts:
+        return None
+    # words have about six characters; a bucket takes n-grams of three orders
+    buckets = 1 << min(FILTER_BITS - 3, max(4, math.ceil(math.log2(max(1.0, 3 * size / 6 / GRAMS)))))
+    send = lambda rows: spark.sparkContext.broadcast(Filter(rows, buckets))
+    words = _table(texts, 1, buckets)
+    tokens, vocabulary = words.agg(F.sum("total"), F.sum(F.length("keys") / 8).cast("long")).first()
+    known = send(words)
+    pairs = _table(texts, 2, buckets, words=known)
+    known.destroy()
     _freed(spark)
-    known = (F.col("c") >= KNOWN * total) | (F.col("w") == end)
-    context = (F.col("w") != end) & (F.col("c") >= max(2.0, CONTEXT * total, KNOWN * total))
-    states = counts.where(context).select(F.col("w").alias("h"), F.col("c").alias("seen")).unionByName(spark.range(1).select(F.lit(begin).alias("h"), F.lit(n_texts).cast("long").alias("seen")))
-    arcs = kept.join(counts.where(known), "w").select("h", "w", "n", "c")
-    mass = arcs.groupBy("h").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    states = materialise(states.join(mass, "h", "left").withColumn("back", F.least(F.lit(1.0), F.greatest(F.lit(1e-6), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("seen")))).select("h", "seen", "back"), "lm-states")
-    p = (F.col("c") - DISCOUNT) / float(total)
-    gain = F.log10((F.col("n") - DISCOUNT) / F.col("seen") + F.col("back") * p) - F.log10("back") - F.log10(p)
-
-    def keyed(batches):
-        for b in batches:
-            h, w = (column(b, x).to_numpy().view(np.uint64) for x in ("h", "w"))
-            yield pa.RecordBatch.from_arrays([_signed(_pair(h, w)), column(b, "n"), column(b, "step")], ["key", "n", "step"])
-
-    arcs = materialise(arcs.join(states, "h").select("h", "w", "n", gain.alias("step")).mapInArrow(keyed, "key long, n long, step double"), "lm-arcs")
-    words = materialise(counts.join(states.withColumnRenamed("h", "w"), "w", "left").select(F.col("w").alias("key"), "c", (F.log10(p) + F.log10(F.coalesce("back", F.lit(1.0)))).alias("step")), "lm-words")
+    some = send(pairs)
+    triples = _table(texts, 3, buckets, pairs=some)
     _freed(spark)
-    common, frequent = F.col("c") >= _least(words, "c", WORDS), F.col("n") >= _least(arcs, "n", ARCS)
-    arrays = lambda df: {c: v.to_numpy() for c, v in zip(df.columns, df.toArrow().columns, strict=True)}
-    start = float(np.log10(states.where(F.col("h") == begin).first()["back"]))
-    model = Automaton(arrays(words.where(common | (F.col("key") == end))), arrays(arcs.where(frequent).select("key", "step")), start, Filter(arcs.select("key")))
-    rest = words.where(~common & (F.col("key") != end)).unionByName(arcs.where(~frequent).select("key", F.lit(None).cast("long").alias("c"), "step"))
-    return model, rest, total, vocabulary
+    grams = words.unionByName(pairs).unionByName(triples).select("bucket", "keys", "c", "mass")
+    return Model(grams, buckets, int(tokens), int(vocabulary), int(n_texts), some, send(triples))
+
 
+def blocks(documents: DataFrame, size: int) -> DataFrame:
+    """(block, doc_id, text): documents as they lie, in blocks of about so many bytes."""
 
-def score(documents: DataFrame, model: Automaton | None, rest: DataFrame | None, total: int, vocabulary: int) -> DataFrame:
+    def run(batches):
+        part, block, held = TaskContext.get().partitionId(), 0, 0
+        for b in steps(batches, most=size):
+            n = column(b, "text").nbytes
+            if held and held + n > size:
+                block, held = block + 1, 0
+            held += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, (part << 32) | block)), column(b, "doc_id"), column(b, "text")], ["block", "doc_id", "text"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    path = shared_path(documents.sparkSession, "lm-blocks")
+    documents.select("doc_id", "text").mapInArrow(run, f"block long, doc_id {id_type}, text string").write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def _asked(texts: DataFrame, model: Model) -> DataFrame:
+    """(bucket, block, keys): the n-grams of each block that may be kept, and its words."""
+    pairs, triples, buckets = model.pairs, model.triples, model.buckets
+
+    def run(batches):
+        block, held, size = None, [], 0
+
+        def asked():
+            rows = _dealt(buckets, sorted_distinct(np.concatenate([*held, np.array([_BEGIN, _BEGINS])])))
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([block] * len(rows[0]), pa.int64()), pa.array(rows[1], pa.binary())], ["bucket", "block", "keys"])
+
+        for b in steps(batches):
+            number = column(b, "block").to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1), len(number)]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and (number[first] != block or size > HELD):
+                    yield asked()
+                    held, size = [], 0
+                block = int(number[first])
+                t = Tokens(column(b, "text").slice(first, last - first))
+                held.append(sorted_distinct(np.concatenate([t.distinct, t.pair[pairs.value.may_have(t.pair)], t.triple[triples.value.may_have(t.triple)]])))
+                size += len(held[-1])
+        if held:
+            yield asked()
+
+    return texts.select("block", "text").mapInArrow(run, "bucket int, block long, keys binary")
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def _answered(rows: pa.Table) -> pa.Table:
+    """(block, keys, c, mass) for the rows of a bucket that ask, from those that hold n-grams."""
+    asks = rows["block"].is_valid().to_numpy()
+    holds = rows.filter(pa.array(~asks))
+    keys, c, mass = [], [], []
+    for k, n, m in zip(*(holds[x].to_pylist() for x in ("keys", "c", "mass")), strict=True):
+        keys.append(np.frombuffer(k, np.uint64))
+        c.append(np.frombuffer(n, float) if n else np.zeros(len(keys[-1])))
+        mass.append(np.frombuffer(m, float) if m else np.zeros(len(keys[-1])))
+    keys, where = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_inverse=True)
+    c, mass = (np.bincount(where, np.concatenate([np.empty(0), *x]), minlength=len(keys)) for x in (c, mass))
+    asking = rows.filter(pa.array(asks))
+    out: list[list] = [[], [], [], []]
+    for block, k in zip(asking["block"].to_pylist(), asking["keys"].to_pylist(), strict=True):
+        k = np.frombuffer(k, np.uint64)
+        at, found = _find(keys, k)
+        for column_, value in zip(out, (block, k[found].tobytes(), c[at[found]].tobytes(), mass[at[found]].tobytes()), strict=True):
+            column_.append(value)
+    return _arrow("block long, keys binary, c binary, mass binary", out)
+
+
+class Automaton:
+    """The states and arcs that the texts of a block can meet."""
+
+    def __init__(self, answers: pa.Table, tokens: int, vocabulary: int, texts: int):
+        self.tokens, self.vocabulary = tokens, vocabulary
+        keys, c, mass = _joined(answers["keys"], np.uint64), _joined(answers["c"], float), _joined(answers["mass"], float)
+        self.keys, first = np.unique(keys, return_index=True)
+        self.c, self.mass = c[first], mass[first]
+        for begin in (_BEGIN, _BEGINS):  # as often as there are texts
+            at, found = _find(self.keys, np.array([begin]))
+            self.c[at[found]] = texts
+
+    def arcs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n-grams: how often they occur (0 if not kept), how often that is as a state (1 at least), and the state's failure weight."""
+        c, mass = np.zeros(len(x)), np.zeros(len(x))
+        order = np.argsort(x)  # a search for sorted keys goes through memory in order
+        at, found = _find(self.keys, x[order])
+        c[order[found]], mass[order[found]] = self.c[at[found]], self.mass[at[found]]
+        seen = np.maximum(c, 1.0)
+        return c, seen, 1 - mass / seen
+
+    def walk(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: words known, the sum of log10(c + 1), and the logarithm of its probability."""
+        c, seen, back = self.arcs(t.distinct)
+        root = np.where(c > 0, c - DISCOUNT, DISCOUNT * self.vocabulary) / self.tokens
+        begins = self.arcs(np.array([_BEGIN, _BEGINS]))
+        before = np.zeros(len(t.codes), np.int64)
+        before[1:] = t.codes[:-1]
+        # a word's state
+        seen, back = seen[before], back[before]
+        seen[t.starts], back[t.starts] = begins[1][0], begins[2][0]
+        n, pair_seen, pair_back = self.arcs(t.pair)
+        p = np.maximum(n - DISCOUNT, 0) / seen + back * root[t.codes]
+        # a pair's state, that of the position before
+        seen[1:], back[1:] = pair_seen[:-1], pair_back[:-1]
+        seen[t.starts], back[t.starts] = begins[1][1], begins[2][1]
+        p = np.maximum(self.arcs(t.triple)[0] - DISCOUNT, 0) / seen + back * p
+        each = ((c > 0)[t.codes], np.log10(c + 1)[t.codes], np.log10(p))
+        return tuple(np.add.reduceat(x.astype(float), t.starts) for x in each)
+
+
+def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of documents."""
     rows = documents.select("doc_id", "text")
     if model is None:
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
         return rows.select("doc_id", n.cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def walk(batches):
-        m = shared.value
-        for turn, b in enumerate(steps(batches)):
-            t = Tokens(b)
-            docs, other = b.num_rows, len(t.distinct)
-            at, found = m.find(m.words, t.distinct)
-            sums = [np.add.reduceat(np.where(found, x[at], 0.0)[t.codes], t.starts) for x in (m.step, np.log10(m.c + 1), np.ones(len(m.c)))]
-            doc_of = np.repeat(np.arange(docs), t.size)
-            # the rest of the words, once for each text
-            rare = np.flatnonzero(~found[t.codes])
-            key, n = np.unique(doc_of[rare] * other + t.codes[rare], return_counts=True)
-            doc, word = key // other, t.distinct[key % other]
-            # arcs of the cache, and pairs that may have another
-            pair = _pair(t.h, t.w)
-            maybe = np.flatnonzero(m.filter.may_have(pair))
-            at, hit = m.find(m.arcs, pair[maybe])
-            sums[0] += m.begin + np.bincount(doc_of[maybe[hit]], m.gain[at[hit]] if hit.any() else None, minlength=docs)
-            maybe = maybe[~hit]
-            p_doc, pair = doc_of[maybe], pair[maybe]
-            order = np.lexsort((pair, p_doc))
-            p_doc, pair = p_doc[order], pair[order]
-            new = np.flatnonzero(np.concatenate([[True], (p_doc[1:] != p_doc[:-1]) | (pair[1:] != pair[:-1])])) if len(pair) else np.empty(0, np.int64)
-            many = np.diff(np.append(new, len(pair)))
-            # a text's own row is joined by a number that spreads such rows
-            ids, text = column(b, "doc_id"), column(b, "h")
-            own = mix(text.to_numpy().view(np.uint64) + np.arange(docs).astype(np.uint64) * _ODD + np.uint64(turn))
-            place = pa.array(np.concatenate([np.arange(docs), doc, p_doc[new]]))
-            kind = np.repeat(np.array([0, 1, 2], np.int8), [docs, len(doc), len(new)])
-            none = np.zeros(len(doc) + len(new))
-            cols = [ids.take(place), text.take(place), _signed(np.concatenate([own, word, pair[new]])), pa.array(kind), pa.array(np.concatenate([t.size, n, many]))]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.concatenate([s, none])) for s in sums)], ["doc_id", "h", "key", "kind", "n", "step", "base", "known"])
-
+    spark = documents.sparkSession
+    bounded_batches(spark)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    hashed = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = hashed.mapInArrow(walk, f"doc_id {id_type}, h long, key long, kind byte, n long, step double, base double, known double").join(rest.withColumnRenamed("step", "more"), "key", "left")
-    c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    unseen = float(np.log10(DISCOUNT * vocabulary / total))
-    own, word = F.col("kind") == 0, F.col("kind") == 1
-    more = F.coalesce("more", F.when(word, F.lit(unseen)).otherwise(0.0)) * F.col("n")
-    summed = found.groupBy("doc_id", "h").agg(
-        F.sum(own.cast("int")).alias("rows"),
-        F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(own, F.col("known")).when(word & (c > 0), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).when(word, F.log10(c + 1) * F.col("n")).otherwise(0.0)).alias("base"),
-        F.sum(F.when(own, F.col("step")).otherwise(more)).alias("step"),
-    )
-    # equal rows were summed together
-    each = summed.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
-    n_tokens = (F.col("n_tokens") / F.col("rows")).cast("long")
-    return each.select(
-        "doc_id", n_tokens.alias("n_tokens"), F.round(F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows") - n_tokens * float(np.log10(total + vocabulary + 1))).alias("base_score"), (F.col("step") / F.col("rows")).alias("score"),
-    )
+    schema = f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    tokens, vocabulary, n_texts = model.tokens, model.vocabulary, model.texts
+
+    def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        automaton = Automaton(answers, tokens, vocabulary, n_texts)
+        out = []
+        for b in steps(texts.to_batches()):
+            t = Tokens(column(b, "text"))
+            known, base, logp = automaton.walk(t)
+            values = [column(b, "doc_id"), pa.array(t.size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(b.num_rows, tokens)), pa.array(base - t.size * math.log10(tokens + vocabulary + 1)), pa.array(logp)]
+            out.append(pa.RecordBatch.from_arrays(values, [f.split()[0] for f in schema.split(", ")]))
+        return pa.Table.from_batches(out)
+
+    cut = blocks(rows, BLOCK)
+    waves = max(1, min(WAVES, cut.select("block").distinct().count()))
+    cut = cut.withColumn("wave", F.pmod(F.xxhash64("block"), F.lit(waves)))
+    path = shared_path(spark, "lm-scores")
+    for wave in range(waves):
+        texts = cut.where(F.col("wave") == wave).drop("wave")
+        rows = model.grams.withColumn("block", F.lit(None).cast("long")).unionByName(_asked(texts, model), allowMissingColumns=True)
+        answers = rows.groupBy("bucket").applyInArrow(_answered, "block long, keys binary, c binary, mass binary")
+        texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema).write.mode("append").parquet(path)
+        _freed(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's scores; learned outside the held-out seventh."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(documents, *train(documents, ~held_out(F.col("doc_id"), 7)))
+    out = score(documents, train(documents, ~held_out(F.col("doc_id"), 7)))
     return out.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -60,22 +60,20 @@ def test_chat(spark):
 
 
 def test_lm(hard, empty):
-    out = lm.score(hard, *lm.train(hard, F.lit(True))).collect()
+    out = lm.score(hard, lm.train(hard, F.lit(True))).collect()
     assert len(out) == len(HARD) and all(r.score < 0 and r.n_known == r.n_tokens for r in out)
     by = {r.doc_id: r for r in out}
     assert by[2].n_tokens == by[3].n_tokens == by[4].n_tokens == 1 and by[5].n_tokens == 40_001
     assert sum(r.doc_id == 0 for r in out) == 2 and sum(r.doc_id is None for r in out) == 2
-    none = lm.score(hard, *lm.train(empty, F.lit(True))).collect()
+    none = lm.score(hard, lm.train(empty, F.lit(True))).collect()
     assert {r.score for r in none} == {0.0} and {r.train_tokens for r in none} == {0}
-    assert lm.score(empty, *lm.train(hard, F.lit(True))).count() == 0
+    assert lm.score(empty, lm.train(hard, F.lit(True))).count() == 0
 
 
 def test_contamination(spark, hard, empty):
     items = spark.createDataFrame([(1, "three four five six seven eight"), (2, None), (3, ""), (4, "tiny"), (5, "word word word word word word"), (1, "three four five six seven eight"), (None, "x")], "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = sorted(tuple(r) for r in contamination.matches(hard, items).collect())
     assert got == [(0, 1, 1.0), (1, 1, 1.0), (5, 5, 1.0), (8, 4, 1.0)]
-    kept = contamination.clean(hard, items)
-    assert kept.columns == hard.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 3, 4, 6, 7, None, None], key=str)
     assert contamination.matches(empty, items).count() == 0 and contamination.matches(hard, items.limit(0)).count() == 0
 
 
@@ -106,7 +104,6 @@ def test_token_shards(spark, hard, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(repair.tokenizer_path(repair.VOCABULARY))
-    tok.encode_special_tokens = True
     repair.write(hard, str(tmp_path / "t"), shard=20_000)
     got = [tuple(r) for r in repair.read(spark, str(tmp_path / "t")).orderBy("start").collect()]
     start, want = 0, []
