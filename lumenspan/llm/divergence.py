@@ -18,7 +18,6 @@ pairs; equal values are ranked by the item's bytes; an empty table gives no rows
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,11 +148,11 @@ def audit(documents: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, ce
     groups = materialise(groups.na.fill(0, ["n", "v", "lang_n"]), "divergence-groups")
 
     # part pair: blocks of vectors meet the sources of their language
-    most = groups.groupBy("lang").agg((F.count("*") * F.max("v")).alias("cells"), F.max("v").alias("v")).agg(F.max("cells"), F.max("v")).first()
-    blocks = max(1, math.ceil((most[0] or 0) / cells), min(partitions(spark), (most[1] or 0) // FEW))
-    vectors = terms.groupBy("lang", "counts").agg(F.count("*").alias("times"))
-    vectors = vectors.withColumn("block", F.pmod(F.xxhash64("counts"), F.lit(blocks)))
-    met = groups.where("v > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    per = F.greatest(F.lit(1), F.ceil(F.count("*") * F.max("v") / cells), F.least(F.lit(partitions(spark)), F.floor(F.max("v") / FEW)))
+    blocks = groups.where("v > 0").groupBy("lang").agg(per.cast("long").alias("blocks"))
+    vectors = terms.groupBy("lang", "counts").agg(F.count("*").alias("times")).join(blocks, "lang")
+    vectors = vectors.withColumn("block", F.pmod(F.xxhash64("counts"), F.col("blocks"))).drop("blocks")
+    met = groups.join(blocks, "lang").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sums = vectors.groupBy("lang", "block").cogroup(met.groupBy("lang", "block")).applyInArrow(_block, "lang string, source string, item string, value long")
     sums = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
