@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: name -> (callable, SQL or None)."""
 
-from . import bpe, chat, contamination, divergence, langid, lm, neardup, repair, topk, toxicity, urls, whitening
+from . import bpe, chat, contamination, divergence, langid, lm, neardup, repair, repeats, topk, toxicity, urls, whitening
 
 QUERIES = {
     "op1_toxicity": (toxicity.op1_toxicity, None),
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_url_filter": (urls.op9_url_filter, None),
     "op10_byte_bpe": (bpe.op10_byte_bpe, None),
     "op11_whitening": (whitening.op11_whitening, None),
+    "op12_suffix_dedup": (repeats.op12_suffix_dedup, None),
     "op13_divergence_audit": (divergence.op13_divergence_audit, divergence.SQL),
 }
