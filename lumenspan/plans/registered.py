@@ -815,3 +815,6 @@ def _(s, p):
         registry.Step("shot_scalar_annotator", {"shots": "shots", "series": "clamped"}, {"annotations": "out"}),
     ])
     return chain.run({"raw": p, "shots": s})["out"].select("media_id", "shot_idx", *_r("mean"))
+
+
+from . import stored  # noqa: E402,F401  adds the queries that write and read back

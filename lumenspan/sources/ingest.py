@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.skew import join_counted
 from ..schemas import TABLES, conform
@@ -58,20 +59,29 @@ def with_sha1(df: DataFrame, data: str = "content") -> DataFrame:
     return df.withColumn("sha1", F.sha1(F.col(data).cast("binary")))
 
 
-def dedup_ingest(new: DataFrame, existing: DataFrame, id: str = "media_id", seq: str = "ingest_seq") -> tuple[DataFrame, DataFrame]:
-    """(kept, mapping): new rows whose sha1 is neither stored nor earlier in the batch; and new id -> canonical id.
+def map_contents(new: DataFrame, existing: DataFrame, id: str = "media_id", seq: str = "ingest_seq") -> DataFrame:
+    """New rows with canonical_id, and _new where their content isn't stored.
 
     The canonical id of a hash is the stored one, else the first by seq (then id). An
     aggregate gives one row for each hash, so a hash that a third of the rows share is summed before it is shuffled,
-    and joined by broadcast. Rows without a hash are kept, each as its own.
+    and joined by broadcast. Rows without a hash are each their own.
     """
     stored = existing.where("sha1 is not null").groupBy("sha1").agg(F.min(id).alias("_stored"))
     first = new.groupBy("sha1").agg(F.min(F.struct(F.col(seq), F.col(id))).alias("_f"), F.count("*").alias("n")).select("sha1", F.col(f"_f.{id}").alias("_first"), "n")
     canon = first.where("sha1 is not null").join(stored, "sha1", "left").select("sha1", F.coalesce("_stored", "_first").alias("canonical_id"), F.col("_stored").isNull().alias("_new"), "n")
     alone = new.where("sha1 is null").withColumns({"canonical_id": F.col(id), "_new": F.lit(True)})
-    mapped = join_counted(new.where("sha1 is not null"), canon, ["sha1"], new.count()).drop("n").unionByName(alone)
-    kept = mapped.where((F.col(id) == F.col("canonical_id")) & F.coalesce("_new", F.lit(True))).drop("canonical_id", "_new").select(*new.columns)
-    return kept, mapped.select(F.col(id).alias("new_id"), "canonical_id")
+    return join_counted(new.where("sha1 is not null"), canon, ["sha1"], new.count()).drop("n").unionByName(alone)
+
+
+def kept_and_mapped(found: DataFrame, id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of map_contents' rows those that are kept, and all as (new_id, canonical_id)."""
+    kept = found.where((F.col(id) == F.col("canonical_id")) & F.coalesce("_new", F.lit(True))).select(*columns)
+    return kept, found.select(F.col(id).alias("new_id"), "canonical_id")
+
+
+def dedup_ingest(new: DataFrame, existing: DataFrame, id: str = "media_id", seq: str = "ingest_seq") -> tuple[DataFrame, DataFrame]:
+    """(kept, mapping): new rows whose sha1 is neither stored nor earlier in the batch; and new id -> canonical id (see map_contents)."""
+    return kept_and_mapped(map_contents(new, existing, id, seq), id, new.columns)
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, on_conflict: str = "keep", id: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -91,7 +101,7 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, on_conflict: str = "ke
 
 
 def delete(df: DataFrame, ids: DataFrame | Iterable, id: str = "id") -> DataFrame:
-    """Rows of other ids; ids that aren't there don't matter."""
+    """Rows of other ids; ids that aren't there don't matter. delete_packets does so in a stored table."""
     if isinstance(ids, DataFrame):
         return df.join(ids.select(id).distinct(), id, "left_anti").select(*df.columns)
     return df.where(~F.coalesce(F.col(id).isin(list(ids)), F.lit(False)))
@@ -112,17 +122,46 @@ def write_packets(df: DataFrame, path: str, id: str = "id", mode: str = "append"
     sharded(df, id).write.mode(mode).partitionBy("type", "shard1", "shard2").parquet(path)
 
 
+#: The row that stands in a shard whose packets were all deleted.
+_EMPTIED = "id IS NULL AND shard1 IS NOT NULL"
+
+
+def _packets(spark: SparkSession, path: str) -> DataFrame:
+    """The stored packets; shards stay texts, also where all of them look like numbers."""
+    known = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in ("type", "shard1", "shard2") else f for f in known.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def load_packets(spark: SparkSession, path: str, kind: str, ids: Iterable[str] | None = None) -> DataFrame:
     """Packets of one type, and of some ids if given: partitions of other types and shards aren't read."""
     if kind not in TABLES:
         raise ValueError(f"unknown packet type {kind!r}")
-    out = spark.read.parquet(path).where(F.col("type") == kind)
+    out = _packets(spark, path).where(F.col("type") == kind).where(f"NOT ({_EMPTIED})")
     if ids is not None:
         ids = list(ids)
-        out = out.where(F.col("shard1").isin([i[:2] for i in ids]) & F.col("id").isin(ids))
+        out = out.where(F.col("shard1").isin([i[:2] for i in ids]) & F.col("shard2").isin([i[2:4] for i in ids]) & F.col("id").isin(ids))
     return out.drop("shard1", "shard2")
 
 
+def delete_packets(spark: SparkSession, path: str, ids: DataFrame, id: str = "id") -> None:
+    """Remove the packets of these ids, of whatever type, from a table of write_packets.
+
+    Ids tell their shards, so only these are read, and of them those that lose a packet are written again. New files
+    replace a partition's old ones when the whole job is through (dynamic overwrite): a task or a job that fails
+    leaves the table as it was, and a delete can be run again. A shard that loses all its packets keeps one row
+    without an id, which loads leave out. Ids that aren't there don't matter.
+    """
+    places = ["type", "shard1", "shard2"]
+    gone = sharded(ids.select(F.col(id).cast("string").alias("id")).where("id is not null").distinct())
+    # a row for each folder of a shard at most, as the table's own list of files has
+    near = _packets(spark, path).join(F.broadcast(gone.select("shard1", "shard2").distinct()), ["shard1", "shard2"], "left_semi")
+    lost = near.join(gone.select("id"), "id", "left_semi").select(*places).distinct()
+    rest = near.join(lost, places, "left_semi").join(gone.select("id"), "id", "left_anti")
+    empty = lost.join(rest.select(*places).distinct(), places, "left_anti")
+    rest.unionByName(empty, allowMissingColumns=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*places).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite", partition_by: Iterable[str] = ()) -> None:
     conform(df, name).write.mode(mode).partitionBy(*partition_by).parquet(path)
 

@@ -1,5 +1,6 @@
 """Edge rules of the operators on hand-made rows."""
 
+import datetime
 import math
 
 import numpy as np
@@ -15,7 +16,8 @@ from lumenspan.operators.skew import join_counted
 from lumenspan.plans import registry
 from lumenspan.schemas import SchemaMismatch, conform
 from lumenspan.sources import ingest
-from lumenspan.streaming.ingest import dedup_within, ingest_stream, reassemble_stream
+from lumenspan.sources.ingest import with_sha1
+from lumenspan.streaming.ingest import dedup_within, ingest_stream, merge_batch, reassemble_stream, stored_hashes
 
 S = "media_id string, label string, time double, y double"
 
@@ -361,14 +363,85 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("once").count() == 2
 
-    csrc, cschema = tmp_path / "c", "id string, seq int, last boolean, data string"
-    put = lambda r, n: spark.createDataFrame(r, cschema).write.parquet(str(csrc / n))
-    go = lambda: reassemble_stream(spark.readStream.schema(cschema).parquet(str(csrc / "*")), str(tmp_path / "pend"), str(tmp_path / "whole"), str(tmp_path / "cp2")).awaitTermination()
-    put([("v", 1, True, "b"), ("w", 0, True, "w")], "1")
+
+def folders(path):
+    """Names and times of the files of a table."""
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_ingest_reads_touched_buckets(spark, tmp_path):
+    rows = lambda r: spark.createDataFrame(r, "media_id string, ingest_seq int, content string")
+    store, mapping = tmp_path / "store", str(tmp_path / "map")
+    first = rows([(f"a{i}", i, f"text {i % 90}") for i in range(120)] + [("n", 1, None), ("m", 2, None)])
+    merge_batch(first, 0, str(store), mapping)
+    assert len(values(spark.read.parquet(str(store)), "media_id")) == 92
+    second = rows([("b1", 1, "text 7"), ("b2", 2, "new"), ("b3", 3, "new")])
+    touched = {h[0][:2] for h in values(with_sha1(second, "content"), "sha1")}
+    listed = stored_hashes(spark, str(store), sorted(touched)).inputFiles()
+    assert listed and {f.split("prefix=")[1][:2] for f in listed} <= touched
+    assert stored_hashes(spark, str(store), ["zz"]) is None and stored_hashes(spark, str(tmp_path / "no"), ["00"]) is None
+    for _ in range(2):  # again, as after a failure
+        merge_batch(second, 1, str(store), mapping)
+        assert len(values(spark.read.parquet(str(store)), "media_id")) == 93
+        assert values(spark.read.parquet(mapping + "/batch=1"), "new_id", "canonical_id") == [("b1", "a7"), ("b2", "b2"), ("b3", "b2")]
+    before = folders(store)
+    merge_batch(second.limit(0), 2, str(store), mapping)
+    assert folders(store) == before
+
+
+def test_stored_delete_leaves_other_shards(spark, tmp_path):
+    path = tmp_path / "packets"
+    packets = spark.createDataFrame([(f"{a}{b}{i}", kind, f"n{i}") for a in ("00", "11", "ab") for b in ("22", "cd") for i in range(3) for kind in ("shots", "series")], "id string, type string, name string")
+    ingest.write_packets(packets, str(path))
+    before = folders(path)
+    gone = spark.createDataFrame([("00221",), ("abcd0",), ("abcd1",), ("abcd2",), ("9999x",), ("1122x",), (None,)], "id string")
+    for _ in range(2):  # again changes nothing more
+        ingest.delete_packets(spark, str(path), gone)
+        left = {r.id for kind in ("shots", "series") for r in ingest.load_packets(spark, str(path), kind).collect()}
+        assert left == {r.id for r in packets.collect()} - {"00221", "abcd0", "abcd1", "abcd2"}
+        touched = ("shard1=00/shard2=22", "shard1=ab/shard2=cd")
+        assert {f: t for f, t in folders(path).items() if not any(x in f for x in touched)} == {f: t for f, t in before.items() if not any(x in f for x in touched)}
+    assert not any(f in folders(path) for f in before if "shard1=00/shard2=22" in f)
+    # an emptied shard takes packets again
+    ingest.write_packets(spark.createDataFrame([("abcd1", "shots", "back")], "id string, type string, name string"), str(path))
+    assert values(ingest.load_packets(spark, str(path), "shots", ["abcd1", "abcd2", "00220"]), "id", "name") == [("00220", "n0"), ("abcd1", "back")]
+    assert len(values(ingest.load_packets(spark, str(path), "shots"), "id")) == 15
+
+
+def test_chunks_over_batches_and_restarts(spark, tmp_path):
+    src, schema = tmp_path / "c", "id string, seq int, last boolean, data string"
+    put = lambda r, n: spark.createDataFrame(r, schema).coalesce(1).write.parquet(str(src / n))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    go = lambda: reassemble_stream(stream(), str(tmp_path / "whole"), str(tmp_path / "cp2")).awaitTermination()
+    done = lambda: values(spark.read.parquet(str(tmp_path / "whole")), "id", "data", "complete")
+    put([("v", 1, True, "b"), ("w", 0, True, "w"), (None, 0, True, "lost"), ("x", None, True, "lost"), ("u", 2, False, "2")], "1")
+    go()
+    assert done() == [("w", "w", True)]
+    put([("v", 0, False, "a"), ("v", 1, True, "b"), ("w", 0, True, "again"), ("u", 0, None, "0")], "2")
+    put([("v", 0, False, "late"), ("u", 2, False, "twice"), ("u", 3, True, "3")], "3")
+    go()
+    assert done() == [("v", "ab", True), ("w", "w", True)]
+    put([("u", 1, False, "1")], "4")
+    go()
+    assert done() == [("u", "0123", True), ("v", "ab", True), ("w", "w", True)]
+
+
+def test_chunks_that_never_end(spark, tmp_path):
+    src, schema = tmp_path / "c", "id long, seq int, last boolean, data binary, at timestamp"
+    stamp = lambda m: datetime.datetime(2024, 1, 1, m // 60, m % 60)
+    put = lambda r, n: spark.createDataFrame([(*x[:4], stamp(x[4])) for x in r], schema).coalesce(1).write.parquet(str(src / n))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    go = lambda: reassemble_stream(stream(), str(tmp_path / "whole"), str(tmp_path / "cp"), "at", "90 minutes").awaitTermination()
+    put([(1, 0, False, b"a", 0), (2, 0, False, b"x", 0), (3, 0, True, b"z", 0)], "1")
+    put([(1, 1, True, b"b", 60), (2, 1, False, b"y", 80)], "2")
+    put([(9, 0, True, b"", 100)], "3")  # 2 waits on, as its newest chunk is of minute 80
     go()
-    put([("v", 0, False, "a")], "2")
+    done = lambda: sorted((r.id, r.data and bytes(r.data), r.complete) for r in spark.read.parquet(str(tmp_path / "whole")).collect())
+    assert done() == [(1, b"ab", True), (3, b"z", True), (9, b"", True)]
+    put([(8, 0, False, b"q", 300)], "4")
+    put([(7, 0, True, b"r", 301)], "5")
     go()
-    assert values(spark.read.parquet(str(tmp_path / "whole")), "id", "data") == [("v", "ab"), ("w", "w")]
+    assert (2, None, False) in done() and len(done()) == 5
 
 
 def test_joins_of_crowded_keys(spark):
