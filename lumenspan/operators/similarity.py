@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, l2_normalise, mean_vector, norm
+from ..functions.vectors import dot, l2_normalise, mean_vector, norm
+from .cells import matrix, meetings, unit
 from .graph import components, spanning_forest
 from .series import rescale
 from .windows import even_sample
@@ -16,6 +20,8 @@ from .windows import even_sample
 BLOCK = 4_096
 #: A query or concept table of up to so many rows and components is broadcast; beyond that both sides are dealt in blocks.
 SMALL_SIDE, SMALL_COMPONENTS = 2_000, 4_000_000
+#: Rows of each side of a meeting of queries and targets, and targets of one product of matrices.
+MEETING, STEP = 16_384, 1_024
 
 
 def _all_with(targets: DataFrame, few: DataFrame) -> DataFrame:
@@ -29,10 +35,66 @@ def _all_with(targets: DataFrame, few: DataFrame) -> DataFrame:
     return dealt.join(few.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))), "_b").drop("_b")
 
 
+def _best(targets: pa.Table, queries: dict[int, np.ndarray]) -> pa.Array:
+    """The best cosine of each target with any query of its length; null for zero vectors, holes, and lengths without a query."""
+    vectors = targets.column("_t").combine_chunks()
+    best = np.full(len(vectors), np.nan)
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size > 0]).tolist():
+        if n in queries:
+            at = np.flatnonzero(size == n)
+            x = matrix(vectors.take(pa.array(at)))  # holes become NaN
+            x[~np.isfinite(x).all(1) | ~x.any(1)] = np.nan
+            for first in range(0, len(at), STEP):
+                best[at[first : first + STEP]] = (unit(x[first : first + STEP]) @ queries[n].T).max(1)
+    return pa.array(best, from_pandas=True)
+
+
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Unit vectors by length; zero vectors and such with holes are near to nothing."""
+    vectors = vectors.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(size[size > 0]).tolist():
+        x = matrix(vectors.take(pa.array(np.flatnonzero(size == n))))
+        x = x[np.isfinite(x).all(1) & x.any(1)]
+        if len(x):
+            out[n] = unit(x)
+    return out
+
+
 def cosine_similarity(query: DataFrame, target: DataFrame, normalize: bool = False, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """(media_id, time, y): the best (1 + cos) / 2 of any query vector with any target of a time, rescaled if asked."""
-    met = _all_with(target.select("media_id", "time", F.col("embedding").alias("_t")), query.select(F.col("embedding").alias("_q")))
-    best = met.groupBy("media_id", "time").agg(F.max((1 + cosine(F.col("_t"), F.col("_q"))) / 2).alias("y"))
+    """(media_id, time, y): the best (1 + cos) / 2 of any query vector with any target of a time, rescaled if asked.
+
+    Targets meet the queries as products of matrices, and only each target's best leaves a task. Queries that were
+    counted small are sent to all tasks; otherwise both sides are dealt in blocks that meet once.
+    """
+    kinds = dict(target.dtypes)
+    schema = f"media_id {kinds['media_id']}, time {kinds['time']}, y double"
+    rows = target.select("media_id", "time", F.col("embedding").alias("_t"))
+    few = query.select(F.col("embedding").alias("_q"))
+    n, components_ = few.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("_q"), F.lit(0))), F.lit(0))).first()
+    names = ["media_id", "time", "y"]
+    if not n:
+        return target.select("media_id", "time", F.lit(None).cast("double").alias("y")).limit(0)
+    if n <= SMALL_SIDE and components_ <= SMALL_COMPONENTS:
+        sent = target.sparkSession.sparkContext.broadcast(_by_length(few.toArrow().column("_q")))
+
+        def meet(batches):
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _best(t, sent.value)], names)
+
+        met = rows.mapInArrow(meet, schema)
+    else:
+        a, b = (max(1, math.ceil(x / MEETING)) for x in (n, rows.count()))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        dealt = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+        left = rows.withColumn("_b", dealt(rows, b)).withColumn("_a", each(a)).groupBy("_a", "_b")
+        right = few.withColumn("_a", dealt(few, a)).withColumn("_b", each(b)).groupBy("_a", "_b")
+        meet_blocks = lambda t, q: pa.table([t.column("media_id"), t.column("time"), _best(t, _by_length(q.column("_q")))], names)
+        met = left.cogroup(right).applyInArrow(meet_blocks, schema)
+    best = met.groupBy("media_id", "time").agg(F.max((1 + F.col("y")) / 2).alias("y"))
     return rescale(best, lo, hi, keys=("media_id",), normalize=normalize)
 
 
@@ -64,28 +126,23 @@ def ontology_probs(emb: DataFrame, concepts: DataFrame, scale: float = 100.0) ->
 def similar_pairs(emb: DataFrame, t: float, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(a, b, distance) of all pairs a < b of one media with distance <= t; emb: (media_id, id, embedding).
 
-    The vectors of a media are dealt into blocks, as many as it needs, each pair of
-    blocks meets once in a task as a product of matrices, and only pairs within t leave it.
+    A media of more than `block` vectors is cut into cells, of which those meet that can hold a pair within t (see
+    cells); a meeting is a product of matrices in a task, and only pairs within t leave it.
     """
     kind = dict(emb.dtypes)["id"]
-    return _meetings(emb, t, metric, block, False, f"a {kind}, b {kind}, distance double")
+    return meetings(emb, t, metric, block, _pairs(t, metric, False), f"a {kind}, b {kind}, distance double")
 
 
-def _meetings(emb: DataFrame, t: float, metric: str, block: int, forest: bool, schema: str) -> DataFrame:
-    """The pairs within t of each two blocks of a media; forest: only enough of them to connect what they connect."""
-    sizes = emb.where("embedding is not null").groupBy("media_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = emb.where("embedding is not null").select("media_id", "id", "embedding").join(sizes, "media_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+def _pairs(t: float, metric: str, forest: bool):
+    """The pairs within t of two blocks; forest: only enough of them to connect what they connect."""
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["own", "id"])
-        ids, x = frame.id.to_numpy(), np.stack(frame.embedding.to_numpy()).astype(np.float64)
-        first = frame.own.to_numpy() == frame.lo.to_numpy()
-        same = bool((frame.lo == frame.hi).all())
+    def find(rows: pa.Table, same: bool) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x, first = ids[order], matrix(rows.column("embedding"))[order], rows.column("first").to_numpy()[order]
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
         if metric == "cosine":
-            norm = np.linalg.norm(x, axis=1)
-            u = x / np.where(norm == 0, 1, norm)[:, None]
+            u = unit(x)
             d = 1 - u[left] @ u[right].T
         else:
             sq = (x**2).sum(1)
@@ -93,16 +150,19 @@ def _meetings(emb: DataFrame, t: float, metric: str, block: int, forest: bool, s
         i, j = np.nonzero(d <= t)
         if forest:
             moved, to = spanning_forest(left[i], right[j], len(ids))
-            a, b = ids[moved], ids[to]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": np.zeros(len(a))})
-        a, b, dist = ids[left[i]], ids[right[j]], d[i, j]
-        keep = a < b if same else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": dist[keep]})
+            a, b, distance = ids[moved], ids[to], np.zeros(len(moved))
+        else:
+            a, b, distance = ids[left[i]], ids[right[j]], d[i, j]
+            keep = a < b if same else a != b
+            a, b, distance = a[keep], b[keep], distance[keep]
+        kind = rows.schema.field("id").type
+        lo, hi = (np.where(a < b, a, b), np.where(a < b, b, a)) if len(a) else (a, b)
+        return pa.table({"a": pa.array(lo, kind), "b": pa.array(hi, kind), "distance": pa.array(distance, pa.float64())})
 
-    return meet.groupBy("media_id", "lo", "hi").applyInPandas(pairs, schema)
+    return find
 
 
-def cluster_labels(emb: DataFrame, t: float = 0.5, metric: str = "cosine") -> DataFrame:
+def cluster_labels(emb: DataFrame, t: float = 0.5, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(media_id, id, cluster_id): single linkage cut at t, which is the components of pairs within t; cluster_id is the smallest member.
 
     Equal vectors of a media are one from the start (but for zero vectors and cosine, as they are near to nothing),
@@ -114,7 +174,7 @@ def cluster_labels(emb: DataFrame, t: float = 0.5, metric: str = "cosine") -> Da
     some = emb.where("embedding is not null").select("media_id", "id", "embedding", F.when(zero, F.col("id")).alias("_own"))
     first = some.groupBy("media_id", "embedding", "_own").agg(F.min("id").alias("id"))
     same = some.where("_own is null").join(first.where("_own is null").select("media_id", "embedding", F.col("id").alias("_first")), ["media_id", "embedding"]).where("id <> _first")
-    found = components(_meetings(first.select("media_id", "id", "embedding"), t, metric, BLOCK, True, f"a {kind}, b {kind}, distance double").select("a", "b").unionByName(same.select(F.col("_first").alias("a"), F.col("id").alias("b"))))
+    found = components(meetings(first.select("media_id", "id", "embedding"), t, metric, block, _pairs(t, metric, True), f"a {kind}, b {kind}, distance double").select("a", "b").unionByName(same.select(F.col("_first").alias("a"), F.col("id").alias("b"))))
     return emb.join(found, emb["id"] == found["node"], "left").select("media_id", "id", F.coalesce("label", "id").alias("cluster_id"))
 
 
