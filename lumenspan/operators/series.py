@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import numbered
+
 KEYS = ("media_id", "label")
 
 
@@ -134,4 +136,4 @@ def append_series(listed: DataFrame, child: DataFrame, label: str | None = None)
 def series_index(df: DataFrame, order: str = "label") -> DataFrame:
     """(media_id, idx, label, points): the list of each media in order."""
     counted = df.groupBy("media_id", "label").agg(F.count("*").alias("points"), F.min(order).alias("_o"))
-    return counted.withColumn("idx", F.row_number().over(Window.partitionBy("media_id").orderBy("_o", "label")) - 1).drop("_o")
+    return numbered(counted, ["media_id"], ["_o", "label"], "idx").withColumn("idx", F.col("idx").cast("int")).drop("_o")

@@ -6,6 +6,8 @@ that one long media is dealt over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +78,9 @@ def face_shot_labels(shots: DataFrame, labels: DataFrame, boxes: DataFrame, widt
     return joined.withColumn("label", F.coalesce(F.when(F.col("_seen"), F.col("label")), F.lit("None"))).drop("_seen")
 
 
-#: Kernels by u = |t - s| / h, without constants, which the rescale cancels; all but two end at u = 1.
+#: Kernels by u = |t - s| / h, without constants, which the rescale cancels; all but the first end at u = 1. The exponential one is exp(-u).
 KERNELS = {
     "gaussian": lambda u: F.exp(-0.5 * u * u),
-    "exponential": lambda u: F.exp(-u),
     "tophat": lambda u: F.when(u < 1, 1.0).otherwise(0.0),
     "epanechnikov": lambda u: F.when(u < 1, 1 - u * u).otherwise(0.0),
     "linear": lambda u: F.when(u < 1, 1 - u).otherwise(0.0),
@@ -87,19 +88,56 @@ KERNELS = {
 }
 
 
-#: Those that don't end: each point takes all starts of its media.
-ENDLESS = ("gaussian", "exponential")
+def _far(bandwidth: float, fps: float, nines: float) -> float:
+    """Bandwidths beyond which a start counts for nothing: less than 1e-17 of the largest value that the nearest point of its grid has."""
+    return min(39.0, math.hypot(nines, 0.5 / (fps * bandwidth)))
 
 
 def shot_density(shots: DataFrame, kernel: str = "gaussian", bandwidth: float = 30.0, fps: float = 10.0) -> DataFrame:
-    """(media_id, time, y): kernel density of shot starts on ceil(last end * fps) + 1 even points, rescaled to 0..1."""
+    """(media_id, time, y): kernel density of shot starts on ceil(last end * fps) + 1 even points, rescaled to 0..1.
+
+    A kernel that ends meets the points in its reach. The gaussian one is cut where a start counts less than 1e-17 of
+    the largest value (at nine bandwidths, or more if the grid is coarse), which is below the rounding of a sum. The
+    exponential one is summed in both directions (see _two_sided). All are linear in the length of a media.
+    """
     last = shots.groupBy("media_id").agg(F.max("end_s").alias("_end")).withColumn("_n", F.ceil(F.col("_end") * fps))
     grid = last.select("media_id", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_i"), "_end", "_n").select("media_id", "_i", F.coalesce(F.try_divide(F.col("_i") * F.col("_end"), F.col("_n")), F.lit(0.0)).alias("time"))
+    starts = shots.where("start_s is not null").select("media_id", "start_s")
+    if kernel != "exponential" and kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}")
+    if kernel == "exponential":
+        return rescale(_two_sided(starts, grid.select("media_id", "time"), float(bandwidth), fps), keys=("media_id",))
     u = F.abs(F.col("time") - F.col("start_s")) / float(bandwidth)
-    if kernel in ENDLESS:
-        met = grid.join(shots.select("media_id", "start_s"), "media_id").groupBy("media_id", "time").agg(F.sum(KERNELS[kernel](u)).alias("y"))
-        return rescale(met, keys=("media_id",))
-    reach = shots.where("start_s is not null").select("media_id", "start_s", (F.col("start_s") - bandwidth).alias("_from"), (F.col("start_s") + bandwidth).alias("_to"))
-    near = range_join(reach, grid.select("media_id", "time"), "()", width=float(bandwidth), start="_from", end="_to").groupBy("media_id", "time").agg(F.sum(KERNELS[kernel](u)).alias("_y"))
+    width = float(bandwidth) * (_far(bandwidth, fps, 9.0) if kernel == "gaussian" else 1.0)
+    reach = starts.withColumns({"_from": F.col("start_s") - width, "_to": F.col("start_s") + width})
+    near = range_join(reach, grid.select("media_id", "time"), "()", width=width, start="_from", end="_to").groupBy("media_id", "time").agg(F.sum(KERNELS[kernel](u)).alias("_y"))
     met = grid.select("media_id", "time").join(near, ["media_id", "time"], "left").select("media_id", "time", F.coalesce("_y", F.lit(0.0)).alias("y"))
     return rescale(met, keys=("media_id",))
+
+
+#: Bandwidths of a bucket of the exponential kernel, whose terms there lie between exp(-SPAN) and exp(SPAN).
+SPAN = 8
+
+
+def _two_sided(starts: DataFrame, grid: DataFrame, h: float, fps: float) -> DataFrame:
+    """(media_id, time, y): the sum of exp(-|t - s| / h) over all starts s, for the times of the grid.
+
+    Time is cut into buckets. Inside, exp(-t) times the sum of exp(s) up to t, and the reverse from t on, are running
+    sums over the merged starts and times; of each bucket's starts two numbers are sent to the buckets around it,
+    each weighted by exp(-SPAN) a bucket, as far as they count.
+    """
+    span = SPAN * h
+    both = starts.select("media_id", F.col("start_s").cast("double").alias("time"), F.lit(1).alias("one")).unionByName(grid.select("media_id", F.col("time").cast("double").alias("time"), F.lit(0).alias("one")))
+    both = both.withColumn("_b", F.floor(F.col("time") / span)).withColumn("_x", (F.col("time") - F.col("_b") * span) / h)
+    up, down = F.when(F.col("one") == 1, F.exp("_x")), F.when(F.col("one") == 1, F.exp(-F.col("_x")))
+    ends = both.where("one = 1").groupBy("media_id", "_b").agg(F.sum(F.exp("_x")).alias("_up"), F.sum(F.exp(-F.col("_x"))).alias("_down"))
+    away = math.ceil(min(760.0, 44.0 + 0.5 / (fps * h)) / SPAN)  # exp(-760) is 0
+    sent = ends.withColumn("_j", F.explode(F.array(*(F.lit(j) for j in range(-away, away + 1) if j))))
+    sent = sent.select(F.col("media_id").alias("_m"), (F.col("_b") + F.col("_j")).alias("_c"), F.when(F.col("_j") > 0, F.col("_up") * F.exp(-SPAN * F.col("_j"))).alias("_l"), F.when(F.col("_j") < 0, F.col("_down") * F.exp(SPAN * F.col("_j"))).alias("_r"))
+    carried = sent.groupBy("_m", "_c").agg(F.coalesce(F.sum("_l"), F.lit(0.0)).alias("_left"), F.coalesce(F.sum("_r"), F.lit(0.0)).alias("_right"))
+    so_far = lambda order: Window.partitionBy("media_id", "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.withColumns({"_l": F.sum(up).over(so_far(F.col("time"))), "_r": F.sum(down).over(so_far(F.desc("time"))), "_same": F.sum("one").over(Window.partitionBy("media_id", "_b", "time"))}).where("one = 0")
+    met = summed.join(carried, (F.col("media_id") == F.col("_m")) & (F.col("_b") == F.col("_c")), "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    y = F.exp(-F.col("_x")) * (some("_l") + some("_left")) + F.exp("_x") * (some("_r") + some("_right")) - F.col("_same")
+    return met.groupBy("media_id", "time").agg(F.first(y).alias("y"))

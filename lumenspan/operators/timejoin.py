@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import shared_dir
+from .positions import numbered, running
+
 #: The interval conventions: open, closed, half-open.
 BOUNDS = ("()", "[]", "[)", "(]")
 
@@ -66,42 +67,43 @@ def timeline_sampler(shots: DataFrame, frames: DataFrame, middle: bool = True, s
 
 
 def _scan(shots: DataFrame, frames: DataFrame, picks: list[str]) -> DataFrame:
-    def many(s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        """The medias of a bucket, one after the other; a media's shots follow each other, its frames are searched."""
-        f = f.dropna(subset=["time"]).sort_values(["media_id", "time", "frame_idx"])
-        s = s.dropna(subset=["start_s", "end_s"]).sort_values(["media_id", "start_s", "shot_idx"])
-        names, place = np.unique(f.media_id.to_numpy(), return_index=True)
-        spans = dict(zip(names.tolist(), zip(place.tolist(), [*place[1:].tolist(), len(f)], strict=True), strict=True))
-        times, numbers, out = f.time.to_numpy(float), f.frame_idx.to_numpy(), []
-        for media, own in s.groupby("media_id", sort=False):
-            if media not in spans:
-                continue
-            low, high = spans[media]
-            t, free = times[low:high], 0
-            opens, closes = np.searchsorted(t, own.start_s.to_numpy(float), "left"), np.searchsorted(t, own.end_s.to_numpy(float), "left")
-            for shot, start, end, first, last in zip(own.shot_idx, own.start_s, own.end_s, opens.tolist(), closes.tolist(), strict=True):
-                first = max(first, free)
-                last = max(first, last)  # the frame that closes the shot
-                free = last + 1
-                near = t[first : last + 1]
-                near = near[near <= end]
-                if len(near):
-                    goal = {"start": start, "middle": (start + end) / 2, "end": end}
-                    out += [(media, shot, p, near[at], numbers[low + first + at]) for p in picks for at in [int(np.abs(near - goal[p]).argmin())]]
-        return pd.DataFrame(out, columns=["media_id", "shot_idx", "pick", "time", "frame_idx"])
-
-    kind = dict(shots.dtypes)
-    schema = f"media_id {kind['media_id']}, shot_idx {kind['shot_idx']}, pick string, time double, frame_idx {dict(frames.dtypes)['frame_idx']}"
-    # a few buckets of medias for each task, not a group for each media
-    bucket = F.pmod(F.xxhash64("media_id"), F.lit(4 * int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("_b")
-    dealt = lambda df, *cols: df.where("media_id is not null").select(bucket, "media_id", *cols).groupBy("_b")
-    return dealt(shots, "shot_idx", "start_s", "end_s").cogroup(dealt(frames, "time", "frame_idx")).applyInPandas(many, schema)
+    """The scan without a scan: where a shot begins depends on those before it by a running maximum alone.
+
+    With o and c the number of frames before a shot's start and its end, shot k takes the frames from first = max(o, free)
+    to last = max(first, c), and free = last + 1 for the next. So free is k + 1 plus the largest max(o, c) - j of all
+    shots j up to k: two running values along the media, each in two levels, in place of one task a media.
+    """
+    shared_dir(shots.sparkSession)
+    frames = frames.where("media_id is not null and time is not null").select("media_id", F.col("time").cast("double").alias("time"), "frame_idx")
+    shots = shots.where("media_id is not null and start_s is not null and end_s is not null").select("media_id", "shot_idx", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
+    shots = shots.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    # frames before each start, middle and end, and those up to each end; events of one time: 0 before its frames, 2 after
+    at = F.explode(F.array(*(F.struct(F.lit(n).alias("what"), t.alias("time"), F.lit(side).alias("side")) for n, t, side in (("opens", F.col("start_s"), 0), ("middle", (F.col("start_s") + F.col("end_s")) / 2, 0), ("closes", F.col("end_s"), 0), ("within", F.col("end_s"), 2)))))
+    events = shots.select("media_id", "_id", at.alias("e")).select("media_id", "_id", "e.what", "e.time", "e.side")
+    along = running(frames.withColumn("side", F.lit(1)).unionByName(events, allowMissingColumns=True), ["media_id"], ["time", "side", "frame_idx"], {"seen": F.when(F.col("side") == 1, 1).otherwise(0)})
+    placed = along.where("side = 1").select("media_id", F.col("seen").alias("place"), "time", "frame_idx").withColumn("place", F.col("place") - 1)
+    counts = along.where("side <> 1").groupBy("_id").agg(*(F.max(F.when(F.col("what") == n, F.col("seen"))).alias(n) for n in ("opens", "middle", "closes", "within")))
+    in_order = numbered(shots.join(counts, "_id"), ["media_id"], ["start_s", "shot_idx"], "k").withColumn("_top", F.greatest("opens", "closes") - F.col("k"))
+    known = running(in_order, ["media_id"], ["k"], tops={"top": F.col("_top")})
+    # free before shot k: that after shot k - 1, whose top is this shot's without itself
+    before = known.select(F.col("media_id").alias("_m"), (F.col("k") + 1).alias("_k"), (F.col("k") + 1 + F.col("top")).alias("free"))
+    chain = known.join(before, (F.col("media_id") == F.col("_m")) & (F.col("k") == F.col("_k")), "left")
+    chain = chain.withColumn("first", F.greatest("opens", F.coalesce("free", F.lit(0)))).withColumn("high", F.least(F.greatest("first", "closes"), F.col("within") - 1)).where("first <= high")
+    clamp = lambda c: F.greatest("first", F.least(c, F.col("high")))
+    goals = {"start": (F.col("start_s"), [F.col("first")]), "middle": ((F.col("start_s") + F.col("end_s")) / 2, [clamp(F.col("middle") - 1), clamp(F.col("middle"))]), "end": (F.col("end_s"), [F.col("high")])}
+    asked = F.explode(F.array(*(F.struct(F.lit(p).alias("pick"), goals[p][0].alias("goal"), c.alias("place")) for p in picks for c in goals[p][1])))
+    asked = chain.select("media_id", "_id", "shot_idx", "first", asked.alias("a")).select("media_id", "_id", "shot_idx", "first", "a.*")
+    # of frames of one time the first counts
+    ties = placed.groupBy(F.col("media_id").alias("_tm"), F.col("time").alias("_tt")).agg(F.min("place").alias("_first"))
+    near = asked.join(placed.select("media_id", "place", "time"), ["media_id", "place"])
+    best = near.groupBy("media_id", "_id", "shot_idx", "pick", "first").agg(F.min_by("time", F.struct(F.abs(F.col("time") - F.col("goal")), F.col("place"))).alias("time"))
+    chosen = best.join(ties, (F.col("media_id") == F.col("_tm")) & (F.col("time") == F.col("_tt"))).withColumn("place", F.greatest("first", "_first"))
+    return chosen.select("media_id", "shot_idx", "pick", "time", "place").join(placed.select("media_id", "place", "frame_idx"), ["media_id", "place"]).select("media_id", "shot_idx", "pick", "time", "frame_idx")
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str], by: str = "media_id") -> DataFrame:
     """Row i of a media in a with row i in b; what is left over is dropped."""
-    number = lambda df, order: df.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return number(a, order_a).join(number(b, order_b), [by, "_i"]).withColumn("idx", F.col("_i") - 1).drop("_i")
+    return numbered(a, [by], order_a).join(numbered(b, [by], order_b), [by, "_i"]).withColumn("idx", F.col("_i").cast("int")).drop("_i")
 
 
 def frames_at(frames: DataFrame, items: DataFrame, fps: float | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import numbered
+
 
 def frame_grid(media: DataFrame, fps: float) -> DataFrame:
     """(media_id, frame_idx, time, delta_time) for duration * fps frames of each media (media_id, duration)."""
@@ -46,13 +48,13 @@ def resample_frames(frames: DataFrame, fps: float) -> DataFrame:
 
 def batch_rows(df: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows with the number of their batch of n, in order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / n).cast("long"))
+    return numbered(df, by, order).withColumn("batch", F.floor(F.col("_i") / n).cast("long")).drop("_i")
 
 
 def even_sample(df: DataFrame, by: Sequence[str], order: Sequence[str], m: int = 30) -> DataFrame:
     """Rows of each group with is_sample: true at the positions round_half_even(j (n - 1) / (k - 1)), j < k = min(n, m)."""
-    w = Window.partitionBy(*by)
-    placed = df.withColumns({"_p": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    sizes = df.groupBy(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by))).agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(df, by, order, "_place").join(sizes, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)])
     k = F.least(F.col("_n"), F.lit(m))
     place = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda j: F.bround(F.coalesce(F.try_divide((j * (F.col("_n") - 1)).cast("double"), (k - 1).cast("double")), F.lit(0.0)), 0).cast("bigint"))
-    return placed.withColumn("is_sample", F.array_contains(place, F.col("_p").cast("bigint"))).drop("_p", "_n")
+    return placed.withColumn("is_sample", F.array_contains(place, F.col("_place"))).select(*df.columns, "is_sample")
