@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping, Sequence
-from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,29 +17,30 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(apart, r"([a-z0-9])([A-Z])", "$1_$2"))
 
 
-def unescape_html(text: Column) -> Column:
-    """Named entities of HTML 4 (and &apos;) and numeric ones as their characters, one level; others stay."""
-    known = {**name2codepoint, "apos": 39}
-    names = F.create_map(*(F.lit(x) for name, code in known.items() for x in (name, chr(code))))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+def unescape_html(text: Column, levels: int = 1) -> Column:
+    """Entities as their characters, so many levels of them, as the HTML standard reads them.
 
-    def character(entity: Column) -> Column:
-        code = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 6), 16, 10)).otherwise(F.substring(entity, 2, 7)).cast("bigint")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        return F.when(entity.startswith("#"), number).otherwise(F.try_element_at(names, entity))
+    From left to right, each once a level: numbers in both bases, and the longest name of the standard's table that
+    begins there, with or without its semicolon; what is none stays. Texts without & don't change.
+    """
 
-    undone = lambda acc, entity: F.replace(acc, F.concat(F.lit("&"), entity, F.lit(";")), F.coalesce(character(entity), F.concat(F.lit("&"), entity, F.lit(";"))))
-    # & comes last, so that one pass undoes one level
-    others = F.aggregate(F.filter(found, lambda e: ~e.isin("amp", "#38")), text, undone)
-    return F.regexp_replace(others, "&(amp|#38);", "&")
+    @F.pandas_udf("string")
+    def undone(texts: pd.Series) -> pd.Series:
+        def one(t):
+            for _ in range(levels):
+                if t is None or "&" not in t:
+                    break
+                t = html.unescape(t)
+            return t
+
+        return texts.map(one)
+
+    return undone(text)
 
 
 def clean_text(text: Column, lower: bool = True) -> Column:
     """HTML entities undone twice, white space (the no-break space too) collapsed to one space and trimmed, lower case."""
-    for _ in range(2):
-        text = unescape_html(text)
-    flat = F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
+    flat = F.trim(F.regexp_replace(unescape_html(text, 2), r"[\s\u00a0]+", " "))
     return F.lower(flat) if lower else flat
 
 

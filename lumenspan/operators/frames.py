@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,43 +48,73 @@ def brightness(pixels: DataFrame, fps: float = 5.0, normalize: bool = True) -> D
     return rescale(out, keys=("media_id",), normalize=normalize)
 
 
-def dominant_colors(pixels: DataFrame, k: int = 1, fps: float = 5.0, max_iter: int = 10, seed: int = 0) -> DataFrame:
+def dominant_colors(pixels: DataFrame, k: int = 1, fps: float = 5.0, max_iter: int = 10) -> DataFrame:
     """(media_id, rank, time, r, g, b) in 0..1: k colours of each frame by ascending number of pixels; one is the mean.
 
-    Beyond one colour, equal pixels are counted first, so that a frame is at most its distinct colours in one group.
+    Beyond one colour they are the centres of weighted k-means over the frame's distinct colours, which are counted
+    first. The first start is the most frequent colour, each next one the colour whose pixels times squared distance to
+    the starts so far is largest; the smaller (r, g, b) wins ties. After max_iter steps, in which a colour goes to the
+    nearest centre (the earlier start of equal ones) and a centre without colours stays, centres are ordered by pixels,
+    then by r, g, b. A frame of fewer distinct colours has these.
     """
     time = (F.col("frame_idx") / float(fps)).alias("time")
     if k == 1:
         mean = pixels.groupBy("media_id", "frame_idx").agg(*((F.avg(c) / 255).alias(c) for c in "rgb"))
         return mean.select("media_id", F.lit(0).alias("rank"), time, "r", "g", "b")
-
-    def colours(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng(seed)
-        centres = [x[0]]
-        while len(centres) < min(k, len(x)):  # spread starts
-            d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0) * n
-            centres.append(x[int(d.argmax())] if d.max() > 0 else x[rng.integers(len(x))])
-        c = np.array(centres)
-        for _ in range(max_iter):
-            of = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            size = np.bincount(of, n, minlength=len(c))
-            mean = np.stack([np.bincount(of, n * x[:, j], minlength=len(c)) for j in range(3)], 1) / np.maximum(size, 1)[:, None]
-            new = np.where(size[:, None] > 0, mean, c)
-            if np.allclose(new, c):
-                break
-            c = new
-        size = np.bincount(((x[:, None] - c[None]) ** 2).sum(2).argmin(1), n, minlength=len(c))
-        return c[np.lexsort((c[:, 2], c[:, 1], c[:, 0], size))] / 255
+    kinds = dict(pixels.dtypes)
+    names = ["media_id", "rank", "time", "r", "g", "b"]
 
     def run(batches):
-        for f in batches:
-            out = []
-            for media, frame, pixels_ in zip(f.media_id, f.frame_idx, f.pixels, strict=True):
-                p = np.array([(e["r"], e["g"], e["b"], e["n"]) for e in pixels_], float)
-                out += [(media, i, frame / fps, *c) for i, c in enumerate(colours(p[:, :3], p[:, 3]))]
-            yield pd.DataFrame(out, columns=["media_id", "rank", "time", "r", "g", "b"])
-
-    counted = pixels.groupBy("media_id", "frame_idx", "r", "g", "b").agg(F.count("*").alias("n"))
+        for b in batches:
+            lists = b.column(b.schema.get_field_index("pixels"))
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.flatten()
+            x = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "rgb"], 1)
+            n = flat.field("n").to_numpy(zero_copy_only=False).astype(float)
+            frame, centre, colours = _centres(x, n, offsets - offsets[0], k, max_iter)
+            rows = pa.array(frame)
+            at = b.column(b.schema.get_field_index("frame_idx")).take(rows).to_numpy(zero_copy_only=False) / float(fps)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("media_id")).take(rows), pa.array(centre.astype(np.int32)), pa.array(at), *(pa.array(colours[:, j] / 255) for j in range(3))], names)
+
+    counted = pixels.na.drop(subset=["r", "g", "b"]).groupBy("media_id", "frame_idx", "r", "g", "b").agg(F.count("*").alias("n"))
     pixel = F.struct((-F.col("n")).alias("_n"), "r", "g", "b", "n")
     framed = counted.groupBy("media_id", "frame_idx").agg(F.sort_array(F.collect_list(pixel)).alias("pixels"))
-    return framed.mapInPandas(run, f"media_id {dict(pixels.dtypes)['media_id']}, rank int, time double, r double, g double, b double")
+    return framed.mapInArrow(run, f"media_id {kinds['media_id']}, rank int, time double, r double, g double, b double")
+
+
+def _centres(x: np.ndarray, n: np.ndarray, offsets: np.ndarray, k: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frame, rank, centre) of frames whose colours x, n times each, lie in a row from offsets to offsets."""
+    size = np.diff(offsets)
+    frames = np.arange(len(size))
+    of = np.repeat(frames, size)
+    begin = offsets[:-1]
+    distance = lambda c: ((x - c[of]) ** 2).sum(1)
+    centres = np.full((len(size), k, 3), np.inf)
+    centres[:, 0] = x[begin]
+    near = distance(centres[:, 0])
+    for j in range(1, k):
+        gain = near * n
+        best = np.maximum.reduceat(gain, begin)
+        first = np.minimum.reduceat(np.where(gain == best[of], np.arange(len(x)), len(x)), begin)
+        some = size > j
+        centres[some, j] = x[first[some]]
+        near = np.minimum(near, distance(centres[:, j]))
+
+    def assign():
+        return of * k + np.stack([distance(centres[:, j]) for j in range(k)], 1).argmin(1)
+
+    for _ in range(steps):
+        at = assign()
+        total = np.bincount(at, n, len(size) * k)
+        mean = np.stack([np.bincount(at, n * x[:, j], len(size) * k) for j in range(3)], 1) / np.maximum(total, 1)[:, None]
+        new = np.where(total[:, None] > 0, mean, centres.reshape(-1, 3)).reshape(centres.shape)
+        if (new == centres).all():
+            break
+        centres = new
+    total = np.bincount(assign(), n, len(size) * k)
+    flat, frame = centres.reshape(-1, 3), np.repeat(frames, k)
+    there = np.tile(np.arange(k), len(size)) < np.repeat(size, k)
+    order = np.lexsort((flat[:, 2], flat[:, 1], flat[:, 0], total, frame))
+    order = order[there[order]]
+    held = np.minimum(size, k)
+    return frame[order], np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held), flat[order]

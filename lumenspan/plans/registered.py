@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -491,9 +492,11 @@ def _(b):
     return boxes.unletterbox(b.withColumns({"w": F.col("w") - 20, "h": F.col("h") - 22, "ratio": F.lit(0.75), "dw": F.lit(3.0), "dh": F.lit(2.0)})).select("id", "x", "y", "w", "h")
 
 
-@_query("fit_geometry", "sizes", "WITH s AS (SELECT *, least(320.0 / w, 240.0 / h) AS s FROM sizes), f AS (SELECT *, CAST(floor(w * s + 1e-9) AS INT) AS fw, CAST(floor(h * s + 1e-9) AS INT) AS fh FROM s) SELECT media_id, round(s, 6) AS scale, (320 - fw) // 2 >= 0 AS ok FROM f")
+@_query("fit_geometry", "sizes", """
+WITH s AS (SELECT *, least(CAST(320 AS DOUBLE) / w, CAST(240 AS DOUBLE) / h) AS s FROM sizes), f AS (SELECT *, CAST(floor(w * s) AS INT) AS fw, CAST(floor(h * s) AS INT) AS fh FROM s)
+SELECT media_id, round(s, 6) AS scale, fw AS fit_w, fh AS fit_h, CAST(floor((320 - fw) / 2.0) AS INT) AS off_x, CAST(floor((240 - fh) / 2.0) AS INT) AS off_y FROM f""")
 def _(s):
-    return boxes.fit_geometry(s, 320, 240).select("media_id", *_r("scale"), (F.col("off_x") >= 0).alias("ok"))
+    return boxes.fit_geometry(s, 320, 240).select("media_id", *_r("scale"), "fit_w", "fit_h", "off_x", "off_y")
 
 
 @_query("to_annotations", "series", "SELECT media_id, round(time, 6) AS start_s, round(time + 0.2, 6) AS end_s, label FROM series")
@@ -512,6 +515,11 @@ def _(b):
     return boxes.crop_geometry(b, compat=True).select("id", "cx", "cy", *_r("crop_scale"))
 
 
+@_query("crop_geometry_centred", "boxes", "SELECT id, x + w / 2 AS cx, y + h / 2 AS cy, round(112 / (2 * greatest(w, h)), 6) AS crop_scale FROM boxes")
+def _(b):
+    return boxes.crop_geometry(b, 112, 2.0).select("id", "cx", "cy", *_r("crop_scale"))
+
+
 @_query("denormalise_keypoints", "boxes", "SELECT id, round(x / 300 * 640, 6) AS px, round(y / 200 * 480, 6) AS py FROM boxes")
 def _(b):
     kps = b.select("id", F.array(F.col("x") / 300).alias("x"), F.array(F.col("y") / 200).alias("y"), F.lit(640).alias("width"), F.lit(480).alias("height"))
@@ -580,9 +588,11 @@ def _(s):
     return frames.scaled_size(s, 480).select("media_id", "out_w", "out_h")
 
 
-@_query("frame_geometry_crop", "sizes", "SELECT media_id, greatest(0, (w - 224) // 2 - CASE WHEN w < 224 AND (w - 224) % 2 <> 0 THEN 1 ELSE 0 END) AS x0, greatest(0, (h - 224) // 2 - CASE WHEN h < 224 AND (h - 224) % 2 <> 0 THEN 1 ELSE 0 END) AS y0, greatest(0, (h - w) // 2) AS pad_x, greatest(0, (w - h) // 2) AS pad_y FROM sizes")
+@_query("frame_geometry_crop", "sizes", """
+WITH c AS (SELECT media_id, w, h, greatest(0, CAST(floor((w - 224) / 2.0) AS INT)) AS x0, greatest(0, CAST(floor((h - 224) / 2.0) AS INT)) AS y0 FROM sizes)
+SELECT media_id, x0, y0, least(w, x0 + 224) AS x1, least(h, y0 + 224) AS y1, greatest(0, (h - w) // 2) AS pad_x, greatest(0, (w - h) // 2) AS pad_y FROM c""")
 def _(s):
-    return frames.frame_geometry(frames.frame_geometry(s, "crop", 224), "pad").select("media_id", "x0", "y0", "pad_x", "pad_y")
+    return frames.frame_geometry(frames.frame_geometry(s, "crop", 224), "pad").select("media_id", "x0", "y0", "x1", "y1", "pad_x", "pad_y")
 
 
 @_query("frame_geometry_max", "sizes", "SELECT media_id, CAST(floor(w * least(320.0 / greatest(w, h), 1.0)) AS INT) AS out_w, CAST(floor(h * least(320.0 / greatest(w, h), 1.0)) AS INT) AS out_h FROM (SELECT media_id, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM sizes)")
@@ -614,7 +624,30 @@ def _(p):
 
 @_query("dominant_colors_3", "pixels", None)
 def _(p):
-    return frames.dominant_colors(p, k=3)
+    return frames.dominant_colors(p, k=3).select("media_id", "rank", *_r("time", "r", "g", "b"))
+
+
+def _far(x: str, y: str) -> str:
+    return "(" + " + ".join(f"({x}[{j}] - {y}[{j}]) * ({x}[{j}] - {y}[{j}])" for j in (1, 2, 3)) + ")"
+
+
+_NEAREST = f"list_transform(p, lambda x: list_position(list_transform(c, lambda y: {_far('x', 'y')}), list_min(list_transform(c, lambda y: {_far('x', 'y')}))))"
+_HELD = "list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN a[i] = j THEN p[i][4]{} ELSE 0 END))"
+#: Weighted k-means of each frame's colours: starts far from each other, then ten steps over lists.
+QUERIES["dominant_colors_3"] = (QUERIES["dominant_colors_3"][0], _recursive("pixels", f"""
+WITH RECURSIVE d AS (SELECT media_id, frame_idx, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n FROM pixels GROUP BY ALL),
+f AS (SELECT media_id, frame_idx, list([r, g, b, n] ORDER BY n DESC, r, g, b) AS p FROM d GROUP BY ALL),
+s1 AS (SELECT *, list_transform(p, lambda x: {_far('x', 'p[1]')}) AS near FROM f),
+g2 AS (SELECT *, list_transform(p, lambda x, i: near[i] * x[4]) AS gain FROM s1),
+s2 AS (SELECT media_id, frame_idx, p, near, CASE WHEN len(p) > 1 THEN p[list_position(gain, list_max(gain))] END AS c2 FROM g2),
+g3 AS (SELECT *, list_transform(p, lambda x, i: least(near[i], {_far('x', 'c2')}) * x[4]) AS gain FROM s2),
+s3 AS (SELECT media_id, frame_idx, p, list_filter([p[1], c2, CASE WHEN len(p) > 2 THEN p[list_position(gain, list_max(gain))] END], lambda x: x IS NOT NULL) AS c FROM g3),
+w AS (SELECT media_id, frame_idx, 0 AS step, p, list_transform(c, lambda y: y[1:3]) AS c FROM s3
+  UNION ALL SELECT media_id, frame_idx, step + 1, p, list_transform(range(1, len(c) + 1), lambda j: CASE WHEN {_HELD.format("")} > 0 THEN [{", ".join(f"{_HELD.format(f' * p[i][{k}]')} / {_HELD.format('')}" for k in (1, 2, 3))}] ELSE c[j] END)
+  FROM (SELECT *, {_NEAREST} AS a FROM w WHERE step < 10)),
+e AS (SELECT media_id, frame_idx, c, list_transform(range(1, len(c) + 1), lambda j: {_HELD.format("")}) AS held FROM (SELECT *, {_NEAREST} AS a FROM w WHERE step = 10)),
+u AS (SELECT media_id, frame_idx, unnest(c) AS c, unnest(held) AS held FROM e)
+SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id, frame_idx ORDER BY held, c[1], c[2], c[3]) - 1 AS INT) AS rank, round(frame_idx / 5.0, 6) AS time, round(c[1] / 255, 6) AS r, round(c[2] / 255, 6) AS g, round(c[3] / 255, 6) AS b FROM u"""))
 
 
 @_query("audio_rms", "samples", """
@@ -720,12 +753,14 @@ def _(s):
     return parsed.select("media_id", "label", F.size(data).cast("bigint").alias("n"), data[0]["label_idx"].alias("first_idx"), F.round(data[0]["time"], 3).alias("first_time"), F.round(F.element_at(data, -1)["time"], 3).alias("last_time"), F.col("j.media_id").alias("inside"))
 
 
-@_query("extract_all", "series", "SELECT media_id, label, count(*) AS n, round(sum(y), 6) AS total FROM series WHERE label IN ('click', 'signup') GROUP BY media_id, label")
+@_query("extract_all", "series", "SELECT media_id, label, count(*) AS n, round(sum(y), 6) AS total FROM series GROUP BY media_id, label")
 def _(s):
+    """Every child is read from its own directory."""
     path = f"{shared_dir(s.sparkSession).rstrip('/')}/children-{uuid.uuid4().hex}"
     ingest.extract_all(s.select("media_id", "label", "y"), path)
-    read = lambda child: s.sparkSession.read.parquet(f"{path}/label={child}").withColumn("label", F.lit(child))
-    return read("click").unionByName(read("signup")).groupBy("media_id", "label").agg(F.count("*").alias("n"), F.round(F.sum("y"), 6).alias("total"))
+    labels = [r["label"] for r in s.select("label").distinct().collect()]
+    children = [s.sparkSession.read.parquet(f"{path}/label={c}").withColumn("label", F.lit(c)) for c in labels]
+    return functools.reduce(DataFrame.unionByName, children).groupBy("media_id", "label").agg(F.count("*").alias("n"), F.round(F.sum("y"), 6).alias("total"))
 
 
 @_query("fill_segments", "segments", "SELECT media_id, turn, coalesce(start_s, 0.0) AS start_s, coalesce(end_s, (max(turn) OVER (PARTITION BY media_id) + 1) * 10.0) AS end_s FROM segments")
@@ -734,10 +769,18 @@ def _(s):
     return ingest.fill_segments(s, media).select("media_id", "turn", "start_s", "end_s")
 
 
-@_query("media_kind", "pages", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.html$') THEN 'other' ELSE 'video' END AS kind FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) WHERE NOT regexp_matches(url, '\\.[^./]+$') OR regexp_matches(url, '\\.html$')")
-def _(p):
-    named = p.select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("filename"))
-    return ingest.with_media_kind(named).where("ext in ('html', 'mp4')").select("page_id", "kind")
+_EXTENSION = "lower(regexp_extract(f, '\\.([^./]+)$', 1))"
+_KINDS = " ".join(f"WHEN {_EXTENSION} IN ({', '.join(map(repr, exts))}) THEN '{kind}'" for kind, exts in ingest.KINDS.items())
+
+
+@_query("media_kind", "pages documents", f"""
+WITH u AS (SELECT 'page ' || page_id AS id, regexp_replace(url, '[?#].*$', '') AS f FROM pages UNION ALL SELECT 'file ' || doc_id, 'clip' || CASE doc_id % 8 WHEN 0 THEN '.MP4' WHEN 1 THEN '.mov' WHEN 2 THEN '.flac' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '.JPeG' WHEN 5 THEN '' WHEN 6 THEN '.' || source ELSE '.d/clip' END FROM documents)
+SELECT id, CASE WHEN {_EXTENSION} = '' THEN 'video' {_KINDS} ELSE 'other' END AS kind, CASE WHEN {_EXTENSION} = '' THEN 'mp4' ELSE {_EXTENSION} END AS ext FROM u""")
+def _(p, d):
+    pages = p.select(F.concat(F.lit("page "), "page_id").alias("id"), F.regexp_replace("url", r"[?#].*$", "").alias("filename"))
+    ends = F.element_at(F.array(*map(F.lit, (".MP4", ".mov", ".flac", ".tar.gz", ".JPeG", "", None, ".d/clip"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    files = d.select(F.concat(F.lit("file "), "doc_id").alias("id"), F.concat(F.lit("clip"), F.coalesce(ends, F.concat(F.lit("."), "source"))).alias("filename"))
+    return ingest.with_media_kind(pages.unionByName(files)).select("id", "kind", "ext")
 
 
 # -- functions ------------------------------------------------------------------------------------------------------

@@ -246,6 +246,32 @@ def test_dominant_colours(spark):
     assert two[0] == (0.0, 1.0) and two[1][0] > 0.99
 
 
+def test_centres_of_many_frames_at_once():
+    rng = np.random.default_rng(0)
+    found = []
+    for _ in range(60):  # few values, so that ties are many
+        distinct = {tuple(c): int(rng.integers(1, 4)) for c in rng.integers(0, 5, (int(rng.integers(1, 9)), 3))}
+        found.append(sorted((-n, *c) for c, n in distinct.items()))
+    x = np.array([p[1:] for f in found for p in f], float)
+    n = np.array([-p[0] for f in found for p in f], float)
+    offsets = np.cumsum([0, *map(len, found)])
+    k = 3
+    frame, rank, colours = frames._centres(x, n, offsets, k, 10)
+    for i, f in enumerate(found):
+        far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b, strict=True))
+        pixels = [(tuple(map(float, p[1:])), -p[0]) for p in f]
+        c = [pixels[0][0]]
+        while len(c) < min(k, len(pixels)):
+            c.append(max(pixels, key=lambda p: p[1] * min(far(p[0], y) for y in c))[0])
+        nearest = lambda p: min(range(len(c)), key=lambda j: far(p, c[j]))
+        for _ in range(10):
+            own = [[q for q in pixels if nearest(q[0]) == j] for j in range(len(c))]
+            c = [tuple(sum(m * v[a] for v, m in o) / sum(m for _, m in o) for a in range(3)) if o else c[j] for j, o in enumerate(own)]
+        want = sorted((sum(m for v, m in pixels if nearest(v) == j), *c[j]) for j in range(len(c)))
+        got = [tuple(y) for y in colours[frame == i]]
+        assert np.allclose(got, [w[1:] for w in want]) and rank[frame == i].tolist() == list(range(len(c)))
+
+
 def test_audio(spark):
     n = 2048
     y = [math.sin(2 * math.pi * 1000 * i / 8000) for i in range(n)]
@@ -300,7 +326,10 @@ def test_text_functions(spark):
     r = df.select(X.snake_case(F.col("n")).alias("n"), X.valid_id(F.col("i")).alias("i"), X.valid_id(F.concat("i", F.lit("\n"))).alias("j"), X.clean_text(F.col("t")).alias("t")).first()
     assert (r.n, r.i, r.j, r.t) == ("my_http_server", True, False, "a&b c")
     t = spark.createDataFrame([("caf&eacute; &#233;&#xE9;&nbsp;\u00a0 &unknown; &amp;lt; &#128512; &#55296; &amp;#38;amp; &",), (None,), ("",)], "t string")
-    assert [r[0] for r in t.select(X.clean_text(F.col("t"))).collect()] == ["caf\u00e9 \u00e9\u00e9 &unknown; < \U0001f600 &#55296; &amp; &", None, ""]
+    assert [r[0] for r in t.select(X.clean_text(F.col("t"))).collect()] == ["caf\u00e9 \u00e9\u00e9 &unknown; < \U0001f600 \ufffd &amp; &", None, ""]
+    some = [("&#x26;lt; &#038;lt; &lt &copy 2020 &notit; &notin; &NotEqual; &#0; &#x80; &amp;amp;lt",), ("&ampamp; &acirc;&Acirc &zwnj &gt;&gt &#62 &#x3e &; &#; &#x; &&lt",), ("plain",)]
+    once = [r[0] for r in spark.createDataFrame(some, "t string").select(X.unescape_html(F.col("t"))).collect()]
+    assert once == ["&lt; &lt; < \u00a9 2020 \u00acit; \u2209 \u2260 \ufffd \u20ac &amp;lt", "&amp; \u00e2\u00c2 &zwnj >> > > &; &#; &#x; &<", "plain"]
     p = spark.createDataFrame([("BOOL", "False"), ("BOOL", "false"), ("INT", "x"), ("FLOAT", "1.5")], "k string, v string")
     got = [tuple(r.c) for r in p.select(X.cast_parameter(F.col("k"), F.col("v")).alias("c")).collect()]
     assert got == [(None, None, None, False), (None, None, None, True), (None, None, None, None), (None, None, 1.5, None)]
