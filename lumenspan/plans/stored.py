@@ -30,7 +30,7 @@ def _(d):
     for turn in range(3):
         spark.read.parquet(f"{path}/all").where(F.col("turn") == turn).drop("turn").write.parquet(f"{path}/in/{turn}")
         stream = spark.readStream.schema("media_id string, ingest_seq long, content string").parquet(f"{path}/in/*")
-        ingest_stream(stream, f"{path}/store", f"{path}/map", f"{path}/checkpoint").awaitTermination()
+        ingest_stream(stream, f"{path}/store", f"{path}/map", f"{path}/checkpoint", digits=1).awaitTermination()
     kept = spark.read.parquet(f"{path}/store").select(F.lit("kept").alias("part"), F.col("media_id").alias("id"), F.col("media_id").alias("canonical_id"))
     return spark.read.parquet(f"{path}/map").select(F.lit("mapped").alias("part"), F.col("new_id").alias("id"), "canonical_id").unionByName(kept)
 
@@ -52,11 +52,11 @@ def _(d):
 
 
 def _packet_id(n):
-    """Hexadecimal ids of which a hundred neighbours share a shard."""
-    return F.concat(F.lpad(F.hex(F.expr(f"{n} div 100")), 4, "0"), F.md5(F.col(n).cast("string").cast("binary")))
+    """Hexadecimal ids of which four hundred neighbours share a shard."""
+    return F.concat(F.lpad(F.hex(F.expr(f"{n} div 400")), 4, "0"), F.md5(F.col(n).cast("string").cast("binary")))
 
 
-_PACKET_ID = "lpad(printf('%X', CAST({0} // 100 AS BIGINT)), 4, '0') || md5(CAST({0} AS VARCHAR))"
+_PACKET_ID = "lpad(printf('%X', CAST({0} // 400 AS BIGINT)), 4, '0') || md5(CAST({0} AS VARCHAR))"
 
 
 @_query("delete_packets", "documents orders", f"""
@@ -67,7 +67,7 @@ def _(d, o):
     spark, path = d.sparkSession, _folder(d, "packets")
     kind = F.when(F.col("doc_id") % 3 == 0, "series").when(F.col("doc_id") % 3 == 1, "shots").otherwise("boxes")
     packets = d.select(_packet_id("doc_id").alias("id"), kind.alias("type"), F.col("lang").alias("name"))
-    ingest.write_packets(packets.repartition(F.substring("id", 1, 4)), path)
+    ingest.write_packets(packets, path)
     ingest.delete_packets(spark, path, o.where("o_orderstatus = 'F'").select(_packet_id("o_orderkey").alias("id")))
     loaded = [ingest.load_packets(spark, path, kind) for kind in ("series", "shots")]
     return loaded[0].unionByName(loaded[1]).select("id", "type", "name")
@@ -79,7 +79,7 @@ def _(d, asked):
     """Of packets of two types those of one type and of a stated list of ids."""
     path = _folder(d, "packets")
     packets = d.select(_packet_id("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "media").otherwise("shots").alias("type"), F.col("lang").alias("name"), F.col("source").alias("ref_id"))
-    ingest.write_packets(packets.repartition(F.substring("id", 1, 4)), path)
+    ingest.write_packets(packets, path)
     ids = [r["id"] for r in asked.select(_packet_id("item_id").alias("id")).distinct().collect()]
     return ingest.load_packets(d.sparkSession, path, "media", ids).select("id", "name", "ref_id")
 

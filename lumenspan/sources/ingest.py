@@ -119,7 +119,8 @@ def sharded(df: DataFrame, id: str = "id") -> DataFrame:
 
 
 def write_packets(df: DataFrame, path: str, id: str = "id", mode: str = "append") -> None:
-    sharded(df, id).write.mode(mode).partitionBy("type", "shard1", "shard2").parquet(path)
+    """Packets in folders by type and shard, a file each unless it is crowded."""
+    sharded(df, id).hint("rebalance", "type", "shard1", "shard2").write.mode(mode).partitionBy("type", "shard1", "shard2").parquet(path)
 
 
 #: The row that stands in a shard whose packets were all deleted.
@@ -159,7 +160,9 @@ def delete_packets(spark: SparkSession, path: str, ids: DataFrame, id: str = "id
     lost = near.join(gone.select("id"), "id", "left_semi").select(*places).distinct()
     rest = near.join(lost, places, "left_semi").join(gone.select("id"), "id", "left_anti")
     empty = lost.join(rest.select(*places).distinct(), places, "left_anti")
-    rest.unionByName(empty, allowMissingColumns=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*places).parquet(path)
+    # one file a folder, but a crowded folder is split
+    left = rest.unionByName(empty, allowMissingColumns=True).hint("rebalance", *places)
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*places).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite", partition_by: Iterable[str] = ()) -> None:

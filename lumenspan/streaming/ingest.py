@@ -46,7 +46,7 @@ def merge_batch(batch: DataFrame, number: int, store: str, mapping: str, id: str
     have = new.select(id, "sha1").limit(0) if have is None else have.where(F.col("batch") != number).select(id, "sha1")
     found = map_contents(new, have, id, seq).persist(StorageLevel.DISK_ONLY)
     kept, mapped = kept_and_mapped(found, id, new.columns)
-    kept.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch").parquet(store)
+    kept.withColumn("batch", F.lit(number)).hint("rebalance", "prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch").parquet(store)
     mapped.write.mode("overwrite").parquet(f"{mapping}/batch={number}")
     found.unpersist()
     new.unpersist()
