@@ -1,17 +1,20 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-The rows are cut into blocks, and a block into slices. Each slice has a list for each component, sorted once by
-value; a query reads the lists of its components in step from their better end, and nothing else. At each depth
-
-    unseen = the score of a row at the place just read in every list, the best that an unread row can have
-    lower  = what has been read of a row      upper = lower + best unread value of each list not yet met
-
-While unseen reaches the query's bar, the k-th score found so far, nothing is excluded and reading goes on. From
-there on rows whose upper bound is below the bar can't qualify; when few rows can (RESOLVE), or the lists are at their
-end, their final scores are resolved and merged. The bar carries over from slice to slice, and between blocks: each
-block of queries first meets one block of rows, and its k-th scores go with it to all others. All queries of a block
-read in step, so a depth is a product of matrices. On vectors without structure, whose components say little each,
-half of every list has to be read before the bounds part rows (DEPTHS are the depths at which they are looked at).
+The rows are cut into blocks. Each block has a list for each component, sorted once by value and stored with the
+block; a query reads the lists of its components in step from their better end, and knows the value at their other
+end. At each depth a row has
+
+    lower = what has been read of it + for each list not yet met the worst value in it
+    upper = what has been read of it + for each list not yet met the value just read, the best that is left
+    unseen = the score of a row at the place just read in every list, the upper bound of rows not met at all
+
+The query's bar is the largest of its k-th best lower bound in the block and the k-th score it brought along. A row
+whose upper bound is below the bar can't qualify. Reading stops when only few can (RESOLVE at most), or at the end of
+the lists; then the scores of those few are resolved and merged. The bar carries over from block to block: each block
+of queries first meets one block of rows, and its k-th scores go with it to all others. All queries of a block read in
+step, so a depth is a product of matrices, and lower bounds are computed only as long as an unread row could still
+reach the bar. On vectors without structure, whose components say little each, half of every list has to be read
+before the bounds part rows (DEPTHS are the depths at which they are looked at).
 
 Final scores are 64-bit integers; bounds are exact in float32 up to 2^24, in float64 up to 2^53, and widened beyond.
 
@@ -29,14 +32,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-BLOCK, SLICE, QUERIES = 2_048, 1_024, 2_048
-#: Depths of the lists, as shares, at which the bounds of all rows are compared with the bar.
-DEPTHS = tuple(i / 32 for i in range(1, 33))
+BLOCK, QUERIES = 2_048, 2_048
+#: Depths of the lists, as shares, at which bounds are compared with the bar.
+DEPTHS = (*(i / 32 for i in range(1, 5)), *(i / 16 for i in range(3, 17)))
 RESOLVE = 48
 
 
@@ -47,22 +51,36 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of a slice, as each row's place in them."""
+    """The sorted lists of a block (order: of each component the rows from the largest value on), and each row's place in them."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, order: np.ndarray | None = None):
         self.x, self.n = x, len(x)
-        order = np.argsort(-x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, order, 0)
+        self.order = np.argsort(-x, axis=0, kind="stable") if order is None else order
+        self.sorted = np.take_along_axis(x, self.order, 0)
         self.place = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
+        np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=np.int32)[:, None], 0)
 
-    def upper(self, high: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
-        """Of queries (positive and negative parts) by rows: what the first places hold of a row, and the best that the rest can."""
+    def of(self, kind: type) -> Lists:
+        """The same lists with values of another kind."""
+        out = object.__new__(Lists)
+        out.x, out.n, out.order, out.sorted, out.place = self.x.astype(kind), self.n, self.order, self.sorted.astype(kind), self.place
+        return out
+
+    def unseen(self, high: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
+        """The best score of a row that no list has shown at this depth."""
         if depth >= self.n:
-            return high @ self.x.T + low @ self.x.T
-        # a value that is read is itself, one that is not counts as the value last read
-        down, up = np.where(self.place < depth, self.x, self.sorted[depth - 1]), np.where(self.place >= self.n - depth, self.x, self.sorted[self.n - depth])
-        return high @ down.T + low @ up.T
+            return np.full(len(high), -np.inf)
+        return high @ self.sorted[depth - 1] + low @ self.sorted[self.n - depth]
+
+    def _bound(self, high, low, depth, down, up) -> np.ndarray:
+        """Of queries (positive and negative parts) by rows: what was read, with these values for what was not."""
+        return high @ np.where(self.place < depth, self.x, down).T + low @ np.where(self.place >= self.n - depth, self.x, up).T
+
+    def upper(self, high: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
+        return self._bound(high, low, depth, self.sorted[depth - 1], self.sorted[self.n - depth])
+
+    def lower(self, high: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
+        return self._bound(high, low, depth, self.sorted[-1], self.sorted[0])
 
 
 def _merge(best: pd.DataFrame, more: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -71,55 +89,70 @@ def _merge(best: pd.DataFrame, more: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, bar: np.ndarray | None = None, depths: list | None = None) -> pd.DataFrame:
-    """q (number of the query), vec_id, score: the k best rows of each query that reach its bar.
+    """q (number of the query), vec_id, score: the k best rows of each query that reach its bar, block by block.
 
-    depths, if given, gets the share of the lists that each query read, slice by slice.
+    depths, if given, gets the share of the lists that each query read, block by block.
     """
-    q, x = q.astype(np.int64), x.astype(np.int64)
-    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    kind = np.float32 if largest < 2**24 else np.float64
-    slack = largest * 1e-12 if largest >= 2**53 else 0.0
-    high, low = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
     best = pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
     bar = np.full(len(q), -np.inf) if bar is None else bar.astype(float)
-    for start in range(0, len(x), SLICE):
-        rows, row_ids = x[start : start + SLICE], ids[start : start + SLICE]
-        n = len(rows)
-        lists = Lists(rows.astype(kind))
-        places = np.unique(np.ceil(np.array(DEPTHS) * n).astype(int))
-        unseen = high @ lists.sorted[places - 1].T + low @ lists.sorted[n - places].T + slack
-        unseen[:, -1] = -np.inf  # all has been read
-        first = (unseen < bar[:, None]).argmax(1) if len(places) > 1 else np.zeros(len(q), int)
-        first[np.isneginf(bar)] = len(places) - 1
-        open_, found = np.ones(len(q), bool), []
-        for at_depth, depth in enumerate(places):
-            reading = np.flatnonzero(open_ & (first <= at_depth))
-            if not len(reading):
-                continue
-            can = (lists.upper(high[reading], low[reading], depth) + slack >= bar[reading, None]) & (row_ids[None, :] != q_ids[reading, None])
-            over = (can.sum(1) <= RESOLVE) | (depth == n)
-            if depths is not None:
-                depths += [depth / n] * int(over.sum())
-            open_[reading[over]] = False
-            at, row = np.nonzero(can & over[:, None])
-            if len(at):
-                score = np.concatenate([np.einsum("ij,ij->i", q[reading[at[i : i + 65_536]]], rows[row[i : i + 65_536]]) for i in range(0, len(at), 65_536)])
-                # many may be left where there was no bar: only a query's k best of this slice go on
-                order = np.lexsort((row_ids[row], -score, at))
-                new = np.concatenate([[True], at[order][1:] != at[order][:-1]])
-                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                keep = order[nth < k]
-                found.append(pd.DataFrame({"q": reading[at[keep]], "vec_id": row_ids[row[keep]], "score": score[keep]}))
-            if not open_.any():
-                break
-        if found:
-            best = _merge(best, pd.concat(found, ignore_index=True), k)
-            full = best.groupby("q").score.agg(["size", "min"])
-            full = full[full["size"] >= k]
-            bar[full.index.to_numpy()] = np.maximum(bar[full.index.to_numpy()], full["min"].to_numpy())
+    for start in range(0, len(x), BLOCK):
+        best = _merge(best, search_lists(q_ids, q, ids[start : start + BLOCK], Lists(x[start : start + BLOCK].astype(np.int64)), k, bar, depths), k)
+        full = best.groupby("q").score.agg(["size", "min"])
+        full = full[full["size"] >= k]
+        bar[full.index.to_numpy()] = np.maximum(bar[full.index.to_numpy()], full["min"].to_numpy())
     return best
 
 
+def search_lists(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, lists: Lists, k: int, bar: np.ndarray, depths: list | None = None) -> pd.DataFrame:
+    """search() in the lists of one block."""
+    q, whole, n = q.astype(np.int64), lists, lists.n
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(lists.x).max(initial=0)) * q.shape[1]
+    kind = np.float32 if largest < 2**24 else np.float64
+    slack = largest * 1e-12 if largest >= 2**53 else 0.0
+    lists = lists.of(kind)
+    high, low = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+    bar, open_, found = bar.astype(float), np.arange(len(q)), []
+    own = ids[None, :] == q_ids[:, None]
+    for depth in np.unique(np.ceil(np.array(DEPTHS) * n).astype(int)):
+        # as long as an unread row could qualify, the k-th best lower bound may raise the bar
+        unsure = open_[lists.unseen(high[open_], low[open_], depth) + slack >= bar[open_]]
+        if len(unsure) and n >= k:
+            lower = np.where(own[unsure], -np.inf, lists.lower(high[unsure], low[unsure], depth))
+            bar[unsure] = np.maximum(bar[unsure], np.partition(lower, n - k, axis=1)[:, n - k] - slack)
+        can = (lists.upper(high[open_], low[open_], depth) + slack >= bar[open_, None]) & ~own[open_]
+        over = (can.sum(1) <= RESOLVE) | (depth == n)
+        if depths is not None:
+            depths += [depth / n] * int(over.sum())
+        at, row = np.nonzero(can & over[:, None])
+        if len(at):
+            at = open_[at]
+            score = np.concatenate([np.einsum("ij,ij->i", q[at[i : i + 65_536]], whole.x[row[i : i + 65_536]]) for i in range(0, len(at), 65_536)])
+            # at the end of the lists many may be left: a query's k best of the block go on
+            order = np.lexsort((ids[row], -score, at))
+            new = np.concatenate([[True], at[order][1:] != at[order][:-1]])
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            keep = order[nth < k]
+            found.append(pd.DataFrame({"q": at[keep], "vec_id": ids[row[keep]], "score": score[keep]}))
+        open_ = open_[~over]
+        if not len(open_):
+            break
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
+
+
+def stored_lists(vectors: DataFrame, blocks: int) -> DataFrame:
+    """(b, dim, ids, x, places): the rows of each block and of each length, with their sorted lists, in a table."""
+
+    def build(t: pa.Table) -> pa.Table:
+        dim = t.column("dim")[0].as_py()
+        x = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+        lists = Lists(x)
+        values = [t.column("b")[0].as_py(), dim, t.column("vec_id").to_numpy().astype("<i8").tobytes(), x.astype("<i8").tobytes(), lists.order.astype("<u4").tobytes()]
+        return pa.table([pa.array([v], kind) for v, kind in zip(values, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["b", "dim", "ids", "x", "places"])
+
+    rows = dealt(vectors, "b", blocks).withColumn("dim", F.size("e"))
+    return materialise(rows.groupBy("b", "dim").applyInArrow(build, "b int, dim int, ids binary, x binary, places binary"), "topk-lists")
+
+
 def dealt(vectors: DataFrame, name: str, cells: int) -> DataFrame:
     """Rows with their cell, by id, vector and a number of the row, so that rows of one id are spread."""
     return vectors.withColumn(name, F.pmod(F.xxhash64("vec_id", "e", F.monotonically_increasing_id()), F.lit(cells)).cast("int"))
@@ -129,22 +162,23 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score; queries and vectors: (vec_id, e) with integer components.
 
     Every block of queries meets every block of rows, as the task is all queries
-    against all rows; a task holds one block of each. The vectors are read once for
-    the number of blocks and once for the meetings, dealt by id, vector and row number.
+    against all rows; a task holds one block of each. A block's lists are sorted once,
+    for all blocks of queries.
     """
     blocks = max(1, math.ceil(vectors.count() / BLOCK))
     q_blocks = max(1, math.ceil(queries.count() / QUERIES))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = stored_lists(vectors, blocks).withColumn("a", numbers(q_blocks))
     # written once, as what meets in two passes has to be dealt alike
-    held = materialise(dealt(vectors, "b", blocks), "topk-rows").withColumn("dim", F.size("e")).withColumn("a", numbers(q_blocks))
     asked = materialise(dealt(queries, "a", q_blocks), "topk-queries").withColumn("dim", F.size("e")).withColumn("b", numbers(blocks))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids = left.vec_id.to_numpy()
-        bar = left.bar.to_numpy(float)
-        best = search(ids, np.stack(left.e.to_numpy()), right.vec_id.to_numpy(), np.stack(right.e.to_numpy()), k, np.where(np.isnan(bar), -np.inf, bar))
+        block = right.iloc[0]
+        x, places = (np.frombuffer(block[c], kind).astype(np.int64).reshape(-1, block.dim) for c, kind in (("x", "<i8"), ("places", "<u4")))
+        ids, bar = left.vec_id.to_numpy(), left.bar.to_numpy(float)
+        best = search_lists(ids, np.stack(left.e.to_numpy()), np.frombuffer(block.ids, "<i8"), Lists(x, places), k, np.where(np.isnan(bar), -np.inf, bar))
         found = pd.DataFrame({"query_id": ids[best.q.to_numpy()], "vec_id": best.vec_id, "score": best.score})
         found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return found[found.groupby("query_id").cumcount() < k]

@@ -121,7 +121,41 @@ def test_topk_stops_at_the_bar():
     got = topk.search(ids[-4:], q, ids, x, 5, bar, depths)
     for i in range(4):
         assert got[got.q == i].vec_id.tolist() == np.lexsort((ids, -score[i]))[:5].tolist()
-    assert len(depths) == 4 * 4 and np.median(depths) <= 2 / 32
+    assert len(depths) == 4 * 2 and np.median(depths) <= 2 / 32
+
+
+@pytest.mark.parametrize("n", [1, 6, 300])
+def test_topk_bounds_enclose_the_score(n):
+    rng = np.random.default_rng(n)
+    x, q = rng.integers(-40, 41, (n, 8)), rng.integers(-40, 41, (20, 8))
+    lists, score = topk.Lists(x), q @ x.T
+    high, low = np.maximum(q, 0), np.minimum(q, 0)
+    width = None
+    for depth in range(1, n + 1):
+        upper, lower = lists.upper(high, low, depth), lists.lower(high, low, depth)
+        assert (lower <= score).all() and (score <= upper).all()
+        unmet = (lists.place >= depth) & (lists.place < n - depth)
+        assert (upper[:, unmet.all(1)] <= lists.unseen(high, low, depth)[:, None]).all()
+        assert width is None or (upper - lower <= width).all()  # bounds only draw nearer
+        width = upper - lower
+    assert (width == 0).all()
+    assert (topk.Lists(x, lists.order).place == lists.place).all()
+
+
+def test_topk_without_a_bar_stops_early_on_structured_vectors():
+    rng = np.random.default_rng(6)
+    x = np.zeros((2_000, 12), np.int64)
+    main = rng.integers(0, 12, 2_000)
+    x[np.arange(2_000), main] = np.floor(20 + 10 * rng.pareto(1.5, 2_000))  # one large component each
+    x += rng.integers(0, 2, x.shape)
+    ids = np.arange(len(x))
+    asking = np.argsort(-x.max(1))[:40]
+    depths = []
+    got = topk.search(ids[asking], x[asking], ids, x, 5, None, depths)
+    assert len(depths) == 40 and max(depths) < 1 and np.median(depths) <= 0.25
+    score = x[asking] @ x.T
+    for i, a in enumerate(asking):
+        assert got[got.q == i].vec_id.tolist() == [v for v in np.lexsort((ids, -score[i])) if v != a][:5]
 
 
 def test_topk_beyond_float64():
