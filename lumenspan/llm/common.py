@@ -7,6 +7,7 @@ hashed once, and shingles are rolled over the codes of the whole batch.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Iterator
@@ -45,11 +46,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """A query that is written in here deletes its shuffle files when it is through, so they don't wait for the driver's collector."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends, and a lost executor costs nothing."""
+    """Write to the shared folder and read again: lineage ends, a lost executor costs nothing, and shuffle files go."""
     bounded_batches(df.sparkSession)
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

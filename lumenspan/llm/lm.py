@@ -7,15 +7,16 @@ Counts of all training tokens (words and one end a text; two begins stand before
     back(s)    = 1 - sum of (c(s w) - D) / c(s) over kept s w,  so every state's arcs sum to 1
 
 States s are the root, words, and pairs of words; t is s without its first word. All pairs and triples that
-occur LEAST times are kept, whatever the size of the input. In the automaton a kept s w is an arc of state s; its
-failure arc, of weight back(s), leads to t, and so by way of a word's state to the root. A text is read from left
-to right: after a word the state is the longest of its last two words, and each word adds the logarithm of the
-failure arcs taken and of the arc found. As a state depends on the last two words alone, those of all positions of
-a text are set up at once.
+occur `least` times are kept, whatever the size of the input (1 keeps all). In the automaton a kept s w is an arc of
+state s, of weight log p(w | s), to the longest state that s w ends in; the failure arc of s, of weight log back(s),
+leads to t. A text is read once from left to right with one state in hand: each word takes failure arcs until the
+state has an arc for it, adds up their weights and goes on from the arc's end. Texts are read in step, many at a time,
+long ones in stretches of STRETCH words; as a state tells of two words at most, a stretch that begins two words
+earlier at the root is in the right state when its own words come.
 
 The counts are one table over Spark, which grows with the input: n-grams are 64-bit hashes, cut into buckets by
 range and kept as packed arrays, about GRAMS training n-grams a bucket. A task sums its own n-grams before the
-shuffle, so a frequent one arrives once from each task. A pair can only be kept if its words occur LEAST times, and
+shuffle, so a frequent one arrives once from each task. A pair can only be kept if its words occur `least` times, and
 a triple if its pairs do; filters of 2^FILTER_BITS bits (of fixed size, and never wrong about what is kept) leave
 most others out before they are shuffled.
 
@@ -32,9 +33,7 @@ and all scores are 0 (no model).
 from __future__ import annotations
 
 import functools
-import gc
 import math
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, column, held_out, materialise, mix, shared_path, sorted_distinct, steps, table
+from .common import Words, bounded_batches, column, held_out, materialise, mix, shared_path, shuffles_freed, sorted_distinct, steps, table
 
-DISCOUNT = 0.6
-#: Pairs and triples are kept from so many occurrences.
-LEAST = 2
+#: Taken off every kept count, and the occurrences from which pairs and triples are kept: defaults of train().
+DISCOUNT, LEAST = 0.6, 2
+#: Words of a stretch that is read in step with others.
+STRETCH = 64
 #: Training n-grams of a bucket and bytes of text of a block, about; parts in which the blocks pass.
 GRAMS, BLOCK, WAVES = 6_000_000, 16_000_000, 6
 #: n-grams that a task sums before it hands them over.
@@ -198,9 +198,9 @@ def _counts(texts: DataFrame, order: int, buckets: int, words=None, pairs=None)
     return texts.mapInArrow(run, GRAMS_SCHEMA)
 
 
-def _table(texts: DataFrame, order: int, buckets: int, words=None, pairs=None) -> DataFrame:
+def _table(texts: DataFrame, order: int, buckets: int, discount: float, fewest: int, words=None, pairs=None) -> DataFrame:
     """The kept n-grams of an order by bucket, with their counts, and the masses that their states give them."""
-    least = LEAST if order > 1 else 1
+    least = fewest if order > 1 else 1
 
     def total(rows: pa.Table) -> pa.Table:
         bucket = rows["bucket"][0].as_py()
@@ -210,12 +210,12 @@ def _table(texts: DataFrame, order: int, buckets: int, words=None, pairs=None) -
         new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.add.reduceat(n[sort].astype(np.int64), new)
         kept = n >= least
-        c, often = n[kept], n[kept] >= LEAST
+        c, often = n[kept], n[kept] >= fewest
         columns = [[bucket], [keys[new][kept].tobytes()], [c.astype(float).tobytes()], [None], [Filter.of(keys[new][kept][often], bucket, buckets)], [int(n.sum())]]
         if order > 1:
             before = _joined(rows["before"], np.uint64)[sort[new[kept]]]
             state, where = np.unique(before, return_inverse=True)
-            to, states, masses = _dealt(buckets, state, np.bincount(where, c - DISCOUNT, minlength=len(state)))
+            to, states, masses = _dealt(buckets, state, np.bincount(where, c - discount, minlength=len(state)))
             none = [None] * len(to)
             columns = [a + b for a, b in zip(columns, [to, states, none, masses, none, none], strict=True)]
         return _arrow(TABLE_SCHEMA, columns)
@@ -223,23 +223,15 @@ def _table(texts: DataFrame, order: int, buckets: int, words=None, pairs=None) -
     return materialise(_counts(texts, order, buckets, words, pairs).groupBy("bucket").applyInArrow(total, TABLE_SCHEMA), f"lm-{order}-grams")
 
 
-def _freed(spark: SparkSession) -> None:
-    """Shuffle files of finished plans go when the driver's references to them do; the cleaner gets a moment for it."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 class Model:
     """The table of all n-grams (rows of TABLE_SCHEMA), its sums, and the filters of what is kept (broadcast)."""
 
-    def __init__(self, grams: DataFrame, buckets: int, tokens: int, vocabulary: int, texts: int, pairs, triples):
-        self.grams, self.buckets, self.tokens, self.vocabulary, self.texts, self.pairs, self.triples = grams, buckets, tokens, vocabulary, texts, pairs, triples
+    def __init__(self, grams: DataFrame, buckets: int, tokens: int, vocabulary: int, texts: int, discount: float, pairs, triples):
+        self.grams, self.buckets, self.tokens, self.vocabulary, self.texts, self.discount, self.pairs, self.triples = grams, buckets, tokens, vocabulary, texts, discount, pairs, triples
 
 
-def train(documents: DataFrame, learn: F.Column) -> Model | None:
-    """The model of the documents for which `learn` holds; None if there are none."""
+def train(documents: DataFrame, learn: F.Column, discount: float = DISCOUNT, least: int = LEAST) -> Model | None:
+    """The model of the documents for which `learn` holds; None if there are none. least: occurrences from which pairs and triples are kept."""
     spark = documents.sparkSession
     bounded_batches(spark)
     texts = documents.where(learn).select("text")
@@ -249,17 +241,15 @@ def train(documents: DataFrame, learn: F.Column) -> Model | None:
     # words have about six characters; a bucket takes n-grams of three orders
     buckets = 1 << min(FILTER_BITS - 3, max(4, math.ceil(math.log2(max(1.0, 3 * size / 6 / GRAMS)))))
     send = lambda rows: spark.sparkContext.broadcast(Filter(rows, buckets))
-    words = _table(texts, 1, buckets)
+    words = _table(texts, 1, buckets, discount, least)
     tokens, vocabulary = words.agg(F.sum("total"), F.sum(F.length("keys") / 8).cast("long")).first()
     known = send(words)
-    pairs = _table(texts, 2, buckets, words=known)
+    pairs = _table(texts, 2, buckets, discount, least, words=known)
     known.destroy()
-    _freed(spark)
     some = send(pairs)
-    triples = _table(texts, 3, buckets, pairs=some)
-    _freed(spark)
+    triples = _table(texts, 3, buckets, discount, least, pairs=some)
     grams = words.unionByName(pairs).unionByName(triples).select("bucket", "keys", "c", "mass")
-    return Model(grams, buckets, int(tokens), int(vocabulary), int(n_texts), some, send(triples))
+    return Model(grams, buckets, int(tokens), int(vocabulary), int(n_texts), discount, some, send(triples))
 
 
 def blocks(documents: DataFrame, size: int) -> DataFrame:
@@ -336,11 +326,11 @@ def _answered(rows: pa.Table) -> pa.Table:
     return _arrow("block long, keys binary, c binary, mass binary", out)
 
 
-class Automaton:
-    """The states and arcs that the texts of a block can meet."""
+class Grams:
+    """The kept n-grams that the texts of a block can meet."""
 
-    def __init__(self, answers: pa.Table, tokens: int, vocabulary: int, texts: int):
-        self.tokens, self.vocabulary = tokens, vocabulary
+    def __init__(self, answers: pa.Table, tokens: int, vocabulary: int, texts: int, discount: float):
+        self.tokens, self.vocabulary, self.discount = tokens, vocabulary, discount
         keys, c, mass = _joined(answers["keys"], np.uint64), _joined(answers["c"], float), _joined(answers["mass"], float)
         self.keys, first = np.unique(keys, return_index=True)
         self.c, self.mass = c[first], mass[first]
@@ -348,32 +338,100 @@ class Automaton:
             at, found = _find(self.keys, np.array([begin]))
             self.c[at[found]] = texts
 
-    def arcs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of n-grams: how often they occur (0 if not kept), how often that is as a state (1 at least), and the state's failure weight."""
+    def look_up(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted n-grams: how often they occur (0 if not kept), and the mass of what follows them."""
         c, mass = np.zeros(len(x)), np.zeros(len(x))
-        order = np.argsort(x)  # a search for sorted keys goes through memory in order
-        at, found = _find(self.keys, x[order])
-        c[order[found]], mass[order[found]] = self.c[at[found]], self.mass[at[found]]
-        seen = np.maximum(c, 1.0)
-        return c, seen, 1 - mass / seen
+        at, found = _find(self.keys, x)
+        c[found], mass[found] = self.c[at[found]], self.mass[at[found]]
+        return c, mass
+
+
+class Automaton:
+    """States and arcs for some texts.
+
+    States are numbers: the root 0, the state of each of the texts' distinct words, those of one and of two begins, and
+    of the distinct pairs. `lost` and `fail` are each state's failure arc (weight and end), `root` and `from_root` the
+    root's arc for each word, and `arcs`, `weight` and `end` all others, sorted by state and word.
+    """
+
+    def __init__(self, t: Tokens, grams: Grams):
+        words, d = len(t.distinct), grams.discount
+        order = np.argsort(t.distinct)
+        c, mass = np.zeros(words), np.zeros(words)
+        c[order], mass[order] = grams.look_up(t.distinct[order])
+        self.words, self.count, self.begin = words, c, words + 2
+        p_root = np.where(c > 0, c - d, d * grams.vocabulary) / grams.tokens
+        begins = np.array(sorted((int(_BEGIN), int(_BEGINS))), np.uint64)
+        begin_c, begin_mass = (dict(zip(begins.tolist(), x.tolist(), strict=True)) for x in grams.look_up(begins))
+        pair, first, which = np.unique(t.pair, return_index=True, return_inverse=True)
+        pair_c, pair_mass = grams.look_up(pair)
+        triple, at3 = np.unique(t.triple, return_index=True)
+        triple_c = grams.look_up(triple)[0]
+        seen = np.concatenate([[1.0], np.maximum(c, 1), [max(begin_c[int(b)], 1.0) for b in (_BEGIN, _BEGINS)], np.maximum(pair_c, 1)])
+        back = 1 - np.concatenate([[0.0], mass, [begin_mass[int(b)] for b in (_BEGIN, _BEGINS)], pair_mass]) / seen
+        self.lost = np.log10(back)
+        self.fail = np.concatenate([np.zeros(words + 1, np.int64), [0, words + 1], 1 + t.codes[first]])
+        # states before each place: of the last word, and of the last two
+        word_state, pair_state = np.empty(len(t.codes), np.int64), np.empty(len(t.codes), np.int64)
+        word_state[1:], pair_state[1:] = 1 + t.codes[:-1], words + 3 + which[:-1]
+        word_state[t.starts], pair_state[t.starts] = words + 1, words + 2
+        # an arc ends in the longest state with arcs of its own
+        end_word = np.where(mass > 0, 1 + np.arange(words), 0)
+        end_pair = np.where(pair_mass > 0, words + 3 + np.arange(len(pair)), end_word[t.codes[first]])
+        self.root, self.from_root = np.log10(p_root), end_word
+        p_pair = np.maximum(pair_c - d, 0) / seen[word_state[first]] + back[word_state[first]] * p_root[t.codes[first]]
+        two, three = pair_c > 0, triple_c > 0
+        i2, i3 = first[two], at3[three]
+        p_triple = (triple_c[three] - d) / seen[pair_state[i3]] + back[pair_state[i3]] * p_pair[which[i3]]
+        key = np.concatenate([word_state[i2] * words + t.codes[i2], pair_state[i3] * words + t.codes[i3]])
+        sort = np.argsort(key)
+        self.arcs = key[sort]
+        self.weight = np.log10(np.concatenate([p_pair[two], p_triple]))[sort]
+        self.end = np.concatenate([end_pair[two], end_pair[which[i3]]])[sort]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each state's next one by a word, and the weight of the arcs on the way."""
+        state, weight, new = state.copy(), np.zeros(len(state)), np.empty(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            here = state[open_]
+            root = here == 0
+            done = open_[root]
+            weight[done] += self.root[word[done]]
+            new[done] = self.from_root[word[done]]
+            open_, here = open_[~root], here[~root]
+            at, found = _find(self.arcs, here * self.words + word[open_])
+            done = open_[found]
+            weight[done] += self.weight[at[found]]
+            new[done] = self.end[at[found]]
+            open_, here = open_[~found], here[~found]
+            weight[open_] += self.lost[here]
+            state[open_] = self.fail[here]
+        return new, weight
+
+    def traverse(self, t: Tokens, visit=None) -> np.ndarray:
+        """The weight of each word; visit, if given, is called with (places, states before them)."""
+        out = np.empty(len(t.codes))
+        per = -(-t.size // STRETCH)
+        text = np.repeat(np.arange(len(per)), per)
+        own = t.starts[text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per))
+        stop = np.minimum(own + STRETCH, (t.starts + t.size)[text])
+        at = np.maximum(own - 2, t.starts[text])
+        state = np.where(at == t.starts[text], self.begin, 0)
+        while len(at):
+            if visit is not None:
+                visit(at[at >= own], state[at >= own])
+            state, weight = self.step(state, t.codes[at])
+            mine = at >= own
+            out[at[mine]] = weight[mine]
+            at = at + 1
+            on = at < stop
+            at, own, stop, state = at[on], own[on], stop[on], state[on]
+        return out
 
     def walk(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: words known, the sum of log10(c + 1), and the logarithm of its probability."""
-        c, seen, back = self.arcs(t.distinct)
-        root = np.where(c > 0, c - DISCOUNT, DISCOUNT * self.vocabulary) / self.tokens
-        begins = self.arcs(np.array([_BEGIN, _BEGINS]))
-        before = np.zeros(len(t.codes), np.int64)
-        before[1:] = t.codes[:-1]
-        # a word's state
-        seen, back = seen[before], back[before]
-        seen[t.starts], back[t.starts] = begins[1][0], begins[2][0]
-        n, pair_seen, pair_back = self.arcs(t.pair)
-        p = np.maximum(n - DISCOUNT, 0) / seen + back * root[t.codes]
-        # a pair's state, that of the position before
-        seen[1:], back[1:] = pair_seen[:-1], pair_back[:-1]
-        seen[t.starts], back[t.starts] = begins[1][1], begins[2][1]
-        p = np.maximum(self.arcs(t.triple)[0] - DISCOUNT, 0) / seen + back * p
-        each = ((c > 0)[t.codes], np.log10(c + 1)[t.codes], np.log10(p))
+        each = ((self.count > 0)[t.codes], np.log10(self.count + 1)[t.codes], self.traverse(t))
         return tuple(np.add.reduceat(x.astype(float), t.starts) for x in each)
 
 
@@ -387,14 +445,14 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     bounded_batches(spark)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    tokens, vocabulary, n_texts = model.tokens, model.vocabulary, model.texts
+    tokens, vocabulary, n_texts, discount = model.tokens, model.vocabulary, model.texts, model.discount
 
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        automaton = Automaton(answers, tokens, vocabulary, n_texts)
+        grams = Grams(answers, tokens, vocabulary, n_texts, discount)
         out = []
         for b in steps(texts.to_batches()):
             t = Tokens(column(b, "text"))
-            known, base, logp = automaton.walk(t)
+            known, base, logp = Automaton(t, grams).walk(t)
             values = [column(b, "doc_id"), pa.array(t.size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(b.num_rows, tokens)), pa.array(base - t.size * math.log10(tokens + vocabulary + 1)), pa.array(logp)]
             out.append(pa.RecordBatch.from_arrays(values, [f.split()[0] for f in schema.split(", ")]))
         return pa.Table.from_batches(out)
@@ -407,8 +465,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
         texts = cut.where(F.col("wave") == wave).drop("wave")
         rows = model.grams.withColumn("block", F.lit(None).cast("long")).unionByName(_asked(texts, model), allowMissingColumns=True)
         answers = rows.groupBy("bucket").applyInArrow(_answered, "block long, keys binary, c binary, mass binary")
-        texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema).write.mode("append").parquet(path)
-        _freed(spark)
+        with shuffles_freed(spark):
+            texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

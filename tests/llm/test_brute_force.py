@@ -214,7 +214,7 @@ def test_loss_mask(lengths, cuts):
 # -- language model -------------------------------------------------------------------------------------------------
 
 
-def backoff(train):
+def backoff(train, least=lm.LEAST, d=lm.DISCOUNT):
     """p(w | two words before it) of a model of triples, and its counts, by dictionaries."""
     grams = [collections.Counter() for _ in range(4)]
     for t in train:
@@ -222,8 +222,8 @@ def backoff(train):
         for i in range(2, len(full)):
             for order in (1, 2, 3):
                 grams[order][tuple(full[i + 1 - order : i + 1])] += 1
-    n, v, d = sum(grams[1].values()), len(grams[1]), lm.DISCOUNT
-    kept = {g: k for order in (2, 3) for g, k in grams[order].items() if k >= lm.LEAST}
+    n, v = sum(grams[1].values()), len(grams[1])
+    kept = {g: k for order in (2, 3) for g, k in grams[order].items() if k >= least}
     arcs = collections.defaultdict(list)
     for g, k in kept.items():
         arcs[g[:-1]].append(k)
@@ -241,8 +241,8 @@ def backoff(train):
     return p, grams[1], n, v, arcs
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_lm_against_a_dictionary(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,least,discount", [(False, 2, 0.6), (True, 2, 0.6), (False, 1, 0.3)])
+def test_lm_against_a_dictionary(spark, monkeypatch, small, least, discount):
     if small:  # many buckets and blocks
         monkeypatch.setattr(lm, "GRAMS", 500)
         monkeypatch.setattr(lm, "BLOCK", 900)
@@ -250,9 +250,10 @@ def test_lm_against_a_dictionary(spark, monkeypatch, small):
     texts = [" ".join(made(rng, int(rng.integers(1, 60)), BASE[: int(rng.integers(2, 20))]) + [f"R{int(rng.zipf(1.6))}" for _ in range(3)]) for _ in range(80)]
     texts += [texts[3], texts[4], ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in lm.score(df, lm.train(df, F.col("doc_id") % 4 != 0)).collect()}
+    monkeypatch.setattr(lm, "STRETCH", 7)
+    got = {r.doc_id: r for r in lm.score(df, lm.train(df, F.col("doc_id") % 4 != 0, discount, least)).collect()}
     tokens = [t.lower().split() + ["\n"] for t in texts]
-    p, c, n, v, arcs = backoff([t for i, t in enumerate(tokens) if i % 4])
+    p, c, n, v, arcs = backoff([t for i, t in enumerate(tokens) if i % 4], least, discount)
     assert len(got) == len(texts) and sum(len(s) == 2 for s in arcs) > 50
     for state in (("^", "^"), ("alpha",), ("alpha", "beta"), ("^", "alpha"), ("none", "beta")):
         assert abs(sum(p(state, w) for (w,) in c) + p(state, "unknown") - 1) < 1e-9
@@ -265,6 +266,48 @@ def test_lm_against_a_dictionary(spark, monkeypatch, small):
         assert abs(r.base_score - base) < 1e-9 and abs(r.score - score) < 1e-9
 
 
+def test_lm_carries_the_longest_state():
+    """The state before each word is the longest of the last two words that has arcs, in whatever stretches texts are read."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(made(rng, int(rng.integers(1, 400)), BASE[:8])) for _ in range(12)] + ["", "alpha"]
+    t = lm.Tokens(pa.array(texts))
+    c, mass = collections.Counter(t.w.tolist()), collections.Counter()
+    for keys, before in ((t.pair, t.word_state), (t.triple, t.pair_state)):
+        found = collections.Counter(zip(keys.tolist(), before.tolist(), strict=True))
+        for (key, state), n in found.items():
+            if n > 3:  # so that some pairs and triples aren't kept
+                c[key] = n
+                mass[state] += n - 0.6
+    every = np.array(sorted({*c, *mass, int(lm._BEGIN), int(lm._BEGINS)}), np.uint64)
+    packed = lambda d: np.array([float(d[int(k)]) for k in every]).tobytes()
+    grams = lm.Grams(pa.table({"keys": [every.tobytes()], "c": [packed(c)], "mass": [packed(mass)]}), len(t.codes), len(t.distinct), len(texts), 0.6)
+    auto = lm.Automaton(t, grams)
+    visited, steps = np.full(len(t.codes), -1), [0]
+
+    def visit(at, state):
+        assert (visited[at] == -1).all()
+        visited[at] = state
+        steps[0] += 1
+
+    weights = auto.traverse(t, visit)
+    assert (visited >= 0).all() and steps[0] <= lm.STRETCH + 2  # each word once, all texts in step
+    kinds = collections.Counter()
+    for a, n in zip(t.starts, t.size, strict=True):
+        assert visited[a] == auto.begin
+        for j in range(a + 1, a + n):
+            longest = "pair" if mass[int(t.pair[j - 1])] else "word" if mass[int(t.w[j - 1])] else "root"
+            kinds[longest] += 1
+            assert longest == ("pair" if visited[j] >= auto.words + 3 else "word" if visited[j] else "root")
+            assert longest != "word" or visited[j] == 1 + t.codes[j - 1]
+    assert min(kinds["pair"], kinds["word"]) > 50
+    # one stretch for each text gives the same
+    whole, lm.STRETCH = lm.STRETCH, 10**6
+    try:
+        assert np.array_equal(auto.traverse(t), weights)
+    finally:
+        lm.STRETCH = whole
+
+
 def test_lm_keeps_what_occurs_twice_whatever_the_size(spark):
     rng = np.random.default_rng(6)
     phrase = "seldom met words"  # twice in 900,000 tokens
