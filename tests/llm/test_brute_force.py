@@ -269,13 +269,14 @@ def test_lm_against_a_dictionary(spark, monkeypatch, small, least, discount):
 def test_lm_carries_the_longest_state():
     """The state before each word is the longest of the last two words that has arcs, in whatever stretches texts are read."""
     rng = np.random.default_rng(7)
-    texts = [" ".join(made(rng, int(rng.integers(1, 400)), BASE[:8])) for _ in range(12)] + ["", "alpha"]
+    texts = [" ".join(made(rng, int(rng.integers(1, 400)), BASE[:15])) for _ in range(12)] + ["", "alpha"]
     t = lm.Tokens(pa.array(texts))
     c, mass = collections.Counter(t.w.tolist()), collections.Counter()
-    for keys, before in ((t.pair, t.word_state), (t.triple, t.pair_state)):
+    key_kept = lambda pair: pair in c  # noqa: E731  a triple has its pair
+    for keys, before, fewest in ((t.pair, t.word_state, 9), (t.triple, t.pair_state, 2)):
         found = collections.Counter(zip(keys.tolist(), before.tolist(), strict=True))
         for (key, state), n in found.items():
-            if n > 3:  # so that some pairs and triples aren't kept
+            if n >= fewest and (fewest > 2 or key_kept(state)):  # so that some pairs and triples aren't kept
                 c[key] = n
                 mass[state] += n - 0.6
     every = np.array(sorted({*c, *mass, int(lm._BEGIN), int(lm._BEGINS)}), np.uint64)
