@@ -14,14 +14,19 @@ File format: Parquet rows of one shard each, so that any Spark store can hold it
     doc_ids       int64, little-endian; a bitmap of nulls is in doc_nulls
     starts        uint32: first symbol of each document, and the number of all
     tokens        uint32: ids of each document
-    base          size of the vocabulary
-    rules         uint32 pairs: rule r is symbol base + r
-    lengths       uint32: ids that each rule expands to
-    symbols       uint32 (uint16 if all fit): the compressed documents
+    base, n_rules size of the vocabulary, and number of rules: rule r is symbol base + r
+    rules         pairs of symbols, packed
+    lengths       ids that each rule expands to, packed
+    symbols       the compressed documents, packed
+
+Packed numbers take as many bits each, the highest first, as the largest needs: symbols those of base + n_rules - 1,
+lengths `length_bits`. So a pair that is met twice pays for its rule.
 
 Defined results: null texts are empty; each document ends with id 0; documents
 are ordered by doc_id, nulls first, then by a hash of the text, so repeated ids
-keep all rows.
+keep all rows; a text of any length is one document, which makes a shard of its own
+size if it is longer than SHARD ids; an empty table gives no shards and no rows;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ CELL_BITS = 19
 #: Bytes of text that are encoded at a time.
 STEP = 8_000_000
 CACHE = 800_000
-SCHEMA = "part int, shard int, first long, doc_ids binary, doc_nulls binary, base int, starts binary, tokens binary, rules binary, lengths binary, symbols binary"
+SCHEMA = "part int, shard int, first long, doc_ids binary, doc_nulls binary, base int, n_rules int, length_bits int, starts binary, tokens binary, rules binary, lengths binary, symbols binary"
 
 
 class Encoder:
@@ -283,6 +288,30 @@ def _pack(x: np.ndarray) -> bytes:
     return x.astype("<u4").tobytes()
 
 
+def width(largest: int) -> int:
+    """Bits of a packed number."""
+    return max(1, int(largest).bit_length())
+
+
+def pack_bits(x: np.ndarray, bits: int) -> bytes:
+    """Numbers of so many bits one after the other, the highest bit first."""
+    each = np.unpackbits(np.ascontiguousarray(x.ravel().astype(">u4")).view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(each[:, 32 - bits :]).tobytes()
+
+
+def unpack_bits(raw: bytes, bits: int, n: int) -> np.ndarray:
+    each = np.zeros((n, 32), np.uint8)
+    each[:, 32 - bits :] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * bits).reshape(n, bits)
+    return np.packbits(each, axis=1).view(">u4").ravel().astype(np.int64)
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (pairs) and expansion lengths of a shard's row."""
+    bits, n = width(row["base"] + row["n_rules"] - 1), row["n_rules"]
+    symbols = unpack_bits(row["symbols"], bits, int(np.frombuffer(row["starts"], "<u4")[-1]))
+    return symbols, unpack_bits(row["rules"], bits, 2 * n).reshape(-1, 2), unpack_bits(row["lengths"], row["length_bits"], n)
+
+
 def write(documents: DataFrame, path: str, vocabulary: str | None = None, shard: int = SHARD) -> None:
     """Write the ids of all texts to `path`, in order of doc_id."""
     spark = documents.sparkSession
@@ -305,10 +334,10 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, shard:
             n = np.array([len(x) for x in held], np.int64)
             ids = np.concatenate(held)
             symbols, starts, rules, lengths = compress(ids, np.cumsum(n) - n, enc.size)
-            small = symbols.max(initial=0) < 65_536
+            bits, length_bits = width(enc.size + len(rules) - 1), width(lengths.max(initial=0))
             key = pa.array(docs, pa.int64())
-            values = [part, number, first, pc.fill_null(key, 0).to_numpy().astype("<i8").tobytes(), np.packbits(key.is_null().to_numpy(zero_copy_only=False)).tobytes(), enc.size, _pack(starts), _pack(n), _pack(rules), _pack(lengths), symbols.astype("<u2" if small else "<u4").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 2, pa.int32(), *[pa.binary()] * 5]
+            values = [part, number, first, pc.fill_null(key, 0).to_numpy().astype("<i8").tobytes(), np.packbits(key.is_null().to_numpy(zero_copy_only=False)).tobytes(), enc.size, len(rules), length_bits, _pack(starts), _pack(n), pack_bits(rules, bits), pack_bits(lengths, length_bits), pack_bits(symbols, bits)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 2, *[pa.int32()] * 3, *[pa.binary()] * 5]
             first, number, docs, held, size = first + len(ids), number + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -343,9 +372,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                starts, tokens = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("starts", "tokens"))
-                rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
-                symbols = np.frombuffer(row["symbols"], "<u2" if len(row["symbols"]) == 2 * starts[-1] else "<u4")
+                tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+                symbols, rules, _ = unpacked(row)
                 ids = memoryview(expand(symbols, rules, row["base"]).astype("<u4")).cast("B")
                 ends = np.cumsum(tokens)
                 crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), tokens.tolist(), strict=True)]
@@ -363,9 +391,20 @@ def _sizes(batches):
 
 
 def describe(spark: SparkSession, path: str) -> pd.DataFrame:
-    """Sizes of the files' columns, and how well the grammars compress."""
-    size = [F.sum(F.length(c)).alias(c) for c in ("rules", "lengths", "symbols", "tokens")]
-    return spark.read.parquet(path).agg(F.count("*").alias("shards"), *size).toPandas()
+    """Bytes of the files' columns, and of the same ids as numbers of 16 bits (32 where the vocabulary needs it)."""
+    files = spark.read.parquet(path)
+    size = [F.sum(F.length(c)).alias(c) for c in ("rules", "lengths", "symbols", "starts", "tokens")]
+    out = files.agg(F.count("*").alias("shards"), F.max("base").alias("base"), *size).toPandas()
+    ids = files.select("part", "tokens").mapInArrow(_sizes, "part int, n long").agg(F.sum("n")).first()[0] or 0
+    return out.assign(raw=ids * np.where(out.base <= 65_536, 2, 4))
+
+
+def document(row: dict, at: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Ids first..last of the at-th document of a shard's row, opening only the symbols that hold them."""
+    starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
+    n = int(np.frombuffer(row["tokens"], "<u4")[at])
+    symbols, rules, lengths = unpacked(row)
+    return decode_range(symbols[starts[at] : starts[at + 1]], rules, lengths, row["base"], first, n if last is None else last)
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

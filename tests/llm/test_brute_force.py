@@ -548,6 +548,32 @@ def test_grammars_go_on_until_no_pair_is_repeated():
     assert starts[-1] - starts[-2] == 1 and lengths.max() > 50 and len(symbols) < 0.8 * len(flat)
 
 
+@pytest.mark.parametrize("bits", [1, 5, 16, 17, 32])
+def test_packed_numbers(bits):
+    x = np.random.default_rng(bits).integers(0, 1 << bits, 1_001)
+    raw = repair.pack_bits(x, bits)
+    assert len(raw) == -(-bits * len(x) // 8) and repair.unpack_bits(raw, bits, len(x)).tolist() == x.tolist()
+    assert repair.pack_bits(x[:0], bits) == b"" and not len(repair.unpack_bits(b"", bits, 0))
+    assert [repair.width(v) for v in (0, 1, 255, 256, 65_536)] == [1, 1, 8, 9, 17]
+
+
+def test_shards_are_smaller_than_their_ids(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    repair.write(rows.coalesce(1), str(tmp_path / "s"), shard=200_000)
+    d = repair.describe(spark, str(tmp_path / "s")).iloc[0]
+    assert d.rules + d.lengths + d.symbols < 0.8 * d.raw  # shards of a million ids do better
+    # any stretch of any document by itself
+    row = spark.read.parquet(str(tmp_path / "s")).orderBy("part", "shard").first().asDict()
+    ids = np.frombuffer(row["doc_ids"], "<i8")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    library = repair.encoder(repair.tokenizer_path(repair.VOCABULARY)).tok
+    for at in range(0, len(ids), max(1, len(ids) // 9)):
+        want = [*library.encode(texts[int(ids[at])] or "", add_special_tokens=False).ids, 0]
+        assert repair.document(row, at).tolist() == want
+        a, b = len(want) // 3, 2 * len(want) // 3
+        assert repair.document(row, at, a, b).tolist() == want[a:b]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list(" \n\t\u00a0ab'.1é漢")), max_size=25), max_size=6))
 def test_parts_are_encoded_as_whole_texts(texts):
