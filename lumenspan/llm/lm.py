@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, column, held_out, materialise, mix, shared_path, shuffles_freed, sorted_distinct, steps, table
+from .common import Words, bounded_batches, column, held_out, materialise, mix, release, shared_path, shuffles_freed, sorted_distinct, steps, table
 
 #: Taken off every kept count, and the occurrences from which pairs and triples are kept: defaults of train().
 DISCOUNT, LEAST = 0.6, 2
@@ -194,6 +194,7 @@ def _counts(texts: DataFrame, order: int, buckets: int, words=None, pairs=None)
                 size = 0
         if size:
             yield summed()
+        release()
 
     return texts.mapInArrow(run, GRAMS_SCHEMA)
 
@@ -218,7 +219,10 @@ def _table(texts: DataFrame, order: int, buckets: int, discount: float, fewest:
             to, states, masses = _dealt(buckets, state, np.bincount(where, c - discount, minlength=len(state)))
             none = [None] * len(to)
             columns = [a + b for a, b in zip(columns, [to, states, none, masses, none, none], strict=True)]
-        return _arrow(TABLE_SCHEMA, columns)
+        out = _arrow(TABLE_SCHEMA, columns)
+        del keys, n, sort, new, kept, c, often
+        release()
+        return out
 
     return materialise(_counts(texts, order, buckets, words, pairs).groupBy("bucket").applyInArrow(total, TABLE_SCHEMA), f"lm-{order}-grams")
 
@@ -323,7 +327,10 @@ def _answered(rows: pa.Table) -> pa.Table:
         at, found = _find(keys, k)
         for column_, value in zip(out, (block, k[found].tobytes(), c[at[found]].tobytes(), mass[at[found]].tobytes()), strict=True):
             column_.append(value)
-    return _arrow("block long, keys binary, c binary, mass binary", out)
+    answers = _arrow("block long, keys binary, c binary, mass binary", out)
+    del keys, c, mass, where, out
+    release()
+    return answers
 
 
 class Grams:
@@ -455,6 +462,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
             known, base, logp = Automaton(t, grams).walk(t)
             values = [column(b, "doc_id"), pa.array(t.size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(b.num_rows, tokens)), pa.array(base - t.size * math.log10(tokens + vocabulary + 1)), pa.array(logp)]
             out.append(pa.RecordBatch.from_arrays(values, [f.split()[0] for f in schema.split(", ")]))
+        del grams
+        release()
         return pa.Table.from_batches(out)
 
     cut = blocks(rows, BLOCK)
