@@ -19,16 +19,18 @@ the unknown word.
 A text is compared by two length-normalised log-likelihood ratios: that of the whole
 text, and that of its strongest passage of PASSAGE words in a row (the whole of a
 shorter text; a word that it repeats counts once), as a few expressions make a long
-text toxic. A logistic calibration,
-fitted on labelled texts that the counts did not see, turns both into a score; the
-share of toxic texts that it assumes is that of the training labels.
+text toxic. The strongest of many passages is stronger by chance, about as the
+logarithm of their number, which is therefore set beside the ratios. A logistic
+calibration, fitted on labelled texts that the counts did not see, turns all three
+into a score; the share of toxic texts that it assumes is that of the training labels.
 
-Defined results: null and empty texts have no words, so both ratios are 0 and their
+Defined results: null and empty texts have no words, so all three are 0 and their
 score is the calibration's there; very long texts are read whole, as one step; rows
 are scored one by one, so ties and repeated rows don't matter, and equal rows are
 learned from once; labels of a null id, or neither 0 nor 1, are ignored, and an id
 with both labels counts as toxic; with no labelled row of one class (empty tables
-too), all scores are 0; other columns are kept, but for earlier ones named score or
+too), all scores are 0; where the calibration sees one class only, the strongest
+passage alone decides, by fixed weights; other columns are kept, but for earlier ones named score or
 predicted, which are replaced.
 """
 
@@ -48,6 +50,8 @@ from .common import Words, bounded_batches, column, hash_unit, held_out, materia
 #: Labelled rows and characters of each class that are learned from, at most (in expectation; taken by a hash of id and text).
 SAMPLE_PER_CLASS, SAMPLE_CHARACTERS = 6_000, 20_000_000
 PASSAGE = 4
+#: Both ratios and the logarithm of the number of passages.
+FEATURES = 3
 #: What is taken off a count of 1, of 2 and of more, for the level below.
 DISCOUNTS = (1.0, 1.5, 2.0)
 #: A pair of words counts as an expression from so many different surroundings in one class.
@@ -118,7 +122,7 @@ class Model:
         """words: P(w); contexts: back(h), of contexts that have a kept pair; pairs: P(w | h) by the hash of the pair."""
         self.unseen = unseen
         (self.words, self.uni), (self.contexts, self.back), (self.pairs, self.pair) = (self._sorted(*x) for x in (words, contexts, pairs))
-        self.weights = np.zeros(3)
+        self.weights = np.zeros(FEATURES + 1)
 
     @staticmethod
     def _sorted(keys: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +156,9 @@ class Model:
         return r
 
     def ratios(self, words: Words) -> np.ndarray:
-        """For each text: log-likelihood ratio a word of the whole, and of its strongest passage."""
+        """For each text: log-likelihood ratio a word of the whole, and of its strongest passage; logarithm of the number of passages."""
         docs = len(words.offsets) - 1
-        out = np.zeros((docs, 2))
+        out = np.zeros((docs, FEATURES))
         if not len(words.codes):
             return out
         r = self.word_ratios(words)
@@ -172,18 +176,19 @@ class Model:
         length = np.minimum(PASSAGE, np.repeat(n, n))
         end = np.maximum(np.arange(1, len(begin) + 1), begin + length)
         out[some, 1] = np.maximum.reduceat((total[end] - total[end - length]) / length, words.offsets[:-1][some])
+        out[some, 2] = np.log(np.maximum(1, n[some] - PASSAGE + 1))
         return out
 
     def scores(self, ratios: np.ndarray) -> np.ndarray:
-        x = ratios @ self.weights[:2] + self.weights[2]
+        x = ratios @ self.weights[:FEATURES] + self.weights[FEATURES]
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def calibrate(self, ratios: np.ndarray, y: np.ndarray, share: float) -> None:
         """Ridge logistic regression by Newton steps; share: of toxic rows among all labelled."""
         x = np.column_stack([ratios, np.ones(len(y))])
         weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
-        penalty = np.diag([0.05, 0.05, 1e-3])
-        b = np.zeros(3)
+        penalty = np.diag([*[0.05] * FEATURES, 1e-3])
+        b = np.zeros(FEATURES + 1)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             grad = x.T @ (weight * (y - p)) - penalty @ b
@@ -246,13 +251,13 @@ def fit(documents: DataFrame, labels: DataFrame, train: F.Column, per_class: int
         m = pickle.loads(shared.value)
         for b in steps(batches):
             r = m.ratios(Words(column(b, "text")))
-            yield pa.RecordBatch.from_arrays([column(b, "toxic"), pa.array(r[:, 0]), pa.array(r[:, 1])], ["toxic", "a", "b"])
+            yield pa.RecordBatch.from_arrays([column(b, "toxic"), *(pa.array(r[:, i]) for i in range(FEATURES))], ["toxic", *"abc"])
 
-    seen = rows.where("calibration").select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double").toPandas()
+    seen = rows.where("calibration").select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").toPandas()
     if seen.toxic.nunique() == 2:
-        model.calibrate(seen[["a", "b"]].to_numpy(), seen.toxic.to_numpy(), toxic)
+        model.calibrate(seen[["a", "b", "c"]].to_numpy(), seen.toxic.to_numpy(), toxic)
     else:
-        model.weights = np.array([0.0, 2.0, -3.0])
+        model.weights = np.array([0.0, 2.0, 0.0, -3.0])
     return model
 
 

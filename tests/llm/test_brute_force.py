@@ -421,6 +421,7 @@ def test_toxicity_models_are_kneser_ney(spark):
     assert len(model.pairs) > 5 and np.abs(got - want).max() < 1e-9
     whole = model.ratios(words)
     assert abs(whole[0, 0] - sum(want[:5]) / 5) < 1e-9 and (whole[3] == 0).all()
+    assert whole[:4, 2].tolist() == [math.log(2), 0, 0, 0]  # passages of four words
     # the strongest passage, in which a word counts once
     each, ws = want[:5], texts[0].lower().replace(",", "").split()
     once = [0 if w in ws[max(0, i - 3) : i] else r for i, (w, r) in enumerate(zip(ws, each))]
