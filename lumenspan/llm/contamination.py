@@ -25,7 +25,9 @@ null id; empty tables give no rows; drop_rows keeps all columns, whatever their
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -115,24 +117,35 @@ class Index:
         return np.repeat(docs, n), self.item_ids[at], np.repeat(share, n)
 
 
-def _indexes(benchmark: DataFrame, items: int):
-    """Broadcast indexes of the blocks of (item_id, text); one at a time is made."""
+def _passes(documents: DataFrame, benchmark: DataFrame, items: int, one: Callable[[DataFrame, object], DataFrame], chained: bool) -> list[DataFrame]:
+    """Results of one(documents, broadcast index) for each block of (item_id, text); chained: each works on what the one before it gave.
+
+    One index lives at a time: where there are several, each pass is written before the next index is made.
+    """
     spark = benchmark.sparkSession
     n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / items), math.ceil(size / BYTES))
+    blocks, out = max(1, math.ceil(n / items), math.ceil(size / BYTES)), []
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        yield spark.sparkContext.broadcast(Index(part["item_id"].to_numpy().astype(np.int64), part["text"].combine_chunks()) if part.num_rows else None)
+        shared = spark.sparkContext.broadcast(Index(part["item_id"].to_numpy().astype(np.int64), part["text"].combine_chunks()) if part.num_rows else None)
+        found = one(documents, shared)
+        if blocks > 1:
+            found = materialise(found, "decontamination")
+            shared.destroy()
+        documents = found if chained else documents
+        out.append(found)
+    return out
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, containment) of the pairs whose containment is at least `least`."""
     bounded_batches(documents.sparkSession)
-    benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    out = None
-    for shared in _indexes(benchmark, items):
+    # repeated rows count once
+    benchmark = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-        def run(batches, shared=shared):
+    def one(rows: DataFrame, shared) -> DataFrame:
+        def run(batches):
             index = shared.value
             for b in steps(batches):
                 if index is None:
@@ -141,19 +154,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINME
                 docs, found, share = index.named(*index.verify(index.candidates(ids, offsets), ids, offsets, least))
                 yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(pa.array(docs)), pa.array(found), pa.array(share)], ["doc_id", "item_id", "containment"])
 
-        found = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, containment double")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+        return rows.mapInArrow(run, "doc_id long, item_id long, containment double")
+
+    found = functools.reduce(DataFrame.unionByName, _passes(rows, benchmark, items, one, False))
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
 def drop_rows(documents: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, items: int = ITEMS) -> DataFrame:
     """The rows whose own text holds no benchmark text, whatever the ids on either side, null or repeated."""
     bounded_batches(documents.sparkSession)
     texts = benchmark.where("text is not null").select("text").distinct().select(F.xxhash64("text").alias("item_id"), "text")
-    out = documents
-    for block, shared in enumerate(_indexes(texts, items)):
 
-        def run(batches, shared=shared):
+    def one(rows: DataFrame, shared) -> DataFrame:
+        def run(batches):
             index = shared.value
             for b in steps(batches):
                 keep = np.ones(b.num_rows, bool)
@@ -162,9 +175,9 @@ def drop_rows(documents: DataFrame, benchmark: DataFrame, least: float = CONTAIN
                     keep[index.verify(index.candidates(ids, offsets), ids, offsets, least)[0]] = False
                 yield b.filter(pa.array(keep))
 
-        # a pass for each block
-        out = (materialise(out, "decontamination") if block else out).mapInArrow(run, documents.schema)
-    return out
+        return rows.mapInArrow(run, documents.schema)
+
+    return _passes(documents, texts, items, one, True)[-1]
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

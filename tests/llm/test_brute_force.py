@@ -633,6 +633,12 @@ def test_pipeline_against_brute_force(spark, sf):
     texts = [r.text for r in rows[0].values()]
     bad = model.scores(model.ratios(Words(pa.array(texts)))) >= 0.3
     assert rows[1].keys() == {i for i, b in zip(rows[0], bad, strict=True) if not b}
+    # a document stays if its likeliest language has the share, which texts of one language have
+    tongues = langid.fit(steps[1], F.lit(True))
+    judged = langid.predict(steps[1].select("doc_id", "text"), tongues).collect()
+    assert rows[2].keys() == {r.doc_id for r in judged if r.lang_pred != "und" and r.score >= corpus_pipeline.MAIN_LANGUAGE}
+    plain = [r for r in rows[1].values() if len(r.text.split()) >= 50]
+    assert sum(r.doc_id in rows[2] for r in plain) >= 0.99 * len(plain) > 50
     # of each class of near-duplicates the first document stays
     ids = sorted(rows[2])
     first = {i: i for i in ids}
