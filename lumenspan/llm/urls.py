@@ -7,7 +7,10 @@ does, trained from a small labelled table of urls that is a parameter.
 
 Defined results: a null url, or one without "://", has an empty host and path
 and no rule, and is judged by the model on empty strings; rows are judged one by
-one. Hosts keep ports and user names, as they stand between "://" and the path.
+one, so repeated rows and ids each have their own, and an empty table gives none;
+urls of any length are read whole; of the table page_id and url are looked at, and
+other columns, whatever their names, aren't returned. Hosts keep ports and user
+names, as they stand between "://" and the path.
 """
 
 from __future__ import annotations
