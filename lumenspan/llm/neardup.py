@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, spanning_forest
 from ..operators.skew import join_counted
-from .common import Words, binary_lists, bounded_batches, column, distinct_by_doc, materialise, mix, shingles, steps, table
+from .common import Words, binary_lists, bounded_batches, column, distinct_by_doc, materialise, mix, release, shingles, steps, table
 
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
@@ -213,7 +213,9 @@ def links(items: DataFrame, bands: DataFrame, idf: np.ndarray, threshold: float
         within = bool((frame.low == frame.high).all())
         i, j = _block_links(ids[:cut], None if within else ids[cut:], weights.value, threshold)
         moved, to = spanning_forest(i, j, len(ids))
-        return pd.DataFrame({"a": reps[to], "b": reps[moved]})
+        found = pd.DataFrame({"a": reps[to], "b": reps[moved]})
+        release()  # what a block took goes back before other work of the executor needs it
+        return found
 
     large = meet.join(items, "rep").groupBy("key", "low", "high").applyInPandas(block, "a long, b long")
     return found.unionByName(large)
