@@ -14,6 +14,7 @@ from ..functions.vectors import dot, l2_normalise, mean_vector, norm
 from .cells import matrix, meetings, unit
 from .graph import components, spanning_forest
 from .series import rescale
+from .skew import dealt
 from .windows import even_sample
 
 #: Rows of a block of the similarity self-join.
@@ -22,6 +23,8 @@ BLOCK = 4_096
 SMALL_SIDE, SMALL_COMPONENTS = 2_000, 4_000_000
 #: Rows of each side of a meeting of queries and targets, and targets of one product of matrices.
 MEETING, STEP = 16_384, 1_024
+#: Logits of one product of a task, and of a task, of concept probabilities.
+MEETING_ROWS, TASK_LOGITS = 262_144, 8_000_000
 
 
 def _all_with(targets: DataFrame, few: DataFrame) -> DataFrame:
@@ -114,13 +117,72 @@ def text_image_probs(images: DataFrame, positive: DataFrame, negative: DataFrame
     return met.select("media_id", "id", "time", y.alias("y"))
 
 
+def _logits(vectors: pa.Array, concepts: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """scale * dot of each vector with each of the k concepts, and whether there is one: both have to be of one length."""
+    z, known = np.zeros((len(vectors), k)), np.zeros((len(vectors), k), bool)
+    size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    for n in set(size.tolist()) & set(concepts):
+        at, (places, x) = np.flatnonzero(size == n), concepts[n]
+        part = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+        z[np.ix_(at, places)] = scale * (part @ x.T)
+        known[np.ix_(at, places)] = True
+    return z, known
+
+
 def ontology_probs(emb: DataFrame, concepts: DataFrame, scale: float = 100.0) -> DataFrame:
-    """(media_id, id, concept, y): softmax over all concepts of scale * dot; concepts: (concept, embedding)."""
-    met = _all_with(emb.select("media_id", "id", l2_normalise(F.col("embedding")).alias("_v")), concepts.select("concept", l2_normalise(F.col("embedding")).alias("_c")))
-    logits = met.select("media_id", "id", "concept", (scale * dot(F.col("_v"), F.col("_c"))).alias("z"))
+    """(media_id, id, concept, y): softmax over all concepts of scale * dot; concepts: (concept, embedding).
+
+    Concepts of up to SMALL_COMPONENTS are sent to all tasks and met as products of matrices: once for each vector's
+    largest logit and sum, which are put together where an id of a media occurs repeatedly, and once for the shares.
+    Only vectors are shuffled. Beyond that each logit is a row.
+    """
+    vectors = emb.select("media_id", "id", l2_normalise(F.col("embedding")).alias("_v"))
+    stated = concepts.select("concept", l2_normalise(F.col("embedding")).alias("_c"))
+    k, components_ = stated.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.size("_c"), F.lit(0))), F.lit(0))).first()
     w = Window.partitionBy("media_id", "id")
-    e = logits.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
-    return e.select("media_id", "id", "concept", (F.col("e") / F.sum("e").over(w)).alias("y"))
+    if max(k, components_) > SMALL_COMPONENTS:
+        logits = _all_with(vectors, stated).select("media_id", "id", "concept", (scale * dot(F.col("_v"), F.col("_c"))).alias("z"))
+        e = logits.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
+        return e.select("media_id", "id", "concept", (F.col("e") / F.sum("e").over(w)).alias("y"))
+    few, by_length = stated.toArrow().combine_chunks(), {}
+    c = few.column("_c").combine_chunks()
+    size = pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False)
+    for n in set(size[size >= 0].tolist()):
+        places = np.flatnonzero(size == n)
+        by_length[n] = places, c.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(len(places), n)
+    sent = emb.sparkSession.sparkContext.broadcast((few.column("concept").combine_chunks(), by_length))
+    step = max(1, MEETING_ROWS // max(1, k))
+
+    def pieces(batches):
+        for b in batches:
+            for first in range(0, b.num_rows, step):
+                part = b.slice(first, step)
+                yield part, *_logits(part.column(2), sent.value[1], k, scale)
+
+    def sums(batches):
+        for part, z, known in pieces(batches):
+            some = known.any(1)
+            top = np.where(known, z, -np.inf).max(1, initial=-np.inf)
+            with np.errstate(invalid="ignore"):
+                total = np.where(known, np.exp(z - top[:, None]), 0).sum(1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(top, mask=~some), pa.array(total, mask=~some)], ["media_id", "id", "_v", "_top", "_sum"])
+
+    def shares(batches):
+        names = sent.value[0]
+        for part, z, known in pieces(batches):
+            top, total = (part.column(i).to_numpy(zero_copy_only=False)[:, None] for i in (3, 4))
+            with np.errstate(invalid="ignore"):
+                y = np.exp(z - top) / total
+            row = pa.array(np.repeat(np.arange(part.num_rows), k))
+            concept = names.take(pa.array(np.tile(np.arange(k), part.num_rows)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), concept, pa.array(y.ravel(), mask=~known.ravel())], ["media_id", "id", "concept", "y"])
+
+    kinds, name = dict(vectors.dtypes), dict(stated.dtypes)["concept"]
+    own = f"media_id {kinds['media_id']}, id {kinds['id']}"
+    held = vectors.mapInArrow(sums, f"{own}, _v array<double>, _top double, _sum double")
+    held = dealt(held, ["media_id", "id"], emb.count() * k, TASK_LOGITS).withColumn("_all", F.max("_top").over(w))
+    held = held.select("media_id", "id", "_v", F.col("_all").alias("_top"), F.sum(F.col("_sum") * F.exp(F.col("_top") - F.col("_all"))).over(w).alias("_sum"))
+    return held.mapInArrow(shares, f"{own}, concept {name}, y double")
 
 
 def similar_pairs(emb: DataFrame, t: float, metric: str = "cosine", block: int = BLOCK) -> DataFrame:

@@ -1,7 +1,10 @@
 """Queries whose tasks must not grow with their tables, and pages whose text is cut."""
 
+import math
+
 import duckdb
 
+from lumenspan.operators import similarity
 from lumenspan.plans.registered import QUERIES
 
 
@@ -13,3 +16,20 @@ def test_clean_text_leaves_open_entities_of_pages(spark, tmp_path):
         con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
         want = con.execute(sql).fetchall()
     assert sorted(tuple(r) for r in f(spark, str(tmp_path)).select("page_id", "text").collect()) == sorted(want)
+
+
+def test_ontology_probs_shuffles_vectors_only_and_sums_over_repeated_ids(spark, capsys):
+    nan = float("nan")
+    vectors = [("a", 1, [1.0, 2.0]), ("a", 1, [2.0, -1.0]), ("a", 2, [0.0, 0.0]), ("b", 1, [3.0, 4.0]), ("b", 2, [1.0, 2.0, 3.0]), ("b", 3, None), ("b", 4, [1.0, None]), ("b", 5, [nan, 1.0]), ("b", 6, [])]
+    emb = spark.createDataFrame(vectors, "media_id string, id long, embedding array<double>")
+    concepts = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.5, -2.0]), (9, [1.0, 0.0, 0.0])], "concept long, embedding array<double>")
+    found = similarity.ontology_probs(emb, concepts, 3.0)
+    found.explain()
+    assert not any("concept" in line for line in capsys.readouterr().out.splitlines() if "Exchange" in line)
+    unit = lambda v: [0.0 if not (n := math.sqrt(sum(x * x for x in v))) else x / n for x in v] if v and None not in v else [0.0] * len(v or [])
+    z = [(m, i, c, None if v is None or len(v) != len(w) else 3 * sum(x * y for x, y in zip(unit(v), unit(w), strict=True))) for m, i, v in vectors for c, w in [(r.concept, r.embedding) for r in concepts.collect()]]
+    total = {}
+    for m, i, _, x in z:
+        total[m, i] = total.get((m, i), 0.0) + (0.0 if x is None else math.exp(x))
+    want = sorted((m, i, c, "null" if x is None else f"{math.exp(x) / total[m, i]:.9f}") for m, i, c, x in z)
+    assert sorted((r.media_id, r.id, r.concept, "null" if r.y is None else f"{r.y:.9f}") for r in found.collect()) == want
