@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .positions import numbered
+from .skew import dealt
 
 KEYS = ("media_id", "label")
 
@@ -76,24 +77,25 @@ def longest_series(df: DataFrame, by: str = "media_id", label: str = "label", or
 def interpolate(series: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS, width: float | None = None) -> DataFrame:
     """Values of each series at the times of `grid` (keys, time): linear inside, the end values outside.
 
-    Knots and grid are merged and sorted once by series in each direction; no range join. With `width` time is cut
+    Knots and grid are merged, one row a time, in partitions of so many counted rows (see skew.dealt), and sorted once
+    by series in each direction; no range join. With `width` time is cut
     into buckets, so that one long series is dealt over many tasks: the knots next to a bucket come from a small
     table of each bucket's first and last knot. Knots of equal time count as their mean; a series without knots
     gives nulls.
     """
     _bounded(series, "interpolate")
-    knots = series.where("y is not null and time is not null").groupBy(*keys, "time").agg(F.avg("y").alias("y")).withColumn("_grid", F.lit(False))
-    asked = grid.select(*keys, "time").where("time is not null").distinct().withColumns({"y": F.lit(None).cast("double"), "_grid": F.lit(True)})
-    both = knots.unionByName(asked).withColumn("_b", F.floor(F.col("time") / width) if width else F.lit(0))
-    knot = F.when(~F.col("_grid"), F.struct("time", "y"))
-    so_far = lambda order: Window.partitionBy(*keys, "_b").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    knots = series.where("y is not null and time is not null").select(*keys, "time", "y", F.lit(False).alias("_grid"))
+    asked = grid.select(*keys, "time", F.lit(None).cast("double").alias("y"), F.lit(True).alias("_grid")).where("time is not null")
+    rows, names = knots.unionByName(asked).withColumn("_b", F.floor(F.col("time") / width) if width else F.lit(0)), [*keys, "_b"]
+    both = dealt(rows, names, series.count() + grid.count()).groupBy(*names, "time").agg(F.avg("y").alias("y"), F.max("_grid").alias("_grid"))
+    knot = F.when(F.col("y").isNotNull(), F.struct("time", "y"))
+    so_far = lambda order: Window.partitionBy(*names).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumns({"_before": F.last(knot, ignorenulls=True).over(so_far(F.col("time"))), "_after": F.last(knot, ignorenulls=True).over(so_far(F.col("time").desc()))}).where("_grid")
     a, b = F.col("_before"), F.col("_after")
     if width:
-        ends = both.groupBy(*keys, "_b").agg(F.max_by(knot, F.when(~F.col("_grid"), F.col("time"))).alias("_last"), F.min_by(knot, F.when(~F.col("_grid"), F.col("time"))).alias("_first"))
+        ends = both.groupBy(*names).agg(F.max_by(knot, F.when(F.col("y").isNotNull(), F.col("time"))).alias("_last"), F.min_by(knot, F.when(F.col("y").isNotNull(), F.col("time"))).alias("_first"))
         others = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.withColumns({"_low": F.last("_last", ignorenulls=True).over(others(F.col("_b"))), "_high": F.last("_first", ignorenulls=True).over(others(F.col("_b").desc()))})
-        names = [*keys, "_b"]
         ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(names)), "_low", "_high")
         met = met.join(ends, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)])
         met = met.withColumns({"_before": F.coalesce("_before", "_low"), "_after": F.coalesce("_after", "_high")})

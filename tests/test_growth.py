@@ -4,7 +4,7 @@ import math
 
 import duckdb
 
-from lumenspan.operators import similarity
+from lumenspan.operators import series, similarity, skew
 from lumenspan.plans.registered import QUERIES
 
 
@@ -33,3 +33,14 @@ def test_ontology_probs_shuffles_vectors_only_and_sums_over_repeated_ids(spark,
         total[m, i] = total.get((m, i), 0.0) + (0.0 if x is None else math.exp(x))
     want = sorted((m, i, c, "null" if x is None else f"{math.exp(x) / total[m, i]:.9f}") for m, i, c, x in z)
     assert sorted((r.media_id, r.id, r.concept, "null" if r.y is None else f"{r.y:.9f}") for r in found.collect()) == want
+
+
+def test_interpolate_has_tasks_of_so_many_rows(spark, monkeypatch):
+    rows = [(f"m{m}", "x", float(t), float(t * m) if t % 3 else None) for m in range(30) for t in range(20)]
+    df = spark.createDataFrame(rows, "media_id string, label string, time double, y double")
+    want = sorted(map(tuple, series.interpolate(df, df).collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    found = series.interpolate(df, df)
+    assert found.rdd.getNumPartitions() == 12  # 600 knots and 600 places
+    assert sorted(map(tuple, found.collect())) == want
+    assert [r[3] for r in want if r[0] == "m2"] == [2.0, *(2.0 * t for t in range(1, 20))]
