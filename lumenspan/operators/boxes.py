@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import dealt
+
 
 def filter_detections(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return boxes.where(F.col("det_score") >= threshold)
@@ -111,9 +113,13 @@ def denormalise_keypoints(keypoints: DataFrame) -> DataFrame:
 
 
 def face_size_filter(boxes: DataFrame, faces: DataFrame, images: DataFrame | None = None, keypoints: DataFrame | None = None, min_height: float = 0.1) -> dict[str, DataFrame]:
-    """Boxes, faces, images and keypoints of the faces that have a box of at least min_height."""
-    keys = boxes.where(F.col("h") >= min_height).select(F.col("ref_id").alias("_k")).distinct()
-    keep = lambda df, col: df.join(keys, df[col] == keys["_k"], "left_semi")
+    """Boxes, faces, images and keypoints of the faces that have a box of at least min_height.
+
+    The boxes are counted: all sides of the joins are dealt in partitions of so many of them (see skew.dealt).
+    """
+    n = boxes.count()
+    keys = dealt(boxes.where(F.col("h") >= min_height).select(F.col("ref_id").alias("_k")), ["_k"], n).distinct()
+    keep = lambda df, col: (d := dealt(df, [col], n)).join(keys, d[col] == keys["_k"], "left_semi")
     out = {"boxes": keep(boxes, "ref_id"), "faces": keep(faces, "id")}
     if images is not None:
         out["images"] = keep(images, "ref_id")

@@ -3,8 +3,9 @@
 import math
 
 import duckdb
+from pyspark.sql import functions as F
 
-from lumenspan.operators import series, similarity, skew
+from lumenspan.operators import boxes, series, similarity, skew
 from lumenspan.plans.registered import QUERIES
 
 
@@ -44,3 +45,11 @@ def test_interpolate_has_tasks_of_so_many_rows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 12  # 600 knots and 600 places
     assert sorted(map(tuple, found.collect())) == want
     assert [r[3] for r in want if r[0] == "m2"] == [2.0, *(2.0 * t for t in range(1, 20))]
+
+
+def test_face_size_filter_has_tasks_of_so_many_boxes(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    b = spark.range(1000).select("id", (F.col("id") % 500).alias("ref_id"), (F.col("id") / 1000).alias("h"))
+    out = boxes.face_size_filter(b, spark.range(600), spark.range(700).withColumn("ref_id", F.col("id")), min_height=0.9)
+    assert {name: df.rdd.getNumPartitions() for name, df in out.items()} == {"boxes": 10, "faces": 10, "images": 10}
+    assert {name: df.count() for name, df in out.items()} == {"boxes": 200, "faces": 100, "images": 100}
