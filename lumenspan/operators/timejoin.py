@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import shared_dir
 from .positions import numbered, running
+from .skew import dealt
 
 #: The interval conventions: open, closed, half-open.
 BOUNDS = ("()", "[]", "[)", "(]")
@@ -115,8 +116,11 @@ def frames_at(frames: DataFrame, items: DataFrame, fps: float | None = None) ->
 
 
 def face_crops(images: DataFrame, faces: DataFrame, keypoints: DataFrame, seq: str = "seq") -> DataFrame:
-    """(face_id, image_id, x, y): the last keypoints of each face, with the image that the face refers to."""
-    last = keypoints.groupBy(F.col("ref_id").alias("face_id")).agg(F.max_by(F.struct("x", "y"), seq).alias("k"))
+    """(face_id, image_id, x, y): the last keypoints of each face, with the image that the face refers to.
+
+    The last keypoints are found by sorting, so these are counted and dealt first (see skew.dealt).
+    """
+    last = dealt(keypoints, ["ref_id"], keypoints.count()).groupBy(F.col("ref_id").alias("face_id")).agg(F.max_by(F.struct("x", "y"), seq).alias("k"))
     linked = faces.select(F.col("id").alias("face_id"), F.col("ref_id").alias("image_id"))
     return last.join(linked, "face_id").join(images.select(F.col("id").alias("image_id")), "image_id").select("face_id", "image_id", "k.x", "k.y")
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 from pyspark.sql import functions as F
 
-from lumenspan.operators import boxes, series, similarity, skew
+from lumenspan.operators import boxes, series, similarity, skew, timejoin
 from lumenspan.plans.registered import QUERIES
 
 
@@ -53,3 +53,12 @@ def test_face_size_filter_has_tasks_of_so_many_boxes(spark, monkeypatch):
     out = boxes.face_size_filter(b, spark.range(600), spark.range(700).withColumn("ref_id", F.col("id")), min_height=0.9)
     assert {name: df.rdd.getNumPartitions() for name, df in out.items()} == {"boxes": 10, "faces": 10, "images": 10}
     assert {name: df.count() for name, df in out.items()} == {"boxes": 200, "faces": 100, "images": 100}
+
+
+def test_face_crops_sorts_keypoints_in_tasks_of_so_many(spark, monkeypatch, capsys):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    k = spark.range(900).select((F.col("id") % 300).alias("ref_id"), F.array("id").alias("x"), F.array("id").alias("y"), F.col("id").alias("seq"))
+    found = timejoin.face_crops(spark.range(50), spark.range(300).withColumn("ref_id", F.col("id") % 100), k)
+    found.explain()
+    assert "hashpartitioning(ref_id" in (out := capsys.readouterr().out) and ", 9), REPARTITION_BY_NUM" in out
+    assert sorted((r.face_id, r.image_id, r.x) for r in found.collect()) == [(f, f % 100, [600 + f]) for f in range(300) if f % 100 < 50]
