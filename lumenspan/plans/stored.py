@@ -23,10 +23,10 @@ def _folder(df: DataFrame, name: str) -> str:
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, sha1(text) AS h FROM documents), c AS (SELECT id, coalesce(first_value(id) OVER (PARTITION BY h ORDER BY doc_id % 3, doc_id), id) AS canonical_id, h FROM d WHERE h IS NOT NULL UNION ALL SELECT id, id, h FROM d WHERE h IS NULL)
 SELECT 'mapped' AS part, id, canonical_id FROM c UNION ALL SELECT 'kept', id, id FROM c WHERE id = canonical_id""")
 def _(d):
-    """Three files of documents, one a run: each run goes on from the checkpoint of the one before."""
+    """Three folders of documents, one a run: each run goes on from the checkpoint of the one before."""
     spark, path = d.sparkSession, _folder(d, "ingest")
     rows = d.select(F.col("doc_id").cast("string").alias("media_id"), F.col("doc_id").alias("ingest_seq"), F.col("text").alias("content"), (F.col("doc_id") % 3).alias("turn"))
-    rows.repartition("turn").write.partitionBy("turn").parquet(f"{path}/all")
+    rows.write.partitionBy("turn").parquet(f"{path}/all")
     for turn in range(3):
         spark.read.parquet(f"{path}/all").where(F.col("turn") == turn).drop("turn").write.parquet(f"{path}/in/{turn}")
         stream = spark.readStream.schema("media_id string, ingest_seq long, content string").parquet(f"{path}/in/*")

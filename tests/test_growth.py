@@ -1,6 +1,7 @@
 """Queries whose tasks must not grow with their tables, and pages whose text is cut."""
 
 import math
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -62,3 +63,29 @@ def test_face_crops_sorts_keypoints_in_tasks_of_so_many(spark, monkeypatch, caps
     found.explain()
     assert "hashpartitioning(ref_id" in (out := capsys.readouterr().out) and ", 9), REPARTITION_BY_NUM" in out
     assert sorted((r.face_id, r.image_id, r.x) for r in found.collect()) == [(f, f % 100, [600 + f]) for f in range(300) if f % 100 < 50]
+
+
+def stored(spark, tmp_path, name):
+    """The rows of a query on documents in four files, and how many files each folder that it wrote has."""
+    texts = [(i, "text %d " % (i % 30) + "x" * (i % 7 * 600)) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.is_dir() else set()
+    f, sql = QUERIES[name]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = sorted(map(tuple, f(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset(coalesce)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == sorted(con.execute(sql).fetchall())
+    [path] = [p for p in set(shared.iterdir()) - before if p.name.startswith(name.split("_")[0])]
+    return {str(p.relative_to(path)): len(list(p.glob("*.parquet"))) for p in (*path.glob("all/*=*"), *path.glob("in/*"))}
+
+
+def test_ingest_stream_gathers_no_turn_in_one_task(spark, tmp_path):
+    files = stored(spark, tmp_path, "ingest_stream")
+    assert len(files) == 6 and min(files.values()) > 1
