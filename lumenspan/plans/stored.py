@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -37,16 +38,18 @@ def _(d):
 
 @_query("reassemble_stream", "documents", "SELECT doc_id AS id, text AS data, true AS complete FROM documents WHERE length(text) > 0")
 def _(d):
-    """Chunks out of order in four files, two in a run of two batches, the others in one batch of a run after a stop."""
+    """Chunks out of order in four folders, two in a run of two batches, the others in one batch of a run after a stop."""
     spark, path, size = d.sparkSession, _folder(d, "reassemble"), 1024
     values = d.select(F.col("doc_id").alias("id"), F.col("text").alias("data"))
     ends = values.select("id", F.expr(f"(length(data) - 1) div {size}").alias("end"))
     chunks = ingest.dump_chunks(values, size=size).join(ends, "id").select("id", "seq", (F.col("seq") == F.col("end")).alias("last"), "data")
-    chunks.withColumn("turn", F.pmod(F.xxhash64("id", "seq"), F.lit(4))).repartition("turn").write.partitionBy("turn").parquet(f"{path}/all")
+    chunks.withColumn("turn", F.pmod(F.xxhash64("id", "seq"), F.lit(4))).write.partitionBy("turn").parquet(f"{path}/all")
     for run in range(2):
+        files = 0
         for turn in (2 * run, 2 * run + 1):
-            spark.read.parquet(f"{path}/all").where(F.col("turn") == turn).drop("turn").coalesce(1).write.parquet(f"{path}/in/{turn}")
-        stream = spark.readStream.schema("id long, seq int, last boolean, data string").option("maxFilesPerTrigger", run + 1).parquet(f"{path}/in/*")
+            spark.read.parquet(f"{path}/all").where(F.col("turn") == turn).drop("turn").write.parquet(f"{path}/in/{turn}")
+            files += len(spark.read.parquet(f"{path}/in/{turn}").inputFiles())
+        stream = spark.readStream.schema("id long, seq int, last boolean, data string").option("maxFilesPerTrigger", math.ceil(files / (2 - run))).parquet(f"{path}/in/*")
         reassemble_stream(stream, f"{path}/whole", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/whole").select("id", "data", "complete")
 

@@ -89,3 +89,8 @@ def stored(spark, tmp_path, name):
 def test_ingest_stream_gathers_no_turn_in_one_task(spark, tmp_path):
     files = stored(spark, tmp_path, "ingest_stream")
     assert len(files) == 6 and min(files.values()) > 1
+
+
+def test_reassemble_stream_gathers_no_turn_in_one_task(spark, tmp_path):
+    files = stored(spark, tmp_path, "reassemble_stream")
+    assert len(files) == 8 and min(files.values()) > 1
