@@ -56,6 +56,21 @@ def test_face_size_filter_has_tasks_of_so_many_boxes(spark, monkeypatch):
     assert {name: df.count() for name, df in out.items()} == {"boxes": 200, "faces": 100, "images": 100}
 
 
+def test_optional_inputs_has_tasks_of_so_many_boxes(spark, tmp_path, monkeypatch):
+    spark.range(300).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("F").alias("o_orderstatus")).write.parquet(str(tmp_path / "orders.parquet"))
+    line = {"l_orderkey": "id div 3", "l_linenumber": "cast(id % 3 as int)", "l_partkey": "id", "l_suppkey": "id", "l_quantity": "cast(id % 50 as double)", "l_discount": "0.1d"}
+    spark.range(900).select(*(F.expr(e).alias(c) for c, e in line.items())).write.parquet(str(tmp_path / "lineitem.parquet"))
+    f, sql = QUERIES["optional_inputs"]
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    found = f(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 36  # of each of its four parts 9
+    with duckdb.connect() as con:
+        for name in ("orders", "lineitem"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = con.execute(sql).fetchall()
+    assert want and sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_face_crops_sorts_keypoints_in_tasks_of_so_many(spark, monkeypatch, capsys):
     monkeypatch.setattr(skew, "TASK_ROWS", 100)
     k = spark.range(900).select((F.col("id") % 300).alias("ref_id"), F.array("id").alias("x"), F.array("id").alias("y"), F.col("id").alias("seq"))
