@@ -32,6 +32,7 @@ other columns are not looked at.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -49,10 +50,12 @@ SHARD = 1_000_000
 END = 0
 #: Pairs are replaced until none occurs LEAST times; the first round makes about RULES_A_ROUND rules, each later one up to twice as many.
 RULES_A_ROUND, LEAST = 16_000, 2
-CELL_BITS = 19
 #: Bytes of text that are encoded at a time.
 STEP = 8_000_000
-CACHE = 800_000
+#: Pieces that the library is given in a row: in longer texts each of them takes more time.
+RUN = 256
+#: Strings that an encoder knows, parts and pieces together, before it forgets all but those of its last step.
+CACHE = 1_600_000
 SCHEMA = "part int, shard int, first long, doc_ids binary, doc_nulls binary, base int, n_rules int, length_bits int, starts binary, tokens binary, rules binary, lengths binary, symbols binary"
 
 
@@ -80,46 +83,69 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         # the byte-level alphabet writes each byte as one character
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.parts, self.pieces = Pool(), Pool()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Parts and pieces stand in one pool, since most parts are one piece; the empty head of a text that begins with a space has no ids."""
+        self.known = Pool()
+        self.known.add([""], np.empty(0, np.int32), np.zeros(1, np.int64))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(e.ids, np.int32) for i in range(0, len(texts), 1024) for e in self.tok.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
-        return np.concatenate(ids) if ids else np.empty(0, np.int32), np.array([len(x) for x in ids], np.int64)
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(texts), 1024):
+            lists = [e.ids for e in self.tok.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         # pieces that begin with a space are encoded many in a row and told apart by the bytes of their ids
         joined, single = [], []
         for p in pieces:
             (joined if p[0] == " " and not p.isspace() else single).append(p)
-        for first in range(0, len(joined), 2048):
-            some = joined[first : first + 2048]
-            ids, _ = self._whole(["".join(some)])
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in some]), "left") + 1
-            self.pieces.add(some, ids, np.diff(np.concatenate([[0], ends])))
-        self.pieces.add(single, *self._whole(single))
-
-    def _learn(self, parts: list[str]) -> None:
+        ids, _ = self._whole(["".join(joined[first : first + RUN]) for first in range(0, len(joined), RUN)])
+        size = pc.binary_length(pa.array(joined, pa.string())).to_numpy()
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size, dtype=np.int64), "left") + 1
+        one, sizes = self._whole(single)
+        self.known.add(joined + single, np.concatenate([ids, one]), np.concatenate([np.diff(ends, prepend=0), sizes]))
+
+    def _learn(self, parts: list[str]) -> np.ndarray:
+        """Numbers of distinct parts that aren't known yet."""
         odd, begun, rest = [], [], []
-        for p in parts:
-            (odd if p[-1].isspace() else begun if p[0] == " " else rest).append(p)
-        self.parts.add(odd, *self._whole(odd))
-        self._learn_run(begun, self.pattern.findall("".join(begun)))
-        self._learn_run(rest, [x for p in rest for x in self.pattern.findall(p)])
-
-    def _learn_run(self, parts: list[str], pieces: list[str]) -> None:
+        for i, p in enumerate(parts):
+            (odd if p[-1].isspace() else begun if p[0] == " " else rest).append(i)
+        number = np.empty(len(parts), np.int64)
+        some = [parts[i] for i in odd]
+        number[odd] = self.known.add(some, *self._whole(some))
+        some = [parts[i] for i in begun]
+        number[begun] = self._learn_run(some, self.pattern.findall("".join(some)))
+        some = [parts[i] for i in rest]
+        number[rest] = self._learn_run(some, [x for p in some for x in self.pattern.findall(p)])
+        return number
+
+    def _learn_run(self, parts: list[str], pieces: list[str]) -> np.ndarray:
         if not parts:
-            return
-        self._learn_pieces(list(set(pieces).difference(self.pieces.place)))
-        ids, n = self.pieces.take(self.pieces.numbers(pieces))
-        last = np.searchsorted(np.cumsum(list(map(len, pieces))), np.cumsum(list(map(len, parts))), "left")
-        ends = np.cumsum(n)[last]
-        self.parts.add(parts, ids, np.diff(np.concatenate([[0], ends])))
+            return np.empty(0, np.int64)
+        number = self._numbers(pieces, self._learn_pieces)
+        length = lambda strings: np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+        last = np.searchsorted(length(pieces), length(parts), "left")
+        out, many = number[last], np.diff(last, prepend=-1) > 1
+        if many.any():  # the others are their only piece
+            ids, n = self.known.take(number[np.repeat(many, np.diff(last, prepend=-1))])
+            ends = np.cumsum(np.diff(last, prepend=-1)[many]) - 1
+            out[many] = self.known.add([parts[i] for i in np.flatnonzero(many).tolist()], ids, np.diff(np.cumsum(n)[ends], prepend=0))
+        return out
+
+    def _numbers(self, strings: list[str], learn) -> np.ndarray:
+        """Numbers of strings, of which `learn` is given those that aren't known yet, each once."""
+
+        def once(new: list[str]) -> np.ndarray:
+            learn(list(dict.fromkeys(new)))
+            return self.known.numbers(new)
+
+        return self.known.learnt(strings, once)
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.parts.place) > CACHE:
-            self.parts = Pool()
-        if len(self.pieces.place) > CACHE:
-            self.pieces = Pool()
         out: list = [None] * len(texts)
         n = pc.binary_length(texts).to_numpy()
         hard = pc.match_substring_regex(texts, self.hard).to_numpy(zero_copy_only=False)
@@ -138,19 +164,16 @@ class Encoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # what stands before the first space of a text has none of its own
-        heads = [words[c] for c in codes[starts[:-1]]]
-        strings = [" " + w for w in words]
-        new = set(strings).union(h for h in heads if h).difference(self.parts.place)
-        if new:
-            self._learn(list(new))
-        number = self.parts.numbers(strings)[codes]
-        empty = np.array([not h for h in heads], bool)
-        number[starts[:-1]] = [self.parts.place[h] if h else 0 for h in heads]
-        ids, size = self.parts.take(number)
-        if empty.any():  # a text that begins with a space: its head has no ids
-            drop = np.repeat(np.isin(np.arange(len(number)), starts[:-1][empty]), size)
-            ids = ids[~drop]
-            size[starts[:-1][empty]] = 0
+        heads = [words[c] for c in codes[starts[:-1]].tolist()]
+        parts = [" " + w for w in words]
+        distinct = self.known.learnt(parts, self._learn)
+        begin, size = (x[codes] for x in self.known.runs(distinct))
+        begin[starts[:-1]], size[starts[:-1]] = self.known.runs(self._numbers(heads, self._learn))
+        ids = self.known.ids(begin, size)
+        if len(self.known.place) > CACHE:  # the parts of this step stay
+            learnt = self.known.take(distinct)
+            self._forget()
+            self.known.add(parts, *learnt)
         total = np.concatenate([[0], np.cumsum(size)])[starts]
         for k, i in enumerate(easy):
             out[i] = ids[total[k] : total[k + 1]]
@@ -162,6 +185,49 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _sorted_pairs(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols of so many bits (a << bits | b) in ascending order, and the place of each.
+
+    Where both symbols and the place fit into one number, these are sorted, which takes a fraction of an argsort.
+    """
+    key, place = a.astype(np.int64), width(len(a))
+    key <<= bits
+    key |= b
+    if 2 * bits + place > 63:
+        sort = np.argsort(key, kind="stable")
+        return key[sort], sort
+    key <<= place
+    key |= np.arange(len(a))
+    key.sort()
+    sort = key & ((1 << place) - 1)
+    key >>= place
+    return key, sort
+
+
+def _first_by_rank(order: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Which places are taken: of those that overlap (each with the next, where `joined`) the first by rank, and their neighbours are lost."""
+    lost = np.int32(2**31 - 1)
+    left, right = np.concatenate([[False], joined]), np.concatenate([joined, [False]])
+    order = np.concatenate([[lost], order, [lost]]).astype(np.int32)
+    # all places at once, then those that are open still
+    mine = order[1:-1]
+    taken = ((mine < order[:-2]) | ~left) & ((mine < order[2:]) | ~right)
+    gone = taken.copy()
+    gone[1:] |= taken[:-1] & joined
+    gone[:-1] |= taken[1:] & joined
+    mine[gone] = lost
+    open_ = np.flatnonzero(~gone)
+    while len(open_):
+        mine = order[open_ + 1]
+        win = open_[((mine < order[open_]) | ~left[open_]) & ((mine < order[open_ + 2]) | ~right[open_])]
+        taken[win] = True
+        order[win + 1] = lost
+        order[win[left[win]]] = lost
+        order[win[right[win]] + 2] = lost
+        open_ = open_[order[open_ + 1] < lost]
+    return taken
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: symbols (rules from `base` on), starts of the documents in them, rules (pairs) and expansion lengths.
 
@@ -171,82 +237,77 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None
     replaced are looked at: an old pair's count never grows, so one below `least` is left for good, and new
     pairs begin at or before a replaced one.
     """
-    n = len(ids)
     seq = ids.astype(np.int32)
-    begins = np.zeros(n + 1, bool)
+    begins = np.zeros(len(ids) + 1, bool)  # and one more, behind the last
     begins[starts] = True
-    begins[n] = True
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
-    alive = np.ones(n, bool)
+    begins[-1] = True
     active = np.flatnonzero(~begins[1:])
     rules, lengths = np.empty((0, 2), np.int64), np.empty(0, np.int64)
     most, turn = RULES_A_ROUND, 0
     while len(active) and (rounds is None or turn < rounds):
         turn += 1
-        # cells that few places share hold no pair of `least`; the other pairs are counted exactly
-        a, b = seq[active], seq[after[active]]
-        cell = ((a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)).view(np.int32)
-        often = np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= least)[cell])
-        active, a, b = active[often], a[often], b[often]
-        same = a == b
+        a, b = seq[active], seq[1:][active]
         odd = np.zeros(len(active), bool)
-        runs = np.flatnonzero(same)
+        runs = np.flatnonzero(a == b)
         if len(runs):  # every second place of a run
-            new = np.concatenate([[True], (np.diff(runs) > 1) | (after[active[runs[:-1]]] != active[runs[1:]])])
+            new = np.concatenate([[True], (np.diff(runs) > 1) | (np.diff(active[runs]) > 1)])
             place = np.arange(len(runs))
             odd[runs] = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 1
-        key = a.astype(np.int64) << 32 | b
-        sort = np.argsort(key)
-        key = key[sort]
-        first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        pairs, pair = key[first], np.empty(len(key), np.int64)
-        pair[sort] = np.cumsum(first) - 1
-        count = np.bincount(pair[~odd], minlength=len(pairs))
-        live = count[pair] >= least
-        if not live.any():
+        bits = width(base + len(rules))
+        key, sort = _sorted_pairs(a, b, bits)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        met = np.diff(begin, append=len(key))
+        count = met - np.bincount(np.searchsorted(begin, np.flatnonzero(odd[sort]), "right") - 1, minlength=len(begin)) if odd.any() else met
+        # pairs that may still be replaced, and those that are now
+        live = np.flatnonzero(count >= least)
+        if not len(live):
             break
-        active, pair, odd = active[live], pair[live], odd[live]
-        bar = max(least, int(np.partition(count, -most)[-most])) if len(count) > most else least
+        bar = max(least, int(np.partition(count[live], -most)[-most])) if len(live) > most else least
         most *= 2
-        rank = np.empty(len(pairs), np.int64)
-        rank[np.lexsort((-count, pairs >> 32 != pairs & 0xFFFFFFFF))] = np.arange(len(pairs))
-        use = ~odd & (count[pair] >= bar)
-        at, pair = active[use], pair[use]
-        # of overlapping places the first by rank is taken, and its neighbours are lost
-        order = np.concatenate([[len(pairs)], rank[pair], [len(pairs)]])
-        joined = np.concatenate([[False], after[at[:-1]] == at[1:], [False]])
-        taken = np.zeros(len(at), bool)
-        open_ = np.arange(len(at))
-        while len(open_):
-            mine = order[open_ + 1]
-            win = open_[((mine < order[open_]) | ~joined[open_]) & ((mine < order[open_ + 2]) | ~joined[open_ + 1])]
-            taken[win] = True
-            order[win + 1] = len(pairs)
-            order[win[joined[win]]] = len(pairs)
-            order[win[joined[win + 1]] + 2] = len(pairs)
-            open_ = open_[order[open_ + 1] < len(pairs)]
+        look = np.zeros(len(seq), bool)
+        look[active[sort[np.repeat(count >= least, met)]]] = True
+        often = np.flatnonzero(count >= bar)
+        pairs = key[begin[often]]
+        place = sort[np.repeat(count >= bar, met)]
+        place <<= 32
+        place |= np.repeat(np.arange(len(pairs)), met[often])
+        place.sort()
+        pair = place & 0xFFFFFFFF
+        place >>= 32
+        if len(runs):
+            use = ~odd[place]
+            place, pair = place[use], pair[use]
+        at = active[place]
+        # pairs of one symbol before the others, then by their counts
+        of_two = (pairs >> bits) != (pairs & ((1 << bits) - 1))
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.lexsort((-count[often], of_two))] = np.arange(len(pairs), dtype=np.int32)
+        taken = _first_by_rank(rank[pair], np.diff(at) == 1)
         at, pair = at[taken], pair[taken]
         used = np.bincount(pair, minlength=len(pairs)) >= least
         chosen = np.flatnonzero(used)
-        at, pair = at[used[pair]], pair[used[pair]]
-        number = np.zeros(len(pairs), np.int64)
-        number[chosen] = np.arange(len(chosen))
-        both = np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], 1)
+        if len(chosen) < len(pairs):
+            mine = used[pair]
+            at, pair = at[mine], pair[mine]
+        number = np.zeros(len(pairs), np.int32)
+        number[chosen] = np.arange(base + len(rules), base + len(rules) + len(chosen))
+        both = np.stack([pairs[chosen] >> bits, pairs[chosen] & ((1 << bits) - 1)], 1)
         size = np.where(both < base, 1, lengths[np.maximum(both - base, 0)] if len(lengths) else 1)
-        seq[at] = base + len(rules) + number[pair]
+        seq[at] = number[pair]
         rules, lengths = np.concatenate([rules, both]), np.concatenate([lengths, size.sum(1)])
-        second = after[at]  # never the first symbol of a document
-        alive[second] = False
-        after[at] = after[second]
-        before[after[at]] = at
-        look = np.zeros(n, bool)
-        look[active] = True
         look[at] = True
-        look[before[at[~begins[at]]]] = True
-        look &= alive
-        active = np.flatnonzero(look)
-        active = active[~begins[after[active]]]
-    return seq[alive].astype(np.int32), np.concatenate([np.flatnonzero(begins[:n][alive]), [int(alive.sum())]]), rules, lengths
+        # before the first symbol of a document ends another one
+        inner = at[~begins[at]]
+        gone = at + 1  # never the first symbol of a document
+        alive = np.ones(len(seq) + 1, bool)
+        alive[gone] = False
+        inner -= 1
+        inner -= ~alive[inner]  # where the one before is itself the second of a pair
+        look[inner] = True
+        look &= alive[:-1]
+        seq, begins, look = seq[alive[:-1]], begins[alive], look[alive[:-1]]
+        active = np.flatnonzero(look & ~begins[1:])
+    return seq, np.flatnonzero(begins), rules, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

@@ -587,6 +587,27 @@ def test_parts_are_encoded_as_whole_texts(texts):
     assert [x.tolist() for x in e.batch(pa.array(texts, pa.string()))] == want
 
 
+def test_an_encoder_asks_the_library_once_for_a_part_and_keeps_those_of_its_last_step(monkeypatch):
+    monkeypatch.setattr(repair, "CACHE", 3)
+    e = repair.Encoder(repair.tokenizer_path(repair.VOCABULARY))
+    whole, asked = e._whole, []
+    monkeypatch.setattr(e, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    texts = pa.array(["zorn zorn, blatt. zorn", " blatt, zorn", ""])
+    first = [x.tolist() for x in e.batch(texts)]
+    assert sum(t.count(" zorn") for t in asked) == sum(t.count(" blatt") for t in asked) == 1
+    asked.clear()
+    assert [x.tolist() for x in e.batch(texts)] == first == [x.ids for x in e.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    assert not any(" zorn" in t or " blatt" in t for t in asked)
+
+
+@pytest.mark.parametrize("bits", [17, 31])
+def test_pairs_are_sorted_alike_with_and_without_their_places(bits):
+    a, b = np.random.default_rng(bits).integers(0, 40, (2, 3_000)).astype(np.int32)
+    key, place = repair._sorted_pairs(a, b, bits)  # of 31 bits they leave no room for places
+    want = sorted((int(x) << bits | int(y), k) for k, (x, y) in enumerate(zip(a, b, strict=True)))
+    assert list(zip(key.tolist(), place.tolist(), strict=True)) == want
+
+
 # -- byte-level BPE -------------------------------------------------------------------------------------------------
 
 
