@@ -99,15 +99,19 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        # pieces that begin with a space are encoded many in a row and told apart by the bytes of their ids
-        joined, single = [], []
+        # pieces that begin with a space, and words with a line's end after each, are encoded many in a row
+        spaced, words, single = [], [], []
         for p in pieces:
-            (joined if p[0] == " " and not p.isspace() else single).append(p)
-        ids, _ = self._whole(["".join(joined[first : first + RUN]) for first in range(0, len(joined), RUN)])
-        size = pc.binary_length(pa.array(joined, pa.string())).to_numpy()
-        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size, dtype=np.int64), "left") + 1
-        one, sizes = self._whole(single)
-        self.known.add(joined + single, np.concatenate([ids, one]), np.concatenate([np.diff(ends, prepend=0), sizes]))
+            (spaced if p[0] == " " and not p.isspace() else words if p.isalpha() else single).append(p)
+        ids, sizes = zip(self._row(spaced), self._row(words, "\n"), self._whole(single), strict=True)
+        self.known.add(spaced + words + single, np.concatenate(ids), np.concatenate(sizes))
+
+    def _row(self, pieces: list[str], end: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, of which the library gets RUN in a row with an end after each (a byte, or none), told apart by the bytes of their ids."""
+        ids, _ = self._whole([end.join([*pieces[first : first + RUN], ""]) for first in range(0, len(pieces), RUN)])
+        size = pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64) + len(end)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size), "left") + 1
+        return (np.delete(ids, ends - 1) if end else ids), np.diff(ends, prepend=0) - len(end)
 
     def _learn(self, parts: list[str]) -> np.ndarray:
         """Numbers of distinct parts that aren't known yet."""
@@ -265,7 +269,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None
         bar = max(least, int(np.partition(count[live], -most)[-most])) if len(live) > most else least
         most *= 2
         look = np.zeros(len(seq), bool)
-        look[active[sort[np.repeat(count >= least, met)]]] = True
+        still = np.empty(len(active), bool)
+        still[sort] = np.repeat(count >= least, met)
+        look[active] = still
         often = np.flatnonzero(count >= bar)
         pairs = key[begin[often]]
         place = sort[np.repeat(count >= bar, met)]
@@ -312,28 +318,28 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids of symbols: rules are opened once, each into the run of its ids, and the runs are joined."""
-    symbols = symbols.astype(np.int64)
     if not len(rules):
-        return symbols
+        return symbols.astype(np.int64)
     size = np.ones(base + len(rules), np.int64)
     begin = np.concatenate([np.arange(base), np.zeros(len(rules), np.int64)])
-    flat, done = np.arange(base), 0
+    flat, done, high = np.arange(base, dtype=np.int32), 0, rules.max(1)
+
+    def opened(now: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at = np.repeat(begin[now] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return flat[at]
+
     while done < len(rules):  # rules whose halves are known, a run of them at a time
-        high = rules[done:].max(1)
-        ready = np.flatnonzero(high >= base + done)
-        last = done + (int(ready[0]) if len(ready) else len(high))
+        ready = np.flatnonzero(high[done:] >= base + done)
+        last = done + (int(ready[0]) if len(ready) else len(rules) - done)
         now = rules[done:last].ravel()
         n = size[now]
-        ends = np.cumsum(n)
-        opened = flat[np.repeat(begin[now] - (ends - n), n) + np.arange(ends[-1])]
         both = n[::2] + n[1::2]
         size[base + done : base + last] = both
         begin[base + done : base + last] = len(flat) + np.cumsum(both) - both
-        flat = np.concatenate([flat, opened])
+        flat = np.concatenate([flat, opened(now, n)])
         done = last
-    n = size[symbols]
-    ends = np.cumsum(n)
-    return flat[np.repeat(begin[symbols] - (ends - n), n) + np.arange(int(n.sum()))]
+    return opened(symbols, size[symbols])
 
 
 def decode_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, first: int, last: int) -> np.ndarray:
