@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows and columns with the ids of the text and their number, and digests of the ids and of the bytes they decode to."""
-    return bpe.digests(bpe.encode(docs))
+    return bpe.digests(docs)
 
 
 STAGES = [

@@ -141,16 +141,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+_DECODED = T.StructField("decoded", T.BinaryType())
+
+
 def _added(df: DataFrame) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
-def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """All columns of documents, with ids. Texts of one chunk are encoded where they lie; the chunks of longer ones are dealt out."""
+def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """All columns of documents, with ids. Texts of one chunk are encoded where they lie; the chunks of longer ones are dealt out.
+
+    decoded: with `decoded` too, the bytes of the ids, by the worker that encodes: two steps of Python in a row have a worker each.
+    """
     bounded_batches(documents.sparkSession)
     path = tokenizer_path(VOCABULARY, vocabulary)
-    kept = documents.drop("ids")
+    kept = documents.drop("ids", "decoded") if decoded else documents.drop("ids")
     names = kept.columns
+    last = functools.partial(_decoded, path=path) if decoded else iter
+    schema = _added(kept).add(_DECODED) if decoded else _added(kept)
     short = kept.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk)
 
     def whole(batches):
@@ -195,7 +203,19 @@ def encode(documents: DataFrame, vocabulary: str | None = None, chunk: int = CHU
                 ids = c.encode([text], [stitch(found, text)])
                 yield pa.RecordBatch.from_arrays([*(row.field(i) for i in range(len(names))), ids], [*names, "ids"])
 
-    return short.mapInArrow(whole, _added(kept)).unionByName(gathered.select("row", "chunks").mapInArrow(join, _added(kept)))
+    return short.mapInArrow(lambda batches: last(whole(batches)), schema).unionByName(gathered.select("row", "chunks").mapInArrow(lambda batches: last(join(batches)), schema))
+
+
+def _decoded(batches, path: str):
+    """The batches with the bytes of their ids."""
+    c = codec(path)
+    for every in batches:
+        for first in range(0, every.num_rows, ROWS):
+            b = every.slice(first, ROWS)
+            ids = column(b, "ids")
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(flat[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*b.schema.names, "decoded"])
+    release()
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -203,30 +223,18 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     bounded_batches(encoded.sparkSession)
     path = tokenizer_path(VOCABULARY, vocabulary)
     kept = encoded.drop("decoded")
-    names = kept.columns
-
-    def run(batches):
-        c = codec(path)
-        for whole in batches:
-            for first in range(0, whole.num_rows, ROWS):
-                b = whole.slice(first, ROWS)
-                ids = column(b, "ids")
-                at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode(flat[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*names, "decoded"])
-        release()
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return kept.mapInArrow(functools.partial(_decoded, path=path), T.StructType([*kept.schema.fields, _DECODED]))
 
 
-def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """All columns of encoded with n_tokens, ids_sha256 and decoded_sha256, of the bytes decoded from the ids."""
+def digests(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """All columns of documents with ids, n_tokens, ids_sha256 and decoded_sha256, of the bytes decoded from the ids."""
     ids = F.col("ids")
     added = ("n_tokens", "ids_sha256", "decoded_sha256")
-    out = decode(encoded.drop(*added), vocabulary)
-    return out.select(*(F.col(f"`{c}`") for c in encoded.columns if c not in added), F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encode(documents.drop(*added), vocabulary, decoded=True)
+    names = [*(c for c in documents.columns if c not in ("ids", *added)), "ids"]
+    return out.select(*(F.col(f"`{c}`") for c in names), F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    return digests(encoded).drop("ids")
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "ids")

@@ -147,3 +147,28 @@ def test_stages(spark, sf, hard, empty, name):
         assert out.columns == hard.columns
         assert {r.doc_id for r in out.collect()} <= {r[0] for r in HARD}
     assert stage(spark, empty, sf).count() == 0
+
+
+def _python_in_a_task(node, above=0):
+    """The most steps of Python that one task of a plan runs in a row."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _python_in_a_task(node.initialPlan(), above)
+    above = 0 if "Exchange" in name else above + any(x in name for x in ("Arrow", "Pandas", "EvalPython"))
+    children = node.children()
+    return max([above, *(_python_in_a_task(children.apply(i), above) for i in range(children.size()))])
+
+
+@pytest.mark.parametrize("name", ["toxicity", "language", "decontamination", "byte_bpe", "op10_byte_bpe"])
+def test_one_worker_a_task(spark, sf, name):
+    """Each step of Python of a task has a worker of its own, and workers stay in the executor's memory for all that follows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = bpe.op10_byte_bpe(spark, sf) if name == "op10_byte_bpe" else dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+    assert _python_in_a_task(out._jdf.queryExecution().executedPlan()) == 1
+
+
+def test_bpe_digests(hard):
+    out = bpe.digests(hard.withColumns({"decoded": F.lit("mine"), "n_tokens": F.lit(-1)}))
+    assert out.columns == [*(c for c in hard.columns if c != "ids"), "decoded", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = [(len(r.ids), hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest(), hashlib.sha256(bytes(r.decoded)).hexdigest(), bytes(r.decoded)) for r in bpe.decode(bpe.encode(hard)).collect()]
+    assert sorted(want) == sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256, bytes(r.decoded)) for r in out.collect())
